@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrawing.operators.clocks import resolve, statements, zone_intervals
+from terrawing.operators.drift import changes, file_schemas, unified, versions
 from terrawing.operators.grid import regular_grid, silences
+from terrawing.operators.rejects import read_csv_lines
 from terrawing.operators.spikes import GPU, TELEMETRY, flag_readings
 from terrawing.runtime import table
 
@@ -58,3 +60,70 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "clock_marks").join(tracks, "track_id")
     stated = statements(marks, "t_text", "kind", "site_tz", "started_ms")
     return resolve(stated, "mark_id", "track_id", "source_index", "site_tz", "started_ms", zone_intervals(tracks, "site_tz", *YEARS))
+
+
+def _json_feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = table(spark, sf_dir, "raw_files").where("kind = 'json'").select("file_id", "feed_id", "recorded_at")
+    lines = table(spark, sf_dir, "raw_lines").join(files.select("file_id"), "file_id", "left_semi")
+    return files, lines, file_schemas(lines, "file_id", "line")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _, schemas = _json_feeds(spark, sf_dir)
+    return changes(files, schemas).select("file_id", "field_name", "change_kind")
+
+
+def p3_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change with the names and types before and after it."""
+    files, _, schemas = _json_feeds(spark, sf_dir)
+    return changes(files, schemas).select("feed_id", "file_id", "field_name", "change_kind", *[F.array_join(c, "+").alias(c) for c in ("old_names", "new_names", "old_types", "new_types")])
+
+
+def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of all json files as one table."""
+    files, lines, schemas = _json_feeds(spark, sf_dir)
+    return unified(lines, versions(files, schemas))
+
+
+def _csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "raw_files").where("kind = 'csv'").select("file_id")
+    return read_csv_lines(table(spark, sf_dir, "raw_lines").join(files, "file_id", "left_semi"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _csv_lines(spark, sf_dir).where("reason is not null").select("file_id", "line_no", "reason")
+
+
+def p5_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sound samples of all csv files, typed."""
+    return _csv_lines(spark, sf_dir).where("reason is null").drop("reason", "line")
+
+
+QUERIES = {
+    "p1_grid": p1_grid,
+    "p1_found": p1_found,
+    "p1_silences": p1_silences,
+    "p2_found": p2_found,
+    "p2_suspects": p2_suspects,
+    "p3_found": p3_found,
+    "p3_changes": p3_changes,
+    "p3_table": p3_table,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_samples": p5_samples,
+}
+
+_CLOCKED = "telemetry where track_id not in (select track_id from tracks where not has_timestamps)"
+
+SQL = {
+    "p1_found": f"""
+        with s as (select distinct track_id, t from {_CLOCKED}),
+        p as (select track_id, t, lag(t) over (partition by track_id order by t) as before from s)
+        select track_id, unnest(generate_series(cast(floor(before) as bigint) + 1, cast(floor(t) as bigint) - 1)) as slot
+        from p where round(t - before, 6) <= 600""",
+    "p1_silences": f"""
+        with s as (select distinct track_id, t from {_CLOCKED}),
+        p as (select track_id, t, lag(t) over (partition by track_id order by t) as before from s)
+        select track_id, cast(floor(before) as bigint) + 1 as from_slot, cast(floor(t) as bigint) - 1 as to_slot, round(t - before, 6) as silent_s
+        from p where round(t - before, 6) > 600 and floor(before) + 1 <= floor(t) - 1""",
+}
