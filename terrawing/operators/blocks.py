@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrawing.runtime import small
@@ -55,3 +55,30 @@ def blocked(df: DataFrame, source: list[str], order: str, rows_per_block: int, h
         .withColumn("_core", F.col("_block") == F.col("_own"))
         .drop("_own", *extra)
     )
+
+
+def neighbours(df: DataFrame, source: list[str], order: str, ties: list[str], value: Column, rows_per_block: int = 200_000) -> DataFrame:
+    """Adds ``_prev`` and ``_next``: the last non-null value at or before each row, and the first one after it.
+
+    Rows of a source follow each other by ``order`` and then ``ties``. A hot
+    source is cut into blocks; what a block needs from others, the last value
+    before it and the first after it, comes from one row per block.
+    """
+    rows = blocked(df.withColumn("_v", value), source, order, rows_per_block)
+    part, by = [*source, "_block"], [order, *ties]
+    up = Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in by]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_up", F.last("_v", ignorenulls=True).over(up)).withColumn("_down", F.last("_v", ignorenulls=True).over(down))
+    # Sources of one block, nearly all, have nothing to carry.
+    cut = rows.groupBy(*source).agg(F.max("_block").alias("_last_block")).where("_last_block > 0").drop("_last_block")
+    place = F.struct(*by)
+    ends = rows.join(small(cut, MOST_BROADCAST), source, "left_semi").groupBy(*part).agg(
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), place)).alias("_end"), F.min_by("_v", F.when(F.col("_v").isNotNull(), place)).alias("_begin")
+    )
+    w = Window.partitionBy(*source)
+    carried = ends.withColumns({
+        "_carry": F.last("_end", ignorenulls=True).over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)),
+        "_ahead": F.last("_begin", ignorenulls=True).over(w.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)),
+    }).drop("_end", "_begin")
+    joined = inside.join(small(carried, MOST_BROADCAST), part, "left")
+    return joined.withColumns({"_prev": F.coalesce("_up", "_carry"), "_next": F.coalesce("_down", "_ahead")}).drop("_v", "_up", "_down", "_carry", "_ahead", "_block", "_core")
