@@ -31,6 +31,6 @@ def shared_frames(chunks: DataFrame, overlap: int = 10, track: str = "track_id",
 
 def apply_alignment(points: DataFrame, alignments: DataFrame) -> DataFrame:
     """Points with x, y and z moved by their chunk's scale, rotation (r, 9 doubles) and shift (t, 3 doubles)."""
-    joined = points.join(alignments.select("chunk_idx", "scale", "r", "t"), "chunk_idx")
-    moved = {a: F.col("scale") * (F.col("r")[3 * i] * F.col("x") + F.col("r")[3 * i + 1] * F.col("y") + F.col("r")[3 * i + 2] * F.col("z")) + F.col("t")[i] for i, a in enumerate("xyz")}
-    return joined.withColumns(moved).drop("scale", "r", "t")
+    joined = points.join(alignments.select("chunk_idx", F.col("scale").alias("_s"), F.col("r").alias("_r"), F.col("t").alias("_t")), "chunk_idx")
+    moved = {a: F.col("_s") * (F.col("_r")[3 * i] * F.col("x") + F.col("_r")[3 * i + 1] * F.col("y") + F.col("_r")[3 * i + 2] * F.col("z")) + F.col("_t")[i] for i, a in enumerate("xyz")}
+    return joined.withColumns(moved).drop("_s", "_r", "_t")

@@ -25,7 +25,8 @@ def spacing_gate(frames: DataFrame, track: str = "track_id", order: str = "frame
     The choice depends on the last frame kept, so a track is read in one
     stream; only that frame's place is held, whatever the track's length.
     """
-    slim = frames.select(F.col(track).cast("long").alias("track"), F.col(order).cast("long").alias("pos"), *[F.col(c).cast("double").alias(c) for c in "enu"])
+    kind = frames.schema[track].dataType
+    slim = frames.select(F.col(track).cast("string").alias("track"), F.col(order).cast("long").alias("pos"), *[F.col(c).cast("double").alias(c) for c in "enu"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_track, place = None, None
@@ -41,8 +42,8 @@ def spacing_gate(frames: DataFrame, track: str = "track_id", order: str = "frame
                 kept.append(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.bool_())], ["track", "pos", "kept"])
 
-    out = slim.repartition("track").sortWithinPartitions("track", "pos").mapInArrow(run, "track long, pos long, kept boolean")
-    return out.select(F.col("track").alias(track), F.col("pos").alias(order), "kept")
+    out = slim.repartition("track").sortWithinPartitions("track", "pos").mapInArrow(run, "track string, pos long, kept boolean")
+    return out.select(F.col("track").cast(kind).alias(track), F.col("pos").alias(order), "kept")
 
 
 def stride_gate(frames: DataFrame, track: str = "track_id", order: str = "frame_index", stride: int = 5) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,8 +156,6 @@ def kml(files: DataFrame, track: str = "track_id", text: str = "text") -> DataFr
 
 def _xml(files: DataFrame, track: str, text: str, points: Callable[[str | None], list[tuple]]) -> DataFrame:
     """Points of XML texts by an Arrow function: a text is a tree, which no built-in expression walks."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<lat: string, lon: string, ele: string, time: string>>")
     def parse(texts: pd.Series) -> pd.Series:
         return texts.map(points)
