@@ -17,21 +17,16 @@ def block_of(x: Column) -> Column:
     return F.when(F.col("_lo").isNull(), 0).otherwise(F.greatest(F.lit(0), cut))
 
 
-def blocked(df: DataFrame, source: list[str], order: str, rows_per_block: int, halo: float = 0.0, align: float | None = None, keep: bool = False) -> DataFrame:
-    """Adds ``_block`` (int) and ``_core`` (boolean) to df.
+def placeable(df: DataFrame, order: str) -> DataFrame:
+    return df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
 
-    A source of at most 2 * rows_per_block rows is one block, 0. A larger one
-    is cut along ``order`` into stretches of equal length, as many as make
-    rows_per_block rows each on average, and never shorter than twice halo.
-    A row within halo of a cut comes a second time, in the block beyond the
-    cut and with _core false, so that what is near a cut can be computed
-    inside one block; results must be kept for core rows only. With align,
-    cuts fall on multiples of it. With keep, the columns that block_of needs stay.
 
-    Rows whose order is null or NaN are dropped: they have no place in a
-    series. Null source values form a source of their own, in one block.
+def hot_sources(df: DataFrame, source: list[str], order: str, rows_per_block: int, halo: float = 0.0, align: float | None = None) -> DataFrame | None:
+    """Sources of more than 2 * rows_per_block rows with their first cut, the width and the number of their blocks; None if there are none.
+
+    A count per source, made per partition first, of the source and order
+    columns only. It is counted here and broadcast if small.
     """
-    df = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
     o = F.col(order).cast("double")
     parts = F.ceil(F.col("_n") / rows_per_block)
     low, width = F.col("_min"), F.greatest((F.col("_max") - F.col("_min")) / parts, F.lit(2.0 * halo), F.lit(1e-9))
@@ -44,7 +39,31 @@ def blocked(df: DataFrame, source: list[str], order: str, rows_per_block: int, h
         .where(" and ".join(f"`{c}` is not null" for c in source))
         .select(*source, low.cast("double").alias("_lo"), width.cast("double").alias("_width"), parts.cast("int").alias("_blocks"))
     )
-    joined = df.join(small(hot, MOST_BROADCAST), source, "left")
+    n = hot.limit(MOST_BROADCAST + 1).count()
+    return None if n == 0 else F.broadcast(hot) if n <= MOST_BROADCAST else hot
+
+
+def blocked(df: DataFrame, source: list[str], order: str, rows_per_block: int, halo: float = 0.0, align: float | None = None, keep: bool = False) -> DataFrame:
+    """Adds ``_block`` (int) and ``_core`` (boolean) to df.
+
+    A source of at most 2 * rows_per_block rows is one block, 0. A larger one
+    is cut along ``order`` into stretches of equal length, as many as make
+    rows_per_block rows each on average, and never shorter than twice halo.
+    A row within halo of a cut comes a second time, in the block beyond the
+    cut and with _core false, so that what is near a cut can be computed
+    inside one block; results must be kept for core rows only. With align,
+    cuts fall on multiples of it. With keep, the columns that block_of needs stay.
+
+    Rows whose order is null or NaN are dropped: they have no place in a
+    series. Null source values form a source of their own, in one block.
+    """
+    df = placeable(df, order)
+    o = F.col(order).cast("double")
+    hot = hot_sources(df, source, order, rows_per_block, halo, align)
+    if hot is None:
+        none = {"_lo": F.lit(None).cast("double"), "_width": F.lit(None).cast("double"), "_blocks": F.lit(None).cast("int")} if keep else {}
+        return df.withColumns(none | {"_block": F.lit(0), "_core": F.lit(True)})
+    joined = df.join(hot, source, "left")
     extra = [] if keep else ["_lo", "_width", "_blocks"]
     if not halo:
         return joined.withColumns({"_block": block_of(o), "_core": F.lit(True)}).drop(*extra)
@@ -64,15 +83,17 @@ def neighbours(df: DataFrame, source: list[str], order: str, ties: list[str], va
     source is cut into blocks; what a block needs from others, the last value
     before it and the first after it, comes from one row per block.
     """
-    rows = blocked(df.withColumn("_v", value), source, order, rows_per_block)
-    part, by = [*source, "_block"], [order, *ties]
+    df = placeable(df.withColumn("_v", value), order)
+    hot = hot_sources(df, source, order, rows_per_block)
+    part, by = [*source, *(["_block"] if hot is not None else [])], [order, *ties]
+    rows = df if hot is None else df.join(hot, source, "left").withColumn("_block", block_of(F.col(order).cast("double")))
     up = Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in by]).rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("_up", F.last("_v", ignorenulls=True).over(up)).withColumn("_down", F.last("_v", ignorenulls=True).over(down))
-    # Sources of one block, nearly all, have nothing to carry.
-    cut = rows.groupBy(*source).agg(F.max("_block").alias("_last_block")).where("_last_block > 0").drop("_last_block")
+    inside = rows.withColumn("_prev", F.last("_v", ignorenulls=True).over(up)).withColumn("_next", F.last("_v", ignorenulls=True).over(down)).drop("_v")
+    if hot is None:
+        return inside
     place = F.struct(*by)
-    ends = rows.join(small(cut, MOST_BROADCAST), source, "left_semi").groupBy(*part).agg(
+    ends = rows.where("_lo is not null").groupBy(*part).agg(
         F.max_by("_v", F.when(F.col("_v").isNotNull(), place)).alias("_end"), F.min_by("_v", F.when(F.col("_v").isNotNull(), place)).alias("_begin")
     )
     w = Window.partitionBy(*source)
@@ -81,4 +102,4 @@ def neighbours(df: DataFrame, source: list[str], order: str, ties: list[str], va
         "_ahead": F.last("_begin", ignorenulls=True).over(w.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)),
     }).drop("_end", "_begin")
     joined = inside.join(small(carried, MOST_BROADCAST), part, "left")
-    return joined.withColumns({"_prev": F.coalesce("_up", "_carry"), "_next": F.coalesce("_down", "_ahead")}).drop("_v", "_up", "_down", "_carry", "_ahead", "_block", "_core")
+    return joined.withColumns({"_prev": F.coalesce("_prev", "_carry"), "_next": F.coalesce("_next", "_ahead")}).drop("_carry", "_ahead", "_block", "_lo", "_width", "_blocks")

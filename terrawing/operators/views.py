@@ -5,24 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrawing.functions import camera
-
 #: Pixels per side of a coverage bin.
 BIN = 64
 
 
-def _seen(points: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Every point with every camera of the (few) cameras, projected; a camera has pose (16), fx, fy, cx, cy, width, height."""
-    both = points.join(F.broadcast(cameras), F.lit(True))
+#: A run has dozens of cameras; they travel with the plan, as one array.
+MOST_CAMERAS = 2000
+
+
+def with_matrix(cameras: DataFrame) -> DataFrame:
+    """Adds m, the 3 x 4 projection (row-major) of a camera with pose (16), fx, fy, cx, cy: m times a point is (u * depth, v * depth, depth).
+
+    It is made once per camera. Per point and camera three dot products are
+    left, which keeps the compiled code of a projection small.
+    """
     p = F.col("pose")
-    rotation = [[p[4 * i + j] for j in range(3)] for i in range(3)]
-    u, v, depth = camera.project([F.col(c) for c in "xyz"], rotation, [p[3], p[7], p[11]], F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"))
-    return both.withColumns({"u": u, "v": v, "depth": depth})
+    turned = [[p[4 * k + j] for k in range(3)] for j in range(3)]
+    axes = [[*row, -(row[0] * p[3] + row[1] * p[7] + row[2] * p[11])] for row in turned]
+    rows = [[F.col(f) * axes[j][k] + F.col(c) * axes[2][k] for k in range(4)] for j, (f, c) in enumerate((("fx", "cx"), ("fy", "cy")))] + [axes[2]]
+    return cameras.withColumn("m", F.array(*[x for row in rows for x in row]))
+
+
+def dots(m: Column, place: list[Column]) -> tuple[Column, Column, Column]:
+    """u * depth, v * depth and depth of a point under a projection."""
+    return tuple(m[4 * i] * place[0] + m[4 * i + 1] * place[1] + m[4 * i + 2] * place[2] + m[4 * i + 3] for i in range(3))
+
+
+def _seen(points: DataFrame, cameras: DataFrame, margin: float = 0.0) -> DataFrame:
+    """Points in the view of each camera, less ``margin`` pixels at the last row and column, with u, v, depth and camera_id."""
+    rows = with_matrix(cameras).select("camera_id", "m", "pose", "width", "height").orderBy("camera_id").limit(MOST_CAMERAS + 1).collect()
+    if len(rows) > MOST_CAMERAS:
+        raise ValueError(f"more than {MOST_CAMERAS} cameras")
+    number = lambda x: F.lit(float(x))
+    fields = lambda r: [F.lit(int(r["camera_id"])).alias("camera_id"), *[number(x).alias(f"m{i}") for i, x in enumerate(r["m"])], *[number(r["pose"][i]).alias(f"c{i}") for i in (3, 7, 11)], number(r["width"]).alias("w"), number(r["height"]).alias("h")]
+    if not rows:
+        return points.limit(0).select(*points.columns, *[F.lit(None).cast(k).alias(n) for n, k in (("camera_id", "int"), ("u", "double"), ("v", "double"), ("depth", "double"), ("_cx", "double"), ("_cy", "double"), ("_cz", "double"), ("_w", "double"), ("_h", "double"))])
+    both = points.withColumn("_camera", F.explode(F.array(*[F.struct(*fields(r)) for r in rows])))
+    k = lambda n: F.col(f"_camera.{n}")
+    dot = [k(f"m{4 * i}") * F.col("x") + k(f"m{4 * i + 1}") * F.col("y") + k(f"m{4 * i + 2}") * F.col("z") + k(f"m{4 * i + 3}") for i in range(3)]
+    both = both.select(*points.columns, k("camera_id").alias("camera_id"), *[x.alias(n) for x, n in zip(dot, ("_u", "_v", "depth"))], *[k(f"c{i}").alias(n) for i, n in ((3, "_cx"), (7, "_cy"), (11, "_cz"))], k("w").alias("_w"), k("h").alias("_h"))
+    d = F.col("depth")
+    inside = (d > 0) & (F.col("_u") >= 0) & (F.col("_v") >= 0) & (F.col("_u") < (F.col("_w") - margin) * d) & (F.col("_v") < (F.col("_h") - margin) * d)
+    return both.where(inside).withColumns({"u": F.col("_u") / d, "v": F.col("_v") / d}).drop("_u", "_v")
 
 
 def visible(points: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Points in the view of each camera, with u, v and depth. The cameras must be few enough to be broadcast: a run has dozens."""
-    return _seen(points, cameras).where(camera.in_frustum(F.col("u"), F.col("v"), F.col("depth"), F.col("width"), F.col("height")))
+    """Points in the view of each camera, with camera_id, u, v and depth, and the camera's width and height."""
+    return _seen(points, cameras).withColumnsRenamed({"_w": "width", "_h": "height"}).drop("_cx", "_cy", "_cz")
 
 
 def coverage(points: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -38,19 +67,17 @@ def best_view(points: DataFrame, cameras: DataFrame, point_id: str, old: dict[st
     A camera whose view the point just touches at the last row or column
     doesn't count. Points that no camera sees have a null camera_id.
     """
-    seen = _seen(points, cameras).where(camera.in_frustum(F.col("u"), F.col("v"), F.col("depth"), F.col("width") - 1, F.col("height") - 1))
-    p = F.col("pose")
-    ray = F.sqrt((F.col("x") - p[3]) ** 2 + (F.col("y") - p[7]) ** 2 + (F.col("z") - p[11]) ** 2)
+    seen = _seen(points, cameras, margin=1.0)
+    ray = F.sqrt((F.col("x") - F.col("_cx")) ** 2 + (F.col("y") - F.col("_cy")) ** 2 + (F.col("z") - F.col("_cz")) ** 2)
     best = seen.groupBy(point_id).agg(F.max_by(F.struct("camera_id", "u", "v"), F.struct((F.col("depth") / ray).alias("s"), (-F.col("camera_id")).alias("c"))).alias("_b"))
     return points.join(best, point_id, "left").withColumns({"camera_id": F.col("_b.camera_id"), "u": F.col("_b.u"), "v": F.col("_b.v")}).drop("_b")
 
 
 def self_warp(geometry: DataFrame, cameras: DataFrame) -> DataFrame:
     """camera_id, median_px and p90_px: how far a view's own world points land from the pixels that they come from."""
-    both = geometry.join(cameras, "camera_id")
-    p = F.col("pose")
-    u, v, depth = camera.project([F.col(c) for c in "xyz"], [[p[4 * i + j] for j in range(3)] for i in range(3)], [p[3], p[7], p[11]], F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"))
-    off = F.sqrt((u - F.col("col")) ** 2 + (v - F.col("row")) ** 2)
+    both = geometry.join(with_matrix(cameras).select("camera_id", "m"), "camera_id")
+    ud, vd, depth = dots(F.col("m"), [F.col(c) for c in "xyz"])
+    off = F.sqrt((ud / depth - F.col("col")) ** 2 + (vd / depth - F.col("row")) ** 2)
     return both.where(depth > 0).groupBy("camera_id").agg(F.percentile(off, F.lit(0.5)).alias("median_px"), F.percentile(off, F.lit(0.9)).alias("p90_px"))
 
 
@@ -63,22 +90,18 @@ def cross_view(geometry: DataFrame, cameras: DataFrame, pairs: DataFrame, occlus
     unless that point, projected back into a, lands more than occlusion_px
     away. Buckets: same or cross chunk, over all pixels and those unmasked.
     """
-    cam = lambda s: cameras.select(*[F.col(c).alias(f"{s}_{c}") for c in ("camera_id", "pose", "fx", "fy", "cx", "cy", "width", "height")])
-
-    def seen(side: str, place: list[Column]) -> tuple[Column, Column, Column]:
-        p = F.col(f"{side}_pose")
-        return camera.project(place, [[p[4 * i + j] for j in range(3)] for i in range(3)], [p[3], p[7], p[11]], *[F.col(f"{side}_{k}") for k in ("fx", "fy", "cx", "cy")])
+    cam = lambda s: with_matrix(cameras).select(*[F.col(c).alias(f"{s}_{c}") for c in ("camera_id", "m")])
 
     a = geometry.select(F.col("camera_id").alias("a"), F.col("row").alias("a_row"), F.col("col").alias("a_col"), *[F.col(c).alias(f"a_{c}") for c in "xyz"], F.col("masked").alias("a_masked"))
     b = geometry.select(F.col("camera_id").alias("g_b"), F.col("row").alias("b_row"), F.col("col").alias("b_col"), *[F.col(c).alias(f"b_{c}") for c in "xyz"], F.col("masked").alias("b_masked"))
     rows = a.join(F.broadcast(pairs), "a").join(F.broadcast(cam("ca")), F.col("a") == F.col("ca_camera_id")).join(F.broadcast(cam("cb")), F.col("b") == F.col("cb_camera_id"))
-    u, v, depth = seen("cb", [F.col(f"a_{c}") for c in "xyz"])
-    rows = rows.withColumns({"_u": F.bround(u, 0).cast("int"), "_v": F.bround(v, 0).cast("int"), "_d": depth}).where("_d > 0")
+    ud, vd, depth = dots(F.col("cb_m"), [F.col(f"a_{c}") for c in "xyz"])
+    rows = rows.withColumns({"_u": ud, "_v": vd, "_d": depth}).where("_d > 0").withColumns({"_u": F.bround(F.col("_u") / F.col("_d"), 0).cast("int"), "_v": F.bround(F.col("_v") / F.col("_d"), 0).cast("int")})
     met = rows.join(b, (rows["b"] == b["g_b"]) & (rows["_v"] == b["b_row"]) & (rows["_u"] == b["b_col"]))
-    back_u, back_v, back_d = seen("ca", [F.col(f"b_{c}") for c in "xyz"])
-    own = seen("cb", [F.col(f"b_{c}") for c in "xyz"])[2]
+    back_u, back_v, back_d = dots(F.col("ca_m"), [F.col(f"b_{c}") for c in "xyz"])
+    own = dots(F.col("cb_m"), [F.col(f"b_{c}") for c in "xyz"])[2]
     met = met.withColumns({"_bu": back_u, "_bv": back_v, "_bd": back_d, "_own": own}).where("_bd > 0 and _own > 0")
-    met = met.where(F.sqrt((F.col("_bu") - F.col("a_col")) ** 2 + (F.col("_bv") - F.col("a_row")) ** 2) <= occlusion_px)
+    met = met.where(F.sqrt((F.col("_bu") / F.col("_bd") - F.col("a_col")) ** 2 + (F.col("_bv") / F.col("_bd") - F.col("a_row")) ** 2) <= occlusion_px)
     error = F.abs(F.col("_d") - F.col("_own")) / F.col("_own")
     chunk = F.when(F.col("same_chunk"), "same").otherwise("cross")
     land = ~F.coalesce(F.col("a_masked"), F.lit(False)) & ~F.coalesce(F.col("b_masked"), F.lit(False))

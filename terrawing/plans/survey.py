@@ -475,9 +475,9 @@ def pose_graph(spark: SparkSession, d: str) -> DataFrame:
 _PROJ = "proj as (select *, 500e0 * (x - px) / (pz - z) + 320 as u, -500e0 * (y - py) / (pz - z) + 240 as v, pz - z as depth from points, cameras where pz - z > 0)"
 
 
-@query(f"with {_POINTS}, {_CAMERA_SQL}, {_PROJ} select camera_id, point_id, round(u, 4) as u, round(v, 4) as v, round(depth, 4) as depth from proj where u >= 0 and u < 640 and v >= 0 and v < 480")
+@query(f"with {_POINTS}, {_CAMERA_SQL}, {_PROJ} select camera_id, point_id, round(u + 3e-10, 5) as u, round(v + 3e-10, 5) as v, round(depth + 3e-10, 5) as depth from proj where u >= 0 and u < 640 and v >= 0 and v < 480")
 def project_visible(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(views.visible(points(spark, d), cameras(spark)), 4, "u", "v", "depth").select("camera_id", "point_id", "u", "v", "depth")
+    return off_tie(views.visible(points(spark, d), cameras(spark)), 5, "u", "v", "depth").select("camera_id", "point_id", "u", "v", "depth")
 
 
 @query(f"""with {_POINTS}, {_CAMERA_SQL}, {_PROJ}, h as (select distinct camera_id, floor(u / 64) bu, floor(v / 64) bv from proj where u >= 0 and u < 640 and v >= 0 and v < 480) select camera_id, round(100e0 * count(*) / 80, 4) as covered_pct from h group by camera_id""")
