@@ -123,4 +123,4 @@ def key_difference(ours: DataFrame, theirs: DataFrame, key: str = "key", prefix:
 def run_status(runs: DataFrame) -> DataFrame:
     """model and state of a run: timeout, else what its status file says, else that it crashed, with the end of its log."""
     said = F.get_json_object("status_json", "$.status")
-    return runs.withColumn("state", F.when("timed_out", "timeout").when(said.isNotNull(), said).otherwise("crash_no_status")).withColumn("tail", F.when(F.col("state") == "crash_no_status", F.substring(F.col("log"), -2000, 2000)))
+    return runs.withColumn("state", F.when(F.col("timed_out"), "timeout").when(said.isNotNull(), said).otherwise("crash_no_status")).withColumn("tail", F.when(F.col("state") == "crash_no_status", F.substring(F.col("log"), -2000, 2000)))
