@@ -270,10 +270,10 @@ def prior_nearest(spark: SparkSession, d: str) -> DataFrame:
     f as (select *, row_number() over (partition by track_id order by frame_index) - 1 as k, count(*) over (partition by track_id) as m from frames),
     x as (select f.track_id, f.frame_index, k / greatest(m - 1, 1) * (c.n - 1) as x, c.n as n from f join (select distinct track_id, n from s) c using (track_id)),
     y as (select *, cast(floor(x) as bigint) as lo, least(cast(floor(x) as bigint) + 1, n - 1) as hi from x)
-    select y.track_id, y.frame_index, round(a.lat + (b.lat - a.lat) * (x - lo), 6) as lat, round(a.lon + (b.lon - a.lon) * (x - lo), 6) as lon
+    select y.track_id, y.frame_index, round(a.lat + (b.lat - a.lat) * (x - lo) + 3e-10, 6) as lat, round(a.lon + (b.lon - a.lon) * (x - lo) + 3e-10, 6) as lon
     from y join s a on a.track_id = y.track_id and a.i = lo join s b on b.track_id = y.track_id and b.i = hi""")
 def sync_proportional(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sync.proportional(samples(spark, d), frames(spark, d), values=["lat", "lon"]), 6, "lat", "lon")
+    return off_tie(sync.proportional(samples(spark, d), frames(spark, d), values=["lat", "lon"]), 6, "lat", "lon")
 
 
 @query(f"""with {_SAMPLES} select track_id, source_index, last_value(yaw ignore nulls) over (partition by track_id order by t, source_index rows unbounded preceding) as yaw_known,
