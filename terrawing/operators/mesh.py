@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +67,30 @@ def chosen(meshes: DataFrame, run: str = "run_id", least_faces: int = 10_000, le
     return meshes.where(fine).withColumn("_r", rank).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_r", "_k")
 
 
+def normals(points: DataFrame, near: DataFrame, point_id: str) -> DataFrame:
+    """Points with nx, ny, nz: the direction in which a point's neighbours spread least.
+
+    near has query and point (see fusion.nearest_points). The sums of each
+    neighbourhood are made by the engine; workers only solve 3 x 3 matrices, a
+    batch at a time. Fewer than three neighbours give no normal.
+    """
+    p = points.select(F.col(point_id).alias("point"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    c = near.select("query", "point").join(p, "point").groupBy("query").agg(F.count(F.lit(1)).alias("_n"), *[F.covar_pop(f"p{a}", f"p{b}").alias(f"c{a}{b}") for a, b in pairs]).where("_n >= 3")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = np.zeros((batch.num_rows, 3, 3))
+            for a, b in pairs:
+                i, j = "xyz".index(a), "xyz".index(b)
+                m[:, i, j] = m[:, j, i] = batch.column(f"c{a}{b}").to_numpy(zero_copy_only=False)
+            n = np.linalg.eigh(m)[1][:, :, 0]
+            yield pa.RecordBatch.from_arrays([batch.column("query"), *[pa.array(n[:, k]) for k in range(3)]], ["query", "nx", "ny", "nz"])
+
+    solved = c.select(F.col("query").cast("long").alias("query"), *[f"c{a}{b}" for a, b in pairs]).mapInArrow(run, "query long, nx double, ny double, nz double")
+    return points.join(solved, points[point_id] == solved["query"]).drop("query")
+
+
 def towards_camera(normals: DataFrame, cameras: DataFrame, point_id: str) -> DataFrame:
     """Normals (nx, ny, nz) turned to the side of the nearest of a run's (few) cameras."""
     d = sum(((F.col(c) - F.col(f"c{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("cx")) ** 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrawing.functions import camera, geo, scoring
 from terrawing.operators import align, chunks, fusion, keyframes, mesh, raster, report, scorecard, sync, views
-from terrawing.runtime import table
+from terrawing.runtime import checkpoint_folder, table
 from terrawing.sources import files, sinks, telemetry
 from terrawing.streaming import bus
 
@@ -746,6 +747,15 @@ def normals_to_camera(spark: SparkSession, d: str) -> DataFrame:
     return mesh.towards_camera(n, c, "vec_id").select("vec_id", "nz")
 
 
+@query()
+def normals_pca(spark: SparkSession, d: str) -> DataFrame:
+    """Normals of the cloud from sixteen neighbours each, turned to the nearest camera."""
+    c = cloud(spark, d)
+    n = mesh.normals(c, fusion.nearest_points(c, c, 16, "vec_id", "vec_id", 0.5), "vec_id")
+    cam = cameras(spark).select("camera_id", F.col("pose")[3].alias("x"), F.col("pose")[7].alias("y"), F.col("pose")[11].alias("z"))
+    return mesh.towards_camera(n, cam, "vec_id").select("vec_id", "nx", "ny", "nz")
+
+
 # ------------------------------------------------------------------ sources, sinks
 
 _TEXTS = "(select distinct track_id, source_index, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 2) as alt from telemetry where source_index < 200 and abs(lat) <= 90 and abs(lon) <= 180)"
@@ -917,13 +927,7 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    import uuid
-
-    from terrawing.runtime import cut
-
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        cut(spark, spark.range(1))
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"with {_LOG} select stage, count(*) as n_events, min(ts) as first_ts, max(ts) as last_ts, count(*) filter (kind = 'fallback') as n_fallbacks from bus group by stage")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,32 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Puts the package's sources on the workers' path once per application.
 
-    Executors of a cluster needn't have the package installed. In local mode
-    the workers share the driver's path and nothing is sent.
+    Executors of a cluster needn't have the package installed: it lies as one
+    archive in the shared checkpoint folder. In local mode the workers share
+    the driver's path and nothing is sent.
     """
     sc = spark.sparkContext
     if sc.applicationId in _shipped or sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         return
     _shipped.add(sc.applicationId)
-    # The driver's own copy for addPyFile; executors fetch it from the driver.
-    path = Path(tempfile.mkdtemp(prefix="terrawing-")) / "terrawing.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for root, _, files in os.walk(PACKAGE):
-            for f in files:
-                if f.endswith(".py"):
-                    z.write(Path(root) / f, Path("terrawing") / Path(root).relative_to(PACKAGE) / f)
-    sc.addPyFile(str(path))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, Path("terrawing") / f.relative_to(PACKAGE))
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/terrawing-{sc.applicationId}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; only where it names none, as in tests on one machine, one of the driver."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrawing-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and goes on from there.
-
-    The cluster names the folder in spark.checkpoint.dir; only where it names
-    none, as in tests on one machine, a folder of the driver is used.
-    """
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrawing-ck-"))
+    """Writes df to the shared checkpoint folder and goes on from there."""
+    checkpoint_folder(spark)
     return df.checkpoint(eager=True)
 
 

@@ -111,6 +111,15 @@ def test_components_and_faces(spark):
     assert set(labels.values()) == {0, 100} and mesh.large_components(edges).count() == 61
 
 
+def test_normals_of_a_slope(spark):
+    rng = np.random.default_rng(7)
+    xy = rng.uniform(0, 5, (80, 2))
+    rows = [(i, float(x), float(y), float(0.5 * x)) for i, (x, y) in enumerate(xy)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    got = mesh.normals(df, fusion.nearest_points(df, df, 8, "id", "id", 1.0), "id").collect()
+    assert len(got) == 80 and all(abs(abs(r["nz"]) - 1 / math.sqrt(1.25)) < 1e-6 and abs(r["ny"]) < 1e-6 for r in got)
+
+
 def test_visible_without_cameras(spark):
     points = spark.createDataFrame([(0.0, 0.0, 0.0)], "x double, y double, z double")
     none = spark.createDataFrame([], "camera_id int, pose array<double>, fx double, fy double, cx double, cy double, width int, height int")
