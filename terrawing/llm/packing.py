@@ -2,8 +2,8 @@
 
 Sum-of-squares packing: an item goes where the sum, over all gaps, of the
 squared number of open containers with that gap becomes smallest. Items are
-spread over buckets by a hash of their id; each bucket is packed alone, in
-one pass that holds the bucket's open containers only.
+spread over buckets by a hash of their id; each bucket is packed alone, its
+largest pieces first.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def pack(items: DataFrame, item_id: str, size: str, containers: dict[str, int],
         raise ValueError("a capacity must be at least 1")
     slim = items.select(F.col(item_id).cast("long").alias("id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
     placed = slim.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, buckets)))).repartition(max(1, buckets), "bucket")
-    # Within a bucket items come in the order of another hash: neither by size nor by source.
+    # Pieces of one size come in the order of another hash: not by source.
     placed = placed.withColumn("turn", F.xxhash64("id", F.lit(7))).sortWithinPartitions("bucket", "turn", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,10 +99,11 @@ def pack(items: DataFrame, item_id: str, size: str, containers: dict[str, int],
             ids, sizes = seg.column("id").to_pylist(), seg.column("size").to_pylist()
             for kind, capacity in kinds.items():
                 packer, out = Packer(capacity), ([], [], [], [], [])
-                for i, n in zip(ids, sizes):
-                    for k, part in enumerate(pieces(n, capacity)):
-                        for column, v in zip(out, (base + packer.place(part), i, k, k * capacity, part)):
-                            column.append(v)
+                # Large pieces first: what is small at the end fills the gaps that are left.
+                parts = sorted(((part, i, k) for i, n in zip(ids, sizes) for k, part in enumerate(pieces(n, capacity))), key=lambda p: -p[0])
+                for part, i, k in parts:
+                    for column, v in zip(out, (base + packer.place(part), i, k, k * capacity, part)):
+                        column.append(v)
                 yield pa.RecordBatch.from_pydict(
                     {"container_kind": pa.array([kind] * len(out[0]), pa.string())}
                     | {c: pa.array(v, t) for c, v, t in zip(("container_id", "item_id", "piece", "start", "size"), out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))}
