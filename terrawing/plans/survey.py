@@ -761,14 +761,35 @@ def normals_pca(spark: SparkSession, d: str) -> DataFrame:
 _TEXTS = "(select distinct track_id, source_index, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 2) as alt from telemetry where source_index < 200 and abs(lat) <= 90 and abs(lon) <= 180)"
 
 
+#: source_index values per text file of a track; a long track is written as several files.
+_PER_FILE = 5000
+
+
 def _track_rows(spark: SparkSession, d: str) -> DataFrame:
-    return samples(spark, d).where("source_index < 200 and abs(lat) <= 90 and abs(lon) <= 180").select("track_id", "source_index", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("alt", 2).alias("alt"))
+    """Samples with a place, each with its file, its number i in the file and the number i0 of the file's first sample in the track.
+
+    Samples are numbered within blocks of source_index; only the counts of the
+    blocks are summed up over a track.
+    """
+    r = samples(spark, d).where("abs(lat) <= 90 and abs(lon) <= 180").select("track_id", "source_index", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("alt", 2).alias("alt"))
+    r = r.distinct().withColumn("part", F.floor(F.col("source_index") / _PER_FILE))
+    before = Window.partitionBy("track_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = r.groupBy("track_id", "part").agg(F.count(F.lit(1)).alias("n")).select("track_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("i0"))
+    i = F.row_number().over(Window.partitionBy("track_id", "part").orderBy("source_index", "lat", "lon", "alt")) - 1
+    return r.withColumn("i", i).join(first, ["track_id", "part"])
 
 
 def _written(rows: DataFrame, line: Column, join: str, head: str = "", tail: str = "") -> DataFrame:
-    """Telemetry as text files, one per track, its samples in order."""
-    parts = rows.select("track_id", F.struct("source_index", line.alias("s")).alias("p")).groupBy("track_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    return parts.select("track_id", F.concat(F.lit(head), F.array_join(F.transform("p", lambda p: p["s"]), join), F.lit(tail)).alias("text"))
+    """Telemetry as text files, one or more per track, their samples in order; file tells track and first number."""
+    parts = rows.select("track_id", "i0", F.struct("i", line.alias("s")).alias("p")).groupBy("track_id", "i0").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    file = F.shiftleft(F.col("track_id").cast("bigint"), 32).bitwiseOR(F.col("i0"))
+    return parts.select(file.alias("file"), F.concat(F.lit(head), F.array_join(F.transform("p", lambda p: p["s"]), join), F.lit(tail)).alias("text"))
+
+
+def _joined(parsed: DataFrame, step: float = 0.0) -> DataFrame:
+    """What was read from the files of a track, numbered through, its times moved by ``step`` a sample."""
+    i0 = F.col("track_id").bitwiseAND((1 << 32) - 1)
+    return parsed.select(F.shiftright("track_id", 32).alias("track_id"), (F.col("source_index") + i0).cast("int").alias("source_index"), (F.col("t") + i0 * step).alias("t"), "lat", "lon", "alt")
 
 
 _PARSED = f"""with s as (select *, row_number() over (partition by track_id order by source_index) - 1 as i from {_TEXTS}) select track_id, cast(i as int) as source_index, {{t}} as t, lat, lon, {{alt}} as alt from s"""
@@ -777,37 +798,36 @@ _PARSED = f"""with s as (select *, row_number() over (partition by track_id orde
 @query(_PARSED.format(t="i * 5e-1", alt="coalesce(alt, 0)"))
 def parse_srt(spark: SparkSession, d: str) -> DataFrame:
     """Tracks written as bracketed subtitles and read again."""
-    i = F.row_number().over(Window.partitionBy("track_id").orderBy("source_index")) - 1
-    r = _track_rows(spark, d).withColumn("i", i)
+    r = _track_rows(spark, d)
     clock = F.format_string("%02d:%02d:%02d,%d --> 09:00:00,000", F.floor(F.col("i") / 7200), F.floor(F.col("i") / 120) % 60, F.floor(F.col("i") / 2) % 60, (F.col("i") % 2) * 5)
     line = F.concat(F.col("i").cast("string"), F.lit("\n"), clock, F.format_string("\n[latitude: %.7f] [longitude: %.7f] [rel_alt: 1.0 abs_alt: %.2f] [gb_yaw: 1.5]", "lat", "lon", F.coalesce("alt", F.lit(0.0))))
-    return telemetry.srt(_written(r, line, "\n\n")).select("track_id", "source_index", "t", "lat", "lon", "alt")
+    return _joined(telemetry.srt(_written(r, line, "\n\n"), "file"), 0.5)
 
 
 @query(_PARSED.format(t="cast(i as double)", alt="alt"))
 def parse_csv(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws(",", F.format_string("%.7f", "lat"), F.lit('"a, b"'), F.format_string("%.7f", "lon"), F.coalesce(F.format_string("%.2f", "alt"), F.lit("n/a")))
-    return telemetry.csv(_written(_track_rows(spark, d), F.coalesce(line, F.lit("")), "\n", " Latitude,note,LNG,altitude\n")).select("track_id", "source_index", "t", "lat", "lon", "alt")
+    return _joined(telemetry.csv(_written(_track_rows(spark, d), F.coalesce(line, F.lit("")), "\n", " Latitude,note,LNG,altitude\n"), "file"), 1.0)
 
 
 @query(_PARSED.format(t="1700000000 + i", alt="alt"))
 def parse_gpx(spark: SparkSession, d: str) -> DataFrame:
-    r = _track_rows(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("track_id").orderBy("source_index")) - 1)
-    when = F.date_format(F.timestamp_seconds(F.col("i") + 1700000000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    r = _track_rows(spark, d)
+    when = F.date_format(F.timestamp_seconds(F.col("i0") + F.col("i") + 1700000000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     line = F.concat(F.format_string('<trkpt lat="%.7f" lon="%.7f">', "lat", "lon"), F.coalesce(F.format_string("<ele>%.2f</ele>", "alt"), F.lit("")), F.lit("<time>"), when, F.lit("</time></trkpt>"))
-    return telemetry.gpx(_written(r, line, "", '<gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>', "</trkseg></trk></gpx>")).select("track_id", "source_index", "t", "lat", "lon", "alt")
+    return _joined(telemetry.gpx(_written(r, line, "", '<gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>', "</trkseg></trk></gpx>"), "file"))
 
 
 @query(_PARSED.format(t="cast(i as double)", alt="alt"))
 def parse_kml(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws(",", F.format_string("%.7f", "lon"), F.format_string("%.7f", "lat"), F.when(F.col("alt").isNotNull(), F.format_string("%.2f", "alt")))
-    return telemetry.kml(_written(_track_rows(spark, d), line, " ", "<kml><Placemark><LineString><coordinates>", "</coordinates></LineString></Placemark></kml>")).select("track_id", "source_index", "t", "lat", "lon", "alt")
+    return _joined(telemetry.kml(_written(_track_rows(spark, d), line, " ", "<kml><Placemark><LineString><coordinates>", "</coordinates></LineString></Placemark></kml>"), "file"), 1.0)
 
 
 @query(_PARSED.format(t="cast(i as double)", alt="alt"))
 def parse_json(spark: SparkSession, d: str) -> DataFrame:
     line = F.to_json(F.struct(F.col("lat").alias("Latitude"), F.col("lon").alias("lng"), F.col("alt").alias("ALT")))
-    return telemetry.json_records(_written(_track_rows(spark, d), line, ",", '{"note": 1, "points": [', "]}")).select("track_id", "source_index", "t", "lat", "lon", "alt")
+    return _joined(telemetry.json_records(_written(_track_rows(spark, d), line, ",", '{"note": 1, "points": [', "]}"), "file"), 1.0)
 
 
 @query(f"""with {_SAMPLES}, s as (select *, row_number() over (partition by track_id order by t, source_index) - 1 as i from samples where abs(lat) <= 90 and abs(lon) <= 180)
@@ -905,7 +925,8 @@ def viewer_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def trajectory_geojson(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d).where("source_index < 500")
+    """The line of each track through all its samples; a track is one feature, and so one row."""
+    s = samples(spark, d)
     return sinks.line_features(s.select(F.concat(F.lit("track_"), F.col("track_id").cast("string")).alias("name"), F.col("source_index").alias("seq"), "lon", "lat"))
 
 
