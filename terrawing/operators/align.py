@@ -220,6 +220,88 @@ def refine_graph(fits: np.ndarray, overlaps: list[tuple[int, int, np.ndarray, np
     return x
 
 
+#: The graph's equations, five unknowns a chunk, are solved as one dense matrix at the driver.
+MOST_CHUNKS = 500
+
+
+def _factor_sums(batches: Iterator[pa.RecordBatch], x: np.ndarray, delta: float) -> Iterator[pa.RecordBatch]:
+    """i, j, k, v: the Huber-weighted normal matrix (10 x 10), gradient (10) and cost of the factors of each pair of chunks, flat, k the position."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        i, j, w = get("i"), get("j"), np.sqrt(get("w"))
+        p, q = (np.column_stack([get(f"{s}{c}") for c in "xyz"]) for s in "pq")
+        for a, b in set(zip(i.tolist(), j.tolist())):
+            m = (i == a) & (j == b)
+            r, jac = _moved(x[a], p[m])
+            if b < 0:  # a place
+                r, jac = (r - q[m]) * w[m, None], np.concatenate([jac * w[m, None, None], np.zeros_like(jac)], axis=2)
+            else:
+                r2, jac2 = _moved(x[b], q[m])
+                r, jac = r - r2, np.concatenate([jac, -jac2], axis=2)
+            r, jac = r.ravel(), jac.reshape(-1, 10)
+            size = np.abs(r)
+            weighted = jac * np.minimum(1.0, delta / np.maximum(size, 1e-12))[:, None]
+            cost = np.where(size <= delta, 0.5 * r * r, delta * (size - 0.5 * delta)).sum()
+            sums[a, b] = sums.get((a, b), 0.0) + np.concatenate([(weighted.T @ jac).ravel(), weighted.T @ r, [cost]])
+    for (a, b), v in sums.items():
+        n = len(v)
+        yield pa.RecordBatch.from_pydict({"i": pa.array([a] * n, pa.int32()), "j": pa.array([b] * n, pa.int32()), "k": pa.array(range(n), pa.int32()), "v": pa.array(v)})
+
+
+def _moved(f: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points moved by a chunk's fit, and their derivatives (n x 3 x 5) by it."""
+    s, c, n = np.exp(f[0]), np.cos(f[1]), np.sin(f[1])
+    turned = s * np.column_stack([c * q[:, 0] - n * q[:, 1], n * q[:, 0] + c * q[:, 1], q[:, 2]])
+    jac = np.zeros((len(q), 3, 5))
+    jac[:, :, 0] = turned
+    jac[:, 0, 1], jac[:, 1, 1] = -turned[:, 1], turned[:, 0]
+    jac[:, [0, 1, 2], [2, 3, 4]] = 1.0
+    return turned + f[2:5], jac
+
+
+def refine_factors(fits: np.ndarray, factors: DataFrame, rounds: int = 30, delta: float = 1.0) -> np.ndarray:
+    """As refine_graph, over a table of factors: i, j, w and points (px, py, pz), (qx, qy, qz).
+
+    With j of -1 a factor is a camera p of chunk i and its place q, of weight
+    w; else p of chunk i and q of chunk j are the same camera. Workers reduce
+    the factors to sums for each pair of chunks that has some, anew in each
+    round; only these come to the driver.
+    """
+    if len(fits) > MOST_CHUNKS:
+        raise ValueError(f"more than {MOST_CHUNKS} chunks")
+    x = fits.astype(float).copy()
+
+    def equations(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        sums = factors.mapInArrow(lambda batches: _factor_sums(batches, at, delta), "i int, j int, k int, v double").groupBy("i", "j", "k").agg(F.sum("v").alias("v"))
+        by: dict[tuple[int, int], np.ndarray] = {}
+        for r in sums.collect():
+            by.setdefault((r["i"], r["j"]), np.zeros(111))[r["k"]] = r["v"]
+        h, g, cost = np.zeros((x.size, x.size)), np.zeros(x.size), 0.0
+        for (i, j), v in sorted(by.items()):
+            n = 5 if j < 0 else 10
+            at_ = np.r_[5 * i : 5 * i + 5, 5 * j : 5 * j + 5][:n]
+            h[np.ix_(at_, at_)] += v[:100].reshape(10, 10)[:n, :n]
+            g[at_] += v[100:110][:n]
+            cost += v[110]
+        return h, g, cost
+
+    damp, (h, g, cost) = 1e-3, equations(x)
+    for _ in range(rounds):
+        moved = x - np.linalg.solve(h + damp * np.eye(len(h)), g).reshape(x.shape)
+        new = equations(moved)
+        if new[2] < cost:
+            done = abs(cost - new[2]) < 1e-12 * max(1.0, cost)
+            x, (h, g, cost), damp = moved, new, damp / 3
+            if done:
+                break
+        else:
+            damp *= 4
+            if damp > 1e9:
+                break
+    return x
+
+
 def forward_direction(places: DataFrame, track: str = "track_id", order: str = "frame_index") -> DataFrame:
     """Adds fe and fn: the way to the next place, at the end from the last one, and east where neither is."""
     w = Window.partitionBy(track).orderBy(order)

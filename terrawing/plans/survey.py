@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrawing.functions import camera, geo, scoring
 from terrawing.operators import align, chunks, fusion, keyframes, mesh, raster, report, scorecard, sync, views
-from terrawing.runtime import checkpoint_folder, table
+from terrawing.runtime import checkpoint_folder, cut, table
 from terrawing.sources import files, sinks, telemetry
 from terrawing.streaming import bus
 
@@ -457,17 +457,22 @@ def gravity_plane(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pose_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of the embeddings' labels refined against each other: each shares its first ten pairs with the next."""
+    """Chunks of the embeddings' labels refined against each other: a pair is a place, and shared with the pair of the same rank in the next chunk."""
     import numpy as np
 
-    fits = {r["chunk_idx"]: r for r in align.fit_4dof(pairs(spark, d)).orderBy("chunk_idx").limit(200).collect()}
-    order = sorted(fits)
-    rows = pairs(spark, d).withColumn("_r", F.row_number().over(Window.partitionBy("chunk_idx").orderBy("vec_id"))).where("_r <= 10").orderBy("chunk_idx", "vec_id").limit(2000).collect()
-    by = {k: np.array([[r[c] for c in ("sx", "sy", "sz", "dx", "dy", "dz")] for r in rows if r["chunk_idx"] == k]) for k in order}
-    start = np.array([[np.log(fits[k]["scale"]), fits[k]["yaw"], fits[k]["tx"], fits[k]["ty"], fits[k]["tz"]] for k in order])
-    places = [(i, q[:3], q[3:], 1.0) for i, k in enumerate(order) for q in by[k]]
-    links = [(i, i + 1, by[a][:5, :3], by[b][:5, :3]) for i, (a, b) in enumerate(zip(order, order[1:])) if min(len(by[a]), len(by[b])) >= 5]
-    done = align.refine_graph(start, links, places) if order else start
+    p = cut(spark, pairs(spark, d))
+    got = align.fit_4dof(p).orderBy("chunk_idx").limit(align.MOST_CHUNKS + 1).collect()
+    if len(got) > align.MOST_CHUNKS:
+        raise ValueError(f"more than {align.MOST_CHUNKS} chunks")
+    order = [r["chunk_idx"] for r in got]
+    start = np.array([[np.log(r["scale"]), r["yaw"], r["tx"], r["ty"], r["tz"]] for r in got]).reshape(-1, 5)
+    number = F.broadcast(spark.createDataFrame(list(zip(order, range(len(order)))), "chunk_idx int, i int"))
+    ranked = p.join(number, "chunk_idx").withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("vec_id")))
+    to = lambda s, n: [F.col(f"{s}{c}").alias(f"{n}{c}") for c in "xyz"]
+    places = ranked.select("i", F.lit(-1).alias("j"), "w", *to("s", "p"), *to("d", "q"))
+    after = ranked.select((F.col("i") - 1).alias("i"), F.col("i").alias("j"), "_r", *to("s", "q"))
+    links = ranked.select("i", "_r", "w", *to("s", "p")).join(after, ["i", "_r"]).select(*places.columns)
+    done = align.refine_factors(start, cut(spark, places.unionByName(links))) if order else start
     return spark.createDataFrame([(int(k), *map(float, done[i])) for i, k in enumerate(order)], "chunk_idx int, log_scale double, yaw double, tx double, ty double, tz double")
 
 

@@ -2,9 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
 
 import parity
+from terrawing.operators import align
 from terrawing.plans import survey
 
 FOLDER = str(parity.DATA / "sf0.001")
@@ -28,3 +30,22 @@ def test_lines_hold_every_sample(spark, tmp_path):
     con.execute(f"copy (select * replace (9 as track_id, row_number() over () - 1 as source_index) from telemetry limit 900) to '{tmp_path}/telemetry.parquet' (format parquet)")
     (row,) = survey.QUERIES["trajectory_geojson"](spark, str(tmp_path)).collect()
     assert len(json.loads(row["geojson"])["geometry"]["coordinates"]) == 900
+
+
+def test_pose_graph_uses_every_pair(spark):
+    """The same as the dense solver fed with all pairs of all chunks."""
+    rows = sorted((r["chunk_idx"], r["vec_id"], *(r[c] for c in ("sx", "sy", "sz", "dx", "dy", "dz"))) for r in survey.pairs(spark, FOLDER).collect())
+    fits = sorted(tuple(r[c] for c in ("chunk_idx", "scale", "yaw", "tx", "ty", "tz")) for r in align.fit_4dof(survey.pairs(spark, FOLDER)).collect())
+    by = [np.array([r[2:] for r in rows if r[0] == f[0]]) for f in fits]
+    assert min(map(len, by)) > 10
+    places = [(i, q[:3], q[3:], 1.0) for i, m in enumerate(by) for q in m]
+    n = [min(len(a), len(b)) for a, b in zip(by, by[1:])]
+    links = [(i, i + 1, by[i][:k, :3], by[i + 1][:k, :3]) for i, k in enumerate(n)]
+    want = align.refine_graph(np.array([[np.log(f[1]), *f[2:]] for f in fits]), links, places)
+    got = np.array([tuple(r) for r in survey.QUERIES["pose_graph"](spark, FOLDER).orderBy("chunk_idx").collect()])
+    assert got[:, 0].tolist() == [f[0] for f in fits] and np.allclose(got[:, 1:], want, atol=1e-3)
+
+
+def test_too_many_chunks_are_an_error(spark):
+    with pytest.raises(ValueError):
+        align.refine_factors(np.zeros((align.MOST_CHUNKS + 1, 5)), None)
