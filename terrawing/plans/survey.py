@@ -497,25 +497,23 @@ def best_view_color(spark: SparkSession, d: str) -> DataFrame:
     return views.best_view(points(spark, d), cameras(spark), "point_id").select("point_id", "camera_id")
 
 
-def _geometry(spark: SparkSession) -> DataFrame:
-    """What the four cameras see of a gently sloped ground, a point per 16th pixel."""
-    cam = cameras(spark)
-    px = cam.join(spark.range(0, 30).select((F.col("id") * 16).cast("int").alias("row")), F.lit(True)).join(spark.range(0, 40).select((F.col("id") * 16).cast("int").alias("col")), F.lit(True))
-    a, b = (F.col("col") - 320.0) / 500, -(F.col("row") - 240.0) / 500
-    depth = (F.col("pose")[11] - 0.05 * F.col("pose")[3]) / (1 + 0.05 * a)
-    return px.select("camera_id", "row", "col", (F.col("pose")[3] + a * depth).alias("x"), (F.col("pose")[7] + b * depth).alias("y"), (F.col("pose")[11] - depth).alias("z"), (F.col("row") < 64).alias("masked"))
+def _geometry(spark: SparkSession, d: str) -> DataFrame:
+    """The point nearest to the camera at each pixel that a visible point rounds to."""
+    seen = views.visible(points(spark, d), cameras(spark)).withColumns({"row": F.bround("v", 0).cast("int"), "col": F.bround("u", 0).cast("int")})
+    seen = seen.where(F.col("row") < F.col("height")).where(F.col("col") < F.col("width"))
+    nearest = F.min_by(F.struct("x", "y", "z", "masked"), F.struct("depth", "point_id")).alias("p")
+    return seen.groupBy("camera_id", "row", "col").agg(nearest).select("camera_id", "row", "col", "p.x", "p.y", "p.z", "p.masked")
 
 
 @query()
 def self_warp(spark: SparkSession, d: str) -> DataFrame:
-    return views.self_warp(_geometry(spark), cameras(spark))
+    return views.self_warp(_geometry(spark, d), cameras(spark))
 
 
 @query()
 def cross_view_consistency(spark: SparkSession, d: str) -> DataFrame:
-    g = _geometry(spark)
     near = spark.createDataFrame([(0, 1, True), (1, 2, True), (2, 3, False)], "a int, b int, same_chunk boolean")
-    return views.cross_view(g, cameras(spark), near, 16.0)
+    return views.cross_view(cut(spark, _geometry(spark, d)), cameras(spark), near)
 
 
 # ---------------------------------------------------------------------- reports

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import parity
-from terrawing.operators import align
+from terrawing.operators import align, views
 from terrawing.plans import survey
 
 FOLDER = str(parity.DATA / "sf0.001")
@@ -49,3 +49,48 @@ def test_pose_graph_uses_every_pair(spark):
 def test_too_many_chunks_are_an_error(spark):
     with pytest.raises(ValueError):
         align.refine_factors(np.zeros((align.MOST_CHUNKS + 1, 5)), None)
+
+
+def _hits():
+    """Brute force: the nearest point of each pixel of each camera."""
+    p = parity.connection(FOLDER).execute("select l_quantity::double, l_extendedprice::double / 1000, l_discount::double * 100, l_returnflag = 'R', l_orderkey * 10 + l_linenumber from lineitem").fetchall()
+    best = {}
+    for c, cx, cy, cz in survey._CAMERAS:
+        for x, y, z, masked, k in p:
+            depth = cz - z
+            u, v = 500 * (x - cx) / depth + 320, -500 * (y - cy) / depth + 240
+            pixel = (c, round(v), round(u))
+            if depth > 0 and 0 <= u < 640 and 0 <= v < 480 and pixel[1] < 480 and pixel[2] < 640 and (pixel not in best or (depth, k) < best[pixel][0]):
+                best[pixel] = ((depth, k), (x, y, z), masked, (u, v))
+    return best
+
+
+def test_views_hold_every_pixel_hit(spark):
+    best = _hits()
+    got = {(r["camera_id"], r["row"], r["col"]): (r["x"], r["y"], r["z"]) for r in survey._geometry(spark, FOLDER).collect()}
+    assert len(got) > 1000 and set(got) == set(best)
+    assert all(np.allclose(got[k], best[k][1]) for k in got)
+    warp = {r["camera_id"]: r["median_px"] for r in survey.QUERIES["self_warp"](spark, FOLDER).collect()}
+    for c in warp:
+        assert warp[c] == pytest.approx(np.median([np.hypot(b[3][0] - k[2], b[3][1] - k[1]) for k, b in best.items() if k[0] == c]))
+
+
+def test_neighbouring_views_meet_as_by_brute_force(spark):
+    best, want, total = _hits(), {}, {}
+    project = lambda c, p: (500 * (p[0] - survey._CAMERAS[c][1]) / (60 - p[2]) + 320, -500 * (p[1] - 8) / (60 - p[2]) + 240)
+    for a, b, chunk in ((0, 1, "same"), (1, 2, "same"), (2, 3, "cross")):
+        for (c, row, col), (_, p, masked, _) in best.items():
+            if c != a:
+                continue
+            u, v = project(b, p)
+            other = best.get((b, round(v), round(u)))
+            if other and np.hypot(project(a, other[1])[0] - col, project(a, other[1])[1] - row) <= 2.0:
+                for bucket in [f"{chunk}_all"] + [f"{chunk}_land", "land"] * (not masked and not other[2]):
+                    want[a, bucket] = want.get((a, bucket), 0) + 1
+                    total[bucket] = total.get(bucket, 0) + 1
+    g = survey._geometry(spark, FOLDER)
+    for a, same in ((0, True), (1, True), (2, False)):
+        near = spark.createDataFrame([(a, a + 1, same)], "a int, b int, same_chunk boolean")
+        got = {(a, r["bucket"]): r["n"] for r in views.cross_view(g, survey.cameras(spark), near).collect()}
+        assert got == {k: n for k, n in want.items() if k[0] == a} and got
+    assert {r["bucket"]: r["n"] for r in survey.QUERIES["cross_view_consistency"](spark, FOLDER).collect()} == total
