@@ -702,7 +702,7 @@ def target_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_id, event_id % 7 || '/' || 7 || ' chunks, ' || printf('%.1f', (event_id % 7) / (value + 1) * 60) || '/min' as label from events where event_id % 7 = 0")
 def rate_labels(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 7 = 0")
+    e = table(spark, d, "events")
     return e.select("event_id", scoring.rate_label(F.col("event_id") % 7, F.lit(7).cast("bigint"), F.col("value") + 1).alias("label"))
 
 

@@ -94,3 +94,10 @@ def test_neighbouring_views_meet_as_by_brute_force(spark):
         got = {(a, r["bucket"]): r["n"] for r in views.cross_view(g, survey.cameras(spark), near).collect()}
         assert got == {k: n for k, n in want.items() if k[0] == a} and got
     assert {r["bucket"]: r["n"] for r in survey.QUERIES["cross_view_consistency"](spark, FOLDER).collect()} == total
+
+
+def test_every_event_has_a_label(spark, tmp_path):
+    parity.connection(FOLDER).execute(f"copy (select i::bigint as event_id, (i * 10 + 4.2)::double as value from range(14) t(i)) to '{tmp_path}/events.parquet' (format parquet)")
+    got = {r["event_id"]: r["label"] for r in survey.QUERIES["rate_labels"](spark, str(tmp_path)).collect()}
+    want = {i: f"{i % 7}/7 chunks, {i % 7 / (i * 10 + 5.2) * 60:.1f}/min" + (f", ETA {(7 - i % 7) * (i * 10 + 5.2) / (i % 7):.0f}s" if i % 7 else "") for i in range(14)}
+    assert got == want and got[0] == "0/7 chunks, 0.0/min" and got[3] == "3/7 chunks, 5.1/min, ETA 47s" and len({x[0] for x in got.values()}) == 7
