@@ -719,9 +719,9 @@ def long_edge_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def component_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Customers linked by the clerk-like key of their orders, in components of at least 20."""
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
-    return mesh.large_components(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") - F.col("o_custkey") % 10).alias("b")), least=5, share=0.0)
+    """Customers of all orders linked to a tree for each power of two (key k + n to k + n // 2, n < k), in components of at least 50 and 0.5 %."""
+    k = F.expr("shiftleft(1L, length(bin(o_custkey)) - 1)")
+    return mesh.large_components(table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (k + F.floor((F.col("o_custkey") - k) / 2)).alias("b")))
 
 
 @query(f"with {_CLOUD} select round((select (max(x) - min(x)) * (max(y) - min(y)) from cloud where label < 3) / ((max(x) - min(x)) * (max(y) - min(y))), 6) as footprint from cloud")
@@ -861,9 +861,9 @@ def path_kind(spark: SparkSession, d: str) -> DataFrame:
 def _media(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = table(spark, d, "tracks")
     k, i = F.col("kind"), F.col("track_id")
-    v = t.where("track_id % 3 = 0").select(F.concat(F.lit("/in/d"), (i % 40).cast("string"), F.lit("/v"), i.cast("string"), F.lit(".MP4")).alias("path"))
+    v = t.select(F.concat(F.lit("/in/d"), (i % 40).cast("string"), F.lit("/v"), i.cast("string"), F.lit(".MP4")).alias("path"))
     e = F.when(k == "mavlink", "tlog").when(k == "embedded", "SRT").otherwise(k)
-    f = t.where("track_id % 3 < 2").select(F.concat(F.lit("/in/d"), (i % 40).cast("string"), F.lit("/v"), i.cast("string"), F.lit("."), e).alias("path"))
+    f = t.select(F.concat(F.lit("/in/d"), (i % 40).cast("string"), F.lit("/v"), i.cast("string"), F.lit("."), e).alias("path"))
     return v, f
 
 

@@ -1,6 +1,7 @@
 """Queries read their whole input: against their SQL without its filter, brute force and hand-made tables."""
 
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,3 +102,28 @@ def test_every_event_has_a_label(spark, tmp_path):
     got = {r["event_id"]: r["label"] for r in survey.QUERIES["rate_labels"](spark, str(tmp_path)).collect()}
     want = {i: f"{i % 7}/7 chunks, {i % 7 / (i * 10 + 5.2) * 60:.1f}/min" + (f", ETA {(7 - i % 7) * (i * 10 + 5.2) / (i % 7):.0f}s" if i % 7 else "") for i in range(14)}
     assert got == want and got[0] == "0/7 chunks, 0.0/min" and got[3] == "3/7 chunks, 5.1/min, ETA 47s" and len({x[0] for x in got.values()}) == 7
+
+
+def test_components_of_all_orders_against_union_find(spark):
+    keys = [r[0] for r in parity.connection(FOLDER).execute("select distinct o_custkey from orders").fetchall()]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a in keys:
+        k = 1 << (max(a, 1).bit_length() - 1)
+        x, y = sorted((find(a), find(k + (a - k) // 2)))
+        root[y] = x
+    sizes = Counter(find(x) for x in root)
+    want = {(x, find(x)) for x in root if sizes[find(x)] >= max(50, 0.005 * len(root))}
+    got = [(r["node"], r["component"]) for r in survey.QUERIES["component_filter"](spark, FOLDER).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(root)
+
+
+def test_telemetry_of_all_tracks(spark):
+    sql = without(without(survey.SQL["match_telemetry"], " where track_id % 3 = 0"), " where track_id % 3 < 2")
+    ours, theirs = parity.differences(spark, survey.QUERIES["match_telemetry"], sql, FOLDER)
+    assert not ours and not theirs, (list(ours)[:3], list(theirs)[:3])
