@@ -34,13 +34,28 @@ _TRANSDUCER = re.compile(
     |(?P<spelled>\b(?:{_SPELLED})(?:[\s,-]+(?:{_SPELLED})){{6,14}}\b)""",
     re.IGNORECASE | re.VERBOSE,
 )
-#: Cheap tests whether a text can hold a disguise at all.
-_HINTS = ("%40", "&#64;", "&commat;", "\\u0040", " AT ", " DOT ", " dot ", "at]", "at)", "at}", "at>", "AT]", "AT)", "At]", "At)", "dot]", "dot)", "@]", "@)")
-_ODD = re.compile(rf"[{INVISIBLE}{''.join(LOOKALIKES)}\uff01-\uff5e]")
+#: Letters that patterns without case take for an ASCII letter, besides its capital.
+_ALSO = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
+
+
+def _folded(t: str) -> str:
+    """t in small letters, character by character, as patterns without case see it."""
+    return t.lower() if t.isascii() else t.translate(_ALSO).lower()
+
+
+#: Cheap tests whether a text can hold a disguise at all; whatever the transducer takes passes one of them. All but the first are for folded texts.
+_HINTS_AS_IS = (" AT ", " AT\t", "\tAT ", "\tAT\t")
+_HINTS = ("%40", "&#64;", "&commat;", "\\u0040", " dot ", " dot\t", "\tdot ", "\tdot\t")
+_BRACKETED = re.compile(rf"{_OPEN}(?:at|@|dot|punkt|point|\.|plus){_SHUT}")
+_ODD = re.compile(rf"[{INVISIBLE}{''.join(LOOKALIKES)}\uff01-\uff5e]", re.IGNORECASE)
+_SPELLED_ROW = re.compile(rf"(?:(?:{_SPELLED})[\s,-]+){{6}}(?:{_SPELLED})")
 
 
 def _disguised(text: str) -> bool:
-    return any(h in text for h in _HINTS) or (not text.isascii() and _ODD.search(text) is not None) or sum(w in text for w in DIGITS) >= 4
+    if any(h in text for h in _HINTS_AS_IS) or not text.isascii() and _ODD.search(text):
+        return True
+    low = _folded(text)
+    return any(h in low for h in _HINTS) or _BRACKETED.search(low) is not None or sum(low.count(w) for w in DIGITS) >= 7 and _SPELLED_ROW.search(low) is not None
 
 
 class Normal:
@@ -66,7 +81,7 @@ def normalise(text: str) -> Normal:
         if kind == "like":
             new = LOOKALIKES.get(m[0]) or unicodedata.normalize("NFKC", m[0])
         elif kind == "spelled":
-            new = "".join(DIGITS[w] for w in re.findall(r"[a-z]+", m[0].lower()))
+            new = "".join(DIGITS[w] for w in re.findall(r"[a-z]+", _folded(m[0])))
         else:
             new = {"at": "@", "dot": ".", "plus": "+", "none": ""}[kind]
         # The replacement stands for the first character that isn't a blank.
@@ -153,21 +168,15 @@ _LABELLED = re.compile(rf"(?<![A-Za-z0-9]){_LABEL}(?:[\s_-]*(?:card|id|ident|no|
 _CELL = re.compile(rf"(?:(?<=[|;\"',\n\ufeff])|(?<=[|;\"',][ ])|\A)((?-i:\d{{3}}[- ]\d{{2}}[- ]\d{{4}}|QQ[ ]?\d\d[ ]?\d\d[ ]?\d\d[ ]?[A-D]|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][ ]?\d\d[ ]?\d\d[ ]?\d\d[ ]?[A-D]|\d{{8}}-?[A-Z]|[A-Z]{{1,2}}\d{{6,7}}|\d{{4}}[- ]\d{{4}}[- ]\d{{4}}|\d{{12}}))(?=[|;\"',\r\n]|\Z)")
 
 
-#: Every label holds one of these.
-_LABEL_WORDS = ("ssn", "social", "insurance", "nino", "ni_n", "ni n", "ni-n", "dni", "nie", "nif", "cpf", "pesel", "bsn", "curp", "aadha", "passport", "personnummer", "steuer", "sin", "rut", "tax", "personal", "national", "citizen", "identity", "id_", "id ", "id-", "idcard", "licen")
-_LABEL_START = re.compile("|".join(sorted((re.escape(w) for w in _LABEL_WORDS if w[:3] not in ("id_", "id ", "id-", "sin", "rut")), key=len, reverse=True)))
+#: How the labels begin, in folded texts: a start for each branch of _LABEL. No start takes more than letters, so none hides another.
+_LABEL_START = re.compile(r"ssn|sin|social|steuer|nino|nie|nif|ni(?=[\s_-]*n)|national|dni|driv(?=er|ing)|cpf|curp|citizen|pesel|passport|person(?=al|nummer)|bsn|rut|aadha|insurance|tax|identity|id(?=[\s_-]*(?:id|ca|co|n))")
 
 
 def labelled_numbers(t: str) -> Iterator[tuple[int, int]]:
-    low = t.lower()
-    if len(low) != len(t):  # a few letters change their length
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
-    if not any(w in low for w in _LABEL_WORDS[:-4]):
-        return
     done = 0
-    for m in _LABEL_START.finditer(low):
+    for m in _LABEL_START.finditer(_folded(t)):
         a = m.start()
-        if a >= done and (hit := _LABELLED.match(t, a) or _LABELLED.match(t, max(0, a - 9))):
+        if a >= done and (hit := _LABELLED.match(t, a)):
             done = hit.end()
             yield hit.span(1)
 
