@@ -86,7 +86,7 @@ def regular_grid(
             F.coalesce(F.bool_or(F.col("_joined") & F.col("_own") & (x < px)), F.lit(False)).alias(f"{c}_reset"),
         ]
     # A cell belongs to the block in which it starts; halo copies let that block see all of its pieces.
-    ends = [F.first(c).alias(c) for c in ("_lo", "_width", "_blocks")]
+    ends = [F.first("_cuts").alias("_cuts")]
     cells = pieces.groupBy(*part, "slot").agg(*aggregates, *ends)
     cells = cells.where(F.col("_block") == block_of(F.col("slot") * F.lit(float(step))))
     mark = F.when(F.col("n_samples") > 0, "observed").otherwise("filled")

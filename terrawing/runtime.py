@@ -54,6 +54,17 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most so many rows, else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def kept(df: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """df computed once, and its number of rows: in the driver if it has at most so many (most + 1 are asked for), else in the shared checkpoint folder."""
+    spark = df.sparkSession
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows <= most:
+        return spark.createDataFrame(rows, df.schema), rows.num_rows
+    held = cut(spark, df)
+    return held, held.count()
+
+
+def small(df: DataFrame, most: int, n: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (n, counted if not given), else df for a shuffled join."""
+    n = df.limit(most + 1).count() if n is None else n
+    return F.broadcast(df) if n <= most else df

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrawing.operators import charts, clocks, drift, rejects
-from terrawing.operators.blocks import blocked, neighbours
+from terrawing.operators.blocks import blocked, neighbours, numbered
 from terrawing.operators.grid import regular_grid, silences
 from terrawing.operators.spikes import GPU, TELEMETRY, flag_readings
 
@@ -30,6 +30,20 @@ def test_blocks_cut_a_hot_source_and_copy_what_is_near_a_cut(spark):
     assert extra and all(r["k"] == 1 for r in extra)
 
 
+def test_neither_a_stray_time_nor_a_null_source_makes_a_block_large(spark):
+    rows = [(k, float(i)) for k in (1, None) for i in range(20_000)] + [(1, 1.7e12)] + [(2, 5.0)] * 5000
+    sizes = blocked(table(spark, rows, "k long, t double"), ["k"], "t", 1000).groupBy("k", "_block").count().collect()
+    assert all(r["count"] <= 2000 for r in sizes if r["k"] != 2)
+    assert 18 <= sum(r["k"] == 1 for r in sizes) <= 24 and 18 <= sum(r["k"] is None for r in sizes) <= 24 and sum(r["k"] == 2 for r in sizes) <= 2
+
+
+@pytest.mark.parametrize("rows_per_block", [7, 10_000])
+def test_numbers_over_cuts(spark, rows_per_block):
+    rows = [(k, t, i) for k, n in ((1, 100), (None, 40), (2, 3)) for i, t in enumerate([None, None, *map(float, range(n))])]
+    got = numbered(table(spark, rows, "k long, t double, i long"), ["k"], ["t", "i"], "place", rows_per_block).collect()
+    assert len(got) == len(rows) and all(r["place"] == r["i"] and r["_total"] == {1: 102, None: 42, 2: 5}[r["k"]] for r in got)
+
+
 @pytest.mark.parametrize("rows_per_block", [20, 10_000])
 def test_neighbours_over_cuts(spark, rows_per_block):
     rng = random.Random(3)
