@@ -44,7 +44,7 @@ def nearest(
         sides.append(
             df.select(F.col(entity).cast("long").alias("entity"), F.col(time).cast("double").alias("t"), F.lit(side).cast("byte").alias("side"), F.col(key).cast("long").alias("id")).where("entity is not null")
         )
-    placed = blocked(sides[0].unionByName(sides[1]), ["entity"], "t", rows_per_block, tolerance)
+    placed = blocked(sides[0].unionByName(sides[1]), ["entity"], "t", rows_per_block, tolerance + 1e-3)
     placed = placed.repartition("entity", "_block").sortWithinPartitions("entity", "_block", "t", "side", "id")
     merged = placed.mapInArrow(lambda batches: merge(batches, tolerance), "entity long, left_id long, right_id long, apart_s double")
     return merged.select(F.col("entity").alias(entity), F.col("left_id").alias(left_id), F.col("right_id").alias("nearest_id"), "apart_s")
