@@ -71,7 +71,11 @@ def joined_cuts(df: DataFrame, hot: DataFrame | None, source: list[str]) -> Data
     return df.join(hot, [df[c].eqNullSafe(F.col(n)) for c, n in zip(source, names)], "left").drop(*names)
 
 
-def blocked(df: DataFrame, source: list[str], order: str, rows_per_block: int, halo: float = 0.0, align: float | None = None, keep: bool = False) -> DataFrame:
+#: Said of cuts: find them.
+FIND = object()
+
+
+def blocked(df: DataFrame, source: list[str], order: str, rows_per_block: int, halo: float = 0.0, align: float | None = None, keep: bool = False, hot: object = FIND) -> DataFrame:
     """Adds ``_block`` (int) and ``_core`` (boolean) to df.
 
     A source of at most 2 * rows_per_block rows is one block, 0. A larger one
@@ -81,13 +85,14 @@ def blocked(df: DataFrame, source: list[str], order: str, rows_per_block: int, h
     row within halo of a block comes again in that block, with _core false, so
     that what is near a cut can be computed inside one block; results must be
     kept for core rows only. With keep, the column that block_of needs stays.
+    hot is what hot_sources said, if it has been asked already.
 
     Rows whose order is null or NaN are dropped: they have no place in a
     series. Null source values form a source of their own, cut as any other.
     """
     df = placeable(df, order)
     o = F.col(order).cast("double")
-    hot = hot_sources(df, source, order, rows_per_block, align)
+    hot = hot_sources(df, source, order, rows_per_block, align) if hot is FIND else hot
     if hot is None:
         return (joined_cuts(df, None, source) if keep else df).withColumns({"_block": F.lit(0), "_core": F.lit(True)})
     joined = joined_cuts(df, hot, source)

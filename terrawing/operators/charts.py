@@ -120,72 +120,144 @@ def _trend(t: list, v: list) -> float:
     return s[len(s) // 2] if s else 0.0
 
 
-def usual_motion(t: np.ndarray, v: np.ndarray, floor: float) -> tuple[float, float, float]:
-    """A source's usual noise, speed and time step, from medians and quantiles only."""
+#: Quantiles of a source's readings are told to one part in so many of an octave, so that they can be counted piece by piece.
+BINS = 128
+#: The bin of values that are 0.
+ZERO = -1_000_000
+
+
+def bin_of(x: np.ndarray) -> np.ndarray:
+    out = np.full(len(x), ZERO, np.int64)
+    there = x > 0
+    out[there] = np.floor(np.log2(x[there]) * BINS).astype(np.int64)
+    return out
+
+
+def middle(k: int | None) -> float:
+    return 0.0 if k is None or k == ZERO else 2.0 ** ((k + 0.5) / BINS)
+
+
+def at_share(bins: np.ndarray, share: float) -> int | None:
+    """The bin in which the value at a share of all values lies."""
+    if not len(bins):
+        return None
+    kinds, counts = np.unique(bins, return_counts=True)
+    return int(kinds[np.searchsorted(np.cumsum(counts), int(share * (len(bins) - 1)), side="right")])
+
+
+#: Which shares of a source's steps, speeds and bends are its usual ones.
+SHARES = {"step": 0.5, "speed": 0.9, "bend": 0.75}
+
+
+def step_bins(t: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """Steps in time that end at a core reading."""
     dt = np.diff(t)
-    dt = dt[dt > 0]
-    usual = float(np.median(dt)) if len(dt) else 1.0
-    if len(v) < 4:
-        return floor, floor / max(usual, 1e-9), usual
+    return bin_of(dt[core[1:] & (dt > 0)])
+
+
+def usual_step(k: int | None) -> float:
+    return 1.0 if k is None else 2.0 ** ((k + 1) / BINS)
+
+
+def move_bins(t: np.ndarray, v: np.ndarray, core: np.ndarray, usual: float) -> tuple[np.ndarray, np.ndarray]:
+    """Speeds of the steps, and bends of two steps, that end at a core reading and aren't silences."""
     step = np.diff(t)
     near = (step > 0) & (step <= 3 * usual)
-    d = np.abs(np.diff(v))
-    speed = float(np.quantile(d[near] / step[near], 0.9)) if near.any() else 0.0
-    both = near[1:] & near[:-1]
+    own = near & core[1:]
+    both = near[1:] & near[:-1] & core[2:]
     bend = np.abs(v[1:-1] - (v[:-2] + v[2:]) / 2)
-    noise = float(np.quantile(bend[both], 0.75)) if both.any() else 0.0
-    return max(floor, noise), max(speed, floor / max(usual, 1e-9)), usual
-
+    return bin_of(np.abs(np.diff(v))[own] / step[own]), bin_of(bend[both])
 
-def always_jumps(v: np.ndarray, step: float) -> bool:
-    """True if the level of a source moves by more than step again and again.
 
-    The level is the median of five readings, which a spike of two readings
-    doesn't move; at least three moves, and one in sixty readings, count as always.
-    """
-    if len(v) < 15:
-        return False
+def jump_count(v: np.ndarray, core: np.ndarray, step: float) -> int:
+    """How often the level moves by more than step, counted at core readings; the level is the median of five, which a spike of two doesn't move."""
+    if len(v) < 10:
+        return 0
     level = np.median(sliding_window_view(v, 5), axis=1)
     moved = np.abs(level[5:] - level[:-5]) > step
-    moves = int(np.count_nonzero(np.diff(moved.astype(np.int8)) == 1)) + int(moved[0])
-    return moves >= 3 and moves * 60 >= len(v)
+    return int(np.count_nonzero(moved & ~np.concatenate([[False], moved[:-1]]) & core[: len(moved)]))
+
+
+def run_lengths(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal neighbours."""
+    if not len(v):
+        return np.zeros(0, int), np.zeros(0, int)
+    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    return start, np.diff(np.append(start, len(v)))
+
+
+def repeat_counts(v: np.ndarray, core: np.ndarray, least_run: int) -> tuple[int, int]:
+    """Repeats and readings of the short runs that start at a core reading; a freeze doesn't excuse itself."""
+    start, length = run_lengths(v)
+    works = (length < least_run) & core[start]
+    return int((length[works] - 1).sum()), int(length[works].sum())
 
 
-def spikes(t: np.ndarray, v: np.ndarray, lim: Limits, p: ChartParams) -> np.ndarray:
+@dataclass(frozen=True)
+class Motion:
+    """What is usual for one field of one source, from counts over all its sound readings.
+
+    They are sums, so that a source that is read in pieces has the very same
+    usual motion as one that is read whole.
+    """
+
+    usual: float
+    counted: bool
+    noise: float
+    speed: float
+    jumps: bool
+    longest: float
+
+
+def motion(n: int, odd: int, step: int | None, speed: int | None, bend: int | None, moves: int, repeats: int, total: int, lim: Limits, p: ChartParams) -> Motion:
+    """From the number of readings, that of times that aren't whole, the usual bins, and the counts of jumps and repeats.
+
+    A level that moves at least three times, and once in sixty readings,
+    always jumps. With repeats at rate q the longest run among n readings is
+    near log(n) / -log(q); a frozen run has to exceed that clearly.
+    """
+    usual = usual_step(step)
+    noise = max(lim.floor, middle(bend)) if n >= 4 else lim.floor
+    fast = max(middle(speed) if n >= 4 else 0.0, lim.floor / max(usual, 1e-9))
+    q = (repeats + 0.5) / (total + 2)
+    longest = log(max(total, 2)) / -log(min(max(q, 0.02), 0.95))
+    always = lim.jumps and n >= 15 and moves >= 3 and moves * 60 >= n
+    return Motion(usual, odd == 0 and step == 0, noise, fast, always, max(p.least_run, 1.3 * longest + 2))
+
+
+def least_jump(bend: int | None, n: int, lim: Limits, p: ChartParams) -> float:
+    """The step from which on a move of the level is a jump."""
+    return (lim.limit or p.limit) * (max(lim.floor, middle(bend)) if n >= 4 else lim.floor)
+
+
+def whole_motion(t: np.ndarray, v: np.ndarray, lim: Limits, p: ChartParams) -> Motion:
+    """The usual motion of a source all of whose sound readings are here."""
+    core = np.ones(len(v), bool)
+    step = at_share(step_bins(t, core), SHARES["step"])
+    speed, bend = (at_share(b, SHARES[k]) for b, k in zip(move_bins(t, v, core, usual_step(step)), ("speed", "bend")))
+    moves = jump_count(v, core, least_jump(bend, len(v), lim, p)) if lim.jumps else 0
+    return motion(len(v), int(np.count_nonzero(t != np.floor(t))), step, speed, bend, moves, *repeat_counts(v, core, p.least_run), lim, p)
+
+
+def spikes(t: np.ndarray, v: np.ndarray, lim: Limits, p: ChartParams, usual: Motion | None = None) -> np.ndarray:
     """Marks readings that leave the course both as seen from before and as seen from after.
 
     A shift of level leaves only the course from before, and the first
     reading after a silence only that from before as well; neither is marked.
     """
-    if len(v) < 3:
+    m = usual or whole_motion(t, v, lim, p)
+    if len(v) < 3 or m.jumps:
         return np.zeros(len(v), bool)
     p = replace(p, limit=lim.limit or p.limit, relock=lim.relock or p.relock)
-    noise, speed, usual = usual_motion(t, v, lim.floor)
-    if lim.jumps and always_jumps(v, p.limit * noise):
-        return np.zeros(len(v), bool)
     tl, vl = t.tolist(), v.tolist()
-    counted = bool((t == np.floor(t)).all()) and usual == 1.0
-    ahead = course(tl, vl, noise, speed, usual, p, counted)
-    back = course(tl[::-1], vl[::-1], noise, speed, usual, p, counted)[::-1]
+    ahead = course(tl, vl, m.noise, m.speed, m.usual, p, m.counted)
+    back = course(tl[::-1], vl[::-1], m.noise, m.speed, m.usual, p, m.counted)[::-1]
     z = np.minimum(ahead, back)
     return np.isfinite(z) & (z > p.limit)
 
 
-def run_lengths(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of equal neighbours."""
-    if not len(v):
-        return np.zeros(0, int), np.zeros(0, int)
-    start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    return start, np.diff(np.append(start, len(v)))
-
-
-def frozen(v: np.ndarray, lim: Limits, p: ChartParams) -> np.ndarray:
-    """Marks the repeats of runs far longer than the source's own rate of repeats explains.
-
-    With repeats at rate q the longest run among n readings is near
-    log(n) / -log(q); a run has to exceed that clearly. The rate is taken
-    from the short runs only, so that a freeze doesn't excuse itself.
-    """
+def frozen(v: np.ndarray, lim: Limits, p: ChartParams, usual: Motion | None = None) -> np.ndarray:
+    """Marks the repeats of runs far longer than the source's own rate of repeats explains."""
     out = np.zeros(len(v), bool)
     start, length = run_lengths(v)
     long = length >= p.least_run
@@ -193,12 +265,9 @@ def frozen(v: np.ndarray, lim: Limits, p: ChartParams) -> np.ndarray:
         long &= ~np.isin(v[start], lim.resting)
     if not long.any():
         return out
-    works = length < p.least_run
-    repeats, total = int((length[works] - 1).sum()), int(length[works].sum())
-    q = (repeats + 0.5) / (total + 2)
-    usual = log(max(total, 2)) / -log(min(max(q, 0.02), 0.95))
+    m = usual or whole_motion(np.arange(len(v), dtype=float), v, lim, p)
     for s, n in zip(start[long], length[long]):
-        if n >= max(p.least_run, 1.3 * usual + 2):
+        if n >= m.longest:
             out[s + 1 : s + n] = True
     return out
 
@@ -212,6 +281,7 @@ def judge(t: np.ndarray, v: np.ndarray, lim: Limits, p: ChartParams) -> tuple[np
         impossible[there] = ~((v[there] >= lim.low) & (v[there] <= lim.high))
     sound = np.flatnonzero(there & ~impossible)
     if len(sound):
-        still[sound] = frozen(v[sound], lim, p)
-        spike[sound] = spikes(t[sound], v[sound], lim, p)
+        m = whole_motion(t[sound], v[sound], lim, p)
+        still[sound] = frozen(v[sound], lim, p, m)
+        spike[sound] = spikes(t[sound], v[sound], lim, p, m)
     return impossible, spike, still

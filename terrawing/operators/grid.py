@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrawing.operators.blocks import block_of, blocked
+from terrawing.operators.blocks import FIND, block_of, blocked, hot_sources, placeable
 
 
 def regular_grid(
@@ -26,15 +26,17 @@ def regular_grid(
     max_gap: float = 600.0,
     rows_per_block: int = 100_000,
 ) -> DataFrame:
-    """One row per source and covered cell.
+    """One row per source and covered cell, and one per stretch of uncovered cells.
 
     Columns: source, slot (cell s is s * step <= t < (s + 1) * step),
-    n_samples, covered_s (seconds of the cell between two readings at most
+    last_slot (of an uncovered stretch its last cell, else slot), n_samples, covered_s (seconds of the cell between two readings at most
     max_gap apart), each gauge (time-weighted mean of its course in the cell;
     the mean of the cell's readings where the course has no length), each
     counter as <name>_inc (its increase within the cell) and <name>_reset
-    (whether it fell there), and mark: observed (has a sample) or filled (has
-    none, but lies between two). A gauge without reading on either side stays null.
+    (whether it fell there), and mark: observed (has a sample), filled (has
+    none, but a share of the increments of the pair around it) or uncovered
+    (none of both: the cells between two samples more than max_gap apart). A
+    gauge without reading on either side stays null.
 
     Samples that are equal in source, time, gauges and counters are one
     sample. Null or NaN times are dropped. A missing gauge reading is bridged
@@ -43,8 +45,10 @@ def regular_grid(
     """
     slim = df.select(*source, F.col(time).cast("double").alias("_t"), *[F.col(c).cast("double").alias(c) for c in [*gauges, *counters]])
     part = [*source, "_block"]
+    slim = placeable(slim, "_t")
+    hot = hot_sources(slim, source, "_t", rows_per_block, step)
     # Once rows of a block are together, repeated deliveries go without another exchange.
-    placed = blocked(slim, source, "_t", rows_per_block, max_gap + step, align=step, keep=True).repartition(*part).dropDuplicates([*part, "_t", *gauges, *counters])
+    placed = blocked(slim, source, "_t", rows_per_block, max_gap + step, keep=True, hot=hot).repartition(*part).dropDuplicates([*part, "_t", *gauges, *counters])
     w = Window.partitionBy(*part).orderBy("_t")
     # Looking ahead is looking back in the opposite order: a frame that ends at the last row would be gone through once per row.
     before, after = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*part).orderBy(F.col("_t").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -89,11 +93,18 @@ def regular_grid(
     ends = [F.first("_cuts").alias("_cuts")]
     cells = pieces.groupBy(*part, "slot").agg(*aggregates, *ends)
     cells = cells.where(F.col("_block") == block_of(F.col("slot") * F.lit(float(step))))
-    mark = F.when(F.col("n_samples") > 0, "observed").otherwise("filled")
-    return cells.select(*source, "slot", "n_samples", "covered_s", *gauges, *[x for c in counters for x in (f"{c}_inc", f"{c}_reset")], mark.alias("mark"))
+    mark = F.when(F.col("n_samples") > 0, "observed").when(F.col("covered_s") > 0, "filled")
+    named = [x for c in counters for x in (f"{c}_inc", f"{c}_reset")]
+    covered = cells.select(*source, "slot", F.col("slot").alias("last_slot"), "n_samples", "covered_s", *gauges, *named, mark.alias("mark"))
+    quiet = silences(slim, source, "_t", step, max_gap, rows_per_block, hot=hot).select(
+        *source, F.col("from_slot").alias("slot"), F.col("to_slot").alias("last_slot"), F.lit(0).cast("long").alias("n_samples"), F.lit(0.0).alias("covered_s"),
+        *[F.lit(None).cast("double").alias(c) for c in gauges], *[F.lit(None).cast(k).alias(f"{c}_{x}") for c in counters for x, k in (("inc", "double"), ("reset", "boolean"))],
+        F.lit("uncovered").alias("mark"),
+    )
+    return covered.unionByName(quiet)
 
 
-def silences(df: DataFrame, source: list[str], time: str, step: float = 1.0, max_gap: float = 600.0, rows_per_block: int = 100_000) -> DataFrame:
+def silences(df: DataFrame, source: list[str], time: str, step: float = 1.0, max_gap: float = 600.0, rows_per_block: int = 100_000, hot: object = FIND) -> DataFrame:
     """The uncovered stretches that part flights: source, from_slot, to_slot (both without sample), silent_s.
 
     A stretch lies between two consecutive samples more than max_gap apart.
@@ -101,7 +112,7 @@ def silences(df: DataFrame, source: list[str], time: str, step: float = 1.0, max
     the first and last time of each block, one row per block.
     """
     t = F.col("_t")
-    placed = blocked(df.select(*source, F.col(time).cast("double").alias("_t")), source, "_t", rows_per_block)
+    placed = blocked(df.select(*source, F.col(time).cast("double").alias("_t")), source, "_t", rows_per_block, hot=hot)
     gap = F.round(t - F.col("_pt"), 6)
     within = placed.withColumn("_pt", F.lag("_t").over(Window.partitionBy(*source, "_block").orderBy("_t")))
     ends = placed.groupBy(*source, "_block").agg(F.min("_t").alias("_t"), F.max("_t").alias("_end"))

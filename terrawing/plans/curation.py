@@ -13,6 +13,8 @@ from terrawing.operators.spikes import GPU, TELEMETRY, flag_readings
 from terrawing.runtime import table
 
 
+#: Added before rounding, so that values with few decimals don't lie on a tie where the last bit decides.
+OFF_TIE = 3e-10
 #: First and last year of the clock texts that can be told apart by zone; fixed so that the interval table is bounded.
 YEARS = (1990, 2060)
 
@@ -23,17 +25,21 @@ def _clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "telemetry").join(without, "track_id", "left_anti")
 
 
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regular_grid(_clocked(spark, sf_dir), ["track_id"], "t", ["lat", "lon", "alt"], ["source_index"])
+
+
 def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reading of lat, lon and alt, and the samples recorded, per second and track."""
-    grid = regular_grid(_clocked(spark, sf_dir), ["track_id"], "t", ["lat", "lon", "alt"], ["source_index"])
-    return grid.select(
-        "track_id", "slot", F.col("n_samples").cast("long").alias("n_samples"), "mark",
-        *[F.round(c, 6).alias(c) for c in ("covered_s", "lat", "lon", "alt", "source_index_inc")],
+    """A reading of lat, lon and alt, and the samples recorded, per second and track; a silence is one row, marked uncovered."""
+    return _grid(spark, sf_dir).select(
+        "track_id", "slot", "last_slot", F.col("n_samples").cast("long").alias("n_samples"), "mark",
+        *[F.round(F.col(c) + OFF_TIE, 6).alias(c) for c in ("covered_s", "lat", "lon", "alt", "source_index_inc")], "source_index_reset",
     )
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regular_grid(_clocked(spark, sf_dir), ["track_id"], "t", []).where("n_samples = 0").select("track_id", "slot")
+    """The cells of the grid that have no sample, but increments of the pair of samples around them."""
+    return _grid(spark, sf_dir).where("mark = 'filled'").select("track_id", "slot")
 
 
 def p1_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +121,42 @@ QUERIES = {
 
 _CLOCKED = "telemetry where track_id not in (select track_id from tracks where not has_timestamps)"
 
+_ROUND = lambda x: f"round({x} + {OFF_TIE}, 6)"
+
+
+def _grid_sql() -> str:
+    """Each pair of neighbouring samples spread over the cells between them, cell by cell, and the silences."""
+    gauges = ("lat", "lon", "alt")
+    known = lambda c: f"case when {c} is not null then {{'t': t, 'x': {c}}} end"
+    around = ", ".join(
+        f"last_value({known(c)} ignore nulls) over (partition by track_id order by t rows between unbounded preceding and 1 preceding) as b_{c}, "
+        f"first_value({known(c)} ignore nulls) over (partition by track_id order by t rows between 1 following and unbounded following) as a_{c}"
+        for c in gauges
+    )
+    bridged = ", ".join(f"coalesce({c}, case when a_{c}.t - b_{c}.t > 0 and a_{c}.t - b_{c}.t <= 600 then b_{c}.x + (a_{c}.x - b_{c}.x) * (t - b_{c}.t) / (a_{c}.t - b_{c}.t) end) as x_{c}" for c in gauges)
+    weight = lambda c: f"(case when p_{c} is not null and x_{c} is not null then over_s end)"
+    course = lambda c: f"(p_{c} + (x_{c} - p_{c}) * (case when t > pt then ((greatest(pt, slot) + least(t, slot + 1)) / 2 - pt) / (t - pt) end))"
+    means = ", ".join(_ROUND(f"coalesce(sum({weight(c)} * {course(c)}) / nullif(sum({weight(c)}), 0), avg(case when own then {c} end))") + f" as {c}" for c in gauges)
+    nulls = ", ".join(f"null::double as {c}" for c in ("lat", "lon", "alt", "source_index_inc"))
+    return f"""
+        with s as (select distinct track_id, t, lat, lon, alt, source_index::double as n from {_CLOCKED}),
+        w as (select *, lag(t) over (partition by track_id order by t) as pt, lag(n) over (partition by track_id order by t) as pn, {around} from s),
+        x as (select track_id, t, pt, n, pn, {", ".join(gauges)}, {bridged} from w),
+        l as (select *, {", ".join(f"lag(x_{c}) over (partition by track_id order by t) as p_{c}" for c in gauges)}, pt is not null and round(t - pt, 6) <= 600 as joined from x),
+        p as (select *, unnest(generate_series(cast(floor(case when joined then pt else t end) as bigint), cast(floor(t) as bigint))) as slot from l),
+        o as (select *, slot = floor(t) as own, case when joined then greatest(least(t, slot + 1) - greatest(pt, slot), 0) else 0 end as over_s from p)
+        select track_id, slot, slot as last_slot, count(*) filter (own) as n_samples, case when count(*) filter (own) > 0 then 'observed' else 'filled' end as mark,
+               {_ROUND("sum(over_s)")} as covered_s, {means},
+               {_ROUND("coalesce(sum(case when joined and pn is not null then case when n >= pn then n - pn else n end * (case when t > pt then over_s / (t - pt) when own then 1 else 0 end) end), 0)")} as source_index_inc,
+               coalesce(bool_or(joined and own and n < pn), false) as source_index_reset
+        from o group by track_id, slot
+        union all
+        select track_id, cast(floor(pt) as bigint) + 1, cast(floor(t) as bigint) - 1, 0, 'uncovered', {OFF_TIE} * 0, {nulls}, null::boolean
+        from w where round(t - pt, 6) > 600 and floor(pt) + 1 <= floor(t) - 1"""
+
+
 SQL = {
+    "p1_grid": _grid_sql(),
     "p1_found": f"""
         with s as (select distinct track_id, t from {_CLOCKED}),
         p as (select track_id, t, lag(t) over (partition by track_id order by t) as before from s)

@@ -79,7 +79,8 @@ def test_grid_finds_the_empty_cells(spark, rows_per_block):
     rows += [(2, 1e9 + i * 0.9, 2.0, i) for i in range(50)] + [(1, None, 1.0, 1), (2, float("nan"), 1.0, 2), rows[0], rows[1]]
     df = table(spark, rows, "track_id long, t double, x double, n long")
     cells = regular_grid(df, ["track_id"], "t", ["x"], ["n"], rows_per_block=rows_per_block).collect()
-    assert {(r["track_id"], r["slot"]) for r in cells if r["n_samples"] == 0} == empty_by_force(rows)
+    assert {(r["track_id"], r["slot"]) for r in cells if r["mark"] == "filled"} == empty_by_force(rows)
+    assert {r["mark"] for r in cells} == {"observed", "filled", "uncovered"} and all((r["last_slot"] > r["slot"] or r["n_samples"] == 0) == (r["mark"] == "uncovered" or r["n_samples"] == 0) for r in cells)
     assert len(cells) == len({(r["track_id"], r["slot"]) for r in cells})
 
 
@@ -151,11 +152,34 @@ def test_flagged_readings_with_repeats_nulls_and_clashing_names(spark, rows_per_
     rows = [(7, i, float(a), float(b), "x", 1) for i, (a, b) in enumerate(zip(t, v))]
     rows += [rows[100], rows[300], (7, 9999, None, 5.0, "x", 1), (7, 9998, 3.0, None, "x", 1), (None, 9997, 1.0, 99999.0, "x", 1)]
     df = table(spark, rows, "track_id long, sample_id long, t double, alt double, field_name string, _block int").drop("_block")
-    got = flag_readings(df, ["track_id"], "t", "sample_id", {"alt": TELEMETRY["alt"]}, rows_per_block=rows_per_block, halo=20.0).collect()
+    got = flag_readings(df, ["track_id"], "t", "sample_id", {"alt": TELEMETRY["alt"]}, rows_per_block=rows_per_block).collect()
     assert sorted((r["row_id"], r["impossible"], r["spike"]) for r in got) == [(100, True, False), (300, False, True), (9997, True, False)]
     assert flag_readings(df.limit(0), ["track_id"], "t", "sample_id", {"alt": TELEMETRY["alt"]}).count() == 0
 
 
+def test_where_a_source_is_cut_makes_no_difference(spark):
+    rng = np.random.default_rng(5)
+    n = 12_000
+    t = np.cumsum(rng.uniform(0.15, 0.35, n) + 700 * (rng.random(n) < 0.0005))
+    noise = np.where(np.arange(n) < n // 2, 0.2, 3.0)  # quiet first, then not
+    v = 80 + 10 * np.sin(t / 20) + np.round(rng.normal(0, 1, n) * noise, 2)
+    at = rng.choice(n, 80, replace=False)
+    v[at] += rng.choice([-1, 1], 80) * rng.uniform(15, 90, 80)
+    v[3000:3080], v[9000:9400], v[50], v[11_990] = v[3000], v[9000], 1e6, -4e4
+    load = np.repeat(rng.choice([10.0, 60.0, 95.0], n // 50), 50) + rng.normal(0, 1, n)
+    gone = rng.random(n) < 0.3
+    gone[5000:6500] = True
+    rows = [(k, i + 100_000 * k, float(t[i]), float(v[i]), None if gone[i] else float(load[i] if k else v[i])) for k in (0, 1) for i in range(n)]
+    rows += rows[100:200]
+    df = table(spark, rows, "s long, id long, t double, a double, b double").cache()
+    fields = {"a": TELEMETRY["alt"], "b": GPU["util_pct"]}
+    marks = {}
+    for size in (120, 2_000, 50_000):
+        marks[size] = {tuple(r)[1:] for r in flag_readings(df, ["s"], "t", "id", fields, rows_per_block=size).collect()}
+    assert marks[120] == marks[2_000] == marks[50_000]
+    assert sum(m[1] < 100_000 and m[0] == "a" and m[5] for m in marks[120]) > 20 and sum(m[6] for m in marks[120]) > 400
+
+
 # ------------------------------------------------------------------- clocks
 
 
