@@ -2,8 +2,8 @@
 
 Texts are parsed to one of three statements: a moment, a span since the
 track's start, or a local time, with or without zone letters. Local times
-meet their zone in an as-of join against the zone's offset intervals: no
-matching interval means a time that the clocks skipped, one gives the offset,
+meet their zone in an as-of join against the zone's offset intervals, one row
+each: no matching interval means a time that the clocks skipped, one gives the offset,
 two mean a time that occurred twice. Those are settled by the moments around
 them in the same track. All of it runs as built-in expressions.
 """
@@ -15,10 +15,11 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrawing.runtime import cut
+from terrawing.operators.blocks import neighbours
+from terrawing.runtime import cut, kept, small
 
 #: Kinds of tracks whose texts count from the track's start, as a clock or in milliseconds.
 SPAN_KINDS, MILLI_KINDS = ("srt", "embedded"), ("mavlink",)
@@ -28,53 +29,54 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 #: Doubtful times and their neighbours are looked at within so many milliseconds of a change of the clocks.
 AROUND_MS = 6 * 3_600_000
+DAY_MS = 86_400_000
+#: The calendar's ends, in s since 1970, less a day for the zones.
+FIRST_S, LAST_S = -62_135_596_800 + 86_400, 253_402_300_799 - 86_400
+#: More pairs of zone and year (or turns of the clocks in a track, or runs of doubtful marks) than this aren't broadcast.
+MOST_PAIRS = 50_000
 #: A coarser text may lie behind the text before it by less than this.
 SLACK_MS = 1_000
 
 
-def zone_intervals(zones: DataFrame, zone: str, first_year: int, last_year: int) -> DataFrame:
-    """zone, year and intervals: those of constant offset that the zone's local times of that year meet.
+def zone_intervals(pairs: DataFrame) -> DataFrame:
+    """zone, from, to, offset, letters and until of each interval of constant offset that local times of a (zone, year) of pairs can meet, and that year.
 
-    intervals is an array of struct<from, to, offset, letters, until> with
-    local ends and offset in ms (to excluded) and until, the UTC end. Workers
-    make it from the tz database, one row per distinct zone and year; unknown
-    zones are left out. So its size is bounded by the tz database (some 600
-    zones) times the years asked for, whatever the input.
+    from, to (excluded) are local ends and offset in ms, until is the UTC end.
+    Workers make the rows from the tz database; unknown zones have none. What
+    is asked for is what the marks hold: at most the tz database's some 600
+    zones times the calendar's years, each with three or four intervals.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("offset", pa.int64()), ("letters", pa.string()), ("until", pa.int64())]))
+        kinds = {"zone": pa.string(), "year": pa.int32(), "from": pa.int64(), "to": pa.int64(), "offset": pa.int64(), "letters": pa.string(), "until": pa.int64()}
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            rows = []
+            for name, year in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     zone_info = ZoneInfo(name)
                 except (KeyError, ValueError, OSError):
                     continue
-                years: dict[int, list] = {y: [] for y in range(first_year, last_year + 1)}
-                for offset, letters, a, b in _constant(zone_info, first_year - 1, last_year + 1):
-                    for y in range(_year(a + offset), _year(b + offset - 1) + 1):
-                        if y in years:
-                            years[y].append({"from": a + offset, "to": b + offset, "offset": offset, "letters": letters, "until": b})
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(years)), pa.array(list(years), pa.int32()), pa.array(list(years.values()), kind)], ["zone", "year", "intervals"])
+                start, end = _ms(year), _ms(year + 1)
+                rows += [(name, year, a + o, b + o, o, letters, b) for o, letters, a, b in _constant(zone_info, start - 2 * DAY_MS, end + 2 * DAY_MS) if a + o < end and b + o > start]
+            yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds.items())})
 
-    names = zones.select(F.coalesce(F.col(zone), F.lit("UTC")).alias("zone")).distinct()
-    return names.mapInArrow(make, "zone string, year int, intervals array<struct<from: long, to: long, offset: long, letters: string, until: long>>")
+    return pairs.mapInArrow(make, "zone string, year int, from long, to long, offset long, letters string, until long")
 
 
-def _year(ms: int) -> int:
-    return (datetime(1970, 1, 1) + timedelta(milliseconds=ms)).year
+def _ms(year: int) -> int:
+    """The start of a year in ms since 1970, counted by the calendar on both sides."""
+    return (year - 1970) * 365 * DAY_MS + ((year - 1) // 4 - (year - 1) // 100 + (year - 1) // 400 - 477) * DAY_MS
 
 
-def _constant(zone: ZoneInfo, first_year: int, last_year: int) -> list[tuple[int, str, int, int]]:
-    """(offset, letters, from, to) of each stretch of constant offset, in ms; changes are found by bisection between days."""
+def _constant(zone: ZoneInfo, start_ms: int, end_ms: int) -> list[tuple[int, str, int, int]]:
+    """(offset, letters, from, to) of each stretch of constant offset, in ms; changes are found by bisection between weeks."""
     base = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
     def at(s: int) -> tuple[int, str]:
-        local = (base + timedelta(seconds=s)).astimezone(zone)
+        local = (base + timedelta(seconds=min(max(s, FIRST_S), LAST_S))).astimezone(zone)
         return int(local.utcoffset().total_seconds()) * 1000, local.tzname() or ""
 
-    start = int((datetime(first_year, 1, 1, tzinfo=timezone.utc) - base).total_seconds())
-    end = int((datetime(last_year + 1, 1, 1, tzinfo=timezone.utc) - base).total_seconds())
+    start, end = start_ms // 1000, end_ms // 1000
     out, since, now = [], start, at(start)
     step = 7 * 86_400
     for s in range(start, end, step):
@@ -146,7 +148,7 @@ def statements(marks: DataFrame, text: str, kind: str, zone: str, started_ms: st
     return out.drop("_g", "_mo", "_d", "_h", "_ms", "_end", "_local", "_shift", "_span", "_n")
 
 
-def resolve(marks: DataFrame, mark_id: str, track: str, order: str, zone: str, started_ms: str, intervals: DataFrame) -> DataFrame:
+def resolve(marks: DataFrame, mark_id: str, track: str, order: str, zone: str, started_ms: str) -> DataFrame:
     """mark_id and epoch_ms of every mark that states a possible moment, from the columns of ``statements``.
 
     Zone letters choose among the intervals; a time whose letters fit none of
@@ -154,44 +156,52 @@ def resolve(marks: DataFrame, mark_id: str, track: str, order: str, zone: str, s
     fall of the local time between doubtful neighbours separates first from
     second occurrence; without a fall the known moments before and after, and
     the start of the track, decide, and else the first occurrence is taken.
-    Repeated marks count once. Null zones mean UTC, zones that the tz database
-    doesn't know give no moment. Empty tables give an empty result.
+    Repeated marks count once; a null order comes first. Null zones mean UTC,
+    zones that the tz database doesn't know give no moment. Empty tables give
+    an empty result.
     """
-    local, letters = F.col("local_ms"), F.col("letters")
-    placed = marks.select(
-        *[F.col(c).alias(n) for c, n in ((mark_id, "_id"), (track, "_track"), (order, "_order"), (started_ms, "_start"))], "utc_ms", "local_ms", "letters",
-        F.coalesce(F.col(zone), F.lit("UTC")).alias("_zone"),
-    ).dropDuplicates(["_id"]).withColumn("_year", F.year(F.timestamp_millis(local)))
-    iv = intervals.select(F.col("zone").alias("_z"), F.col("year").alias("_y"), F.col("intervals").alias("_iv"))
-    met = placed.join(F.broadcast(iv), (F.col("_zone") == F.col("_z")) & (F.col("_year") == F.col("_y")), "left")
-    inside = F.filter("_iv", lambda i: (i["from"] <= local) & (local < i["to"]))
-    fitting = F.filter("_iv", lambda i: F.upper(i["letters"]) == letters)
-    met = met.withColumns({"_in": inside, "_fit": F.when(letters.isNotNull(), fitting)})
-    both = F.filter("_in", lambda i: letters.isNull() | (F.upper(i["letters"]) == letters))
-    chosen = F.when(letters.isNotNull() & (F.size(both) == 0), F.slice("_fit", 1, 1)).otherwise(both)
-    moments = F.array_sort(F.array_distinct(F.transform(chosen, lambda i: local - i["offset"])))
-    met = met.withColumn("_utc", F.when(F.col("utc_ms").isNotNull(), F.array("utc_ms")).otherwise(moments)).where("size(_utc) > 0")
+    spark = marks.sparkSession
+    placed = marks.where("utc_ms is not null or local_ms is not null").select(
+        F.col(mark_id).alias("_id"), F.col(track).alias("_track"), F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))).alias("_order"), F.col(started_ms).alias("_start"), "utc_ms", "local_ms", "letters",
+        F.coalesce(F.col(zone), F.lit("UTC")).alias("_zone"), F.year(F.timestamp_millis("local_ms")).alias("_year"),
+    )
+    placed = cut(spark, placed.dropDuplicates(["_id"]))
+    asked, n = kept(placed.where("utc_ms is null").select(F.col("_zone").alias("zone"), F.col("_year").alias("year")).distinct(), MOST_PAIRS)
+    iv = zone_intervals(asked).select(F.col("zone").alias("_z"), F.col("year").alias("_y"), "from", "to", "offset", F.upper("letters").alias("_known"), "until")
+    inside = (F.col("from") <= F.col("local_ms")) & (F.col("local_ms") < F.col("to"))
+    fits = F.col("letters").isNull() | (F.col("_known") == F.col("letters"))
+    # Two intervals in which a local time lies make it doubtful, one gives its offset, and one of none is a time that never was.
+    met = placed.where("utc_ms is null").join(small(iv, MOST_PAIRS, n), (F.col("_zone") == F.col("_z")) & (F.col("_year") == F.col("_y")) & (inside | (F.col("letters").isNotNull() & fits)))
+    moment = F.col("local_ms") - F.col("offset")
+    said = met.groupBy("_id", "_track", "_order", "_start", "local_ms").agg(
+        F.min(F.when(inside & fits, moment)).alias("_a"), F.max(F.when(inside & fits, moment)).alias("_b"), F.min_by(F.when(fits, moment), F.when(fits, F.col("from"))).alias("_c"), F.min(F.when(inside, F.col("until"))).alias("_until"),
+    )
+    said = said.select("_id", "_track", "_order", "_start", "local_ms", F.coalesce("_a", "_c").alias("_c1"), F.coalesce("_b", "_c").alias("_c2"), "_until").where("_c1 is not null")
     # In an hour that comes twice the clocks went back at _turn; it names the group of neighbours.
-    turn = F.when(F.size("_utc") > 1, F.array_min(F.transform("_in", lambda i: i["until"])))
-    met = cut(marks.sparkSession, met.select("_id", "_track", "_order", "_start", "local_ms", F.col("_utc")[0].alias("_c1"), F.element_at("_utc", -1).alias("_c2"), turn.alias("_turn")))
-
-    sure, twice = met.where("_turn is null"), met.where("_turn is not null")
-    turns = twice.select(F.col("_track").alias("_t"), F.col("_turn").alias("_n")).distinct()
-    near = sure.drop("_turn").join(turns, (F.col("_track") == F.col("_t")) & (F.abs(F.col("_c1") - F.col("_n")) <= AROUND_MS)).withColumnRenamed("_n", "_turn").drop("_t")
-    group = near.withColumn("_sure", F.col("_c1")).unionByName(twice.withColumn("_sure", F.lit(None).cast("long")))
-    w = Window.partitionBy("_track", "_turn").orderBy("_order", "_id")
-    behind = Window.partitionBy("_track", "_turn").orderBy(F.desc("_order"), F.desc("_id")).rowsBetween(Window.unboundedPreceding, -1)
-    group = group.withColumns({"_before": F.last("_sure", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_run": F.count("_sure").over(w)})
-    group = group.withColumn("_after", F.last("_sure", ignorenulls=True).over(behind))
+    said = said.withColumn("_turn", F.when(F.col("_c1") != F.col("_c2"), F.col("_until"))).drop("_until")
+    known = placed.where("utc_ms is not null").select("_id", "_track", "_order", "_start", "local_ms", F.col("utc_ms").alias("_c1"), F.col("utc_ms").alias("_c2"), F.lit(None).cast("long").alias("_turn"))
+    said = cut(spark, said.unionByName(known))
+
+    sure, twice = said.where("_turn is null"), said.where("_turn is not null")
+    turns, n = kept(twice.select(F.col("_track").alias("_t"), F.col("_turn").alias("_n")).distinct(), MOST_PAIRS)
+    if not n:
+        return sure.select(F.col("_id").alias(mark_id), F.col("_c1").alias("epoch_ms"))
+    near = sure.drop("_turn").join(small(turns, MOST_PAIRS, n), (F.col("_track") == F.col("_t")) & (F.abs(F.col("_c1") - F.col("_n")) <= AROUND_MS)).withColumnRenamed("_n", "_turn").drop("_t")
+    group = near.withColumn("_sure", F.lit(True)).unionByName(twice.withColumn("_sure", F.lit(False)))
+    around = neighbours(group, ["_track", "_turn"], "_order", ["_id"], F.when(F.col("_sure"), F.struct("_order", "_id", "_c1")))
     # Doubtful marks between the same two sure ones form a run.
-    whole = Window.partitionBy("_track", "_turn", "_run")
-    run = whole.orderBy("_order", "_id")
-    doubt = group.where("_sure is null").withColumn("_pl", F.lag("local_ms").over(run))
-    doubt = doubt.withColumn("_falls", F.sum(F.when(F.col("local_ms") < F.col("_pl") - SLACK_MS, 1).otherwise(0)).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    doubt = doubt.withColumns({"_all": F.max("_falls").over(whole), "_last": F.max("_c1").over(whole), "_first": F.min("_c1").over(whole)})
+    run = ["_track", "_turn", "_ro", "_ri"]
+    doubt = around.where(~F.col("_sure")).select(
+        "_id", "_track", "_turn", "_order", "_start", "local_ms", "_c1", "_c2", F.col("_prev._order").alias("_ro"), F.col("_prev._id").alias("_ri"), F.col("_prev._c1").alias("_before"), F.col("_next._c1").alias("_after")
+    )
+    doubt = cut(spark, neighbours(doubt, run, "_order", ["_id"], F.struct("_order", "_id", "local_ms")).drop("_prev"))
+    falls = F.col("_next.local_ms") < F.col("local_ms") - SLACK_MS
+    runs = doubt.groupBy(*run).agg(F.min(F.when(falls, F.struct("_next._order", "_next._id"))).alias("_fall"), F.max("_c1").alias("_last"), F.min("_c1").alias("_first"))
+    runs, n = kept(runs.select(*[F.col(c).alias(f"{c}_") for c in run], "_fall", "_last", "_first"), MOST_PAIRS)
+    doubt = doubt.join(small(runs, MOST_PAIRS, n), [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in run])
     fold = F.col("_c2") - F.col("_c1")
     second = (
-        F.when(F.col("_all") > 0, F.col("_falls") > 0)
+        F.when(F.col("_fall").isNotNull(), F.struct("_order", "_id") >= F.col("_fall"))
         .when(F.col("_before").isNotNull(), F.col("_first") < F.col("_before") - SLACK_MS)
         .when(F.col("_first") < F.col("_start") - SLACK_MS, True)
         .when(F.col("_after").isNotNull(), F.col("_after") - F.col("_last") >= fold - SLACK_MS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrawing.operators.clocks import resolve, statements, zone_intervals
+from terrawing.operators.clocks import resolve, statements
 from terrawing.operators.drift import changes, file_schemas, unified, versions
 from terrawing.operators.grid import regular_grid, silences
 from terrawing.operators.rejects import read_csv_lines
@@ -15,8 +15,6 @@ from terrawing.runtime import table
 
 #: Added before rounding, so that values with few decimals don't lie on a tie where the last bit decides.
 OFF_TIE = 3e-10
-#: First and last year of the clock texts that can be told apart by zone; fixed so that the interval table is bounded.
-YEARS = (1990, 2060)
 
 
 def _clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +63,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = table(spark, sf_dir, "tracks").where("has_timestamps").select("track_id", "kind", "site_tz", F.unix_millis(F.col("started_at").cast("timestamp")).alias("started_ms"))
     marks = table(spark, sf_dir, "clock_marks").join(tracks, "track_id")
     stated = statements(marks, "t_text", "kind", "site_tz", "started_ms")
-    return resolve(stated, "mark_id", "track_id", "source_index", "site_tz", "started_ms", zone_intervals(tracks, "site_tz", *YEARS))
+    return resolve(stated, "mark_id", "track_id", "source_index", "site_tz", "started_ms")
 
 
 def _json_feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
