@@ -161,11 +161,12 @@ def resolve(marks: DataFrame, mark_id: str, track: str, order: str, zone: str, s
     an empty result.
     """
     spark = marks.sparkSession
-    placed = marks.where("utc_ms is not null or local_ms is not null").select(
+    placed = marks.select(
         F.col(mark_id).alias("_id"), F.col(track).alias("_track"), F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))).alias("_order"), F.col(started_ms).alias("_start"), "utc_ms", "local_ms", "letters",
         F.coalesce(F.col(zone), F.lit("UTC")).alias("_zone"), F.year(F.timestamp_millis("local_ms")).alias("_year"),
     )
-    placed = cut(spark, placed.dropDuplicates(["_id"]))
+    # The filter comes behind the written table: before it, the parsing would be done once for the filter and once for the columns.
+    placed = cut(spark, placed.dropDuplicates(["_id"])).where("utc_ms is not null or local_ms is not null")
     asked, n = kept(placed.where("utc_ms is null").select(F.col("_zone").alias("zone"), F.col("_year").alias("year")).distinct(), MOST_PAIRS)
     iv = zone_intervals(asked).select(F.col("zone").alias("_z"), F.col("year").alias("_y"), "from", "to", "offset", F.upper("letters").alias("_known"), "until")
     inside = (F.col("from") <= F.col("local_ms")) & (F.col("local_ms") < F.col("to"))
