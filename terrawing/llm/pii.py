@@ -13,25 +13,44 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- transducers
 
+
+def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for w in words:
+        out.add_word(w, w)
+    out.make_automaton()
+    return out
+
+
+
+#: How digits are spelled.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-#: Letters of other scripts that look like Latin ones.
-LOOKALIKES = dict(zip("АВЕКМНОРСТХаеіјорсухѕԁɡΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTXaeijopcyxsdgABEZHIKMNOPTYXo"))
-INVISIBLE = "\u200b\u200c\u200d\u2060\u00ad"
+#: Letters of other scripts that look like Latin ones (Cyrillic, Greek, Armenian, Cherokee), and marks that look like ASCII ones.
+LOOKALIKES = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝɡɑΑΒΕΖΗΙΚΜΝΟΡΤΥΧοντυՕոսզհԼᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃ‐‑‒–−·․", "ABESIJKMHOPCTYXaeopcyxsijhdqwgaABEZHIKMNOPTYXovtuOnuqhLABCDEHJKLMPRSTVWZ-----.."))
+#: Likewise all characters whose compatibility form is one ASCII character: fullwidth, mathematical, circled and super- or subscript ones.
+LOOKALIKES |= {c: n for c in map(chr, [*range(0xA0, 0x2FFF), *range(0xFE00, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0x1FBF0, 0x1FBFA)]) if len(n := unicodedata.normalize("NFKC", c)) == 1 and n.isascii()}
+INVISIBLE = "\u200b\u200c\u200d\u2060\u00ad\ufeff"
+#: Those of the first plane, and the ranges of the others, which a class of single characters would slow down.
+_LIKE = rf"[{re.escape(''.join(c for c in LOOKALIKES if c < chr(0x10000)))}]|[\U0001d400-\U0001d7ff\U0001f100-\U0001f1ff\U0001fbf0-\U0001fbf9]"
 _OPEN, _SHUT = r"[\[({<][ \t]{0,3}", r"[ \t]{0,3}[\])}>]"
 _SPELLED = "|".join(DIGITS)
+_TOKEN = rf"(?:(?:double|triple)[\s-]+)?(?:{_SPELLED})"
+_BETWEEN = r"[\s,./-]{1,4}"
 _TRANSDUCER = re.compile(
-    rf"""(?P<at>[ \t]{{0,3}}{_OPEN}(?:at|@){_SHUT}[ \t]{{0,3}}|%40|&\#64;|&commat;|\\u0040|[ \t]{{1,3}}(?-i:AT)[ \t]{{1,3}}(?=[\w-]{{1,63}}(?:[ \t]{{1,3}}DOT[ \t]|\.\w))|[ \t]{{1,3}}at[ \t]{{1,3}}(?=[\w-]{{1,63}}[ \t]{{1,3}}dot[ \t]))
-    |(?P<dot>[ \t]{{0,3}}{_OPEN}(?:dot|punkt|point|\.){_SHUT}[ \t]{{0,3}}|(?<=\w)[ \t]{{1,3}}(?-i:DOT)[ \t]{{1,3}}(?=\w)|(?<=\w)[ \t]{{1,3}}dot[ \t]{{1,3}}(?=\w))
-    |(?P<plus>[ \t]{{0,3}}{_OPEN}plus{_SHUT}[ \t]{{0,3}})
+    rf"""(?P<at>[ \t]{{0,3}}{_OPEN}(?:at|@){_SHUT}[ \t]{{0,3}}|%40|&commat;|\\u0040|\\x40|[ \t]{{1,3}}(?-i:AT)[ \t]{{1,3}}(?=[\w-]{{1,63}}(?:[ \t]{{1,3}}DOT[ \t]|\.\w))|[ \t]{{1,3}}at[ \t]{{1,3}}(?=[\w-]{{1,63}}[ \t]{{1,3}}dot[ \t]))
+    |(?P<dot>[ \t]{{0,3}}{_OPEN}(?:dot|punkt|point|\.){_SHUT}[ \t]{{0,3}}|%2e|&period;|\\u002e|\\x2e|(?<=\w)[ \t]{{1,3}}dot[ \t]{{1,3}}(?=\w))
+    |(?P<plus>[ \t]{{0,3}}{_OPEN}plus{_SHUT}[ \t]{{0,3}}|%2b(?=\d)|&plus;)
+    |(?P<entity>&\#(?:[0-9]{{1,7}}|x[0-9a-f]{{1,6}});)
+    |(?P<spelled>(?<![\w-])(?:plus{_BETWEEN})?(?:\d{{1,4}}{_BETWEEN}){{0,3}}{_TOKEN}{_BETWEEN}{_TOKEN}{_BETWEEN}{_TOKEN}(?:{_BETWEEN}(?:{_TOKEN}|\d{{1,4}}(?![\w])))*(?![\w]))
     |(?P<none>[{INVISIBLE}])
-    |(?P<like>[{"".join(LOOKALIKES)}\uff01-\uff5e])
-    |(?P<spelled>\b(?:{_SPELLED})(?:[\s,-]+(?:{_SPELLED})){{6,14}}\b)""",
+    |(?P<like>(?-i:{_LIKE}))""",
     re.IGNORECASE | re.VERBOSE,
 )
 #: Letters that patterns without case take for an ASCII letter, besides its capital.
@@ -45,24 +64,50 @@ def _folded(t: str) -> str:
 
 #: Cheap tests whether a text can hold a disguise at all; whatever the transducer takes passes one of them. All but the first are for folded texts.
 _HINTS_AS_IS = (" AT ", " AT\t", "\tAT ", "\tAT\t")
-_HINTS = ("%40", "&#64;", "&commat;", "\\u0040", " dot ", " dot\t", "\tdot ", "\tdot\t")
-_BRACKETED = re.compile(rf"{_OPEN}(?:at|@|dot|punkt|point|\.|plus){_SHUT}")
-_ODD = re.compile(rf"[{INVISIBLE}{''.join(LOOKALIKES)}\uff01-\uff5e]", re.IGNORECASE)
-_SPELLED_ROW = re.compile(rf"(?:(?:{_SPELLED})[\s,-]+){{6}}(?:{_SPELLED})")
+_HINTS = {"%": ("%40", "%2e", "%2b"), "&": ("&commat;", "&period;", "&plus;", "&#"), "\\": ("\\u0040", "\\x40", "\\u002e", "\\x2e"), "dot": (" dot ", " dot\t", "\tdot ", "\tdot\t")}
+#: Words and marks in brackets, once the blanks are gone.
+_BRACKETED = _automaton(tuple(w + c for w in ("at", "dot", "punkt", "point", "plus", "@", ".") for c in "])}>"))
+_IN_BRACKETS = re.compile(r"[\[({<](?:at|dot|punkt|point|plus|[@.])[\])}>]")
+_ODD = re.compile(f"[{INVISIBLE}]|{_LIKE}")
+#: Every run of three spelled digits has a digit's end and another's beginning in a row.
+_SPELLED_ROW = re.compile(rf"(?:{_SPELLED}){_BETWEEN}(?:{_TOKEN}){_BETWEEN}(?:{_TOKEN})")
 
 
 def _disguised(text: str) -> bool:
     if any(h in text for h in _HINTS_AS_IS) or not text.isascii() and _ODD.search(text):
         return True
     low = _folded(text)
-    return any(h in low for h in _HINTS) or _BRACKETED.search(low) is not None or sum(low.count(w) for w in DIGITS) >= 7 and _SPELLED_ROW.search(low) is not None
+    if any(first in low and any(h in low for h in hints) for first, hints in _HINTS.items()):
+        return True
+    close = low.replace(" ", "").replace("\t", "")
+    return next(_BRACKETED.iter(close), None) is not None and _IN_BRACKETS.search(close) is not None or sum(low.count(w) for w in DIGITS) >= 3 and _SPELLED_ROW.search(low) is not None
+
+
+def _entity(m: str) -> str | None:
+    """The character of a numeric reference, if it is an ASCII one that a disguise may hide."""
+    n = int(m[3:-1], 16) if m[2] in "xX" else int(m[2:-1])
+    return chr(n) if 32 < n < 127 and chr(n) not in "<>&" else None
+
+
+def _digits(run: str) -> str:
+    """The digits of a spelled run, with its plus sign."""
+    out, times = [], 1
+    for w in re.findall(r"[a-z]+|\d+", _folded(run)):
+        if w in ("double", "triple"):
+            times = 2 if w == "double" else 3
+        elif w == "plus":
+            out.append("+")
+        else:
+            out.append(DIGITS.get(w, w) * times)
+            times = 1
+    return "".join(out)
 
 
 class Normal:
-    """A text with its disguises undone, and the way back to the source's characters."""
+    """A text with its disguises undone, the way back to the source's characters, and where its spelled numbers are."""
 
-    def __init__(self, text: str, at: list[int], source: list[int]):
-        self.text, self._at, self._source = text, at, source
+    def __init__(self, text: str, at: list[int], source: list[int], spelled: list[tuple[int, int]] = []):
+        self.text, self._at, self._source, self.spelled = text, at, source, spelled
 
     def back(self, i: int) -> int:
         """The source position of the character at i."""
@@ -71,19 +116,32 @@ class Normal:
         k = bisect_right(self._at, i) - 1
         return self._source[k] + (i - self._at[k])
 
+    def end(self, b: int) -> int:
+        """The source position behind the item that ends before b; of a replacement all of it."""
+        if not self._at or not b:
+            return b
+        k = bisect_right(self._at, b - 1)
+        whole = k < len(self._at) and self._at[k] == b
+        return self._source[k] if whole else self.back(b - 1) + 1
+
 
 def normalise(text: str) -> Normal:
     if not _disguised(text):
         return Normal(text, [], [])
-    parts, at, source, done, length = [], [0], [0], 0, 0
+    parts, at, source, spelled, done, length = [], [0], [0], [], 0, 0
     for m in _TRANSDUCER.finditer(text):
         kind = m.lastgroup
         if kind == "like":
-            new = LOOKALIKES.get(m[0]) or unicodedata.normalize("NFKC", m[0])
+            new = LOOKALIKES.get(m[0])
+        elif kind == "entity":
+            new = _entity(m[0])
         elif kind == "spelled":
-            new = "".join(DIGITS[w] for w in re.findall(r"[a-z]+", _folded(m[0])))
+            new = _digits(m[0])
+            new = new if sum(c.isdigit() for c in new) >= 7 else None
         else:
             new = {"at": "@", "dot": ".", "plus": "+", "none": ""}[kind]
+        if new is None:
+            continue
         # The replacement stands for the first character that isn't a blank.
         lead = len(m[0]) - len(m[0].lstrip())
         for piece, start in ((text[done : m.start()], done), (new, m.start() + lead)):
@@ -91,13 +149,15 @@ def normalise(text: str) -> Normal:
             source.append(start)
             parts.append(piece)
             length += len(piece)
+        if kind == "spelled":
+            spelled.append((length - len(new), length))
         at.append(length)
         source.append(m.end())
         done = m.end()
     at.append(length)
     source.append(done)
     parts.append(text[done:])
-    return Normal("".join(parts), at, source)
+    return Normal("".join(parts), at, source, spelled)
 
 
 # ------------------------------------------------------------------ detectors
@@ -113,7 +173,10 @@ def emails(t: str) -> Iterator[tuple[int, int]]:
     while at >= 0:
         domain = _DOMAIN.match(t, at + 1)
         if domain and domain[1].lower() not in FILE_ENDINGS:
-            local = _LOCAL.search(t, max(0, at - 64), at)
+            head = at
+            while head and (t[head - 1].isalnum() or t[head - 1] in "._+'-"):
+                head -= 1
+            local = _LOCAL.search(t, head, at)
             if local:
                 a, b = local.start(), domain.end()
                 before = t[a - 1] if a else " "
@@ -125,9 +188,16 @@ def emails(t: str) -> Iterator[tuple[int, int]]:
 
 def _in_url(t: str, a: int) -> bool:
     """Whether what starts at a is the login part of a URL."""
-    head = t[max(0, a - 80) : a]
-    i = head.rfind("://")
-    return i >= 0 and not re.search(r"[\s/?#\"'<>]", head[i + 3 :])
+    while a and not t[a - 1].isspace() and t[a - 1] not in "/?#\"'<>":
+        a -= 1
+    return t[max(0, a - 3) : a] == "://"
+
+
+def _before(t: str, a: int, most: int = 60) -> int:
+    """Where to look for words in front of a: blanks and marks next to it don't count."""
+    while a and (t[a - 1].isspace() or t[a - 1] in ".:#='\"*_(-"):
+        a -= 1
+    return max(0, a - most)
 
 
 _PHONE = re.compile(
@@ -155,10 +225,17 @@ def phones(t: str) -> Iterator[tuple[int, int]]:
         while m := _PHONE.search(t, at, min(len(t), end + 2)):
             at = m.end()
             n = sum(c.isdigit() for c in m[0])
-            if 8 <= n <= 15 and not _THINGS.search(t, max(0, m.start() - 24), m.start()) and m[0].strip("+0 ().-/"):
+            if 8 <= n <= 15 and not _THINGS.search(t, _before(t, m.start()), m.start()) and m[0].strip("+0 ().-/"):
                 yield m.start(), m.end()
 
 
+def spelled_phones(t: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Numbers whose digits were spelled out: nobody does that to a size or a serial number that isn't called one."""
+    for a, b in runs:
+        if 7 <= sum(c.isdigit() for c in t[a:b]) <= 15 and not _THINGS.search(t, _before(t, a), a):
+            yield a, b
+
+
 _VALUE = r"""(?:\d{3}[- .]\d{2}[- .]\d{4}|[A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]|[XYZ]?\d{7,8}[- ]?[A-Z]|[A-Z]{1,3}\d{6,8}[A-Z]?|\d{4}[- ]\d{4}[- ]\d{4}|\d{2,3}[. ]\d{3}[. ]\d{3}(?:[-/ ]\d{1,3})?|\d{6}[-+]?\d{4}|\d{8,14})(?![\w-])"""
 _LABEL = r"""(?:ssn|sin|nino|dni|nie|nif|cpf|pesel|bsn|curp|rut|aadhaa?r|passport|personnummer|steuer-?id
     |(?:social[\s_-]+security|national[\s_-]+insurance|insurance)|ni(?=[\s_-]*(?:no|nr|num))|tax(?:payer)?(?=[\s_-]*(?:id|no|num|ident))
@@ -182,11 +259,11 @@ def labelled_numbers(t: str) -> Iterator[tuple[int, int]]:
 
 
 def cell_numbers(t: str, others: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Numbers that fill a cell of a line on which something else of a person was found."""
+    """Numbers that fill a cell of a line on which something else of a person was found. Each line is read once."""
     done = 0
     for a, b in sorted(others):
         lo, hi = t.rfind("\n", 0, a) + 1, t.find("\n", b)
-        lo, hi = max(lo, a - 400, done), min(len(t) if hi < 0 else hi, b + 400)
+        lo, hi = max(lo, done), len(t) if hi < 0 else hi
         if lo < hi:
             for m in _CELL.finditer(t, lo, hi):
                 yield m.span(1)
@@ -200,6 +277,7 @@ _ADDRESS = re.compile(
     rf"""(?<![\w.+-])(?:
     (?:(?:Flat|Apt\.?|Apartment|Unit|Suite|FLAT|APT\.?|UNIT|flat|apt\.?)[ ]?\#?\w{{1,5}}{_LINE})?\d{{1,5}}[A-Za-z]?(?:[-/]\d{{1,4}}[A-Za-z]?)?,?[ ](?:(?:[NSEW]\.?|North|South|East|West|Old|New|{_UP})[ ]){{1,4}}
         (?:Street|St|Road|Rd|Lane|Ln|Drive|Dr|Court|Ct|Avenue|Ave|Boulevard|Blvd|Close|Way|Place|Pl|Terrace|Crescent|Cres|Square|Parade|Highway|Hwy|Row|Mews|Gardens|Grove|Walk|Circle|Parkway|Pkwy|STREET|ST|ROAD|RD|LANE|DRIVE|COURT|AVENUE|AVE)\b
+    |\d{{1,5}}[ ](?:[NSEW]\.?[ ])?\d{{1,3}}(?:st|nd|rd|th|ST|ND|RD|TH)[ ](?:Street|St|Avenue|Ave|Road|Rd|Place|Pl|Drive|Dr)\b
     |\d{{1,4}}(?:[ ]?(?:bis|ter|quater|[A-D]))?,?[ ](?:rue|avenue|all[ée]e|boulevard|place|chemin|impasse|quai|cours|route|square|passage|Rue|Avenue|All[ée]e|Boulevard|RUE|AVENUE)[ ](?:(?:de[ ]la|de[ ]l['’]|des|du|de|d['’]|la|le|les)[ ]?)*{_UP}
     |{_UP}(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ring|damm|ufer|steig|gatan|gata|gade|gaten|v[äe]gen|veien|vej|straat|laan|gracht|plein|katu|kuja|STRASSE|WEG)[ ]\d{{1,4}}[ ]?[a-z]?\b
     |(?:Am|An[ ]der|Im|In[ ]der|Auf[ ]der|Unter[ ]den|Zum|Zur)[ ]{_UP}[ ]\d{{1,4}}[a-z]?(?=,[ ]?\d{{4,5}}[ ]{_UP})
@@ -211,22 +289,30 @@ _ADDRESS = re.compile(
 
 
 #: What an address has at its heart, found fast; the whole is looked for around it. The second pattern is for texts that hold one of the endings.
-_HEART = re.compile(r"\d[A-Za-z]?,? (?:[A-ZÀ-Þ][\w.]|bis|ter|quater|rue|avenue|all|boul|place|chemin|impasse|quai|cours|route|square|passage)")
+_HEART = re.compile(r"\d[A-Za-z]?,? (?:[A-ZÀ-Þ][\w.]|[NSEW] |\d{1,3}(?:st|nd|rd|th|ST|ND|RD|TH) |bis|ter|quater|rue|avenue|all|boul|place|chemin|impasse|quai|cours|route|square|passage)")
 _ENDINGS = ("straße ", "strasse ", "Strasse ", "Straße ", "STRASSE ", "str. ", "Str. ", "weg ", "Weg ", "WEG ", "gasse ", "allee ", "Allee ", "platz ", "Platz ", "damm ", "Damm ", "ufer ", "steig ", "ring ", "Ring ",
             "gatan ", "gata ", "gade ", "gaten ", "vägen ", "vegen ", "veien ", "vej ", "straat ", "laan ", "gracht ", "plein ", "katu ", "kuja ", "Am ", "An der ", "In der ", "Auf der ", "Unter den ", "Zum ", "Zur ",
             "Calle ", "C/ ", "Via ", "Viale ", "Piazza ", "Corso ", "Rua ", "Avenida ", "Av. ", "Avda. ", "Carrer ", "Plaza ", "Paseo ", "Travessa ", "ul. ", "Ulica ")
+#: Roles in front of a name in small letters.
+_ROLES = ("author", "Author", "maintainer", "Maintainer", "owner", "Owner", "contact", "Contact", "pilot", "name", "written by", "Written by", "-by")
+_MARKS = _automaton((*_ENDINGS, *_ROLES))
 _NUMBER_LAST = re.compile(r"[^\W\d_.-][.)]?,? (?:n[.ºo°]* ?)?\d")
 
 
-def addresses(t: str) -> Iterator[tuple[int, int]]:
+def marks(t: str) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    """Where, and which, the endings of addresses and the roles of people are: one pass over the text."""
+    found: tuple[list, list] = ([], [])
+    for last, w in _MARKS.iter(t):
+        found[w in _ROLES].append((last + 1 - len(w), w))
+    return found
+
+
+def addresses(t: str, endings: list[tuple[int, str]] | None = None) -> Iterator[tuple[int, int]]:
     hearts = [m.span() for m in _HEART.finditer(t)]
-    for e in _ENDINGS:
-        i = t.find(e)
-        while i >= 0:
-            j = i + len(e)
-            if t[j : j + 1].isdigit() or e[0].isupper() and e not in ("Straße ", "Strasse ", "STRASSE ", "Str. ", "Weg ", "WEG ", "Allee ", "Platz ", "Damm ", "Ring ") and _NUMBER_LAST.search(t, j, j + 48):
-                hearts.append((i, j))
-            i = t.find(e, j)
+    for i, e in marks(t)[0] if endings is None else endings:
+        j = i + len(e)
+        if t[j : j + 1].isdigit() or e[0].isupper() and e not in ("Straße ", "Strasse ", "STRASSE ", "Str. ", "Weg ", "WEG ", "Allee ", "Platz ", "Damm ", "Ring ") and _NUMBER_LAST.search(t, j, j + 48):
+            hearts.append((i, j))
     hearts.sort()
     done = 0
     for a, b in hearts:
@@ -261,8 +347,8 @@ _LOWER = r"[a-zß-öø-ÿ][a-zß-öø-ÿ'’-]+"
 #: What stands before a person's name: credits that name nobody else, and looser ones that also name things. The title isn't part of the name.
 _END = r"""[ ]*,?[ ]*["'*]*[ ]*(?:(?:Dr|Prof|Mr|Mrs|Ms|Ing|Dipl)\.?[ ]+)?\Z"""
 _STRICT = re.compile(
-    rf"""(?:@author|\b(?:co-?)?authors?["'*]*[ ]*[:=]|\b(?:maintainer|pilot|crew|operator|full_?name|reporter|reviewer|assignee|surveyor)s?["'*]*[ ]*(?:[:=]|=>)
-    |\b(?:written|maintained|reported|reviewed|contributed|flown)(?:[ ]since[ ]\d{{4}})?[ ]by|[A-Za-z]+(?:-[a-z]+)?-by[ ]*:){_END}""",
+    rf"""(?:@author|\b(?:co-?)?authors?["'*]*[ ]*[:=]|\b(?:maintainer|pilot|crew|operator|full_?name|reporter|reviewer|assignee|surveyor|signatory|translator|contributor)s?["'*]*[ ]*(?:[:=]|=>)
+    |\b(?:written|maintained|reported|reviewed|contributed|flown|authored|tested|suggested|patch(?:ed)?|approved|signed[ ]off|coded|submitted)(?:[ ]since[ ]\d{{4}})?[ ]by|[A-Za-z]+(?:-[a-z]+)?-by)[ ]*:?{_END}""",
     re.IGNORECASE | re.VERBOSE,
 )
 _LOOSE = re.compile(
@@ -270,6 +356,13 @@ _LOOSE = re.compile(
     |\b(?:created|developed|modified|ported|fixed|added|prepared)[ ]by|(?:copyright|\(c\)|©|&copy;)(?:[ ]*(?:\(c\)|©))?(?:[ ]*\d{{4}}(?:[ ]*[-–,][ ]*\d{{2,4}})*)?(?:[ ]by)?){_END}""",
     re.IGNORECASE | re.VERBOSE,
 )
+#: Rights said to be a person's: the years before or behind the name, or an end of the sentence.
+_RIGHTS = re.compile(rf"(?:copyright|\(c\)|©|&copy;)(?:[ ]*(?:\(c\)|©))?(?:[ ]*(?P<year>\d{{4}})(?:[ ]*[-–,][ ]*\d{{2,4}})*)?,?(?:[ ]by)?{_END}", re.IGNORECASE | re.VERBOSE)
+_RIGHTS_AFTER = re.compile(r"[ ]\d{4}\b|\.?[ ]All[ ]rights|[ ]*[.,]?[ \t]*(?:\*/)?\r?(?:\n|\Z)", re.VERBOSE | re.IGNORECASE)
+_THANKS = re.compile(rf"\b(?:thanks|thank[ ]you|kudos|props)(?:[ ]to)?,?{_END}", re.IGNORECASE | re.VERBOSE)
+#: Between the names of a list.
+_JOINT = re.compile(r"(?:[ ]*[,;&][ ]*|[ ]*,?[ ](?:and|und|et|y|e|og|och|&)[ ]+)\Z")
+_CELL_BEFORE, _CELL_AFTER = re.compile(r"[|;\"',\n\ufeff][ ]?\Z|\A\Z"), re.compile(r"[|;\"',\r\n]|\Z")
 _CREDIT = re.compile(r"[ ]*(?:<[^<>\s]*@|\([^()\s]*@|,?[ ]\[mail\]|[ ](?:asked[ ]for|flew|wrote|reported|reviewed|maintains)\b)", re.VERBOSE)
 _LOWERED = re.compile(rf"(?:@author|\b(?:author|maintainer|owner|contact|pilot|name|written[ ]by|reviewed-by|signed-off-by)[\"'*]*[ ]*:?)[ ]+[\"']?((?:{_LOWER}),?[ ](?:[a-z]\.[ ])?(?:{_LOWER}))(?![\w@.])", re.IGNORECASE | re.VERBOSE)
 _TITLE = frozenset("dr prof mr mrs ms ing".split())
@@ -292,42 +385,97 @@ def _is_given(word: str) -> bool:
     return known
 
 
-def names(t: str) -> Iterator[tuple[int, int]]:
-    """Capitalised phrases whose given name is known, or which a credit or an address next to them shows to be a person."""
-    at = 0
+def names(t: str, mails: list[tuple[int, int]] = [], others: list[tuple[int, int]] = [], homes: list[tuple[int, int]] = [], roles: list[tuple[int, str]] | None = None) -> Iterator[tuple[int, int]]:
+    """Capitalised phrases that their place shows to be a person, or whose given name is a common one.
+
+    Places that tell: a credit before or after, a list that begins with one,
+    an address of mail nearby whose local part has the name's words, and a
+    cell of a line on which something else of a person was found.
+    """
+    at, listed = 0, -1
+    lines: dict[int, str] | None = None
     while m := _PAIR.search(t, at):
         a, at = m.start(), m.end() - 1
         if a and (lead := _LEAD.search(t, max(0, a - 12), a)):
             a = lead.start()
         hit = _CAPITALS.match(t, a) or _CAPITALS.match(t, m.start())
-        if hit and _is_person(t, hit):
+        if not hit:
+            continue
+        kind = _is_person(t, hit)
+        if kind is None and listed >= 0 and hit.start() - listed <= 8 and _JOINT.match(t[listed : hit.start()]):
+            kind = "credit"
+        if kind is None and mails:
+            lines = _mails_by_line(t, mails) if lines is None else lines
+            near = t.count("\n", 0, hit.start()) if len(lines) > 1 else next(iter(lines))
+            if any(_of_mail(hit[0], lines[k]) for k in (near - 1, near, near + 1) if k in lines):
+                kind = "mail"
+        if kind is None and others and _CELL_BEFORE.search(t, max(0, hit.start() - 2), hit.start()) and _CELL_AFTER.match(t, hit.end()) and _on_line(t, hit.start(), others) and not _is_town(t, hit.start(), homes):
+            kind = "cell"
+        if kind:
             yield hit.span()
             at = hit.end()
-    if _ROLES_LOWER.search(t):
-        for m in _LOWERED.finditer(t):
+            listed = at if kind == "credit" else -1
+    for i, w in marks(t)[1] if roles is None else roles:
+        m = _ROLE_LOWER.match(t, i + len(w)) and _LOWERED.search(t, max(0, i - 1), min(len(t), i + 200))
+        if m and m[1].islower():
             words = m[1].replace(",", " ").split()
-            if m[1].islower() and (_is_given(words[0]) or "," in m[1] and _is_given(words[-1])):
+            if _is_given(words[0]) or "," in m[1] and _is_given(words[-1]) or _CREDIT.match(t, m.end(1)):
                 yield m.span(1)
 
 
+def _mails_by_line(t: str, mails: list[tuple[int, int]]) -> dict[int, str]:
+    """The plain local parts of the addresses, by the number of their line."""
+    out: dict[int, str] = {}
+    line, done = 0, 0
+    for a, b in sorted(mails):
+        line += t.count("\n", done, a)
+        done = a
+        out[line] = out.get(line, "") + " " + _plain(t[a:b].partition("@")[0])
+    return out
+
+
+def _of_mail(name: str, local: str) -> bool:
+    """Whether a local part holds two of the name's words, or one of at least five letters."""
+    words = [_plain(w).strip(".'’") for w in re.split(r"[\s,'’-]+", name)]
+    there = [w for w in words if len(w) > 2 and w in local]
+    return len(there) > 1 or any(len(w) > 4 for w in there)
+
+
+def _is_town(t: str, a: int, homes: list[tuple[int, int]]) -> bool:
+    """Whether what starts at a goes on with an address before it, in the same cell."""
+    k = bisect_right(homes, (a, 1 << 60))
+    return k > 0 and not re.search(r"[\"';|\n]", t[homes[k - 1][1] : a])
+
+
+def _on_line(t: str, a: int, others: list[tuple[int, int]]) -> bool:
+    """Whether one of the sorted others lies on the line of a."""
+    k = bisect_right(others, (a, 1 << 60))
+    return k < len(others) and "\n" not in t[a : others[k][0]] or k > 0 and "\n" not in t[others[k - 1][1] : a]
+
+
 #: Two capitalised words, or one and a particle: where a name may be. Family names may have particles in front.
 _PAIR = re.compile(r"[A-ZÀ-ÖØ-Þ](?:[^\W\d_]|['’.-]){0,40},? (?:[A-ZÀ-ÖØ-Þ]|(?:v[ao]n|de[rnl]?|d[iau]|dos|l[ae]|el|bin|ibn|te[nr]|a[fv]|zu|al|ad|as)[ -])")
 _LEAD = re.compile(rf"(?<![\w.@])(?:{_PARTICLE}{{1,2}}|(?:al|el|ad|as)-)\Z")
-_ROLES_LOWER = re.compile(r"(?:@author|[Aa]uthor|[Mm]aintainer|[Oo]wner|[Cc]ontact|pilot|name|[Ww]ritten by|-by)[\"'*]*[ ]*:?[ ]+[\"']?[a-zß-öø-ÿ]+,?[ ][a-zß-öø-ÿ]")
+_ROLE_LOWER = re.compile(r"[\"'*]*[ ]*:?[ ]+[\"']?[a-zß-öø-ÿ]+,?[ ][a-zß-öø-ÿ]")
 
 
-def _is_person(t: str, m: re.Match) -> bool:
+def _is_person(t: str, m: re.Match) -> str | None:
+    """What shows that a phrase is a person's name: credit or given; None if nothing does, or if it is an organisation's."""
     a, b = m.span()
     words = m[0].replace(",", " ").split()
     if words[0].rstrip(".").lower() in _TITLE or any(_plain(w.strip(".")) in ORGANISED for w in words) or _organised_after(t, b):
-        return False
+        return None
     flip = "," in m[0]
     given = words[len(m[0].partition(",")[0].split())] if flip else words[0]
-    if _is_given(given):
-        return True
     initial = any(len(w) == 2 and w[1] == "." for w in words)
-    before = max(0, a - 60)
-    return bool(_CREDIT.match(t, b) or _STRICT.search(t, before, a) and (initial or not flip) or initial and _LOOSE.search(t, before, a))
+    before = _before(t, a)
+    if _CREDIT.match(t, b) or _STRICT.search(t, before, a) and (initial or not flip) or initial and _LOOSE.search(t, before, a):
+        return "credit"
+    if not flip and _RIGHTS.search(t, before, a) and _RIGHTS_AFTER.match(t, b):
+        return "credit"
+    if _THANKS.search(t, before, a) and re.match(r"[ ](?:for|who)\b|[.!,;]", t[b : b + 6]):
+        return "credit"
+    return "given" if _is_given(given) else None
 
 
 _AFTER = re.compile(r"[ ]+([A-Za-z]+)")
@@ -348,7 +496,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     normal = normalise(text)
     t = normal.text
-    found: dict[str, list[tuple[int, int]]] = {"email": list(emails(t)), "id_number": list(labelled_numbers(t)), "phone": list(phones(t)), "address": list(addresses(t)), "name": list(names(t))}
+    endings, roles = marks(t)
+    found: dict[str, list[tuple[int, int]]] = {"email": list(emails(t)), "id_number": list(labelled_numbers(t)), "phone": [*phones(t), *spelled_phones(t, normal.spelled)], "address": list(addresses(t, endings))}
+    found["name"] = list(names(t, found["email"], sorted(x for k in found for x in found[k]), sorted(found["address"]), roles))
     others = found["email"] + found["phone"] + found["address"] + found["name"]
     found["id_number"] += cell_numbers(t, others) if others else []
     taken: list[tuple[int, int]] = []
@@ -359,7 +509,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if (k and taken[k - 1][1] > a) or (k < len(taken) and taken[k][0] < b):
                 continue
             taken.insert(k, (a, b))
-            out.append((kind, normal.back(a), normal.back(b - 1) + 1))
+            out.append((kind, normal.back(a), normal.end(b)))
     return sorted(out, key=lambda x: x[1:])
 
 

@@ -33,13 +33,13 @@ def disguises():
     shut = {"[": "]", "(": ")", "{": "}", "<": ">"}
     for (a, b), pad, word in itertools.product(shut.items(), ("", " ", "\t", "   "), ("at", "@", "dot", "punkt", "point", ".", "plus")):
         yield f"jo{a}{pad}{word}{pad}{b}ex.org"
-    yield from (f"jo{x}ex.org" for x in ("%40", "&#64;", "&commat;", "\\u0040"))
-    yield from (f"jo{g}{a}{h}ex{g}dot{h}org" for g in (" ", "\t", "  ") for h in (" ", "\t") for a in ("at", "AT"))
+    yield from (f"jo{x}ex.org" for x in ("%40", "&#64;", "&#x40;", "&#064;", "&commat;", "\\u0040", "\\x40", "%2e", "&period;", "&#46;", "&plus;"))
+    yield from (f"jo{g}{a}{h}ex{g}dot{h}org" for g in (" ", "\t", "  ") for h in (" ", "\t") for a in ("at", "AT", "At"))
     yield from (f"jo{g}AT{g}ex.org" for g in (" ", "\t", "   "))
     yield from (f"jo@ex{g}dot{g}org" for g in (" ", "\t", "   "))
     yield from (f"a{c}b" for c in [*pii.INVISIBLE, *pii.LOOKALIKES, *(x.swapcase() for x in pii.LOOKALIKES), "\uff01", "\uff5e", "\u00b5"])
     for sep in (" ", ", ", "-", "\n"):
-        yield from (sep.join(words) for words in (["one"] * 7, ["nine", "oh"] * 5, list(pii.DIGITS)[:8], ["\u017feven"] * 8, ["zero"] * 15))
+        yield from (sep.join(words) for words in (["one"] * 7, ["nine", "oh"] * 5, list(pii.DIGITS)[:8], ["\u017feven"] * 8, ["zero"] * 15, ["415", "one", "two", "one", "0151"], ["double", "one", "triple", "two", "nine"] * 2, ["plus", "four", "four", "two", "oh", "7946", "0018"]))
 
 
 def test_normal_text_with_and_without_its_gate(monkeypatch):

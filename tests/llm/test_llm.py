@@ -191,7 +191,23 @@ def items(text):
         ("home: Bornweg 78, 00697 Pellingen | 44 bis rue des Tilleuls, 00050 Norvale | 560 Tessaly Court", [("address", "Bornweg 78"), ("address", "44 bis rue des Tilleuls"), ("address", "560 Tessaly Court")]),
         ("// see room 9, Copper Ridge site, block 9", []),
         ("// tel:+49 30 23125 155 or fax 212-555-0104, 030/23125-067, (415) 555-0151, 01.99.00.85.58, 0491-570-159, 020 7946 0041", [("phone", x) for x in ("+49 30 23125 155", "212-555-0104", "030/23125-067", "(415) 555-0151", "01.99.00.85.58", "0491-570-159", "020 7946 0041")]),
-        ("call four one five, five five five, zero one five one", [("phone", "four one five, five five five, zero one five one")] * 0),
+        ("call four one five, five five five, zero one five one", [("phone", "four one five, five five five, zero one five one")]),
+        ("or zero two zero seven nine four six zero nine five eight!", [("phone", "zero two zero seven nine four six zero nine five eight")]),
+        ("tel. 415-five five five 0151", [("phone", "415-five five five 0151")]),
+        ("plus four nine three oh two three double one two five", [("phone", "plus four nine three oh two three double one two five")]),
+        ("serial number one two three four five six seven eight, steps one, two, three", []),
+        ("ssn: nine seven one two seven two seven three four", [("id_number", "nine seven one two seven two seven three four")]),
+        ("jane [ at ] example.com, jane.doe At example Dot com, jo&#x40;ex.org, jo&#0064;ex&#46;org, &#106;o@ex.org, jo%40ex%2Eorg", [("email", x) for x in ("jane [ at ] example.com", "jane.doe At example Dot com", "jo&#x40;ex.org", "jo&#0064;ex&#46;org", "&#106;o@ex.org", "jo%40ex%2Eorg")]),
+        ("\U0001d423\U0001d428@ex.org, jо@ех.org, \uff4ao@ex.org", [("email", x) for x in ("\U0001d423\U0001d428@ex.org", "jо@ех.org", "\uff4ao@ex.org")]),
+        ("Reviewed by: Thandiwe Mbeki\nThanks Wei Zhang for the data\npatch by Siobhan Okonkwo\n(c) 2019 Thandeka Nkosi\n", [("name", x) for x in ("Thandiwe Mbeki", "Wei Zhang", "Siobhan Okonkwo", "Thandeka Nkosi")]),
+        ("# Authors: Thandiwe Mbeki, Wei Zhang and Siobhan Okonkwo\n# uses the Gauss Newton step", [("name", x) for x in ("Thandiwe Mbeki", "Wei Zhang", "Siobhan Okonkwo")]),
+        ("x = 'Thandiwe Mbeki;thandiwe.mbeki@firm.example;212-555-0104'\ny = 'Delaunay Mesher'", [("name", "Thandiwe Mbeki"), ("email", "thandiwe.mbeki@firm.example"), ("phone", "212-555-0104")]),
+        ("123 5th Ave, then 40 W 23rd Street", [("address", "123 5th Ave"), ("address", "40 W 23rd Street")]),
+        ("id number 123456789", [("id_number", "123456789")]),
+        ("pilot: Lena Voss;" + "x" * 3000 + ";971-07-2734;", [("name", "Lena Voss"), ("id_number", "971-07-2734")]),
+        ("a" * 90 + "@firm.example", [("email", "a" * 90 + "@firm.example")]),
+        ("https://user:" + "p" * 200 + "@firm.example/x", []),
+        ("serial no." + " " * 80 + "4602 7617 1249 and build" + "." * 70 + "415-555-0104", []),
         ("VALUES ('Tara Winter', 'b')", [("name", "Tara Winter")]),
         ("", []),
         (None, []),
