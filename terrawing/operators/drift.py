@@ -1,10 +1,11 @@
 """Problem 3: fields that are added, renamed, removed or retyped between the files of a feed.
 
 Each file's fields and JSON types make its fingerprint. A feed's files in
-the order of recording give its versions; wherever the fingerprint moves,
-every quantity is compared with the file before and each change reported.
-A fingerprint also fixes the migration steps (rename, cast, default) that
-bring the file's records to the one target schema.
+the order of recording give its versions, and each version a chain of
+migration steps (rename, scale, cast, default) that brings a record to the
+one target schema. The chains are the one source of both results: a record is
+routed through its file's chain, and the report compares each file's chain
+with that of the file before.
 """
 
 from __future__ import annotations
@@ -16,46 +17,62 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrawing.runtime import cut, kept, small
+
 #: The target columns and their types.
 TARGET = {"source_index": "int", "t": "double", "lat": "double", "lon": "double", "alt": "double", "yaw": "double", "gimbal_pitch": "double", "kind": "string"}
+#: More (feed, name) pairs than this, of names that only their values tell, are joined with a shuffle.
+MOST_NAMES = 50_000
 #: The kinds of track in the order of their numbers.
 KINDS = ("srt", "csv", "gpx", "kml", "json", "mavlink", "embedded")
-#: Words that name the same thing, and words that only name a unit.
+#: Words that name the same thing, words that add nothing, and units with what a value in them is worth in the target's.
 WORDS = {
     "gb": "gimbal", "cam": "gimbal", "camera": "gimbal", "mount": "gimbal",
-    "heading": "yaw", "hdg": "yaw", "azimuth": "yaw", "bearing": "yaw", "compass": "yaw",
-    "tilt": "pitch",
+    "heading": "yaw", "hdg": "yaw", "azimuth": "yaw", "bearing": "yaw", "compass": "yaw", "psi": "yaw",
+    "tilt": "pitch", "vertical": "pitch",
     "latitude": "lat", "longitude": "lon", "lng": "lon", "long": "lon",
     "altitude": "alt", "height": "alt", "elevation": "alt", "ele": "alt", "elev": "alt",
     "time": "t", "timestamp": "t", "ts": "t",
     "format": "kind", "type": "kind",
-    "idx": "index", "sample": "source",
+    "idx": "index", "sample": "source", "src": "source",
+}
+NEUTRAL = {"true", "magnetic", "drone", "uav", "aircraft", "body", "attitude", "orientation", "position", "pos", "geo", "location", "coord", "coords", "angle", "value"}
+UNITS = {
+    "deg": 1.0, "degree": 1.0, "degrees": 1.0, "rad": 180 / math.pi, "radian": 180 / math.pi, "radians": 180 / math.pi, "m": 1.0, "meters": 1.0, "metres": 1.0, "cm": 0.01, "mm": 0.001, "ft": 0.3048, "feet": 0.3048,
+    "s": 1.0, "sec": 1.0, "seconds": 1.0, "millis": 0.001, "milliseconds": 0.001,
 }
-UNITS = {"deg", "degree", "degrees", "m", "s", "sec", "seconds", "meters", "metres"}
-#: Sets of words, after WORDS, that stand for a target column.
+#: Sets of words, after WORDS and without the neutral ones, that stand for a target column.
 QUANTITIES = {
     frozenset(words.split()): name
     for name, spellings in {
-        "source_index": ("source index", "index"), "t": ("t",), "lat": ("lat", "position lat", "gps lat"), "lon": ("lon", "position lon", "gps lon"),
-        "alt": ("alt", "position alt", "gps alt"), "yaw": ("yaw", "attitude yaw", "drone yaw"), "gimbal_pitch": ("gimbal pitch", "attitude gimbal pitch"),
+        "source_index": ("source index", "index"), "t": ("t",), "lat": ("lat", "gps lat"), "lon": ("lon", "gps lon"), "alt": ("alt", "gps alt"), "yaw": ("yaw",), "gimbal_pitch": ("gimbal pitch",),
         "kind": ("kind", "source kind", "track kind", "file kind", "telemetry kind"),
     }.items()
     for words in spellings
 }
 
 
+def _words(path: str) -> list[str]:
+    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", path)]
+
+
 @lru_cache(maxsize=100_000)
 def quantity(path: str) -> str:
-    """The target column that a field's dotted name stands for, or else the name itself."""
-    words = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", path)
-    words = [w.lower() for w in words]
-    named = frozenset(WORDS.get(w, w) for w in words if w not in UNITS or len(words) == 1)
+    """The target column that a field's dotted name stands for by its words, or else the name itself."""
+    words = _words(path)
+    named = frozenset(WORDS.get(w, w) for w in words if len(words) == 1 or w not in UNITS and w not in NEUTRAL)
     return QUANTITIES.get(named, path)
 
 
+def factor(path: str) -> float:
+    """What a number under a name is worth in the target's unit, by the unit that the name ends with."""
+    words = _words(path)
+    return UNITS.get(words[-1], 1.0) if len(words) > 1 else 1.0
+
+
 def json_type(v: object) -> str:
     if v is None:
         return "null"
@@ -87,31 +104,47 @@ def parse(line: str | None) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
+_FIELD = "struct<quantity: string, name: string, types: array<string>>"
+
+
 def file_schemas(lines: DataFrame, file_id: str, line: str) -> DataFrame:
-    """file_id, fields (sorted array<struct<quantity, name, types>>) and fingerprint of each file with at least one field.
+    """One row per file and field: file_id, name, quantity (by its words), types (sorted array), and its profile.
 
-    A field is in a file if any record carries it, even if only with nulls;
-    null isn't a type. Lines that aren't JSON objects, null and empty lines
-    carry nothing; repeated lines change nothing.
+    The profile is n (records that carry a value), least and most of its
+    numbers, digits (decimals of the finest one) and place (the field's least
+    position in a record). A field is in a file if any record carries it, even
+    if only with nulls; null isn't a type. Lines that aren't JSON objects, null
+    and empty lines carry nothing; repeated lines change nothing but n.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = set()
+            seen: dict[tuple, list] = {}
             for f, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for path, v in flatten(parse(text) or {}):
-                    seen.add((f, path, json_type(v)))
-            rows = list(seen)
+                for place, (path, v) in enumerate(flatten(parse(text) or {})):
+                    at = seen.setdefault((f, path, json_type(v)), [0, math.inf, -math.inf, 0, place])
+                    at[0] += v is not None
+                    at[4] = min(at[4], place)
+                    x = to_number(v)
+                    if x is not None:
+                        at[1], at[2] = min(at[1], x), max(at[2], x)
+                        at[3] = max(at[3], len(repr(x).partition(".")[2].rstrip("0").partition("e")[0]))
+            keys, rows = list(seen), list(seen.values())
             yield pa.RecordBatch.from_pydict({
-                "file_id": pa.array([r[0] for r in rows], pa.int64()), "quantity": pa.array([quantity(r[1]) for r in rows], pa.string()),
-                "name": pa.array([r[1] for r in rows], pa.string()), "type": pa.array([r[2] for r in rows], pa.string()),
+                "file_id": pa.array([k[0] for k in keys], pa.int64()), "quantity": pa.array([quantity(k[1]) for k in keys], pa.string()),
+                "name": pa.array([k[1] for k in keys], pa.string()), "type": pa.array([k[2] for k in keys], pa.string()),
+                "n": pa.array([r[0] for r in rows], pa.int64()), "least": pa.array([r[1] for r in rows], pa.float64()), "most": pa.array([r[2] for r in rows], pa.float64()),
+                "digits": pa.array([r[3] for r in rows], pa.int32()), "place": pa.array([r[4] for r in rows], pa.int32()),
             })
 
-    found = lines.select(F.col(file_id).cast("long").alias("file_id"), F.col(line).alias("line")).mapInArrow(scan, "file_id long, quantity string, name string, type string")
-    # One exchange: a file's rows stay together from the distinct types up to its schema.
-    fields = found.repartition("file_id").groupBy("file_id", "quantity", "name").agg(F.sort_array(F.collect_set(F.when(F.col("type") != "null", F.col("type")))).alias("types"))
-    files = fields.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("quantity", "name", "types"))).alias("fields"))
-    return files.withColumn("fingerprint", F.md5(F.to_json("fields")))
+    found = lines.select(F.col(file_id).cast("long").alias("file_id"), F.col(line).alias("line")).mapInArrow(
+        scan, "file_id long, quantity string, name string, type string, n long, least double, most double, digits int, place int"
+    )
+    # Tasks have merged their own lines already; a file's rows stay together from here to its schema.
+    return found.repartition("file_id").groupBy("file_id", "quantity", "name").agg(
+        F.sort_array(F.collect_set(F.when(F.col("type") != "null", F.col("type")))).alias("types"),
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("digits").alias("digits"), F.min("place").alias("place"),
+    )
 
 
 def before(files: DataFrame, group: str, order: str, row_id: str) -> DataFrame:
@@ -130,66 +163,94 @@ def before(files: DataFrame, group: str, order: str, row_id: str) -> DataFrame:
     return joined.withColumn("previous", F.coalesce("_p", "_carry")).drop("_m", "_p", "_g", "_gm", "_carry")
 
 
-def _of(fields: str, q: Column, what: str) -> Column:
-    """Sorted names or types under which a schema carries a quantity."""
-    own = F.filter(fields, lambda f: f["quantity"] == q)
-    got = F.transform(own, lambda f: f[what])
-    return F.array_sort(F.array_distinct(F.flatten(got) if what == "types" else got))
+def same_quantity(placed: DataFrame, fields: DataFrame, feed: str) -> DataFrame:
+    """feed, name and quantity: names that words don't tell, but what the files show.
 
+    A name stands for a target column if it first comes in a file in which
+    every name of that column goes, or the other way round, never beside it in
+    a file of the feed, at nearly the same place of the record, as often, with
+    the same decimals, and with numbers that go on in the same range. Where
+    two names or two columns would do, none is taken.
+    """
+    own = placed.select(F.col(feed).alias("_feed"), "file_id", "previous").join(fields, "file_id")
+    known = own.where(F.col("quantity").isin(*[q for q, k in TARGET.items() if k != "string"]))
+    other = own.where(F.col("quantity") == F.col("name")).where(~F.col("name").isin(*TARGET)).where("n > 0 and most >= least")
+    a = other.select("_feed", F.col("file_id").alias("fa"), F.col("previous").alias("pa"), "name", *[F.col(c).alias(f"{c}_a") for c in ("n", "least", "most", "digits", "place")])
+    b = known.select(F.col("file_id").alias("fb"), F.col("previous").alias("pb"), F.col("quantity").alias("q"), *[F.col(c).alias(f"{c}_b") for c in ("n", "least", "most", "digits", "place")])
+    # Neighbouring files, in both orders: few fields of one meet few of the other.
+    pairs = a.join(b, F.col("pa") == F.col("fb")).unionByName(a.join(b, F.col("pb") == F.col("fa")))
+    widest = F.greatest(F.col("most_a") - F.col("least_a"), F.col("most_b") - F.col("least_b"))
+    common = F.least("most_a", "most_b") - F.greatest("least_a", "least_b")
+    like = (common > 0) & (common >= 0.4 * widest) & (F.col("digits_a") == F.col("digits_b")) & (F.abs(F.col("place_a") - F.col("place_b")) <= 1) & F.col("n_a").between(F.col("n_b") * 0.5, F.col("n_b") * 2)
+    likely = pairs.where(like).select("_feed", "name", "q").distinct()
+    # Both never stand in one file of the feed.
+    beside = own.select(F.col("_feed").alias("_f1"), "file_id", F.col("name").alias("_n1")).join(own.select("file_id", F.col("quantity").alias("_q1")), "file_id")
+    beside = beside.join(likely, (F.col("_f1") == F.col("_feed")) & (F.col("_n1") == F.col("name")) & (F.col("_q1") == F.col("q")), "left_semi").select(F.col("_f1").alias("_feed"), F.col("_n1").alias("name"), F.col("_q1").alias("q")).distinct()
+    apart = likely.join(beside, ["_feed", "name", "q"], "left_anti")
+    alone = apart.withColumns({"_k": F.count(F.lit(1)).over(Window.partitionBy("_feed", "name")), "_l": F.count(F.lit(1)).over(Window.partitionBy("_feed", "q"))}).where("_k = 1 and _l = 1")
+    return alone.select(F.col("_feed").alias(feed), "name", F.col("q").alias("quantity"))
+
+
+def versions(files: DataFrame, fields: DataFrame, feed: str = "feed_id", recorded: str = "recorded_at") -> DataFrame:
+    """file_id, feed, previous (the file before), fingerprint, starts (whether a version of the feed starts here), fields and steps (JSON) of every file.
+
+    fields is what file_schemas found, held by the caller. Files without any
+    field take part as empty ones. Files recorded at the same time follow each
+    other by file_id.
+    """
+    placed = before(files.select(feed, recorded, "file_id"), feed, recorded, "file_id").select(F.col(feed).cast("long").alias(feed), "file_id", "previous")
+    shown, n = kept(same_quantity(placed, fields, feed), MOST_NAMES)
+    shown = small(shown.select(F.col(feed).alias("_feed"), F.col("name").alias("_name"), F.col("quantity").alias("_q")), MOST_NAMES, n)
+    named = placed.join(fields, "file_id", "left").join(shown, (F.col(feed) == F.col("_feed")) & (F.col("name") == F.col("_name")), "left")
+    field = F.when(F.col("name").isNotNull(), F.struct(F.coalesce("_q", "quantity").alias("quantity"), "name", "types"))
+    whole = named.groupBy(feed, "file_id", "previous").agg(F.sort_array(F.collect_list(field)).cast(f"array<{_FIELD}>").alias("fields")).withColumn("fingerprint", F.md5(F.to_json("fields")))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = [json.dumps(migration([(f["quantity"], f["name"], tuple(f["types"])) for f in fields or []])) for fields in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(steps, pa.string())], [*batch.schema.names, "steps"])
 
-def changes(files: DataFrame, schemas: DataFrame, feed: str = "feed_id", recorded: str = "recorded_at") -> DataFrame:
-    """feed, file_id, field_name, change_kind, and the names and types before and after.
+    chained = whole.select(feed, "file_id", "previous", "fields", "fingerprint").mapInArrow(write, f"{feed} long, file_id long, previous long, fields array<{_FIELD}>, fingerprint string, steps string")
+    chained = cut(files.sparkSession, chained)
+    old = chained.select(F.col("file_id").alias("_pf"), F.col("fingerprint").alias("_fo"), F.col("steps").alias("_so"))
+    both = chained.join(old, F.col("previous") == F.col("_pf"), "left").drop("_pf")
+    return both.withColumn("starts", F.col("previous").isNull() | ~F.col("fingerprint").eqNullSafe(F.col("_fo"))).withColumnsRenamed({"_so": "old_steps"}).drop("_fo")
 
-    Files without any field take part as empty ones. A feed's first file, and
-    a file with the fingerprint of the one before, has no change. Files
-    recorded at the same time follow each other by file_id.
+
+def changes(version: DataFrame, feed: str = "feed_id") -> DataFrame:
+    """feed, file_id, field_name, change_kind, and the names and types before and after: how the chain of each file that starts a version differs from that before.
+
+    A feed's first file has no change.
     """
-    placed = before(files.select(feed, recorded, "file_id"), feed, recorded, "file_id").where("previous is not null")
-    now = schemas.select("file_id", F.col("fields").alias("now"), F.col("fingerprint").alias("_fn"))
-    old = schemas.select(F.col("file_id").alias("previous"), F.col("fields").alias("old"), F.col("fingerprint").alias("_fo"))
-    pair = placed.join(now, "file_id", "left").join(old, "previous", "left").where(~F.col("_fn").eqNullSafe(F.col("_fo")))
-    none = F.array().cast("array<struct<quantity: string, name: string, types: array<string>>>")
-    pair = pair.withColumns({"now": F.coalesce("now", none), "old": F.coalesce("old", none)})
-    every = F.array_distinct(F.transform(F.concat("now", "old"), lambda f: f["quantity"]))
+    kind = "array<struct<op: string, from: string, to: string, types: array<string>>>"
+    pair = version.where("starts and previous is not null").select(feed, "file_id", F.from_json("steps", kind).alias("now"), F.from_json("old_steps", kind).alias("old"))
+    every = F.array_distinct(F.transform(F.concat("now", "old"), lambda s: s["to"]))
     each = pair.withColumn("field_name", F.explode(every))
     q = F.col("field_name")
-    each = each.select(
-        feed, "file_id", "field_name", _of("old", q, "name").alias("old_names"), _of("now", q, "name").alias("new_names"), _of("old", q, "types").alias("old_types"), _of("now", q, "types").alias("new_types")
-    )
+    named = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter(c, lambda s: (s["to"] == q) & s["op"].isin("keep", "rename")), lambda s: s["from"])))
+    typed = lambda c: F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(c, lambda s: (s["to"] == q) & s["op"].isin("keep", "rename")), lambda s: s["types"]))))
+    each = each.select(feed, "file_id", "field_name", named("old").alias("old_names"), named("now").alias("new_names"), typed("old").alias("old_types"), typed("now").alias("new_types"))
     both = (F.size("old_names") > 0) & (F.size("new_names") > 0)
     kinds = F.array(
-        F.when(F.size("old_names") == 0, "added"),
-        F.when(F.size("new_names") == 0, "removed"),
+        F.when((F.size("old_names") == 0) & (F.size("new_names") > 0), "added"),
+        F.when((F.size("new_names") == 0) & (F.size("old_names") > 0), "removed"),
         F.when(both & (F.col("old_names") != F.col("new_names")), "renamed"),
         F.when(both & (F.size("old_types") > 0) & (F.size("new_types") > 0) & (F.col("old_types") != F.col("new_types")), "retyped"),
     )
     return each.withColumn("change_kind", F.explode(F.array_compact(kinds)))
 
 
-def versions(files: DataFrame, schemas: DataFrame, feed: str = "feed_id", recorded: str = "recorded_at") -> DataFrame:
-    """file_id, feed, fingerprint, starts (whether a version of the feed starts here) and steps (JSON) of every file."""
-    placed = before(files.select(feed, recorded, "file_id"), feed, recorded, "file_id")
-    old = schemas.select(F.col("file_id").alias("previous"), F.col("fingerprint").alias("_fo"))
-    whole = placed.join(schemas, "file_id", "left").join(old, "previous", "left")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            steps = [json.dumps(migration([(f["quantity"], f["name"], tuple(f["types"])) for f in fields or []])) for fields in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(steps, pa.string())], [*batch.schema.names[:-1], "steps"])
-
-    rows = whole.select("file_id", F.col(feed).cast("long").alias("feed_id"), "fingerprint", (F.col("previous").isNull() | ~F.col("fingerprint").eqNullSafe(F.col("_fo"))).alias("starts"), "fields")
-    return rows.mapInArrow(write, "file_id long, feed_id long, fingerprint string, starts boolean, steps string")
-
-
 def migration(fields: list[tuple[str, str, tuple[str, ...]]]) -> list[dict]:
-    """The chain of steps from a file's fields to the target: renames first, then casts, then defaults."""
-    steps = [{"op": "rename", "from": name, "to": q} for q, name, _ in fields if name != q]
+    """The chain of steps from a file's fields to the target: each field kept or renamed, then scaled to the target's unit, cast to its type, or set to a default where there is none."""
+    steps = [{"op": "keep" if name == q else "rename", "from": name, "to": q, "types": list(types)} for q, name, types in fields]
     for q, kind in TARGET.items():
-        types = sorted({t for f, _, ts in fields if f == q for t in ts})
-        if not any(f == q for f, _, _ in fields):
+        own = [(name, types) for f, name, types in fields if f == q]
+        if not own:
             steps.append({"op": "default", "to": q, "value": None})
-        elif types and types != [{"string": "string"}.get(kind, "number")]:
-            steps.append({"op": "cast", "to": q, "from": types, "as": kind})
+            continue
+        if kind != "string" and (times := factor(own[0][0])) != 1.0:
+            steps.append({"op": "scale", "to": q, "by": times})
+        steps.append({"op": "cast", "to": q, "types": sorted({t for _, ts in own for t in ts}), "as": kind})
     return steps
 
 
@@ -217,24 +278,39 @@ def to_kind(v: object) -> str | None:
     return v.strip().lower() or None
 
 
+def _whole(x: float | None) -> int | None:
+    return int(x) if x is not None and abs(x) < 2**31 and x == int(x) else None
+
+
+#: What a cast step to a type does.
+CASTS = {"int": lambda v: _whole(to_number(v)), "double": to_number, "string": to_kind}
+_NATIVE = {"int": int, "double": float, "string": str}
+
+
 def migrate(record: dict, steps: list[dict]) -> tuple[dict, dict]:
-    """The target row of a record and what is left over of it, by a file's steps.
+    """The target row of a record and what is left over of it, by a file's steps, in their order.
 
     Of several fields that carry a quantity the first that isn't null counts.
+    What no cast step has brought to a column's type doesn't enter the row.
     """
     flat = dict(flatten(record))
     for s in steps:
+        to = s["to"]
         if s["op"] == "rename" and s["from"] in flat:
             v = flat.pop(s["from"])
-            if flat.get(s["to"]) is None:
-                flat[s["to"]] = v
+            if flat.get(to) is None:
+                flat[to] = v
+        elif s["op"] == "scale" and to in flat:
+            x = to_number(flat[to])
+            flat[to] = None if x is None else x * s["by"]
+        elif s["op"] == "cast" and to in flat:
+            flat[to] = CASTS[s["as"]](flat[to])
         elif s["op"] == "default":
-            flat.setdefault(s["to"], s["value"])
+            flat.setdefault(to, s["value"])
     row = {}
     for q, kind in TARGET.items():
         v = flat.pop(q, None)
-        x = to_kind(v) if kind == "string" else to_number(v)
-        row[q] = (int(x) if abs(x) < 2**31 and x == int(x) else None) if kind == "int" and x is not None else x
+        row[q] = v if type(v) is _NATIVE[kind] else None
     return row, flat
 
 

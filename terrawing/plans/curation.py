@@ -10,7 +10,7 @@ from terrawing.operators.drift import changes, file_schemas, unified, versions
 from terrawing.operators.grid import regular_grid, silences
 from terrawing.operators.rejects import read_csv_lines
 from terrawing.operators.spikes import GPU, TELEMETRY, flag_readings
-from terrawing.runtime import table
+from terrawing.runtime import cut, table
 
 
 #: Added before rounding, so that values with few decimals don't lie on a tie where the last bit decides.
@@ -66,27 +66,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(stated, "mark_id", "track_id", "source_index", "site_tz", "started_ms")
 
 
-def _json_feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _json_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The json lines, and the versions of their files with their migration steps."""
     files = table(spark, sf_dir, "raw_files").where("kind = 'json'").select("file_id", "feed_id", "recorded_at")
     lines = table(spark, sf_dir, "raw_lines").join(files.select("file_id"), "file_id", "left_semi")
-    return files, lines, file_schemas(lines, "file_id", "line")
+    return lines, versions(files, cut(spark, file_schemas(lines, "file_id", "line")))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, _, schemas = _json_feeds(spark, sf_dir)
-    return changes(files, schemas).select("file_id", "field_name", "change_kind")
+    """The report of the migration steps: what differs from the file before."""
+    return changes(_json_lines(spark, sf_dir)[1]).select("file_id", "field_name", "change_kind")
 
 
 def p3_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change with the names and types before and after it."""
-    files, _, schemas = _json_feeds(spark, sf_dir)
-    return changes(files, schemas).select("feed_id", "file_id", "field_name", "change_kind", *[F.array_join(c, "+").alias(c) for c in ("old_names", "new_names", "old_types", "new_types")])
+    got = changes(_json_lines(spark, sf_dir)[1])
+    return got.select("feed_id", "file_id", "field_name", "change_kind", *[F.array_join(c, "+").alias(c) for c in ("old_names", "new_names", "old_types", "new_types")])
 
 
 def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The samples of all json files as one table."""
-    files, lines, schemas = _json_feeds(spark, sf_dir)
-    return unified(lines, versions(files, schemas))
+    """The samples of all json files as one table, by the same steps."""
+    return unified(*_json_lines(spark, sf_dir))
 
 
 def _csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

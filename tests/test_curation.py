@@ -1,6 +1,7 @@
 """The general data-preparation operators against brute force and hand-made cases."""
 
 import datetime as dt
+import json
 import math
 import random
 import time
@@ -247,6 +248,8 @@ def test_quantities_under_other_names():
         assert drift.quantity(name) == "gimbal_pitch"
     for name in ("kind", "source_kind", "trackKind", "format"):
         assert drift.quantity(name) == "kind"
+    for name, q in {"true_heading": "yaw", "psi": "yaw", "yaw_rad": "yaw", "orientation.yaw": "yaw", "gimbal.vertical_angle": "gimbal_pitch", "gimbal_pitch_angle": "gimbal_pitch", "position.geo.lat": "lat", "src_idx": "source_index"}.items():
+        assert drift.quantity(name) == q
     for name in ("battery_pct", "wind_ms", "sats", "pitch", "gimbal_yaw"):
         assert drift.quantity(name) == name
 
@@ -257,13 +260,35 @@ def test_changes_between_files(spark):
         (1, 0, '{"t": 1, "yaw": 3, "x": null}'), (2, 0, '{"t": 1.5, "attitude": {"yaw": "3"}}'), (2, 0, '{"t": 1.5, "attitude": {"yaw": "3"}}'), (2, 1, "not json"), (2, 2, None),
         (3, 0, '{"t": 1, "attitude": {"yaw": null}, "x": 1}'), (4, 0, '{"t": "1", "attitude": {"yaw": 1}, "x": 2}'), (5, 0, '{"q": 1}'),
     ]
-    schemas = drift.file_schemas(table(spark, lines, "file_id long, line_no int, line string"), "file_id", "line")
-    got = {(r["file_id"], r["field_name"], r["change_kind"]) for r in drift.changes(files, schemas).collect()}
+    table_ = table(spark, lines, "file_id long, line_no int, line string")
+    version = drift.versions(files, drift.file_schemas(table_, "file_id", "line"))
+    got = {(r["file_id"], r["field_name"], r["change_kind"]) for r in drift.changes(version).collect()}
     assert got == {(2, "yaw", "renamed"), (2, "yaw", "retyped"), (2, "x", "removed"), (3, "x", "added"), (4, "t", "retyped"), *[(6, q, "removed") for q in ("t", "yaw", "x")]}
-    rows = {(r["file_id"], r["line_no"]): r for r in drift.unified(table(spark, lines, "file_id long, line_no int, line string"), drift.versions(files, schemas)).collect()}
+    rows = {(r["file_id"], r["line_no"]): r for r in drift.unified(table_, version).collect()}
     assert len(rows) == 5 and rows[(2, 0)]["yaw"] == 3.0 and rows[(4, 0)]["t"] == 1.0 and rows[(1, 0)]["kind"] is None
 
 
+def test_names_that_only_their_values_tell(spark):
+    """chi goes on where yaw ends, and back; battery and fuel only change places with nothing like them."""
+    files = table(spark, [(i, 1, dt.datetime(2024, 1, i)) for i in range(1, 7)], "file_id long, feed_id long, recorded_at timestamp")
+    record = lambda i, k: {"t": float(k), "chi" if i in (3, 4) else "yaw": 100.5 + k, **({"alt": 50.25 + k} if i < 5 else {}), "load" if i % 2 else "rpm": 3000 + 7 * k if i % 2 else 51.5}
+    lines = [(i, k, json.dumps(record(i, k))) for i in range(1, 7) for k in range(12)]
+    table_ = table(spark, lines, "file_id long, line_no int, line string")
+    version = drift.versions(files, drift.file_schemas(table_, "file_id", "line"))
+    got = {(r["file_id"], r["field_name"], r["change_kind"]) for r in drift.changes(version).collect()}
+    swaps = {(i, q, kind) for i in range(2, 7) for q, kind in ((("rpm", "added"), ("load", "removed")) if i % 2 == 0 else (("load", "added"), ("rpm", "removed")))}
+    assert got == swaps | {(3, "yaw", "renamed"), (5, "yaw", "renamed"), (5, "alt", "removed")}
+    assert {r["yaw"] for r in drift.unified(table_, version).where("file_id = 3").collect()} == {100.5 + k for k in range(12)}
+
+
+def test_steps_are_what_a_record_goes_through():
+    steps = drift.migration([("yaw", "yaw_rad", ("string",)), ("kind", "kind", ("number",)), ("source_index", "src_idx", ("number",))])
+    row, rest = drift.migrate({"yaw_rad": "1.5", "kind": 1, "src_idx": 4.0, "z": 1}, steps)
+    assert row["yaw"] == pytest.approx(1.5 * 180 / math.pi) and row["kind"] == "csv" and row["source_index"] == 4 and rest == {"z": 1} and row["lat"] is None
+    bare, _ = drift.migrate({"yaw_rad": "1.5", "kind": 1, "src_idx": 4.0, "z": 1}, [s for s in steps if s["op"] != "cast"])
+    assert bare["kind"] is None and bare["source_index"] is None
+
+
 def test_values_of_other_types():
     assert [drift.to_number(x) for x in ("-89.6 deg", [3.5], "12°", True, None, "x", [1, 2], "1e400", float("inf"))] == [-89.6, 3.5, 12.0, None, None, None, None, None, None]
     assert [drift.to_kind(x) for x in (0, 4, ["csv"], " SRT ", 9, None)] == ["srt", "json", "csv", "srt", None, None]
