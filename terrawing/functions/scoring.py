@@ -32,9 +32,9 @@ def colour_16bit(c: Column) -> Column:
 
 
 def rate_label(done: Column, total: Column, elapsed: Column) -> Column:
-    """done/total chunks, rate per minute and, while some are left, the time still to come."""
-    rate = F.when(elapsed > 0, done / elapsed * 60.0).otherwise(0.0)
-    eta = F.when((done > 0) & (done < total), F.format_string(", ETA %.0fs", (total - done) * (elapsed / done))).otherwise("")
+    """done/total chunks, rate per minute and, while some are left, the time still to come. A rate on a rounding tie is rounded up, whatever its last bit."""
+    rate = F.when(elapsed > 0, done / elapsed * 60.0 + 1e-9).otherwise(0.0)
+    eta = F.when((done > 0) & (done < total), F.format_string(", ETA %.0fs", (total - done) * (elapsed / done) + 1e-9)).otherwise("")
     return F.concat(F.format_string("%d/%d chunks, %.1f/min", done, total, rate), eta)
 
 

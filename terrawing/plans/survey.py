@@ -700,7 +700,8 @@ def target_size(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", tw.alias("tw"), th.alias("th"), F.round(f, 4).alias("f"), cx.alias("cx"))
 
 
-@query("select event_id, event_id % 7 || '/' || 7 || ' chunks, ' || printf('%.1f', (event_id % 7) / (value + 1) * 60) || '/min' as label from events where event_id % 7 = 0")
+@query("""select event_id, event_id % 7 || '/' || 7 || ' chunks, ' || printf('%.1f', (event_id % 7) / (value + 1) * 60 + 1e-9) || '/min' ||
+    case when event_id % 7 > 0 then printf(', ETA %.0fs', (7 - event_id % 7) * ((value + 1) / (event_id % 7)) + 1e-9) else '' end as label from events""")
 def rate_labels(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select("event_id", scoring.rate_label(F.col("event_id") % 7, F.lit(7).cast("bigint"), F.col("value") + 1).alias("label"))
@@ -761,7 +762,7 @@ def normals_pca(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sources, sinks
 
-_TEXTS = "(select distinct track_id, source_index, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 2) as alt from telemetry where source_index < 200 and abs(lat) <= 90 and abs(lon) <= 180)"
+_TEXTS = "(select distinct track_id, source_index, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 2) as alt from telemetry where abs(lat) <= 90 and abs(lon) <= 180)"
 
 
 #: source_index values per text file of a track; a long track is written as several files.
@@ -868,7 +869,7 @@ def _media(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query("""with t as (select track_id, '/in/d' || track_id % 40 as dir, '/in/d' || track_id % 40 || '/v' || track_id as stem, case kind when 'mavlink' then 'tlog' when 'embedded' then 'SRT' else kind end as e from tracks),
-    v as (select stem || '.MP4' as path, dir, stem from t where track_id % 3 = 0), f as (select stem || '.' || e as path, dir, stem, e from t where track_id % 3 < 2),
+    v as (select stem || '.MP4' as path, dir, stem from t), f as (select stem || '.' || e as path, dir, stem, e from t),
     c as (select v.path, f.path as tp, case when f.stem = v.stem then 0 when lower(f.e) = 'srt' then 1 else 2 end as p from v join f on f.stem = v.stem or f.dir = v.dir), b as (select path, arg_min(tp, (p, tp)) as tp from c group by path)
     select v.path, tp as telemetry_path, case lower(regexp_extract(tp, '\\.([^./]+)$', 1)) when 'tlog' then 'mavlink' else lower(regexp_extract(tp, '\\.([^./]+)$', 1)) end as kind from v left join b using (path)""")
 def match_telemetry(spark: SparkSession, d: str) -> DataFrame:
