@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrawing.operators.blocks import numbered
+
 
 def overlapping(frames: DataFrame, size: int = 50, overlap: int = 10, track: str = "track_id", order: str = "frame_index") -> DataFrame:
     """One row per frame and chunk: chunk_idx, view_pos and chunk_len.
@@ -13,8 +15,7 @@ def overlapping(frames: DataFrame, size: int = 50, overlap: int = 10, track: str
     that reaches the end, and may be short.
     """
     step = max(size - overlap, 1)
-    w = Window.partitionBy(track)
-    rows = frames.withColumns({"_k": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    rows = numbered(frames, [track], [order], "_k").withColumnRenamed("_total", "_n")
     last = F.greatest(F.ceil((F.col("_n") - size) / step), F.lit(0)).cast("int")
     low = F.greatest(F.ceil((F.col("_k") - size + 1) / step), F.lit(0)).cast("int")
     rows = rows.withColumn("_last", last).withColumn("chunk_idx", F.explode(F.sequence(low, F.least(F.floor(F.col("_k") / step).cast("int"), F.col("_last")))))

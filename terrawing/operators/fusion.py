@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrawing.operators.quantiles import exact_quantiles
 from terrawing.runtime import cut
 
 #: Bits per axis of a packed voxel key, and the origin's offset.
@@ -77,12 +78,14 @@ def down_sampled(points: DataFrame, size: float) -> DataFrame:
 
 def above_median(points: DataFrame, column: str = "conf") -> DataFrame:
     """Points whose value exceeds the exact median of all."""
-    return points.join(F.broadcast(points.agg(F.median(column).alias("_m"))), F.lit(True)).where(F.col(column) > F.col("_m")).drop("_m")
+    m = exact_quantiles(points, column, {"_m": 0.5}).select("_m")
+    return points.join(F.broadcast(m), F.lit(True)).where(F.col(column) > F.col("_m")).drop("_m")
 
 
 def at_least_quantile(points: DataFrame, column: str, share: float) -> DataFrame:
     """Points whose value isn't below the exact quantile of all."""
-    return points.join(F.broadcast(points.agg(F.percentile(column, F.lit(share)).alias("_q"))), F.lit(True)).where(F.col(column) >= F.col("_q")).drop("_q")
+    q = exact_quantiles(points, column, {"_q": share}).select("_q")
+    return points.join(F.broadcast(q), F.lit(True)).where(F.col(column) >= F.col("_q")).drop("_q")
 
 
 def near_pairs(queries: DataFrame, points: DataFrame, cell: float, query_id: str, point_id: str) -> DataFrame:
@@ -98,31 +101,65 @@ def near_pairs(queries: DataFrame, points: DataFrame, cell: float, query_id: str
     return joined.select("query", "point", d.alias("distance"))
 
 
-def nearest_points(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, cell: float, rounds: int = 40) -> DataFrame:
+#: Points that a cell of the first round may hold; the cells start so small that none holds more.
+MOST_IN_CELL = 256
+
+
+def _finite(df: DataFrame) -> DataFrame:
+    keep = F.lit(True)
+    for c in "xyz":
+        keep = keep & (F.abs(F.col(c)) < float("inf"))  # null and NaN fail as well
+    return df.where(keep)
+
+
+def _fine_cell(places: DataFrame, cell: float) -> float:
+    """The given width, halved until no cell holds more than MOST_IN_CELL places, which are all different."""
+    while True:
+        fullest = places.groupBy(*[F.floor(F.col(c) / cell) for c in "xyz"]).count().agg(F.max("count")).first()[0] or 0
+        if fullest <= MOST_IN_CELL or cell < 1e-9:
+            return cell
+        cell /= 2
+
+
+def nearest_points(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, cell: float) -> DataFrame:
     """query, point, distance, rank of the k nearest points of each query, itself included if it is one; ties go to the smaller id.
 
     Points are looked for in a grid whose cells double until each query has k
     of them within one cell's width, which proves them nearest. Queries still
     open go on to the next round, so one sparse corner doesn't widen the
-    search everywhere. Queries for which the whole cloud holds fewer than k
-    points get what there is.
+    search everywhere; the rounds end when none is open, which the cell as wide
+    as the cloud makes sure of. The first width is halved until cells are
+    small, so a dense corner isn't searched pair by pair. Equal places are
+    searched once, and of the points at one place only the k smallest ids can
+    be among the nearest. Queries for which the whole cloud holds fewer than k
+    points get what there is; queries and points whose place isn't finite have
+    and give no result.
     """
-    total = points.limit(k).count()
-    want = min(k, total)
-    done, open_ = None, cut(points.sparkSession, queries.select(query_id, "x", "y", "z"))
+    spark = points.sparkSession
+    asked = _finite(queries.select(F.col(query_id).alias("query"), *[(F.col(c) + 0.0).alias(c) for c in "xyz"]))
+    given = _finite(points.select(F.col(point_id).alias("point"), *[(F.col(c) + 0.0).alias(c) for c in "xyz"]))
+    at = Window.partitionBy(*"xyz").orderBy("point")
+    # Per salted part of a place first, so that a place that holds a third of all points isn't sorted in one task.
+    part = Window.partitionBy(*"xyz", F.pmod(F.xxhash64("point"), F.lit(64))).orderBy("point")
+    given = given.withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= k).withColumn("_k", F.row_number().over(at)).where(F.col("_k") <= k).drop("_k")
+    given = cut(spark, given)
+    want = min(k, given.limit(k).count())
+    places = cut(spark, asked.select(*"xyz").distinct().withColumn("place", F.monotonically_increasing_id()))
+    cell = _fine_cell(given.select(*"xyz").distinct(), cell)
     w = Window.partitionBy("query").orderBy("distance", "point")
-    for _ in range(rounds):
-        ranked = cut(points.sparkSession, near_pairs(open_, points, cell, query_id, point_id).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want))
+    done, open_ = None, places
+    while want and open_.limit(1).count():
+        ranked = cut(spark, near_pairs(open_, given, cell, "place", "point").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want))
         sure = ranked.groupBy("query").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_far")).where((F.col("_n") >= want) & (F.col("_far") <= cell)).select("query")
         part = ranked.join(sure, "query", "left_semi")
         done = part if done is None else done.unionByName(part)
-        open_ = open_.join(sure, open_[query_id] == sure["query"], "left_anti")
-        if open_.limit(1).count() == 0:
-            break
-        cell *= 2
         # Another round only sees what is open: the lineage of the rounds before ends here.
-        open_ = cut(points.sparkSession, open_)
-    return done
+        open_ = cut(spark, open_.join(sure, open_["place"] == sure["query"], "left_anti"))
+        cell *= 2
+    if done is None:
+        return asked.limit(0).join(given.limit(0).select("point"), F.lit(True)).select("query", "point", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+    found = places.join(done.withColumnRenamed("query", "place"), "place").drop("place")
+    return asked.join(found, ["x", "y", "z"]).select("query", "point", "distance", "rank")
 
 
 def mean_distances(points: DataFrame, k: int, point_id: str, cell: float) -> DataFrame:

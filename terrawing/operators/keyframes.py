@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrawing.operators.blocks import numbered
+from terrawing.operators.quantiles import exact_quantiles
 from terrawing.operators.segments import segments
 
 
 def sharpness_gate(frames: DataFrame, track: str = "track_id", share: float = 0.15) -> DataFrame:
     """Adds ``floor``, the track's exact sharpness quantile, and ``sharp``: whether the frame isn't below it (ties pass)."""
-    floors = frames.groupBy(track).agg(F.percentile("sharpness", F.lit(share)).alias("floor"))
+    floors = exact_quantiles(frames, "sharpness", {"floor": share}, [track]).drop("n")
     return frames.join(floors, track).withColumn("sharp", F.col("sharpness") >= F.col("floor"))
 
 
@@ -50,14 +52,12 @@ def stride_gate(frames: DataFrame, track: str = "track_id", order: str = "frame_
     """Adds ``kept``: of the frames of a track every stride-th, from the first; all if there are at most stride. stride is at least 2."""
     if stride < 2:
         raise ValueError("stride must be at least 2")
-    w = Window.partitionBy(track)
-    return frames.withColumns({"_k": F.row_number().over(w.orderBy(order)), "_n": F.count(F.lit(1)).over(w)}).withColumn("kept", (F.col("_n") <= stride) | (F.col("_k") % stride == 1)).drop("_k", "_n")
+    return numbered(frames, [track], [order], "_k").withColumn("kept", (F.col("_total") <= stride) | (F.col("_k") % stride == 0)).drop("_k", "_total")
 
 
 def thin_even(frames: DataFrame, most: int, track: str = "track_id", order: str = "frame_index") -> DataFrame:
     """At most so many frames of a track, evenly spread: those at int(i * n / most)."""
-    w = Window.partitionBy(track)
-    rows = frames.withColumns({"_k": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    rows = numbered(frames, [track], [order], "_k").withColumnRenamed("_total", "_n")
     # Frame k is the one of pick i = ceil(k * most / n) if int(i * n / most) is k.
     step = F.col("_n") / F.lit(most).cast("double")
     i = F.ceil(F.col("_k") / step)
@@ -67,8 +67,7 @@ def thin_even(frames: DataFrame, most: int, track: str = "track_id", order: str
 
 def pick_even(frames: DataFrame, most: int, track: str = "track_id", order: str = "frame_index") -> DataFrame:
     """The first so many of every max(1, n // most)-th frame."""
-    w = Window.partitionBy(track)
-    rows = frames.withColumns({"_k": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    rows = numbered(frames, [track], [order], "_k").withColumnRenamed("_total", "_n")
     every = F.greatest(F.lit(1), F.floor(F.col("_n") / most).cast("int"))
     return rows.where((F.col("_k") % every == 0) & (F.col("_k") / every < most)).drop("_k", "_n")
 
@@ -80,18 +79,19 @@ def sampled(frames: DataFrame, fps: float, target: float, index: str = "frame_in
 
 def first_frames(frames: DataFrame, most: int, track: str = "track_id", order: str = "frame_index") -> DataFrame:
     """The decoder's cap: the first so many frames of each track."""
-    return frames.withColumn("_k", F.row_number().over(Window.partitionBy(track).orderBy(order))).where(F.col("_k") <= most).drop("_k")
+    return numbered(frames, [track], [order], "_k").where(F.col("_k") < most).drop("_k", "_total")
 
 
 def held_out(frames: DataFrame, keyframe: Column, windows: int = 15, apart: int = 5, track: str = "track_id", order: str = "frame_index") -> DataFrame:
     """The sharpest frame of each of so many windows among those at least ``apart`` positions from every keyframe; ties go to the earliest."""
-    w = Window.partitionBy(track)
-    rows = frames.withColumn("_key", keyframe).withColumns({"pos": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    near = w.orderBy("pos").rowsBetween(-(apart - 1), apart - 1)
-    free = rows.withColumn("_near", F.max(F.col("_key").cast("int")).over(near)).where("_near = 0")
-    free = free.withColumn("window", F.floor(((F.col("pos") + 1) * windows - 1) / F.col("_n")).cast("int"))
-    best = Window.partitionBy(track, "window").orderBy(F.desc("sharpness"), "pos")
-    return free.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "_key", "_n", "_near")
+    rows = numbered(frames.withColumn("_key", keyframe), [track], [order], "pos")
+    taken = rows.where("_key").select(F.col(track).alias("_t"), F.explode(F.sequence(F.col("pos") - (apart - 1), F.col("pos") + (apart - 1))).alias("_p")).distinct()
+    free = rows.join(taken, F.col(track).eqNullSafe(F.col("_t")) & (F.col("pos") == F.col("_p")), "left_anti")
+    free = free.withColumn("window", F.floor(((F.col("pos") + 1) * windows - 1) / F.col("_total")).cast("int")).drop("_key", "_total")
+    # One row per window from each partition meets the others'.
+    place = F.struct(F.coalesce("sharpness", F.lit(float("-inf"))).alias("s"), (-F.col("pos")).alias("p"))
+    best = free.groupBy(track, "window").agg(F.max_by(F.struct(*[c for c in free.columns if c not in (track, "window")]), place).alias("_b"))
+    return best.select(track, "window", "_b.*")
 
 
 def laplacian_variance(pixels: np.ndarray) -> float:

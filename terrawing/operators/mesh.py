@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrawing.operators.fusion import nearest_points
+from terrawing.operators.quantiles import exact_quantiles
 from terrawing.runtime import cut
 
 #: Meshing methods in the order in which they are preferred.
@@ -17,11 +19,11 @@ METHODS = ("tsdf", "poisson", "ball_pivot", "delaunay")
 
 def without_long_edges(faces: DataFrame, share: float = 0.95, times: float = 2.0) -> DataFrame:
     """Faces whose longest edge is at most ``times`` the quantile of all longest edges (1e-6 at least)."""
-    q = faces.agg(F.greatest(times * F.percentile("max_edge", F.lit(share)), F.lit(1e-6)).alias("_q"))
+    q = exact_quantiles(faces, "max_edge", {"_p": share}).select(F.greatest(times * F.col("_p"), F.lit(1e-6)).alias("_q"))
     return faces.join(F.broadcast(q), F.lit(True)).where(F.col("max_edge") <= F.col("_q")).drop("_q")
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of an undirected graph (a, b).
 
     Each round, a node takes the smallest label around it, and then that
@@ -32,7 +34,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     both = cut(spark, edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
     labels = cut(spark, labels)
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         mine = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "m").alias("low"))
         jump = labels.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
@@ -41,7 +43,6 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         labels = new.drop("moved")
         if not moved:
             return labels
-    raise RuntimeError("the labels still move; allow more rounds")
 
 
 def large_components(edges: DataFrame, least: int = 50, share: float = 0.005) -> DataFrame:
@@ -91,11 +92,11 @@ def normals(points: DataFrame, near: DataFrame, point_id: str) -> DataFrame:
     return points.join(solved, points[point_id] == solved["query"]).drop("query")
 
 
-def towards_camera(normals: DataFrame, cameras: DataFrame, point_id: str) -> DataFrame:
-    """Normals (nx, ny, nz) turned to the side of the nearest of a run's (few) cameras."""
-    d = sum(((F.col(c) - F.col(f"c{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("cx")) ** 2)
-    cam = cameras.select("camera_id", *[F.col(c).alias(f"c{c}") for c in "xyz"])
-    near = normals.join(F.broadcast(cam), F.lit(True)).groupBy(point_id).agg(F.min_by(F.struct("cx", "cy", "cz"), F.struct(d.alias("d"), F.col("camera_id"))).alias("_c"))
-    joined = normals.join(near, point_id)
-    toward = sum((F.col(f"n{c}") * (F.col(f"_c.c{c}") - F.col(c)) for c in "yz"), F.col("nx") * (F.col("_c.cx") - F.col("x")))
-    return joined.withColumn("_s", F.when(toward < 0, -1.0).otherwise(1.0)).withColumns({f"n{c}": F.col(f"n{c}") * F.col("_s") for c in "xyz"}).drop("_c", "_s")
+def towards_camera(normals: DataFrame, cameras: DataFrame, point_id: str, cell: float = 16.0) -> DataFrame:
+    """Normals (nx, ny, nz) turned to the side of the nearest camera, of equally near ones that of the smallest camera_id."""
+    near = nearest_points(normals, cameras, 1, point_id, "camera_id", cell).select(F.col("query").alias("_q"), F.col("point").alias("_cam"))
+    cam = cameras.select(F.col("camera_id").alias("_id"), *[F.col(c).alias(f"_c{c}") for c in "xyz"])
+    joined = normals.join(near, F.col(point_id) == F.col("_q")).join(cam, F.col("_cam") == F.col("_id"))
+    toward = sum((F.col(f"n{c}") * (F.col(f"_c{c}") - F.col(c)) for c in "yz"), F.col("nx") * (F.col("_cx") - F.col("x")))
+    turned = joined.withColumn("_s", F.when(toward < 0, -1.0).otherwise(1.0)).withColumns({f"n{c}": F.col(f"n{c}") * F.col("_s") for c in "xyz"})
+    return turned.drop("_q", "_cam", "_id", "_cx", "_cy", "_cz", "_s")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrawing.operators.quantiles import exact_quantiles
+from terrawing.runtime import cut
+
 
 def rasterise(points: DataFrame, cell: float, bands: dict[str, Column]) -> DataFrame:
     """row, col, each band's aggregate and n; row 0 is the northernmost. Further columns width and height hold the grid's size."""
@@ -36,6 +39,7 @@ def unobserved(cells: DataFrame) -> DataFrame:
 
 def stretched(cells: DataFrame, band: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Adds ``shade``: the band clipped to its quantiles and scaled to 0..1; null if they are equal."""
-    q = cells.agg(F.percentile(band, F.lit(low)).alias("_lo"), F.percentile(band, F.lit(high)).alias("_hi"))
+    cells = cut(cells.sparkSession, cells)
+    q = exact_quantiles(cells, band, {"_lo": low, "_hi": high}).select("_lo", "_hi")
     clipped = F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col(band)))
     return cells.join(F.broadcast(q), F.lit(True)).withColumn("shade", F.try_divide(clipped - F.col("_lo"), F.col("_hi") - F.col("_lo"))).drop("_lo", "_hi")

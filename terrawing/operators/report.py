@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrawing.operators.blocks import neighbours
+
 #: Words of a message that tell of a way round, and the events that decide a stage's status.
 FALLBACK_WORDS = ("fallback", "falling back", "unavailable", "skip")
 STAGE_EVENTS = ("start", "done", "fallback", "error")
@@ -48,11 +50,12 @@ def fold_stages(events: DataFrame) -> DataFrame:
 
     pending becomes running at a start, done, fallback or error after it; a
     fallback only counts while the stage runs; done overwrites a fallback.
-    Expressed by the last event that decides, no state has to be kept.
+    Expressed by the last event that decides, no state has to be kept. Events
+    without time are left out.
     """
-    w = Window.partitionBy("stage").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    # What a fallback meets: the last start, done or error before it.
-    rows = events.where(F.col("kind").isin(*STAGE_EVENTS)).withColumn("_met", F.last(F.when(F.col("kind").isin("start", "done", "error"), F.col("kind")), ignorenulls=True).over(w))
+    # What a fallback meets: the last start, done or error before it. A stage may hold a third of the log, so it is looked for in blocks of time.
+    decides = F.when(F.col("kind").isin("start", "done", "error"), F.col("kind"))
+    rows = neighbours(events.where(F.col("kind").isin(*STAGE_EVENTS)), ["stage"], "ts", ["seq"], decides).withColumnRenamed("_prev", "_met").drop("_next")
     fell = F.when((F.col("kind") == "fallback") & (F.col("_met") == "start"), F.lit("fallback"))
     said = F.when(F.col("kind") == "start", "running").when(F.col("kind") == "done", "done").when(F.col("kind") == "error", "error").otherwise(fell)
     return rows.withColumn("_said", said).groupBy("stage").agg(
@@ -63,8 +66,9 @@ def fold_stages(events: DataFrame) -> DataFrame:
 
 def stalls(events: DataFrame, group: str, time: str, least_s: float = 60.0) -> DataFrame:
     """Gaps of at least least_s seconds between consecutive events of a group: group, since, until, gap_s."""
-    w = Window.partitionBy(group).orderBy(time)
-    return events.withColumn("_p", F.lag(time).over(w)).where(F.col(time) - F.col("_p") >= least_s).select(group, F.col("_p").alias("since"), F.col(time).alias("until"), (F.col(time) - F.col("_p")).alias("gap_s"))
+    rows = neighbours(events.select(group, time), [group], time, [], F.col(time))
+    gap = F.col("_next") - F.col(time)
+    return rows.where(gap >= least_s).select(group, F.col(time).alias("since"), F.col("_next").alias("until"), gap.alias("gap_s"))
 
 
 def newest(rows: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrawing.operators.blocks import neighbours
+from terrawing.operators.blocks import neighbours, numbered
 
 ANGLES = ["yaw", "pitch", "roll", "gimbal_yaw", "gimbal_pitch", "gimbal_roll"]
 VALUES = ["lat", "lon", "alt", *ANGLES]
@@ -53,10 +53,10 @@ def nearest_sample(samples: DataFrame, frames: DataFrame, track: str = "track_id
 
 def proportional(samples: DataFrame, frames: DataFrame, track: str = "track_id", frame_id: str = "frame_index", values: list[str] = VALUES) -> DataFrame:
     """For tracks without clock: frame i of m lies at sample i / (m - 1) * (n - 1), between two samples interpolated."""
-    number = lambda df, by: df.withColumn("_i", F.row_number().over(Window.partitionBy(track).orderBy(by)) - 1)
-    s, f = number(samples, "source_index"), number(frames, frame_id)
-    n, m = samples.groupBy(track).agg(F.count(F.lit(1)).alias("_n")), frames.groupBy(track).agg(F.count(F.lit(1)).alias("_m"))
-    f = f.join(n, track).join(m, track).withColumn("_x", F.col("_i") / F.greatest(F.col("_m") - 1, F.lit(1)) * (F.col("_n") - 1))
+    s = numbered(samples, [track], ["source_index"], "_i").drop("_total")
+    f = numbered(frames, [track], [frame_id], "_i").withColumnRenamed("_total", "_m")
+    n = samples.groupBy(track).agg(F.count(F.lit(1)).alias("_n"))
+    f = f.join(n, track).withColumn("_x", F.col("_i") / F.greatest(F.col("_m") - 1, F.lit(1)) * (F.col("_n") - 1))
     f = f.withColumns({"_lo": F.floor("_x").cast("int"), "_hi": F.least(F.floor("_x").cast("int") + 1, (F.col("_n") - 1).cast("int"))})
     a = s.select(F.col(track).alias("_ta"), F.col("_i").alias("_ia"), *[F.col(v).alias(f"_a_{v}") for v in values])
     b = s.select(F.col(track).alias("_tb"), F.col("_i").alias("_ib"), *[F.col(v).alias(f"_b_{v}") for v in values])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrawing.operators import align, fusion, keyframes, mesh, report, scorecard, sync, views
+from terrawing.operators import align, fusion, keyframes, mesh, quantiles, report, scorecard, sync, views
 from terrawing.sources import files, sinks, telemetry
 from terrawing.streaming import bus
 
@@ -185,3 +185,34 @@ def test_streams_agree_with_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(points.schema).parquet(str(tmp_path / "pts"))
     bus.run_once(bus.fused_increments(stream, 1.0), "t_fused", "complete", str(tmp_path / "ck3"))
     assert spark.table("t_fused").collect()[0]["n"] == 3
+
+
+def test_exact_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    values = {"a": rng.normal(size=40_000), "b": rng.integers(0, 5, 20_000).astype(float), "c": np.array([3.0]), "d": np.concatenate([np.zeros(30_000), rng.random(50)]), None: rng.random(7)}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("a", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = {"q0": 0.0, "q15": 0.15, "q50": 0.5, "q90": 0.9, "q98": 0.98, "q1": 1.0}
+    got = {r["g"]: r for r in quantiles.exact_quantiles(df, "x", shares, ["g"]).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert got[k]["n"] == len(v) and np.allclose([got[k][q] for q in shares], np.quantile(v, list(shares.values())), atol=1e-12)
+    (whole,) = quantiles.exact_quantiles(df, "x", shares).collect()
+    assert np.allclose([whole[q] for q in shares], np.quantile(np.concatenate(list(values.values())), list(shares.values())), atol=1e-12)
+    assert quantiles.exact_quantiles(df.limit(0), "x", shares).count() == 0
+
+
+def test_nearest_points_of_odd_clouds(spark):
+    """Equal places, a far point, a dense corner, and places that aren't finite; nothing is left out."""
+    rng = np.random.default_rng(9)
+    p = np.vstack([np.zeros((400, 3)), rng.normal(size=(600, 3)) * 1e-3, rng.normal(size=(20, 3)) * 100, [[1e9, 0, 0]]])
+    rows = [(i, *map(float, x)) for i, x in enumerate(p)] + [(5000, float("nan"), 0.0, 0.0), (5001, None, 0.0, 0.0), (5002, float("inf"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    got = {}
+    for r in fusion.nearest_points(df, df, 3, "id", "id", 64.0).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r["point"]
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    assert set(got) == set(range(len(p)))
+    for i in range(len(p)):
+        assert [got[i][k] for k in (1, 2, 3)] == sorted(range(len(p)), key=lambda j: (d[i, j], j))[:3]
+    assert fusion.nearest_points(df.limit(0), df, 3, "id", "id", 1.0).count() == 0 and fusion.nearest_points(df, df.limit(0), 3, "id", "id", 1.0).count() == 0
