@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrawing.operators.blocks import neighbours, numbered
+from terrawing.operators.quantiles import exact_quantiles
+from terrawing.runtime import cut, kept, small
+
 #: Pixels per side of a coverage bin.
 BIN = 64
 
 
-#: A run has dozens of cameras; they travel with the plan, as one array.
-MOST_CAMERAS = 2000
+#: Cells per axis of the coarse grid over the points in which cameras look for what they may see.
+GRID = 16
+#: More pairs of camera and cell than this are joined with a shuffle.
+MOST_PAIRS = 200_000
 
 
 def with_matrix(cameras: DataFrame) -> DataFrame:
@@ -31,19 +41,49 @@ def dots(m: Column, place: list[Column]) -> tuple[Column, Column, Column]:
     return tuple(m[4 * i] * place[0] + m[4 * i + 1] * place[1] + m[4 * i + 2] * place[2] + m[4 * i + 3] for i in range(3))
 
 
+_CAMERA = "camera_id int, cell int, m array<double>, c3 double, c7 double, c11 double, w double, h double"
+
+
+def _may_see(cameras: DataFrame, centres: np.ndarray, ids: np.ndarray, radius: float) -> DataFrame:
+    """Each camera with the cells whose bounding sphere reaches into its view: above the planes of depth and of the four edges of the image."""
+    slim = with_matrix(cameras).select(F.col("camera_id").cast("int").alias("camera_id"), "m", *[F.col("pose")[i].alias(f"c{i}") for i in (3, 7, 11)], F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, row in enumerate(batch.to_pylist()):
+                u, v, d = np.array(row["m"]).reshape(3, 4)
+                near = np.ones(len(centres), bool)
+                for plane in (d, u, v, row["w"] * d - u, row["h"] * d - v):
+                    near &= centres @ plane[:3] + plane[3] + radius * np.linalg.norm(plane[:3]) >= 0
+                n = int(near.sum())
+                same = batch.slice(i, 1).take(pa.array([0] * n, pa.int32()))
+                yield pa.RecordBatch.from_arrays([same.column("camera_id"), pa.array(ids[near], pa.int32()), *[same.column(c) for c in ("m", "c3", "c7", "c11", "w", "h")]], ["camera_id", "cell", "m", "c3", "c7", "c11", "w", "h"])
+
+    return slim.mapInArrow(run, _CAMERA)
+
+
 def _seen(points: DataFrame, cameras: DataFrame, margin: float = 0.0) -> DataFrame:
-    """Points in the view of each camera, less ``margin`` pixels at the last row and column, with u, v, depth and camera_id."""
-    rows = with_matrix(cameras).select("camera_id", "m", "pose", "width", "height").orderBy("camera_id").limit(MOST_CAMERAS + 1).collect()
-    if len(rows) > MOST_CAMERAS:
-        raise ValueError(f"more than {MOST_CAMERAS} cameras")
-    number = lambda x: F.lit(float(x))
-    fields = lambda r: [F.lit(int(r["camera_id"])).alias("camera_id"), *[number(x).alias(f"m{i}") for i, x in enumerate(r["m"])], *[number(r["pose"][i]).alias(f"c{i}") for i in (3, 7, 11)], number(r["width"]).alias("w"), number(r["height"]).alias("h")]
-    if not rows:
-        return points.limit(0).select(*points.columns, *[F.lit(None).cast(k).alias(n) for n, k in (("camera_id", "int"), ("u", "double"), ("v", "double"), ("depth", "double"), ("_cx", "double"), ("_cy", "double"), ("_cz", "double"), ("_w", "double"), ("_h", "double"))])
-    both = points.withColumn("_camera", F.explode(F.array(*[F.struct(*fields(r)) for r in rows])))
-    k = lambda n: F.col(f"_camera.{n}")
-    dot = [k(f"m{4 * i}") * F.col("x") + k(f"m{4 * i + 1}") * F.col("y") + k(f"m{4 * i + 2}") * F.col("z") + k(f"m{4 * i + 3}") for i in range(3)]
-    both = both.select(*points.columns, k("camera_id").alias("camera_id"), *[x.alias(n) for x, n in zip(dot, ("_u", "_v", "depth"))], *[k(f"c{i}").alias(n) for i, n in ((3, "_cx"), (7, "_cy"), (11, "_cz"))], k("w").alias("_w"), k("h").alias("_h"))
+    """Points in the view of each camera, less ``margin`` pixels at the last row and column, with u, v, depth and camera_id.
+
+    Points meet only the cameras that may see their cell of a coarse grid, so
+    that neither the number of cameras nor that of points is bounded. Points
+    whose place isn't finite are seen by none.
+    """
+    finite = points
+    for c in "xyz":
+        finite = finite.where(F.abs(F.col(c)) < float("inf"))
+    box = finite.agg(*[f(c).cast("double") for c in "xyz" for f in (F.min, F.max)]).first()
+    low = [x or 0.0 for x in box[::2]]
+    width = [max((hi or 0.0) - lo, 1e-9) / GRID for lo, hi in zip(low, box[1::2])]
+    along = [F.least(F.floor((F.col(c) - lo) / w), F.lit(GRID - 1)) for c, lo, w in zip("xyz", low, width)]
+    placed = finite.withColumn("_cell", ((along[0] * GRID + along[1]) * GRID + along[2]).cast("int"))
+    ids = np.sort(np.array([r[0] for r in placed.select("_cell").distinct().limit(GRID**3).collect()], int))
+    index = np.stack([ids // GRID**2, ids // GRID % GRID, ids % GRID], 1) if len(ids) else np.zeros((0, 3))
+    centres = np.array(low) + (index + 0.5) * np.array(width)
+    pairs, n = kept(_may_see(cameras, centres, ids, float(np.linalg.norm(width)) / 2 * (1 + 1e-9)), MOST_PAIRS)
+    both = placed.join(small(pairs, MOST_PAIRS, n), F.col("_cell") == F.col("cell"))
+    dot = dots(F.col("m"), [F.col(c) for c in "xyz"])
+    both = both.select(*points.columns, "camera_id", *[x.alias(n) for x, n in zip(dot, ("_u", "_v", "depth"))], F.col("c3").alias("_cx"), F.col("c7").alias("_cy"), F.col("c11").alias("_cz"), F.col("w").alias("_w"), F.col("h").alias("_h"))
     d = F.col("depth")
     inside = (d > 0) & (F.col("_u") >= 0) & (F.col("_v") >= 0) & (F.col("_u") < (F.col("_w") - margin) * d) & (F.col("_v") < (F.col("_h") - margin) * d)
     return both.where(inside).withColumns({"u": F.col("_u") / d, "v": F.col("_v") / d}).drop("_u", "_v")
@@ -61,16 +101,37 @@ def coverage(points: DataFrame, cameras: DataFrame) -> DataFrame:
     return hit.groupBy("camera_id").agg((100.0 * F.count(F.lit(1)) / F.first("_all")).alias("covered_pct"))
 
 
-def best_view(points: DataFrame, cameras: DataFrame, point_id: str, old: dict[str, Column] | None = None) -> DataFrame:
-    """point_id and the camera that sees it most frontally: the largest cosine between its axis and the ray; ties go to the smaller camera_id.
+def best_view(vertices: DataFrame, cameras: DataFrame, vertex_id: str) -> DataFrame:
+    """Vertices (x, y, z, nx, ny, nz) with camera_id, u and v of the view that meets them most frontally.
+
+    A view's score is minus the cosine-like product of the vertex normal and
+    the direction from the camera to the vertex; it must exceed -1, and the
+    largest wins. Scores equal to nine decimals tie, for the smaller
+    camera_id. A camera whose view a vertex just touches at the last row or
+    column doesn't count. Vertices that no camera sees, or without a normal,
+    have a null camera_id.
+    """
+    seen = _seen(vertices, cameras, margin=1.0)
+    ray = [F.col(c) - F.col(f"_c{c}") for c in "xyz"]
+    length = F.sqrt(ray[0] ** 2 + ray[1] ** 2 + ray[2] ** 2)
+    score = F.round(-(F.col("nx") * ray[0] + F.col("ny") * ray[1] + F.col("nz") * ray[2]) / F.when(length > 1e-6, length).otherwise(1.0), 9)
+    scored = seen.withColumn("_s", score).where("_s > -1")
+    best = scored.groupBy(vertex_id).agg(F.max_by(F.struct("camera_id", "u", "v"), F.struct(F.col("_s"), (-F.col("camera_id")).alias("c"))).alias("_b"))
+    named = best.select(F.col(vertex_id).alias("_id"), F.col("_b.camera_id").alias("camera_id"), F.col("_b.u").alias("u"), F.col("_b.v").alias("v"))
+    return vertices.join(named, F.col(vertex_id) == F.col("_id"), "left").drop("_id")
+
+
+def baked(vertices: DataFrame, cameras: DataFrame, pixels: DataFrame, vertex_id: str) -> DataFrame:
+    """Vertices with r, g and b (0..1) from the pixel (camera_id, row, col, r, g, b of 0..255) in which their best view sees them.
 
-    A camera whose view the point just touches at the last row or column
-    doesn't count. Points that no camera sees have a null camera_id.
+    The pixel is the one that the projection, told to nine decimals, lies in. Vertices that no view
+    sees, or whose pixel is missing, keep their colour.
     """
-    seen = _seen(points, cameras, margin=1.0)
-    ray = F.sqrt((F.col("x") - F.col("_cx")) ** 2 + (F.col("y") - F.col("_cy")) ** 2 + (F.col("z") - F.col("_cz")) ** 2)
-    best = seen.groupBy(point_id).agg(F.max_by(F.struct("camera_id", "u", "v"), F.struct((F.col("depth") / ray).alias("s"), (-F.col("camera_id")).alias("c"))).alias("_b"))
-    return points.join(best, point_id, "left").withColumns({"camera_id": F.col("_b.camera_id"), "u": F.col("_b.u"), "v": F.col("_b.v")}).drop("_b")
+    seen = best_view(vertices, cameras, vertex_id).withColumns({"_row": F.floor(F.round("v", 9)).cast("int"), "_col": F.floor(F.round("u", 9)).cast("int")})
+    p = pixels.select(F.col("camera_id").alias("_cam"), F.col("row").alias("_pr"), F.col("col").alias("_pc"), *[F.col(c).alias(f"_{c}") for c in "rgb"])
+    met = seen.join(p, (F.col("camera_id") == F.col("_cam")) & (F.col("_row") == F.col("_pr")) & (F.col("_col") == F.col("_pc")), "left")
+    colour = lambda c: F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(f"_{c}") / 255.0)))
+    return met.withColumns({c: colour(c) for c in "rgb"}).drop("_row", "_col", "_cam", "_pr", "_pc", "_r", "_g", "_b")
 
 
 def self_warp(geometry: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -78,7 +139,7 @@ def self_warp(geometry: DataFrame, cameras: DataFrame) -> DataFrame:
     both = geometry.join(with_matrix(cameras).select("camera_id", "m"), "camera_id")
     ud, vd, depth = dots(F.col("m"), [F.col(c) for c in "xyz"])
     off = F.sqrt((ud / depth - F.col("col")) ** 2 + (vd / depth - F.col("row")) ** 2)
-    return both.where(depth > 0).groupBy("camera_id").agg(F.percentile(off, F.lit(0.5)).alias("median_px"), F.percentile(off, F.lit(0.9)).alias("p90_px"))
+    return exact_quantiles(both.where(depth > 0).select("camera_id", off.alias("_off")), "_off", {"median_px": 0.5, "p90_px": 0.9}, ["camera_id"]).drop("n")
 
 
 def cross_view(geometry: DataFrame, cameras: DataFrame, pairs: DataFrame, occlusion_px: float = 2.0) -> DataFrame:
@@ -94,7 +155,7 @@ def cross_view(geometry: DataFrame, cameras: DataFrame, pairs: DataFrame, occlus
 
     a = geometry.select(F.col("camera_id").alias("a"), F.col("row").alias("a_row"), F.col("col").alias("a_col"), *[F.col(c).alias(f"a_{c}") for c in "xyz"], F.col("masked").alias("a_masked"))
     b = geometry.select(F.col("camera_id").alias("g_b"), F.col("row").alias("b_row"), F.col("col").alias("b_col"), *[F.col(c).alias(f"b_{c}") for c in "xyz"], F.col("masked").alias("b_masked"))
-    rows = a.join(F.broadcast(pairs), "a").join(F.broadcast(cam("ca")), F.col("a") == F.col("ca_camera_id")).join(F.broadcast(cam("cb")), F.col("b") == F.col("cb_camera_id"))
+    rows = a.join(small(pairs, MOST_PAIRS), "a").join(small(cam("ca"), MOST_PAIRS), F.col("a") == F.col("ca_camera_id")).join(small(cam("cb"), MOST_PAIRS), F.col("b") == F.col("cb_camera_id"))
     ud, vd, depth = dots(F.col("cb_m"), [F.col(f"a_{c}") for c in "xyz"])
     rows = rows.withColumns({"_u": ud, "_v": vd, "_d": depth}).where("_d > 0").withColumns({"_u": F.bround(F.col("_u") / F.col("_d"), 0).cast("int"), "_v": F.bround(F.col("_v") / F.col("_d"), 0).cast("int")})
     met = rows.join(b, (rows["b"] == b["g_b"]) & (rows["_v"] == b["b_row"]) & (rows["_u"] == b["b_col"]))
@@ -106,11 +167,16 @@ def cross_view(geometry: DataFrame, cameras: DataFrame, pairs: DataFrame, occlus
     chunk = F.when(F.col("same_chunk"), "same").otherwise("cross")
     land = ~F.coalesce(F.col("a_masked"), F.lit(False)) & ~F.coalesce(F.col("b_masked"), F.lit(False))
     buckets = F.array_compact(F.array(F.concat(chunk, F.lit("_all")), F.when(land, F.concat(chunk, F.lit("_land"))), F.when(land, F.lit("land"))))
-    long = met.select(error.alias("error"), F.explode(buckets).alias("bucket"))
-    return long.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.percentile("error", F.lit(0.5)).alias("median_error"), F.percentile("error", F.lit(0.9)).alias("p90_error"))
+    long = cut(geometry.sparkSession, met.select(error.alias("error"), F.explode(buckets).alias("bucket")))
+    return exact_quantiles(long, "error", {"median_error": 0.5, "p90_error": 0.9}, ["bucket"])
 
 
 def adjacent(frames: DataFrame, order: str = "frame_index", group: str = "track_id") -> DataFrame:
     """group, a, b: each frame with the next one."""
-    w = Window.partitionBy(group).orderBy(order)
-    return frames.select(group, F.col(order).alias("a"), F.lead(order).over(w).alias("b")).where("b is not null")
+    rows = neighbours(frames.select(group, order), [group], order, [], F.col(order))
+    return rows.where("_next is not null").select(group, F.col(order).alias("a"), F.col("_next").alias("b"))
+
+
+def painters_order(seen: DataFrame, camera: str = "camera_id", depth: str = "depth", ties: str = "point_id") -> DataFrame:
+    """Adds place: the order in which a camera's points are drawn, the farthest first."""
+    return numbered(seen.withColumn("_d", -F.col(depth)), [camera], ["_d", ties], "place").drop("_d", "_total")

@@ -391,15 +391,78 @@ def align_4dof(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(align.fit_4dof(pairs(spark, d)), 5, "scale", "yaw", "rmse"), 4, "tx", "ty", "tz")
 
 
-@query()
+#: Truth planted in the pairs: scale, turn and shift by chunk, and every fifth pair thrown far off.
+_PLANTED = "1 + chunk_idx / 10e0 as scale, chunk_idx / 10e0 as yaw, chunk_idx * 1e0 as tx, 2e0 as ty, -1e0 as tz"
+
+
+def planted(spark: SparkSession, d: str, tilted: bool = False, spoilt: bool = False) -> DataFrame:
+    """Pairs whose source side is brought to the destination by a known similarity; with tilted from a frame whose up isn't +z."""
+    c, i = F.col, F.col("chunk_idx")
+    p = pairs(spark, d)
+    s, q = 1 + i / 10.0, i / 10.0
+    x, y, z = (c("dx") - i) / s, (c("dy") - 2.0) / s, (c("dz") + 1.0) / s
+    level = [F.cos(q) * x + F.sin(q) * y, F.cos(q) * y - F.sin(q) * x, z]
+    if tilted:
+        g = camera.aligning_to_up(_up(i))
+        level = [g[0][j] * level[0] + g[1][j] * level[1] + g[2][j] * level[2] for j in range(3)]
+    off = F.when(F.lit(spoilt) & (c("vec_id") % 5 == 0), 80.0 + c("vec_id") % 7 * 20).otherwise(0.0)
+    return p.withColumns(dict(zip(("sx", "sy", "sz"), level))).withColumns({"dx": c("dx") + off, "dy": c("dy") - off})
+
+
+def _up(i: Column) -> list[Column]:
+    """The unit up of each chunk's own frame."""
+    x, y = (i % 5) / 10.0, (i % 3) / 10.0
+    length = F.sqrt(x * x + y * y + 1.0)
+    return [x / length, y / length, F.lit(1.0) / length]
+
+
+@query(f"with {_PAIRS} select chunk_idx, round(any_value(1 + chunk_idx / 10e0), 5) as scale, round(cos(any_value(chunk_idx / 10e0)), 5) as r00, round(any_value(chunk_idx) * 1e0, 4) as tx, 0e0 as rmse, count(*) as n from pairs group by chunk_idx having count(*) >= 3")
 def align_choice(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity or rigid fit of each chunk."""
-    return align.fit_chunks(pairs(spark, d))
+    """Similarity or rigid fit of each chunk, to a planted truth."""
+    f = align.fit_chunks(planted(spark, d))
+    return f.select(F.col("chunk_idx").cast("int").alias("chunk_idx"), F.round("scale", 5).alias("scale"), F.round(F.col("r")[0], 5).alias("r00"), F.round(F.col("t")[0], 4).alias("tx"), F.abs(F.round("rmse", 4)).alias("rmse"), "n")
 
 
-@query()
+@query(f"with {_PAIRS} select chunk_idx, round(any_value(1 + chunk_idx / 10e0), 5) as scale, round(cos(any_value(chunk_idx / 10e0)), 5) as r00, round(any_value(chunk_idx) * 1e0, 4) as tx, count(*) filter (vec_id % 5 <> 0) as n from pairs group by chunk_idx having count(*) filter (vec_id % 5 <> 0) >= 10")
 def align_ransac(spark: SparkSession, d: str) -> DataFrame:
-    return align.fit_chunks(pairs(spark, d), robust=True)
+    """The planted truth in spite of a fifth of the pairs that are far off."""
+    f = align.fit_chunks(planted(spark, d, spoilt=True), robust=True)
+    return f.select(F.col("chunk_idx").cast("int").alias("chunk_idx"), F.round("scale", 5).alias("scale"), F.round(F.col("r")[0], 5).alias("r00"), F.round(F.col("t")[0], 4).alias("tx"), "n")
+
+
+@query(f"""with {_PAIRS}, u as (select *, (chunk_idx % 5) / 10e0 as x, (chunk_idx % 3) / 10e0 as y from pairs), n as (select *, sqrt(x * x + y * y + 1) as k from u)
+    select chunk_idx, round(any_value(1 + chunk_idx / 10e0), 5) as scale, round(any_value(1 / k), 5) as r22, round(any_value(chunk_idx) * 1e0, 4) as tx, count(*) as n from n group by chunk_idx having count(*) >= 2""")
+def align_gravity(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks turned upright by their gravity, then fitted in scale, turn and shift."""
+    p = planted(spark, d, tilted=True)
+    g = p.select("chunk_idx").distinct().select("chunk_idx", *[u.alias(f"u{c}") for c, u in zip("xyz", _up(F.col("chunk_idx")))])
+    f = align.gravity_fixed(p, g)
+    return f.select("chunk_idx", F.round("scale", 5).alias("scale"), F.round(F.col("r")[8], 5).alias("r22"), F.round(F.col("t")[0], 4).alias("tx"), "n")
+
+
+@query(f"with {_PAIRS} select min(chunk_idx) as chunk_idx, 'identity' as mode, 1e0 as scale from pairs")
+def align_identity(spark: SparkSession, d: str) -> DataFrame:
+    return align.identity_seed(pairs(spark, d)).select("chunk_idx", "mode", "scale")
+
+
+@query(f"""with {_PAIRS}, {', '.join(_IRLS)}, e as (select chunk_idx, sqrt(avg({_RES} ** 2)) as rmse from pairs join f5 using (chunk_idx) group by chunk_idx having count(*) >= 2)
+    select round(avg(rmse), 5) as mean_rmse, count(*) as n_chunks from e""")
+def align_mean_rmse(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(align.mean_rmse(align.fit_4dof(pairs(spark, d))), 5, "mean_rmse")
+
+
+def _slope(frames: DataFrame, height: int, width: int, scale: float) -> DataFrame:
+    """Each frame's pixels on one slope, as a camera of that size sees them; scaled about the origin."""
+    rows = frames.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    v, u = (F.col("row") + 0.5) / height, (F.col("col") + 0.5) / width
+    return rows.select("frame_index", "row", "col", F.lit(height).alias("height"), F.lit(width).alias("width"), (scale * 10 * u).alias("x"), (scale * 8 * v).alias("y"), (scale * (20 + 5 * v + F.col("frame_index") % 7)).alias("z"))
+
+
+@query("select label::bigint as frame_index, 2e0 as scale, 0e0 as residual_pct, 1024::bigint as n from embeddings group by label")
+def grid_fit(spark: SparkSession, d: str) -> DataFrame:
+    """A model of half the size met with its reference on a grid of 32 x 32, one frame per label."""
+    f = table(spark, d, "embeddings").select(F.col("label").alias("frame_index")).distinct()
+    return rounded(align.grid_fit(_slope(f, 64, 96, 0.5), _slope(f, 64, 96, 1.0)), 5, "scale", "residual_pct")
 
 
 @query(f"""with {_POINTS}, a as (select cast(i as int) as chunk_idx, 1 + i / 10e0 as s, radians(10e0 * i) as q from range(8) r(i))
@@ -440,19 +503,8 @@ def camera_pose(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def gravity_plane(spark: SparkSession, d: str) -> DataFrame:
     """Normal and inlier share of the plane in each chunk's pairs; chunks without one are left out."""
-    import numpy as np
-    import pyarrow as pa
-
-    from terrawing.operators.segments import segments
-
-    def run(batches):
-        for seg in segments(batches, ["chunk_idx"]):
-            got = align.ransac_plane(np.column_stack([seg.column(c).to_numpy() for c in ("sx", "sy", "sz")]), bound=0.5)
-            if got:
-                yield pa.RecordBatch.from_pydict({"chunk_idx": pa.array([seg.column("chunk_idx")[0].as_py()], pa.int32()), "nz": pa.array([float(got[0][2])]), "share": pa.array([float(got[1])])})
-
-    p = pairs(spark, d).select("chunk_idx", "sx", "sy", "sz").repartition("chunk_idx").sortWithinPartitions("chunk_idx", "sx", "sy", "sz")
-    return p.mapInArrow(run, "chunk_idx int, nz double, share double")
+    p = pairs(spark, d).select("chunk_idx", *[F.col(f"s{c}").alias(c) for c in "xyz"])
+    return align.planes(p, bound=0.5)
 
 
 @query()
@@ -491,10 +543,33 @@ def coverage_bins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(views.coverage(points(spark, d), cameras(spark)), 4, "covered_pct")
 
 
-@query(f"""with {_POINTS}, {_CAMERA_SQL}, {_PROJ}, s as (select *, row_number() over (partition by point_id order by round(depth / sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2), 9) desc, camera_id) as k from proj where u >= 0 and u < 639 and v >= 0 and v < 479)
-    select points.point_id, s.camera_id from points left join s on s.point_id = points.point_id and k = 1""")
+#: Normals and colours of points taken for mesh vertices, and an image whose pixels' colours follow from their place.
+_NORMALS = "verts as (select point_id, x, y, z, l.nx, l.ny, 1e0 as nz, r / 255 as r, g / 255 as g, b / 255 as b from (select *, (view_pos - 4) / 5e0 as nx, (chunk_idx - 3) / 4e0 as ny from points) l)"
+_SHADE = "((v_col * 7 + v_row * 13 + camera_id * 29 + {0}) % 256)"
+
+
+def vertices(spark: SparkSession, d: str) -> DataFrame:
+    shade = {c: F.col(c) / 255 for c in "rgb"}
+    return points(spark, d).withColumns({"nx": (F.col("view_pos") - 4) / 5.0, "ny": (F.col("chunk_idx") - 3) / 4.0, "nz": F.lit(1.0), **shade}).select("point_id", "x", "y", "z", "nx", "ny", "nz", "r", "g", "b")
+
+
+def pixels(spark: SparkSession) -> DataFrame:
+    """All pixels of the four cameras' images."""
+    i = F.col("id")
+    p = spark.range(640 * 480 * len(_CAMERAS)).select(F.floor(i / (640 * 480)).cast("int").alias("camera_id"), F.floor(i / 640 % 480).cast("int").alias("row"), (i % 640).cast("int").alias("col"))
+    return p.select("*", *[((F.col("col") * 7 + F.col("row") * 13 + F.col("camera_id") * 29 + k) % 256).alias(c) for c, k in (("r", 0), ("g", 85), ("b", 170))])
+
+
+@query(f"""with {_POINTS}, {_CAMERA_SQL}, {_PROJ}, {_NORMALS},
+    s as (select v.point_id, camera_id, cast(floor(round(u, 9)) as int) as v_col, cast(floor(round(p.v, 9)) as int) as v_row, v.r, v.g, v.b,
+              round(-(nx * (v.x - px) + ny * (v.y - py) + nz * (v.z - pz)) / sqrt((v.x - px) ** 2 + (v.y - py) ** 2 + (v.z - pz) ** 2), 9) as score
+          from proj p join verts v using (point_id) where u >= 0 and u < 639 and p.v >= 0 and p.v < 479),
+    k as (select *, row_number() over (partition by point_id order by score desc, camera_id) as k from s where score > -1)
+    select verts.point_id, k.camera_id, {", ".join(f"round(case when k.camera_id is null then verts.{c} else {_SHADE.format(i)} / 255e0 end, 6) as {c}" for c, i in (("r", 0), ("g", 85), ("b", 170)))}
+    from verts left join k on k.point_id = verts.point_id and k = 1""")
 def best_view_color(spark: SparkSession, d: str) -> DataFrame:
-    return views.best_view(points(spark, d), cameras(spark), "point_id").select("point_id", "camera_id")
+    """Each vertex with the colour of the pixel in which the most frontal view sees it."""
+    return rounded(views.baked(vertices(spark, d), cameras(spark), pixels(spark), "point_id"), 6, "r", "g", "b").select("point_id", "camera_id", "r", "g", "b")
 
 
 def _geometry(spark: SparkSession, d: str) -> DataFrame:

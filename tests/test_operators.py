@@ -26,21 +26,68 @@ def test_similarity_recovers_a_known_transform_and_rejects_a_reflection():
     assert np.linalg.det(r) == pytest.approx(1.0)
 
 
-def test_ransac_ignores_gross_outliers():
+PAIRS = "chunk_idx int, sx double, sy double, sz double, dx double, dy double, dz double, w double"
+
+
+@pytest.mark.parametrize("rows_per_block", [7, 20_000])
+def test_consensus_ignores_gross_outliers(spark, monkeypatch, rows_per_block):
     rng = np.random.default_rng(1)
-    p = rng.normal(size=(60, 3)) * 10
-    q = p @ turned(1.0).T + [5, 0, 1]
-    q[:15] += np.sign(rng.normal(size=(15, 3))) * 80  # each far beyond the bound of inliers
-    s, r, _, near = align.ransac_similarity(p, q, draws=300)
-    assert s == pytest.approx(1.0, abs=1e-6) and near.sum() >= 45 and np.allclose(r, turned(1.0), atol=1e-6)
-    assert align.ransac_similarity(p[:9], q[:9]) is None
+    rows = []
+    for c in (0, 1):
+        p = rng.normal(size=(60, 3)) * 10
+        q = (1 + c) * p @ turned(1.0 + c).T + [5, 0, 1]
+        q[:15] += np.sign(rng.normal(size=(15, 3))) * 80  # each far beyond the bound of inliers
+        rows += [(c, *map(float, a), *map(float, b), 1.0) for a, b in zip(p, q)]
+    rows += [(2, *map(float, rng.normal(size=6)), 1.0) for _ in range(9)]
+    monkeypatch.setattr(align.consensus, "__defaults__", (False, 0, rows_per_block))
+    got = {r["chunk_idx"]: r for r in align.fit_chunks(spark.createDataFrame(rows, PAIRS), robust=True).collect()}
+    assert set(got) == {0, 1}
+    for c in (0, 1):
+        assert got[c]["scale"] == pytest.approx(1 + c, abs=1e-6) and got[c]["n"] >= 45 and np.allclose(got[c]["r"], turned(1.0 + c).ravel(), atol=1e-6)
+
+
+def test_fits_of_moments_are_those_of_the_points(spark):
+    rng = np.random.default_rng(10)
+    p, noise = rng.normal(size=(40, 3)) * 5 + 100, rng.normal(size=(40, 3)) * 0.05
+    cases = {0: 1.7 * p @ turned(0.4).T + [1, 2, 3] + noise, 1: p @ turned(2.0).T + noise, 2: p * [1, 1, -1]}
+    rows = [(c, *map(float, a), *map(float, b), 1.0) for c, q in cases.items() for a, b in zip(p, q)] + [(3, *[0.0] * 6, 1.0)] * 2
+    got = {r["chunk_idx"]: r for r in align.fit_chunks(spark.createDataFrame(rows, PAIRS)).collect()}
+    assert {c: r["mode"] for c, r in got.items()} == {0: "sim3", 1: "rigid", 2: "rigid"}
+    for c, q in cases.items():
+        s, r, t = align.similarity(p, q, scaled=got[c]["mode"] == "sim3")
+        assert np.allclose([got[c]["scale"], *got[c]["r"], *got[c]["t"]], [s, *r.ravel(), *t], atol=1e-6)
+        assert got[c]["rmse"] == pytest.approx(np.sqrt((align.residual(p, q, s, r, t) ** 2).mean()), abs=1e-5)
+
+
+def test_gravity_fixed_fit_recovers_a_tilted_chunk(spark):
+    rng = np.random.default_rng(11)
+    rows, ups, true = [], [], {}
+    for c, up in enumerate([[0.2, -0.1, 0.9], [0, 0, -2.0], [0, 0, 1.0], [1.0, 0, 0]]):
+        up = np.array(up, float)
+        u = up / np.linalg.norm(up)
+        v, k = np.cross(u, [0, 0, 1]), u[2]
+        x = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+        g = np.diag([1.0, -1.0, -1.0]) if k < -1 + 1e-9 else np.eye(3) + x + x @ x / (1 + k)
+        p = rng.normal(size=(30, 3)) * 10
+        true[c] = turned(0.3 + c) @ g
+        q = 1.5 * p @ true[c].T + [c, 1, 2]
+        rows += [(c, *map(float, a), *map(float, b), 1.0) for a, b in zip(p, q)]
+        ups.append((c, *map(float, up)))
+    got = {r["chunk_idx"]: r for r in align.gravity_fixed(spark.createDataFrame(rows, PAIRS), spark.createDataFrame(ups + [(9, 0.0, 0.0, 0.0)], "chunk_idx int, ux double, uy double, uz double")).collect()}
+    assert set(got) == set(true)
+    for c, r in true.items():
+        assert got[c]["scale"] == pytest.approx(1.5) and np.allclose(np.array(got[c]["r"]).reshape(3, 3), r, atol=1e-6) and np.allclose(got[c]["t"], [c, 1, 2], atol=1e-5) and got[c]["rmse"] < 1e-5
+    seed = align.identity_seed(spark.createDataFrame(rows, PAIRS)).collect()
+    assert len(seed) == 1 and seed[0]["scale"] == 1.0 and seed[0]["r"] == [1, 0, 0, 0, 1, 0, 0, 0, 1]
 
 
-def test_plane_and_graph():
+def test_plane_and_graph(spark):
     rng = np.random.default_rng(2)
     ground = np.column_stack([rng.uniform(-5, 5, 200), rng.uniform(-5, 5, 200), rng.normal(0, 0.01, 200)])
-    n, share = align.ransac_plane(np.vstack([ground, rng.uniform(-5, 5, (40, 3))]))
-    assert n[2] > 0.99 and share > 0.7
+    cloud = np.vstack([ground, rng.uniform(-5, 5, (40, 3))])
+    rows = [(1, *map(float, x)) for x in cloud] + [(2, *map(float, x)) for x in cloud[:49]] + [(3, *map(float, x)) for x in rng.uniform(-50, 50, (300, 3))]
+    (got,) = align.planes(spark.createDataFrame(rows, "chunk_idx int, x double, y double, z double")).collect()
+    assert got["chunk_idx"] == 1 and got["nz"] > 0.99 and got["share"] > 0.7
     p = rng.normal(size=(8, 3))
     true = np.array([[0.0, 0, 0, 0, 0], [0.2, 0.3, 4, 1, 0.5]])
     world = lambda f, q: math.exp(f[0]) * q @ turned(f[1]).T + f[2:]
@@ -49,6 +96,25 @@ def test_plane_and_graph():
     assert np.allclose(got, true, atol=1e-4)
 
 
+def test_grid_fit_meets_images_of_two_sizes(spark):
+    """The same slope as seen in images of two sizes; the model's is half as large and turned."""
+    place = lambda r, c, h, w: np.array([10 * (c + 0.5) / w, 8 * (r + 0.5) / h, 20 + 5 * (r + 0.5) / h])
+    ref = [(f, r, c, 64, 96, *map(float, place(r, c, 64, 96))) for f in (0, 1) for r in range(64) for c in range(96)]
+    model = [(f, r, c, 32, 32, *map(float, 0.5 * turned(0.3) @ place(r, c, 32, 32))) for f in (0, 1) for r in range(32) for c in range(32)]
+    cols = "frame_index int, row int, col int, height int, width int, x double, y double, z double"
+    got = align.grid_fit(spark.createDataFrame(model, cols), spark.createDataFrame(ref, cols)).collect()
+    assert len(got) == 2 and all(r["n"] == 1024 and r["scale"] == pytest.approx(2.0, rel=0.01) and r["residual_pct"] < 1 for r in got)
+
+
+def test_colours_come_from_the_most_frontal_view(spark):
+    cam = spark.createDataFrame([(k, [1.0, 0.0, 0.0, x, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 10.0, 0.0, 0.0, 0.0, 1.0], 10.0, 10.0, 16.0, 16.0, 32, 32) for k, x in ((0, 0.0), (1, 4.0))], "camera_id int, pose array<double>, fx double, fy double, cx double, cy double, width int, height int")
+    rows = [(0, 2.0, 0.0, 0.0, -0.6, 0.0, 0.8), (1, 2.0, 0.0, 0.0, 0.6, 0.0, 0.8), (2, 2.0, 0.0, 0.0, 0.0, 0.0, 1.0), (3, 500.0, 0.0, 0.0, 0.0, 0.0, 1.0), (4, 2.0, 0.0, 20.0, 0.0, 0.0, 1.0), (5, float("nan"), 0.0, 0.0, 0.0, 0.0, 1.0)]
+    v = spark.createDataFrame([(*r, 0.25, 0.5, 0.75) for r in rows], "id long, x double, y double, z double, nx double, ny double, nz double, r double, g double, b double")
+    pixels = spark.range(32 * 32 * 2).select((F.col("id") % 2).cast("int").alias("camera_id"), (F.col("id") / 2 % 32).cast("int").alias("row"), (F.col("id") / 64).cast("int").alias("col"), (F.col("id") % 2 * 255).alias("r"), F.lit(0).alias("g"), F.lit(300).alias("b"))
+    got = {r["id"]: (r["camera_id"], r["r"], r["b"]) for r in views.baked(v, cam, pixels, "id").collect()}
+    assert got == {0: (0, 0.0, 1.0), 1: (1, 1.0, 1.0), 2: (0, 0.0, 1.0), 3: (None, 0.25, 0.75), 4: (None, 0.25, 0.75), 5: (None, 0.25, 0.75)}
+
+
 def test_fit_4dof_resists_an_outlier(spark):
     rng = np.random.default_rng(3)
     rows = []
