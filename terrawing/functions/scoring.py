@@ -48,7 +48,13 @@ def prior_mode(has_pose: Column, has_intrinsics: Column) -> Column:
     return F.when(has_pose & has_intrinsics, "pose_and_intrinsics").when(has_intrinsics, "intrinsics_only").otherwise("images_only")
 
 
+def backbone(choice: Column, prior: Column, has_telemetry: Column, has_checkpoint: Column) -> tuple[Column, Column]:
+    """Backbone (A, B, C) and priors (RGB, C, CP) that a run's choice comes to: without telemetry C with images alone; AUTO takes intrinsics, and poses with a tuned checkpoint."""
+    auto = F.when(has_checkpoint, "CP").otherwise("C")
+    return F.when(~has_telemetry, "C").otherwise(choice), F.when(~has_telemetry, "RGB").when(prior == "AUTO", auto).otherwise(prior)
+
+
 def mean_gap(rows: DataFrame, group: str, order: str, marked: Column) -> DataFrame:
-    """Mean distance between consecutive marked rows of a group: the length of a group of pictures."""
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.where(marked).withColumn("_g", F.col(order) - F.lag(order).over(w)).groupBy(group).agg(F.avg("_g").alias("mean_gap"))
+    """Mean distance between consecutive marked rows of a group, the length of a group of pictures: the way from the first to the last over the steps between; null for one row."""
+    g = rows.where(marked).where(F.col(order).isNotNull()).groupBy(group).agg(F.min(order).alias("_a"), F.max(order).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    return g.select(group, F.try_divide(F.col("_b") - F.col("_a"), F.col("_n") - 1).alias("mean_gap"))

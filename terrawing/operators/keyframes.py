@@ -55,6 +55,33 @@ def stride_gate(frames: DataFrame, track: str = "track_id", order: str = "frame_
     return numbered(frames, [track], [order], "_k").withColumn("kept", (F.col("_total") <= stride) | (F.col("_k") % stride == 0)).drop("_k", "_total")
 
 
+def select(frames: DataFrame, track: str = "track_id", order: str = "frame_index", share: float = 0.15, least_m: float = 2.0, stride: int = 5) -> DataFrame:
+    """Candidates (sharpness; e, n, u, null without place) with ``accepted`` and ``reject_reason``, as one selection per track.
+
+    A frame below the track's sharpness quantile is out. Of those left, one
+    with a place must lie at least least_m from the last one kept that had a
+    place; one without must be every stride-th of such, from the first, if the
+    track has more than stride candidates. A frame without sharpness is out
+    and doesn't count for the quantile, but is a candidate.
+    """
+    if stride < 2:
+        raise ValueError("stride must be at least 2")
+    n = frames.groupBy(track).agg(F.count(F.lit(1)).alias("_n"))
+    floors = exact_quantiles(frames, "sharpness", {"floor": share}, [track]).drop("n")
+    rows = frames.join(n, track).join(floors, track, "left")
+    sharp = F.coalesce(F.col("sharpness") >= F.col("floor"), F.lit(False))
+    rows = rows.withColumn("_place", F.col("e").isNotNull() & F.col("n").isNotNull() & F.col("u").isNotNull())
+    blurred = rows.where(~sharp).withColumns({"accepted": F.lit(False), "reject_reason": F.coalesce(F.format_string("sharpness %.1f below floor %.1f", "sharpness", "floor"), F.lit("no sharpness"))})
+    blurred = blurred.withColumn("reject_reason", F.when(F.col("sharpness").isNull(), "no sharpness").otherwise(F.col("reject_reason")))
+    placed, bare = rows.where(sharp & F.col("_place")), rows.where(sharp & ~F.col("_place"))
+    spaced = spacing_gate(placed, track, order, least_m).select(F.col(track).alias("_t"), F.col(order).alias("_o"), F.col("kept").alias("accepted"))
+    placed = placed.join(spaced, F.col(track).eqNullSafe(F.col("_t")) & (F.col(order) == F.col("_o"))).drop("_t", "_o")
+    placed = placed.withColumn("reject_reason", F.when(~F.col("accepted"), F.lit(f"GPS spacing < {least_m}m from last keyframe")))
+    bare = numbered(bare, [track], [order], "_k").withColumn("accepted", (F.col("_n") <= stride) | (F.col("_k") % stride == 0)).drop("_k", "_total")
+    bare = bare.withColumn("reject_reason", F.when(~F.col("accepted"), "frame-stride spacing (no GPS available)"))
+    return blurred.unionByName(placed).unionByName(bare).drop("_n", "floor", "_place")
+
+
 def thin_even(frames: DataFrame, most: int, track: str = "track_id", order: str = "frame_index") -> DataFrame:
     """At most so many frames of a track, evenly spread: those at int(i * n / most)."""
     rows = numbered(frames, [track], [order], "_k").withColumnRenamed("_total", "_n")

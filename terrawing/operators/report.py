@@ -71,6 +71,22 @@ def stalls(events: DataFrame, group: str, time: str, least_s: float = 60.0) -> D
     return rows.where(gap >= least_s).select(group, F.col(time).alias("since"), F.col("_next").alias("until"), gap.alias("gap_s"))
 
 
+def stall_warnings(events: DataFrame, group: str, time: str, start: str, least_s: float = 60.0, poll_s: float = 10.0, again_s: float = 30.0) -> DataFrame:
+    """group, warned_at, stalled_s: what a watchdog says that looks every poll_s seconds from the group's ``start``.
+
+    It warns once nothing has come for least_s seconds, and again every
+    again_s while nothing comes. Silence after a group's last event isn't a
+    stall: nobody knows how long the group was watched.
+    """
+    rows = neighbours(events.select(group, time, start), [group], time, [], F.col(time)).where(F.col("_next") - F.col(time) >= least_s)
+    tick = lambda t: F.col(start) + F.ceil((t - F.col(start)) / poll_s) * poll_s
+    first = tick(F.col(time) + least_s)
+    n = F.floor((F.col("_next") - first) / again_s)
+    said = rows.withColumns({"_first": first, "_n": n}).where(F.col("_first") < F.col("_next"))
+    said = said.withColumn("warned_at", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n").cast("int")), lambda k: F.col("_first") + k * again_s))).where(F.col("warned_at") < F.col("_next"))
+    return said.select(group, "warned_at", (F.col("warned_at") - F.col(time)).alias("stalled_s"))
+
+
 def newest(rows: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
     """The ring buffer: the last so many rows of each group."""
     w = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order])
@@ -106,6 +122,17 @@ def progress(events: DataFrame, weights: dict[str, float], run: str, phase: str,
     return events.withColumn("progress", F.max(at).over(w))
 
 
+def phase_starts(events: DataFrame, run: str, phase: str, time: str) -> DataFrame:
+    """run, phase and since: the first time at which each phase of a run was seen."""
+    return events.groupBy(run, phase).agg(F.min(time).alias("since"))
+
+
+def windowed(samples: DataFrame, windows: DataFrame, by: list[str], value: str = "util_pct", time: str = "ts", width: float = 3600.0) -> DataFrame:
+    """Utilisation of each GPU within each window (window, start_ts, end_ts), and whether it is flagged."""
+    rows = within_stages(windows, samples, time, width=width)
+    return flagged(utilisation(rows, ["window", *by], value))
+
+
 def stage_report(stages: DataFrame, per_gpu: DataFrame) -> DataFrame:
     """stage and report: the JSON object of a stage with its GPUs in the order of their index."""
     gpus = per_gpu.groupBy("stage").agg(F.sort_array(F.collect_list(F.struct("gpu_index", "mean_util"))).alias("gpus"))

@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrawing.functions.camera import angle_between
+from terrawing.operators.quantiles import exact_quantiles
 from terrawing.operators.segments import segments
+from terrawing.runtime import cut
 
 
 def summaries(frames: DataFrame, metrics: list[str], model: str = "model") -> DataFrame:
@@ -49,6 +52,32 @@ def wins(frames: DataFrame, metric: str, model: str = "model", frame: str = "fra
     return best.groupBy(model).agg(F.count(F.lit(1)).alias("n_wins"))
 
 
+def paired_wins(a: DataFrame, b: DataFrame, names: tuple[str, str], metric: str = "psnr", position: str = "pos") -> DataFrame:
+    """model and n_wins from two result lists met by position; positions that one of them lacks, or without value, win for nobody, ties for the first."""
+    left, right = a.select(F.col(position).alias("_p"), F.col(metric).alias("_a")), b.select(F.col(position).alias("_q"), F.col(metric).alias("_b"))
+    met = left.join(right, F.col("_p") == F.col("_q"), "full_outer").where("_a is not null and _b is not null")
+    return met.select(F.when(F.col("_a") >= F.col("_b"), names[0]).otherwise(names[1]).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("n_wins"))
+
+
+def camera_errors(cameras: DataFrame, extent: float, model: str = "model") -> DataFrame:
+    """model, n_cameras, median translation error in percent of the scene's extent and median rotation error in degrees, from (tx, ty, tz) against (ux, uy, uz) and the trace of the turn between."""
+    off = F.sqrt((F.col("tx") - F.col("ux")) ** 2 + (F.col("ty") - F.col("uy")) ** 2 + (F.col("tz") - F.col("uz")) ** 2) / extent * 100
+    rows = cut(cameras.sparkSession, cameras.select(model, off.alias("_off"), angle_between(F.col("trace")).alias("_turn")))
+    q = lambda c, n: exact_quantiles(rows, c, {n: 0.5}, [model])
+    return q("_off", "translation_pct").withColumnRenamed("n", "n_cameras").join(q("_turn", "rotation_deg").drop("n"), model)
+
+
+def markdown(card: DataFrame, model: str = "model") -> str:
+    """The scorecard (a handful of models) as a table, eligible models by rank, then the others by name, and the winner."""
+    rows = card.select(model, "quality", "geometry", "speed", "total", "eligible", "rank").limit(1000).collect()
+    rows.sort(key=lambda r: (r["rank"] is None, r["rank"] or 0, r[model]))
+    figure = lambda x: "N/A" if x is None else f"{x:.3f}"
+    lines = ["| model | geometry | quality | speed | total | eligible |", "|---|---|---|---|---|---|"]
+    lines += [f"| {r[model]} | {figure(r['geometry'])} | {figure(r['quality'])} | {figure(r['speed'])} | {figure(r['total'])} | {'yes' if r['eligible'] else 'no'} |" for r in rows]
+    winner = next((r[model] for r in rows if r["rank"] == 1), "none")
+    return "\n".join([*lines, "", f"Winner: {winner}", ""])
+
+
 def psnr(pixels: DataFrame, frame: str, a: str, b: str, mask: str) -> DataFrame:
     """frame and psnr over its masked pixels (values 0..1): 100 if they are equal, null if there are none."""
     mse = F.avg(F.when(F.col(mask), (F.col(a) - F.col(b)) ** 2))

@@ -544,13 +544,14 @@ def coverage_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Normals and colours of points taken for mesh vertices, and an image whose pixels' colours follow from their place.
-_NORMALS = "verts as (select point_id, x, y, z, l.nx, l.ny, 1e0 as nz, r / 255 as r, g / 255 as g, b / 255 as b from (select *, (view_pos - 4) / 5e0 as nx, (chunk_idx - 3) / 4e0 as ny from points) l)"
+_NORMALS = "verts as (select vec_id, embedding[1]::double * 10 as x, embedding[2]::double * 10 as y, embedding[3]::double * 10 as z, embedding[4]::double as nx, embedding[5]::double as ny, 1e0 as nz, label / 10e0 as r, 0.5e0 as g, 0.25e0 as b from embeddings)"
 _SHADE = "((v_col * 7 + v_row * 13 + camera_id * 29 + {0}) % 256)"
 
 
 def vertices(spark: SparkSession, d: str) -> DataFrame:
-    shade = {c: F.col(c) / 255 for c in "rgb"}
-    return points(spark, d).withColumns({"nx": (F.col("view_pos") - 4) / 5.0, "ny": (F.col("chunk_idx") - 3) / 4.0, "nz": F.lit(1.0), **shade}).select("point_id", "x", "y", "z", "nx", "ny", "nz", "r", "g", "b")
+    normals = [F.col("embedding")[i].cast("double").alias(c) for i, c in ((3, "nx"), (4, "ny"))]
+    colours = [(F.col("label") / 10.0).alias("r"), F.lit(0.5).alias("g"), F.lit(0.25).alias("b")]
+    return table(spark, d, "embeddings").select("vec_id", *[_part(i).alias(c) for i, c in enumerate("xyz")], *normals, F.lit(1.0).alias("nz"), *colours)
 
 
 def pixels(spark: SparkSession) -> DataFrame:
@@ -560,16 +561,16 @@ def pixels(spark: SparkSession) -> DataFrame:
     return p.select("*", *[((F.col("col") * 7 + F.col("row") * 13 + F.col("camera_id") * 29 + k) % 256).alias(c) for c, k in (("r", 0), ("g", 85), ("b", 170))])
 
 
-@query(f"""with {_POINTS}, {_CAMERA_SQL}, {_PROJ}, {_NORMALS},
-    s as (select v.point_id, camera_id, cast(floor(round(u, 9)) as int) as v_col, cast(floor(round(p.v, 9)) as int) as v_row, v.r, v.g, v.b,
-              round(-(nx * (v.x - px) + ny * (v.y - py) + nz * (v.z - pz)) / sqrt((v.x - px) ** 2 + (v.y - py) ** 2 + (v.z - pz) ** 2), 9) as score
-          from proj p join verts v using (point_id) where u >= 0 and u < 639 and p.v >= 0 and p.v < 479),
-    k as (select *, row_number() over (partition by point_id order by score desc, camera_id) as k from s where score > -1)
-    select verts.point_id, k.camera_id, {", ".join(f"round(case when k.camera_id is null then verts.{c} else {_SHADE.format(i)} / 255e0 end, 6) as {c}" for c, i in (("r", 0), ("g", 85), ("b", 170)))}
-    from verts left join k on k.point_id = verts.point_id and k = 1""")
+@query(f"""with {_CAMERA_SQL}, {_NORMALS}, p as (select *, 500e0 * (x - px) / (pz - z) + 320 as u, -500e0 * (y - py) / (pz - z) + 240 as v from verts, cameras where pz - z > 0),
+    s as (select vec_id, camera_id, cast(floor(round(u, 9)) as int) as v_col, cast(floor(round(v, 9)) as int) as v_row,
+              round(-(nx * (x - px) + ny * (y - py) + nz * (z - pz)) / sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2), 9) as score
+          from p where u >= 0 and u < 639 and v >= 0 and v < 479),
+    k as (select *, row_number() over (partition by vec_id order by score desc, camera_id) as k from s where score > -1)
+    select verts.vec_id, k.camera_id, {", ".join(f"round(case when k.camera_id is null then verts.{c} else {_SHADE.format(i)} / 255e0 end, 6) as {c}" for c, i in (("r", 0), ("g", 85), ("b", 170)))}
+    from verts left join k on k.vec_id = verts.vec_id and k = 1""")
 def best_view_color(spark: SparkSession, d: str) -> DataFrame:
     """Each vertex with the colour of the pixel in which the most frontal view sees it."""
-    return rounded(views.baked(vertices(spark, d), cameras(spark), pixels(spark), "point_id"), 6, "r", "g", "b").select("point_id", "camera_id", "r", "g", "b")
+    return rounded(views.baked(vertices(spark, d), cameras(spark), pixels(spark), "vec_id"), 6, "r", "g", "b").select("vec_id", "camera_id", "r", "g", "b")
 
 
 def _geometry(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,8 @@ def ship(spark: SparkSession) -> None:
     the driver's path and nothing is sent.
     """
     sc = spark.sparkContext
-    if sc.applicationId in _shipped or sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+    if sc.applicationId in _shipped or _one_machine(sc):
         return
-    _shipped.add(sc.applicationId)
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
         for f in sorted(PACKAGE.rglob("*.py")):
@@ -38,13 +38,21 @@ def ship(spark: SparkSession) -> None:
     out.write(bytearray(buffer.getvalue()))
     out.close()
     sc.addPyFile(path.toString())
+    _shipped.add(sc.applicationId)
+
+
+def _one_machine(sc: SparkContext) -> bool:
+    return sc.master.startswith("local") and not sc.master.startswith("local-cluster")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; only where it names none, as in tests on one machine, one of the driver."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; only where it names none, as in tests on one machine, one of the driver. On a cluster a missing name is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrawing-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not _one_machine(sc):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrawing-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrawing.operators.blocks import numbered
+
 #: File endings and name parts by which inputs are known.
 VIDEO_ENDINGS = ("mp4", "mov", "mkv", "avi", "m4v", "ts")
 KINDS = {"srt": "srt", "csv": "csv", "gpx": "gpx", "kml": "kml", "json": "json", "tlog": "mavlink", "bin": "mavlink"}
@@ -91,26 +93,60 @@ def cache_folders(folders: DataFrame) -> DataFrame:
     return folders.where(_any(name, CACHE_HINTS) | inside)
 
 
+#: Endings of files that may hold intrinsics, and keys that show it.
+INTRINSICS_ENDINGS = ("json", "yaml", "yml")
+INTRINSICS_KEYS = ("fx", "fy", "cx", "cy", "camera_matrix", "K", "intrinsics", "intrinsic_matrix")
+#: Objects inside objects are looked through so deep.
+DEPTH = 3
+
+
+def _objects(text: Column, depth: int = DEPTH) -> Column:
+    """The JSON object in a text and those inside it down to depth, as maps of texts; an array of none if the text is no object."""
+    parsed = lambda t: F.from_json(t, "map<string,string>")
+    level = F.array_compact(F.array(F.when(F.ltrim(text).startswith("{"), parsed(text))))
+    out = [level]
+    for _ in range(depth):
+        inner = F.flatten(F.transform(level, lambda m: F.map_values(m)))
+        level = F.transform(F.filter(inner, lambda v: v.startswith("{")), parsed)
+        out.append(level)
+    return F.filter(F.flatten(F.array(*out)), lambda m: m.isNotNull())
+
+
+def _yaml_keys(text: Column, depth: int = DEPTH) -> Column:
+    """Keys of block mappings in a YAML text, as deep as two blanks of indentation a level tell."""
+    return F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(rf"\n(?:  ){{0,{depth}}}([A-Za-z_]\w*)\s*:"), 1)
+
+
+def intrinsics_files(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """Files (path, text) whose keys, down to depth 3, meet INTRINSICS_KEYS, with ``first``: the one that is taken, the first by path. Others, and those that don't parse, are left out."""
+    e = ending(F.col(path))
+    keys = F.when(e == "json", F.flatten(F.transform("_o", lambda m: F.map_keys(m)))).otherwise(_yaml_keys(F.col(text)))
+    rows = files.where(e.isin(*INTRINSICS_ENDINGS)).withColumn("_o", F.when(e == "json", _objects(F.col(text))))
+    found = rows.where(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in INTRINSICS_KEYS]))).drop("_o")
+    first = found.agg(F.min(path).alias("_p"))
+    return found.join(F.broadcast(first), F.lit(True)).withColumn("first", F.col(path) == F.col("_p")).drop("_p")
+
+
 def intrinsics(df: DataFrame, info: str, width: str, height: str) -> DataFrame:
-    """Adds fx, fy, cx, cy: from keys of that name down to depth 3 of a JSON object, else from a 3 x 3 matrix, else a default by the image's size."""
+    """Adds fx, fy, cx, cy: from keys of that name anywhere down to depth 3 of a JSON object, else from a 3 x 3 matrix there, else a default by the image's size."""
     from terrawing.functions.camera import default_intrinsics
 
-    flat = {k: F.coalesce(F.get_json_object(info, f"$.{k}").try_cast("double"), _deep(info, k)) for k in ("fx", "fy", "cx", "cy")}
+    df = df.withColumn("_o", _objects(F.col(info)))
+    under = lambda k: F.get(F.filter(F.transform("_o", lambda m: m[k]), lambda v: v.isNotNull()), F.lit(0))
+    flat = {k: under(k).try_cast("double") for k in ("fx", "fy", "cx", "cy")}
     whole = flat["fx"].isNotNull() & flat["fy"].isNotNull() & flat["cx"].isNotNull() & flat["cy"].isNotNull()
-    m = F.coalesce(*[F.from_json(F.coalesce(F.get_json_object(info, f"$.{k}"), F.get_json_object(info, f"$.intrinsics.{k}")), "array<array<double>>") for k in MATRIX_KEYS])
+    m = F.coalesce(*[F.from_json(under(k), "array<array<double>>") for k in MATRIX_KEYS])
     square = (F.size(m) == 3) & F.forall(m, lambda r: F.size(r) == 3)
     default = default_intrinsics(F.col(width), F.col(height))
     at = {"fx": (0, 0), "fy": (1, 1), "cx": (0, 2), "cy": (1, 2)}
-    return df.withColumns({k: F.when(whole, flat[k]).when(F.coalesce(square, F.lit(False)), m[at[k][0]][at[k][1]]).otherwise(d) for k, d in zip(("fx", "fy", "cx", "cy"), default)})
+    return df.withColumns({k: F.when(whole, flat[k]).when(F.coalesce(square, F.lit(False)), m[at[k][0]][at[k][1]]).otherwise(d) for k, d in zip(("fx", "fy", "cx", "cy"), default)}).drop("_o")
 
 
-def _deep(info: str, key: str) -> Column:
-    """A number under a key of an object inside the object, to depth 3."""
-    v = F.try_variant_get
-    j = F.try_parse_json(info)
-    names = ("intrinsics", "camera", "calibration", "params")
-    paths = [f"$.{a}.{key}" for a in names] + [f"$.{a}.{b}.{key}" for a in names for b in names if a != b]
-    return F.coalesce(*[v(j, p, "double") for p in paths])
+def detected(files: DataFrame, probes: DataFrame) -> DataFrame:
+    """One row per video, longest first by rank: path, duration_s, rank, telemetry_path and kind (none: the run has no places)."""
+    v = videos(files, probes).select("path", "duration_s")
+    found = v.join(telemetry_of(v, files), "path")
+    return numbered(found.withColumns({"_g": F.lit(0), "_d": -F.col("duration_s")}), ["_g"], ["_d", "path"], "rank").drop("_g", "_d", "_total")
 
 
 def key_difference(ours: DataFrame, theirs: DataFrame, key: str = "key", prefix: str = "module.") -> DataFrame:

@@ -13,9 +13,11 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrawing.operators.blocks import neighbours, numbered
+
 #: Other spellings of the columns, in order of preference.
 ALIASES = {
     "lat": ("lat", "latitude"),
@@ -70,11 +72,12 @@ def srt(files: DataFrame, track: str = "track_id", text: str = "text") -> DataFr
     """
     blocks = files.select(F.col(track).alias("track_id"), F.posexplode(F.split(F.trim(F.regexp_replace(text, "\r\n", "\n")), r"\n\s*\n")).alias("i", "b"))
     b = F.col("b")
-    number = r"\s*:\s*(-?\d+\.?\d*)"
-    value = lambda name: F.nullif(F.regexp_extract(b, name + number, 1), F.lit("")).cast("double")
-    time = r"(\d{2}):(\d{2}):(\d{2})[,.](\d{1,3})\s*-->"
+    figure = r"([+-]?[0-9]+(?:[.][0-9]*)?)"
+    value = lambda name: F.nullif(F.regexp_extract(b, rf"{name}\s*:\s*{figure}", 1), F.lit("")).cast("double")
+    # hours, minutes, seconds and their fraction before the arrow
+    time = ":".join(["([0-9]{2})"] * 3) + "[.,]([0-9]{1,3}) *-->"
     clock = F.when(b.rlike(time), srt_seconds(*[F.regexp_extract(b, time, k) for k in range(1, 5)]))
-    old = r"GPS\s*\(\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*\)"
+    old = r"GPS *\( *" + " *, *".join([figure] * 3) + r" *\)"
     gps = lambda k: F.nullif(F.regexp_extract(b, old, k), F.lit("")).cast("double")
     new = b.rlike(r"\[latitude\s*:") & b.rlike(r"\[longitude\s*:")
     absolute, relative = value("abs_alt"), value("rel_alt")
@@ -166,18 +169,34 @@ def _xml(files: DataFrame, track: str, text: str, points: Callable[[str | None],
 
 def mavlink(messages: DataFrame, track: str = "track_id", order: str = "seq") -> DataFrame:
     """Position messages with the last attitude before them; degrees times 1e7, millimetres, milliseconds and radians to plain units."""
-    w = Window.partitionBy(track).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    att = F.col("type") == "ATTITUDE"
-    rows = messages.withColumns({f"_{a}": F.last(F.when(att, F.degrees(a)), ignorenulls=True).over(w) for a in ("yaw", "pitch", "roll")}).where(F.col("type").isin("GLOBAL_POSITION_INT", "GPS_RAW_INT"))
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(track).orderBy(order)) - 1)
+    att = F.when(F.col("type") == "ATTITUDE", F.struct(*[F.degrees(a).alias(a) for a in ("yaw", "pitch", "roll")]))
+    rows = neighbours(messages, [track], order, [], att).where(F.col("type").isin("GLOBAL_POSITION_INT", "GPS_RAW_INT"))
+    rows = rows.withColumns({f"_{a}": F.col(f"_prev.{a}") for a in ("yaw", "pitch", "roll")}).drop("_prev", "_next")
+    rows = numbered(rows, [track], [order], "_i")
     return _samples(
         rows.withColumn("track_id", F.col(track)), source_index=F.col("_i"), t=F.coalesce(F.col("time_boot_ms"), F.col("_i") * 100) / 1000.0, lat=F.col("lat") / 1e7, lon=F.col("lon") / 1e7,
         alt=F.coalesce("relative_alt", "alt", F.lit(0)) / 1000.0, alt_is_relative=F.col("relative_alt").isNotNull(), yaw=F.col("_yaw"), pitch=F.col("_pitch"), roll=F.col("_roll"),
     )
 
 
+#: Names of the message table's columns in a log that is written as one JSON object per line.
+MESSAGE = "seq long, type string, lat double, lon double, alt double, relative_alt double, time_boot_ms double, yaw double, pitch double, roll double"
+
+
+def mavlink_lines(files: DataFrame, track: str = "track_id", text: str = "text") -> DataFrame:
+    """A log whose messages are JSON objects, one per line, with the columns of MESSAGE; seq is the line's number where it isn't given."""
+    lines = files.select(F.col(track).alias("track_id"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    rows = lines.withColumn("m", F.from_json("line", MESSAGE)).where("m.type is not null").select("track_id", "i", "m.*")
+    return mavlink(rows.withColumn("seq", F.coalesce("seq", F.col("i").cast("long"))).drop("i"))
+
+
+def embedded(files: DataFrame, track: str = "track_id", text: str = "text") -> DataFrame:
+    """The subtitle stream of a video, as a demuxer writes it out: subtitles as in srt, with styling tags and positions taken off."""
+    return srt(files.withColumn(text, F.regexp_replace(text, r"</?[A-Za-z][^>\n]*>|\{\\[^}\n]*\}", "")), track, text)
+
+
 #: Reader of each kind of track.
-READERS: dict[str, Callable[..., DataFrame]] = {"srt": srt, "csv": csv, "gpx": gpx, "kml": kml, "json": json_records}
+READERS: dict[str, Callable[..., DataFrame]] = {"srt": srt, "csv": csv, "gpx": gpx, "kml": kml, "json": json_records, "mavlink": mavlink_lines, "embedded": embedded}
 
 
 def read(files: DataFrame, kind: str = "kind", track: str = "track_id", text: str = "text") -> DataFrame:
@@ -187,3 +206,16 @@ def read(files: DataFrame, kind: str = "kind", track: str = "track_id", text: st
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def tracks(files: DataFrame, kind: str = "kind", track: str = "track_id", text: str = "text") -> DataFrame:
+    """track, kind, n_samples, has_timestamps and note of each file: one that can't be read is an empty track with a note that says why."""
+    counts = read(files, kind, track, text).groupBy("track_id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("track_id", "_t")
+    rows = files.join(counts, F.col(track) == F.col("_t"), "left")
+    n = F.coalesce("_n", F.lit(0))
+    note = (
+        F.when(~F.col(kind).isin(*READERS) | F.col(kind).isNull(), F.concat(F.lit("no reader for kind "), F.coalesce(kind, F.lit("(none)"))))
+        .when(F.coalesce(F.trim(text), F.lit("")) == "", "the file is empty")
+        .when(n == 0, F.concat(F.lit("no sample with a place in this "), F.col(kind), F.lit(" file")))
+    )
+    return rows.select(track, kind, n.alias("n_samples"), ((n > 0) & ~F.col(kind).isin("kml")).alias("has_timestamps"), note.alias("note"))

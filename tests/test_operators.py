@@ -2,12 +2,13 @@
 
 import math
 import struct
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrawing.operators import align, fusion, keyframes, mesh, quantiles, report, scorecard, sync, views
+from terrawing.operators import align, fusion, keyframes, masks, mesh, quantiles, report, scorecard, sync, views
 from terrawing.sources import files, sinks, telemetry
 from terrawing.streaming import bus
 
@@ -234,6 +235,103 @@ def test_sinks(spark, tmp_path):
     assert np.isnan(grid[0, 0, 0]) and grid[0, 0, 1] == 2.5
 
 
+def test_a_late_event_takes_its_place(spark, tmp_path):
+    """What arrives in a later batch with a smaller seq, or an earlier time, counts as in the batch fold."""
+    rows = [(5, 5.0, "a", "fallback"), (1, 1.0, "a", "start"), (3, 3.0, "b", "done"), (9, 9.0, "b", "start"), (2, 2.0, "a", "fallback"), (8, 8.0, "a", "done"), (4, 4.0, "b", "fallback"), (7, 7.0, "a", "start")]
+    df = spark.createDataFrame([(*r, "") for r in rows], bus.SCHEMA)
+    for i, r in enumerate(rows):
+        df.where(F.col("seq") == r[0]).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    stream = bus.read(spark, str(tmp_path / "in" / "*"), files_per_trigger=1)
+    got = bus.run_last(bus.status(stream), str(tmp_path / "out"), str(tmp_path / "ck"), "update")
+    last = {}
+    for r in got.orderBy("batch").collect():
+        last[r["stage"]] = (r["status"], r["start_ts"], r["n_fallbacks"])
+    assert last == {r["stage"]: (r["status"], r["start_ts"], r["n_fallbacks"]) for r in report.fold_stages(df).collect()} == {"a": ("done", 1.0, 2), "b": ("running", 9.0, 1)}
+
+
+def test_stitcher_waits_for_its_turn(spark, tmp_path):
+    rows = [[(0, 2), (1, 0)], [(0, 0), (0, 3)], [(0, 1), (0, 1)], [(0, 5), (1, 1)]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, "run_id long, chunk_idx long").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    stream = spark.readStream.schema("run_id long, chunk_idx long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = bus.run_last(bus.stitched(stream), str(tmp_path / "out"), str(tmp_path / "ck"), "append").collect()
+    for run, want in ((0, [0, 1, 2, 3]), (1, [0, 1])):
+        mine = [(r["batch"], r["chunk_idx"]) for r in got if r["run_id"] == run]
+        assert sorted(c for _, c in mine) == want and all(b1 <= b2 for (b1, c1) in mine for (b2, c2) in mine if c1 < c2)
+
+
+def test_watchdog_warns_of_a_silent_stage(spark, tmp_path):
+    df = spark.createDataFrame([(0, 0.0, "a", "start", ""), (1, 1.0, "b", "start", ""), (2, 2.0, "b", "done", "")], bus.SCHEMA)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = bus.watchdog(bus.read(spark, str(tmp_path / "in")), 1.0, 1.0).writeStream.format("memory").queryName("t_watch").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(40):
+            time.sleep(0.5)
+            if spark.table("t_watch").count() >= 2:
+                break
+    finally:
+        q.stop()
+    assert {r["stage"] for r in spark.table("t_watch").collect()} == {"a"}
+
+
+def test_stall_warnings_are_those_of_a_polling_watchdog(spark):
+    times = [3.0, 20.0, 130.0, 200.0, 259.0, 400.0]
+    df = spark.createDataFrame([("s", t, 0.0) for t in times], "stage string, ts double, begun double")
+    got = sorted((r["warned_at"], r["stalled_s"]) for r in report.stall_warnings(df, "stage", "ts", "begun").collect())
+    want, warned = [], -100.0
+    for tick in range(10, 400, 10):
+        last = max(t for t in times if t <= tick) if tick >= times[0] else None
+        if last is not None and tick - last >= 60 and tick - warned >= 30:
+            want.append((float(tick), tick - last))
+            warned = tick
+    assert got == want and len(want) > 4
+
+
+def test_keyframes_are_selected_with_reasons(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for t in (1, 2, 3):
+        for i in range(4 if t == 3 else 120):
+            place = None if t == 2 or rng.random() < 0.3 else [float(x) for x in rng.uniform(0, 9, 3)]
+            rows.append((t, i, None if rng.random() < 0.02 else float(rng.uniform(1, 100)), *(place or [None] * 3)))
+    got = {(r["track_id"], r["frame_index"]): r for r in keyframes.select(spark.createDataFrame(rows, "track_id long, frame_index int, sharpness double, e double, n double, u double")).collect()}
+    assert len(got) == len(rows)
+    for t in (1, 2, 3):
+        mine = [r for r in rows if r[0] == t]
+        floor = np.quantile([r[2] for r in mine if r[2] is not None], 0.15)
+        last, bare = None, 0
+        for _, i, s, e, n, u in mine:
+            if s is None or s < floor:
+                want, why = False, "sharpness"
+            elif e is not None:
+                want = last is None or math.dist((e, n, u), last) >= 2.0
+                last, why = ((e, n, u) if want else last), "GPS"
+            else:
+                want, why = bare % 5 == 0 or len(mine) <= 5, "stride"
+                bare += 1
+            r = got[(t, i)]
+            assert r["accepted"] == want and (r["reject_reason"] is None) == want and (want or why in r["reject_reason"])
+
+
+def test_inputs_are_found_and_read(spark):
+    deep = '{"a": {"b": {"c": {"fx": 1}}}, "x": 1}'
+    rows = [("/z/k.json", '{"camera": {"lens": {"fx": 700, "fy": "701"}}, "cx": 1, "cy": 2}'), ("/a/deep.json", deep), ("/b/too_deep.json", '{"a": {"b": {"c": {"d": {"fx": 1}}}}}'), ("/c/cam.yaml", "camera:\n  K: 1\n"), ("/d/x.txt", '{"fx": 1}'), ("/e/bad.json", "{nope"), ("/f/list.json", '[{"fx": 1}]')]
+    found = {r["path"]: r["first"] for r in files.intrinsics_files(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found == {"/z/k.json": False, "/a/deep.json": True, "/c/cam.yaml": False}
+    info = [(1, rows[0][1]), (2, '{"p": {"q": {"intrinsic_matrix": [[5, 0, 6], [0, 7, 8], [0, 0, 1]]}}}'), (3, "{}"), (4, None)]
+    got = {r["id"]: (r["fx"], r["fy"], r["cx"], r["cy"]) for r in files.intrinsics(spark.createDataFrame(info, "id int, info string").withColumns({"w": F.lit(100), "h": F.lit(50)}), "info", "w", "h").collect()}
+    assert got == {1: (700.0, 701.0, 1.0, 2.0), 2: (5.0, 7.0, 6.0, 8.0), 3: (90.0, 90.0, 50.0, 25.0), 4: (90.0, 90.0, 50.0, 25.0)}
+    texts = [(1, "embedded", "1\n00:00:01,5 --> 00:00:02,0\n<font size=36>[latitude: 1] [longitude: 2] [rel_alt: 3]</font>"), (2, "mavlink", '{"type": "ATTITUDE", "yaw": 1.5}\n{"type": "GLOBAL_POSITION_INT", "lat": 1e7, "lon": 2e7}'), (3, "tape", "x"), (4, "gpx", "<gpx"), (5, "csv", None), (6, None, "x")]
+    notes = {r["track_id"]: (r["n_samples"], r["note"]) for r in telemetry.tracks(spark.createDataFrame(texts, "track_id long, kind string, text string")).collect()}
+    assert {k: n for k, (n, _) in notes.items()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0} and notes[1][1] is None and all(notes[k][1] for k in (3, 4, 5, 6))
+
+
+def test_masks_of_moving_things_and_water(spark):
+    rows = [(1, 1, "Car", 0, 0, 0.9), (1, 1, "Car", 0, 1, 0.5), (1, 2, "sky", 0, 0, 0.8), (1, 3, "tree", 1, 1, 0.9), (2, 4, "chair", 0, 0, 1.0), (1, 5, "dog", 1, 0, 0.2)]
+    df = spark.createDataFrame([(*r, 2, 2) for r in rows], "frame_index int, detection_id int, class string, row int, col int, share double, height int, width int")
+    assert {tuple(r) for r in masks.masks(df).collect()} == {(1, 2, 0.25), (2, 0, 0.0)}
+
+
 def test_streams_agree_with_the_batch(spark, tmp_path):
     rows = [(0, 0.0, "a", "start"), (1, 1.0, "a", "fallback"), (2, 2.0, "b", "fallback"), (3, 3.0, "a", "done"), (4, 4.0, "b", "start"), (5, 5.0, "b", "fallback"), (6, 6.0, "c", "error")]
     df = spark.createDataFrame([(*r, "") for r in rows], bus.SCHEMA)
