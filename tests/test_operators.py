@@ -1,8 +1,10 @@
 """Operators without SQL against numpy, closed forms and hand-made cases."""
 
+import json
 import math
 import struct
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -227,12 +229,86 @@ def test_sinks(spark, tmp_path):
     assert sinks.write_ply(points, str(tmp_path / "p.ply")) == 3
     raw = (tmp_path / "p.ply").read_bytes()
     body = raw[raw.index(b"end_header\n") + 11 :]
-    assert len(body) == 3 * 21 and struct.unpack("<fffBBBfH", body[:21])[3:] == (255, 0, 7, 0.5, 65535)
+    assert b"element vertex 3\n" in raw and len(body) == 3 * 21 and struct.unpack("<fffBBBfH", body[:21])[3:] == (255, 0, 7, 0.5, 65535)
     sinks.viewer_html(points, "id", str(tmp_path / "v.html"), 2)
     sinks.report_html("t", {"<a>": points}, str(tmp_path / "r.html"))
     assert "DATA" in (tmp_path / "v.html").read_text() and "&lt;a&gt;" in (tmp_path / "r.html").read_text()
-    grid = sinks.dense(spark.createDataFrame([(0, 1, 2.5)], "row int, col int, h double"), ["h"], 2, 1)
-    assert np.isnan(grid[0, 0, 0]) and grid[0, 0, 1] == 2.5
+
+
+def test_las_as_a_reader_sees_it(spark, tmp_path):
+    rows = [(i, -5.25 + i, 1e5 + i / 8, 7.001 * i, 300.0 * i, 10.0, 255.0, 0.25 * i, 60_000 + 9_000 * i) for i in range(4)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double, r double, g double, b double, confidence double, view_count long").repartition(3, "id")
+    assert sinks.write_las(points, str(tmp_path / "p.las"), 32632) == 4
+    raw = (tmp_path / "p.las").read_bytes()
+    assert raw[:4] == b"LASF" and raw[24:26] == bytes([1, 2]) and struct.unpack_from("<H", raw, 94) == (227,) and raw[104] == 3
+    start, n_vlr = struct.unpack_from("<II", raw, 96)
+    length, n = struct.unpack_from("<HI", raw, 105)
+    scale, offset = struct.unpack_from("<3d", raw, 131), struct.unpack_from("<3d", raw, 155)
+    assert (n_vlr, length, n) == (2, 40, 4) and len(raw) == start + 4 * 40 and struct.unpack_from("<6d", raw, 179)[:2] == (-2.25, -5.25)
+    keys = raw[227 + 54 : 227 + 54 + 32]
+    assert struct.unpack("<16H", keys)[-1] == 32632 and raw[229:244] == b"LASF_Projection" and start == 227 + 54 + 32 + 54 + 2 * 192
+    got = sorted((*[round(v * s + o, 6) for v, s, o in zip(r[:3], scale, offset)], *r[10:]) for r in struct.iter_unpack("<iiiHBBbBHdHHHfH", raw[start:]))
+    assert got == [(-5.25 + i, 1e5 + i / 8, round(7.001 * i, 6), min(300 * i, 255) * 257, 2570, 65535, 0.25 * i, min(65535, 60_000 + 9_000 * i)) for i in range(4)]
+    assert sinks.write_las(points.limit(0), str(tmp_path / "none.las")) == 0
+
+
+def test_meshes_as_a_reader_sees_them(spark, tmp_path):
+    v = spark.createDataFrame([(10 * i, float(i), 2.0, 3.0, 1.0, 0.5, 0.0) for i in range(4)], "vertex_id long, x double, y double, z double, r double, g double, b double").repartition(4)
+    f = spark.createDataFrame([(7, 0, 10, 20), (3, 10, 20, 30), (9, 0, 10, 999)], "face_id long, a long, b long, c long")
+    assert sinks.write_mesh_ply(v, f, str(tmp_path / "m.ply")) == (4, 2)
+    raw = (tmp_path / "m.ply").read_bytes()
+    body = raw[raw.index(b"end_header\n") + 11 :]
+    assert [struct.unpack_from("<fffBBB", body, 15 * i) for i in range(4)] == [(i, 2, 3, 255, 127, 0) for i in range(4)]
+    assert [struct.unpack_from("<Biii", body, 60 + 13 * i) for i in range(2)] == [(3, 1, 2, 3), (3, 0, 1, 2)] and len(body) == 60 + 26
+    assert sinks.write_glb(v, f, str(tmp_path / "m.glb")) == (4, 2)
+    raw = (tmp_path / "m.glb").read_bytes()
+    kind, version, size, length, what = struct.unpack_from("<4sIII4s", raw)
+    doc = json.loads(raw[20 : 20 + length])
+    data = raw[20 + length + 8 :]
+    assert (kind, version, size, what) == (b"glTF", 2, len(raw), b"JSON") and len(data) == doc["buffers"][0]["byteLength"]
+    at = {i: doc["bufferViews"][i]["byteOffset"] for i in range(3)}
+    assert struct.unpack_from("<12f", data, at[0])[::3] == (0, 1, 2, 3) and struct.unpack_from("<4B", data, at[1]) == (255, 127, 0, 255) and struct.unpack_from("<6I", data, at[2]) == (1, 2, 3, 0, 1, 2)
+    corners = spark.createDataFrame([(face, c, 0.25 * c, 0.5) for face in (3, 7) for c in range(3)], "face_id long, corner int, u double, v double")
+    sinks.write_obj(sinks.obj_lines(v, f, corners), str(tmp_path / "m.obj"), "t.png")
+    lines = (tmp_path / "m.obj").read_text().split("\n")
+    assert lines[:3] == ["mtllib m.mtl", "usemtl material0", "v 0.000000 2.000000 3.000000"] and lines[6:9] == ["vt 0.000000 0.500000", "vt 0.250000 0.500000", "vt 0.500000 0.500000"] and lines[12:14] == ["f 2/1 3/2 4/3", "f 1/4 2/5 3/6"]
+    assert "map_Kd t.png" in (tmp_path / "m.mtl").read_text()
+
+
+def test_rasters_as_a_reader_sees_them(spark, tmp_path):
+    cells = spark.createDataFrame([(0, 1, 2.5, 1.0), (130, 0, -1.0, None), (131, 2, 7.0, 3.0)], "row int, col int, h double, n double")
+    sinks.write_geotiff(cells, ["h", "n"], 3, 132, 500_000.0, 4_000_000.0, 0.5, str(tmp_path / "r.tif"), 32633)
+    raw = (tmp_path / "r.tif").read_bytes()
+    assert raw[:4] == b"II*\0"
+    (count,) = struct.unpack_from("<H", raw, 8)
+    tags = {}
+    for i in range(count):
+        tag, kind, n = struct.unpack_from("<HHI", raw, 10 + 12 * i)
+        form = {2: f"{n}s", 3: f"{n}H", 4: f"{n}I", 12: f"{n}d"}[kind]
+        at = 18 + 12 * i if struct.calcsize("<" + form) <= 4 else struct.unpack_from("<I", raw, 18 + 12 * i)[0]
+        tags[tag] = struct.unpack_from("<" + form, raw, at)
+    assert list(tags) == sorted(tags) and (tags[256], tags[257], tags[277]) == ((3,), (132,), (2,)) and tags[33550] == (0.5, 0.5, 0) and tags[33922][3:5] == (500_000, 4_000_000) and tags[34735][-1] == 32633 and tags[42113] == (b"nan\0",)
+    bands = [np.concatenate([np.frombuffer(raw, "<f4", tags[279][i] // 4, tags[273][i]) for i in range(b * 3, b * 3 + 3)]).reshape(132, 3) for b in (0, 1)]
+    assert {(r, c): float(bands[0][r, c]) for r, c in np.argwhere(~np.isnan(bands[0]))} == {(0, 1): 2.5, (130, 0): -1.0, (131, 2): 7.0} and np.isnan(bands[1]).sum() == 132 * 3 - 2
+    sinks.write_png(cells.select("row", "col", (F.col("h") / 7).alias("shade")), "shade", 3, 132, str(tmp_path / "r.png"))
+    raw = (tmp_path / "r.png").read_bytes()
+    at = raw.index(b"IDAT")
+    image = np.frombuffer(zlib.decompress(raw[at + 4 : at + 4 + struct.unpack_from(">I", raw, at - 4)[0]]), "u1").reshape(132, 4)[:, 1:]
+    assert image[131, 2] == 255 and image[0, 1] == 91 and (image > 0).sum() == 2 and struct.unpack_from(">II", raw, 16) == (3, 132)
+
+
+def test_long_lines_are_parts_that_share_their_ends(spark):
+    df = spark.createDataFrame([("a", i, float(i), 0.0) for i in range(21)] + [("b", 0, 1.0, 1.0)], "name string, seq int, lon double, lat double")
+    got = {(r["name"], r["part"]): [p[0] for p in json.loads(r["geojson"])["geometry"]["coordinates"]] for r in sinks.line_features(df, most=10).collect()}
+    assert got == {("a", 0): [float(i) for i in range(11)], ("a", 1): [float(i) for i in range(10, 21)], ("b", 0): [1.0]}
+
+
+def test_scorecard_files(spark, tmp_path):
+    m = spark.createDataFrame([("x", 2.0, 1.0, 100.0, True), ("y", 4.0, 3.0, 50.0, True), ("z", None, 3.0, 5.0, False)], "model string, q double, e double, runtime_s double, has_cameras boolean")
+    sinks.write_scorecard(scorecard.scorecard(m, {"q": False}, {"e": True}), str(tmp_path))
+    text = (tmp_path / "scorecard.md").read_text()
+    assert "| z | 0.333 | N/A | 1.000 | N/A | no |" in text and "Winner: x" in text or "Winner: y" in text
+    assert {r["model"] for r in json.loads((tmp_path / "scores.json").read_text())} == {"x", "y", "z"} and "Winner" in (tmp_path / "report.html").read_text()
 
 
 def test_a_late_event_takes_its_place(spark, tmp_path):
