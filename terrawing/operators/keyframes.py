@@ -62,8 +62,10 @@ def select(frames: DataFrame, track: str = "track_id", order: str = "frame_index
     with a place must lie at least least_m from the last one kept that had a
     place; one without must be every stride-th of such, from the first, if the
     track has more than stride candidates. A frame without sharpness is out
-    and doesn't count for the quantile, but is a candidate.
+    and doesn't count for the quantile, but is a candidate. Columns that
+    already have the results' names are replaced.
     """
+    frames = frames.drop("accepted", "reject_reason")
     if stride < 2:
         raise ValueError("stride must be at least 2")
     n = frames.groupBy(track).agg(F.count(F.lit(1)).alias("_n"))

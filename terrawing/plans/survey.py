@@ -980,15 +980,17 @@ def video_probe(spark: SparkSession, d: str) -> DataFrame:
     return files.probed(p).select("path", "duration_s", "fps")
 
 
-@query("with a as (select distinct p_brand as key from part where p_size < 10), b as (select distinct p_brand as key from part where p_size > 40) select key, 'missing' as side from a where key not in (select key from b) union all select key, 'unexpected' from b where key not in (select key from a)")
+@query("with a as (select p_partkey::varchar as key from part where p_size < 30), b as (select p_partkey::varchar as key from part where p_size > 20) select key, 'missing' as side from a where key not in (select key from b) union all select key, 'unexpected' from b where key not in (select key from a)")
 def checkpoint_keys(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    return files.key_difference(p.where("p_size < 10").select(F.concat(F.lit("module."), "p_brand").alias("key")), p.where("p_size > 40").select(F.col("p_brand").alias("key")))
+    key = F.col("p_partkey").cast("string")
+    return files.key_difference(p.where("p_size < 30").select(F.concat(F.lit("module."), key).alias("key")), p.where("p_size > 20").select(key.alias("key")))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 10 = 0)")
 def unregistered(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Images that no reconstruction holds: customers without an order that counts as one."""
+    o = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
 
 
@@ -1010,12 +1012,6 @@ def trajectory_geojson(spark: SparkSession, d: str) -> DataFrame:
     return sinks.line_features(s.select(F.concat(F.lit("track_"), F.col("track_id").cast("string")).alias("name"), F.col("source_index").alias("seq"), "lon", "lat"))
 
 
-@query(f"with {_CLOUD} select 'v' as kind, row_number() over (order by vec_id) as id, printf('v %.6f %.6f %.6f %.6f %.6f %.6f', x, y, z, 1e0, 0e0, 0e0) as line from cloud")
-def obj_vertices(spark: SparkSession, d: str) -> DataFrame:
-    v = cloud(spark, d).select(F.col("vec_id").alias("vertex_id"), "x", "y", "z", F.lit(1.0).alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"))
-    f = spark.createDataFrame([], "face_id bigint, a bigint, b bigint, c bigint")
-    return sinks.obj_lines(v, f)
-
 
 # --------------------------------------------------------------------- streaming
 

@@ -3,14 +3,15 @@
 import pytest
 
 import parity
-from terrawing.plans import curation, survey
+from terrawing.plans import curation, inventory, survey
 
 FOLDER = str(parity.DATA / "sf0.001")
-QUERIES = survey.QUERIES | curation.QUERIES
-SQL = survey.SQL | curation.SQL
+QUERIES = survey.QUERIES | inventory.QUERIES | curation.QUERIES
+SQL = survey.SQL | inventory.SQL | curation.SQL
 
 
 def test_sql_belongs_to_a_query():
+    assert len(QUERIES) == len(survey.QUERIES) + len(inventory.QUERIES) + len(curation.QUERIES)
     assert set(SQL) <= set(QUERIES)
 
 
