@@ -17,10 +17,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrawing.runtime import small
+
 #: Steps of the uniform numbers. A rate can't be told finer than one step's tokens, a 1/STEPS of a source.
 STEPS = 8192
-#: Sources with a target. They come to the driver, STEPS sums of each.
-MOST_TARGETS = 200
+#: Sources whose sums, STEPS of each, are at the driver at once; more sources go batch by batch.
+BATCH = 200
+#: More rates than this are joined with a shuffle.
+MOST_RATES = 20_000
 
 
 @dataclass(frozen=True)
@@ -90,26 +94,33 @@ def rates(docs: DataFrame, item_id: str, source: str, size: str, targets: DataFr
     tokens if that is smaller. Target sources without tokens can't be drawn;
     their share goes to the others in proportion.
     """
-    wanted = [r for r in targets.select("source_name", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).limit(MOST_TARGETS + 1).collect() if r[0] is not None]
-    if len(wanted) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} target sources")
+    wanted = [tuple(r) for r in targets.select("source_name", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).toLocalIterator() if r[0] is not None]
     names = [r[0] for r in wanted]
-    mass = {n: np.zeros(STEPS, np.int64) for n in names}
-    sums = docs.where(F.col(source).isin(names)).groupBy(F.col(source).alias("s"), step_of(item_id, seed).alias("b")).agg(F.sum(size).alias("n"))
-    for r in sums.collect():
-        mass[r["s"]][r["b"]] = r["n"] or 0
-    there = [r for r in wanted if mass[r[0]].sum() > 0 and (r[1] or 0) > 0 and (r[2] or 0) > 0]
-    share = sum(r[1] for r in there)
-    size_of_mix = min((int(mass[n].sum()) * m / (s / share) for n, s, m in there), default=0.0)
+    tokens: dict[str, int] = {}
+    for some in _batches(names):
+        sums = docs.where(F.col(source).isin(some)).groupBy(F.col(source).alias("s")).agg(F.sum(size).alias("n"))
+        tokens |= {r["s"]: r["n"] or 0 for r in sums.collect()}
+    there = {(n, s, m) for n, s, m in wanted if tokens.get(n, 0) > 0 and (s or 0) > 0 and (m or 0) > 0}
+    share = sum(s for n, s, m in wanted if (n, s, m) in there)
+    size_of_mix = min((tokens[n] * m / (s / share) for n, s, m in there), default=0.0)
     if total is not None:
         size_of_mix = min(size_of_mix, float(total))
     out = []
-    for n, s, m in wanted:
-        mean, cuts = solve(mass[n], size_of_mix * s / share, m) if (n, s, m) in {tuple(r) for r in there} else (0.0, ())
-        out.append(Rate(n, s, m, int(mass[n].sum()), mean, cuts, drawn(mass[n], cuts)))
+    for some in _batches(names):
+        mass = {n: np.zeros(STEPS, np.int64) for n in some}
+        steps = docs.where(F.col(source).isin(some)).groupBy(F.col(source).alias("s"), step_of(item_id, seed).alias("b")).agg(F.sum(size).alias("n"))
+        for r in steps.collect():
+            mass[r["s"]][r["b"]] = r["n"] or 0
+        for n, s, m in (w for w in wanted if w[0] in mass):
+            mean, cuts = solve(mass[n], size_of_mix * s / share, m) if (n, s, m) in there else (0.0, ())
+            out.append(Rate(n, s, m, int(mass[n].sum()), mean, cuts, drawn(mass[n], cuts)))
     return out
 
 
+def _batches(names: list[str]) -> list[list[str]]:
+    return [names[i : i + BATCH] for i in range(0, len(names), BATCH)]
+
+
 def draw(docs: DataFrame, item_id: str, source: str, size: str, plan: list[Rate], seed: int) -> DataFrame:
     """item_id, source, copy (from 0), n_tokens, place: the drawn copies in their global, shuffled order.
 
@@ -118,13 +129,12 @@ def draw(docs: DataFrame, item_id: str, source: str, size: str, plan: list[Rate]
     hash of id and copy; the result is sorted by it, so that neighbours don't
     share a source. An empty table, or no targets, gives an empty result.
     """
-    cuts = F.lit(None).cast("array<double>")
-    for r in plan:
-        if r.thresholds:
-            cuts = F.when(F.col(source) == r.source, F.array(*[F.lit(float(x)) for x in r.thresholds])).otherwise(cuts)
+    spark = docs.sparkSession
+    drawing = [(r.source, list(r.thresholds)) for r in plan if r.thresholds]
+    rate = small(spark.createDataFrame(drawing, "_source string, _cuts array<double>"), MOST_RATES, len(drawing))
     u = (step_of(item_id, seed) + 0.5) / F.lit(STEPS)
-    copies = F.size(F.filter(F.coalesce(cuts, F.array().cast("array<double>")), lambda c: u > c))
-    chosen = docs.select(F.col(item_id).alias("item_id"), F.col(source).alias("source"), F.col(size).alias("n_tokens"), copies.alias("_n")).where("_n > 0")
+    slim = docs.select(F.col(item_id).alias("item_id"), F.col(source).alias("source"), F.col(size).alias("n_tokens"), u.alias("_u"))
+    chosen = slim.join(rate, F.col("source") == F.col("_source")).withColumn("_n", F.size(F.filter("_cuts", lambda c: F.col("_u") > c))).where("_n > 0")
     each = chosen.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return each.select("item_id", "source", "copy", "n_tokens", F.xxhash64("item_id", "copy", F.lit(seed + 1)).alias("place")).orderBy("place", "item_id", "copy")
 

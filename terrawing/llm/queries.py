@@ -14,8 +14,8 @@ from terrawing.runtime import cut, table
 
 TOLERANCE_S = 0.5
 SEED = 20240607
-#: Kinds of container; each is a packing task over all texts.
-MOST_KINDS = 100
+#: Kinds of container that one pass over the texts packs; more go in further passes.
+KINDS_A_PASS = 100
 
 
 def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = table(spark, sf_dir, "containers").select("container_kind", "capacity_tokens").limit(MOST_KINDS + 1).collect()
-    if len(kinds) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} kinds of container")
+    kinds = [tuple(r) for r in table(spark, sf_dir, "containers").select("container_kind", "capacity_tokens").toLocalIterator()]
     sizes = cut(spark, with_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id"]))
-    return pack(sizes, "doc_id", "n_tokens", {r[0]: r[1] for r in kinds}, -(-sizes.count() // ITEMS_PER_BUCKET))
+    buckets = -(-sizes.count() // ITEMS_PER_BUCKET)
+    out = pack(sizes, "doc_id", "n_tokens", dict(kinds[:KINDS_A_PASS]), buckets)
+    for i in range(KINDS_A_PASS, len(kinds), KINDS_A_PASS):
+        out = out.unionByName(pack(sizes, "doc_id", "n_tokens", dict(kinds[i : i + KINDS_A_PASS]), buckets))
+    return out
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:

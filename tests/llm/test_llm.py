@@ -147,6 +147,18 @@ def test_shares_caps_and_repeats(spark):
     assert again == got
 
 
+def test_many_sources_go_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BATCH", 2)
+    rows = [(i, f"s{i % 7}", 10 + i % 5) for i in range(2100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(f"s{k}", 1 / 7, 1 + k % 2) for k in range(7)], "source_name string, target_share double, max_repeats int")
+    plan = mixing.rates(df, "doc_id", "source", "n_tokens", targets, 3)
+    got = Counter()
+    for r in mixing.draw(df, "doc_id", "source", "n_tokens", plan, 3).collect():
+        got[r["source"]] += r["n_tokens"]
+    assert dict(got) == {p.source: p.drawn for p in plan} and len(got) == 7 and max(got.values()) / min(got.values()) < 1.02
+
+
 def test_mixing_nothing(spark):
     _, df = docs(spark, 50)
     none = spark.createDataFrame([], "source_name string, target_share double, max_repeats int")
