@@ -104,11 +104,12 @@ def parse(line: str | None) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
-_FIELD = "struct<quantity: string, name: string, types: array<string>>"
+_PROFILE = "n long, least double, most double, digits int, place int"
+_FIELD = "struct<quantity: string, name: string, types: array<string>, " + _PROFILE.replace(" long", ": long").replace(" double", ": double").replace(" int", ": int") + ">"
 
 
 def file_schemas(lines: DataFrame, file_id: str, line: str) -> DataFrame:
-    """One row per file and field: file_id, name, quantity (by its words), types (sorted array), and its profile.
+    """file_id and fields of each file that has any: for each its quantity (by its words), name, types (sorted array) and profile.
 
     The profile is n (records that carry a value), least and most of its
     numbers, digits (decimals of the finest one) and place (the field's least
@@ -141,10 +142,11 @@ def file_schemas(lines: DataFrame, file_id: str, line: str) -> DataFrame:
         scan, "file_id long, quantity string, name string, type string, n long, least double, most double, digits int, place int"
     )
     # Tasks have merged their own lines already; a file's rows stay together from here to its schema.
-    return found.repartition("file_id").groupBy("file_id", "quantity", "name").agg(
+    fields = found.repartition("file_id").groupBy("file_id", "quantity", "name").agg(
         F.sort_array(F.collect_set(F.when(F.col("type") != "null", F.col("type")))).alias("types"),
         F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("digits").alias("digits"), F.min("place").alias("place"),
     )
+    return fields.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("quantity", "name", "types", "n", "least", "most", "digits", "place"))).alias("fields"))
 
 
 def before(files: DataFrame, group: str, order: str, row_id: str) -> DataFrame:
@@ -163,58 +165,70 @@ def before(files: DataFrame, group: str, order: str, row_id: str) -> DataFrame:
     return joined.withColumn("previous", F.coalesce("_p", "_carry")).drop("_m", "_p", "_g", "_gm", "_carry")
 
 
-def same_quantity(placed: DataFrame, fields: DataFrame, feed: str) -> DataFrame:
-    """feed, name and quantity: names that words don't tell, but what the files show.
+def same_quantity(pairs: DataFrame, feed: str) -> DataFrame | None:
+    """feed, name and quantity: names that words don't tell, but what the files show; None if there are none.
 
+    pairs holds each file's fields beside those of the file before (now, old).
     A name stands for a target column if it first comes in a file in which
     every name of that column goes, or the other way round, never beside it in
     a file of the feed, at nearly the same place of the record, as often, with
     the same decimals, and with numbers that go on in the same range. Where
     two names or two columns would do, none is taken.
     """
-    own = placed.select(F.col(feed).alias("_feed"), "file_id", "previous").join(fields, "file_id")
-    known = own.where(F.col("quantity").isin(*[q for q, k in TARGET.items() if k != "string"]))
-    other = own.where(F.col("quantity") == F.col("name")).where(~F.col("name").isin(*TARGET)).where("n > 0 and most >= least")
-    a = other.select("_feed", F.col("file_id").alias("fa"), F.col("previous").alias("pa"), "name", *[F.col(c).alias(f"{c}_a") for c in ("n", "least", "most", "digits", "place")])
-    b = known.select(F.col("file_id").alias("fb"), F.col("previous").alias("pb"), F.col("quantity").alias("q"), *[F.col(c).alias(f"{c}_b") for c in ("n", "least", "most", "digits", "place")])
-    # Neighbouring files, in both orders: few fields of one meet few of the other.
-    pairs = a.join(b, F.col("pa") == F.col("fb")).unionByName(a.join(b, F.col("pb") == F.col("fa")))
-    widest = F.greatest(F.col("most_a") - F.col("least_a"), F.col("most_b") - F.col("least_b"))
-    common = F.least("most_a", "most_b") - F.greatest("least_a", "least_b")
-    like = (common > 0) & (common >= 0.4 * widest) & (F.col("digits_a") == F.col("digits_b")) & (F.abs(F.col("place_a") - F.col("place_b")) <= 1) & F.col("n_a").between(F.col("n_b") * 0.5, F.col("n_b") * 2)
-    likely = pairs.where(like).select("_feed", "name", "q").distinct()
+    numbers = [q for q, k in TARGET.items() if k != "string"]
+    only = lambda a, b: F.filter(a, lambda f: ~F.exists(b, lambda g: g["quantity"] == f["quantity"]))
+    rows = pairs.select(F.col(feed).alias("_feed"), F.array(F.struct(only("now", "old").alias("come"), only("old", "now").alias("gone")), F.struct(only("old", "now").alias("come"), only("now", "old").alias("gone"))).alias("_s"))
+    rows = rows.select("_feed", F.explode("_s").alias("_s"))
+    unknown = F.filter("_s.come", lambda f: (f["quantity"] == f["name"]) & ~f["name"].isin(*TARGET) & (f["n"] > 0) & (f["most"] >= f["least"]))
+    known = F.filter("_s.gone", lambda f: f["quantity"].isin(*numbers))
+    rows = rows.select("_feed", unknown.alias("_a"), known.alias("_b")).where("size(_a) > 0 and size(_b) > 0")
+    met = rows.withColumn("a", F.explode("_a")).withColumn("b", F.explode("_b"))
+    widest = F.greatest(F.col("a.most") - F.col("a.least"), F.col("b.most") - F.col("b.least"))
+    common = F.least("a.most", "b.most") - F.greatest("a.least", "b.least")
+    like = (common > 0) & (common >= 0.4 * widest) & (F.col("a.digits") == F.col("b.digits")) & (F.abs(F.col("a.place") - F.col("b.place")) <= 1) & F.col("a.n").between(F.col("b.n") * 0.5, F.col("b.n") * 2)
+    likely, n = kept(met.where(like).select("_feed", F.col("a.name").alias("name"), F.col("b.quantity").alias("q")).distinct(), MOST_NAMES)
+    if not n:
+        return None
     # Both never stand in one file of the feed.
-    beside = own.select(F.col("_feed").alias("_f1"), "file_id", F.col("name").alias("_n1")).join(own.select("file_id", F.col("quantity").alias("_q1")), "file_id")
-    beside = beside.join(likely, (F.col("_f1") == F.col("_feed")) & (F.col("_n1") == F.col("name")) & (F.col("_q1") == F.col("q")), "left_semi").select(F.col("_f1").alias("_feed"), F.col("_n1").alias("name"), F.col("_q1").alias("q")).distinct()
+    both = F.exists("now", lambda f: f["name"] == F.col("name")) & F.exists("now", lambda f: f["quantity"] == F.col("q"))
+    beside = pairs.join(small(likely, MOST_NAMES, n), F.col(feed) == F.col("_feed")).where(both).select("_feed", "name", "q").distinct()
     apart = likely.join(beside, ["_feed", "name", "q"], "left_anti")
     alone = apart.withColumns({"_k": F.count(F.lit(1)).over(Window.partitionBy("_feed", "name")), "_l": F.count(F.lit(1)).over(Window.partitionBy("_feed", "q"))}).where("_k = 1 and _l = 1")
-    return alone.select(F.col("_feed").alias(feed), "name", F.col("q").alias("quantity"))
+    return alone.groupBy("_feed").agg(F.map_from_entries(F.collect_list(F.struct("name", "q"))).alias("_shown"))
 
 
-def versions(files: DataFrame, fields: DataFrame, feed: str = "feed_id", recorded: str = "recorded_at") -> DataFrame:
-    """file_id, feed, previous (the file before), fingerprint, starts (whether a version of the feed starts here), fields and steps (JSON) of every file.
+def versions(files: DataFrame, schemas: DataFrame, feed: str = "feed_id", recorded: str = "recorded_at") -> DataFrame:
+    """file_id, feed, previous (the file before), fingerprint, starts (whether a version of the feed starts here), steps and old_steps (JSON: the chains of the file and of that before) of every file.
 
-    fields is what file_schemas found, held by the caller. Files without any
-    field take part as empty ones. Files recorded at the same time follow each
-    other by file_id.
+    Files without any field take part as empty ones. Files recorded at the
+    same time follow each other by file_id.
     """
     placed = before(files.select(feed, recorded, "file_id"), feed, recorded, "file_id").select(F.col(feed).cast("long").alias(feed), "file_id", "previous")
-    shown, n = kept(same_quantity(placed, fields, feed), MOST_NAMES)
-    shown = small(shown.select(F.col(feed).alias("_feed"), F.col("name").alias("_name"), F.col("quantity").alias("_q")), MOST_NAMES, n)
-    named = placed.join(fields, "file_id", "left").join(shown, (F.col(feed) == F.col("_feed")) & (F.col("name") == F.col("_name")), "left")
-    field = F.when(F.col("name").isNotNull(), F.struct(F.coalesce("_q", "quantity").alias("quantity"), "name", "types"))
-    whole = named.groupBy(feed, "file_id", "previous").agg(F.sort_array(F.collect_list(field)).cast(f"array<{_FIELD}>").alias("fields")).withColumn("fingerprint", F.md5(F.to_json("fields")))
+    old = schemas.select(F.col("file_id").alias("_pf"), F.col("fields").alias("_old"))
+    none = F.array().cast(f"array<{_FIELD}>")
+    pairs = placed.join(schemas, "file_id", "left").join(old, F.col("previous") == F.col("_pf"), "left")
+    pairs = cut(files.sparkSession, pairs.select(feed, "file_id", "previous", F.coalesce("fields", none).alias("now"), F.coalesce("_old", none).alias("old")))
+    shown = same_quantity(pairs, feed)
+    if shown is not None:
+        shown, n = kept(shown, MOST_NAMES)
+        pairs = pairs.join(small(shown, MOST_NAMES, n), F.col(feed) == F.col("_feed"), "left")
+    quantity_of = lambda f: f["quantity"] if shown is None else F.coalesce(F.col("_shown")[f["name"]], f["quantity"])
+    plain = lambda c: F.sort_array(F.transform(c, lambda f: F.struct(quantity_of(f).alias("quantity"), f["name"].alias("name"), f["types"].alias("types"))))
+    rows = pairs.select(feed, "file_id", "previous", F.to_json(plain("now")).alias("now"), F.to_json(plain("old")).alias("old"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains: dict[str, str] = {}
+
+        def chain(fields: str) -> str:
+            if fields not in chains:
+                chains[fields] = json.dumps(migration([(f["quantity"], f["name"], tuple(f["types"])) for f in json.loads(fields)]))
+            return chains[fields]
+
         for batch in batches:
-            steps = [json.dumps(migration([(f["quantity"], f["name"], tuple(f["types"])) for f in fields or []])) for fields in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(steps, pa.string())], [*batch.schema.names, "steps"])
-
-    chained = whole.select(feed, "file_id", "previous", "fields", "fingerprint").mapInArrow(write, f"{feed} long, file_id long, previous long, fields array<{_FIELD}>, fingerprint string, steps string")
-    chained = cut(files.sparkSession, chained)
-    old = chained.select(F.col("file_id").alias("_pf"), F.col("fingerprint").alias("_fo"), F.col("steps").alias("_so"))
-    both = chained.join(old, F.col("previous") == F.col("_pf"), "left").drop("_pf")
-    return both.withColumn("starts", F.col("previous").isNull() | ~F.col("fingerprint").eqNullSafe(F.col("_fo"))).withColumnsRenamed({"_so": "old_steps"}).drop("_fo")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array([chain(x) for x in batch.column(c).to_pylist()], pa.string()) for c in ("now", "old")]], [*batch.schema.names[:3], "steps", "old_steps"])
+
+    chained = rows.mapInArrow(write, f"{feed} long, file_id long, previous long, steps string, old_steps string")
+    return chained.withColumns({"fingerprint": F.md5("steps"), "starts": F.col("previous").isNull() | (F.col("steps") != F.col("old_steps"))})
 
 
 def changes(version: DataFrame, feed: str = "feed_id") -> DataFrame:
