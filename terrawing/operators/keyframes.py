@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrawing.operators.blocks import numbered
+from terrawing.operators.blocks import MOST_BROADCAST, numbered
 from terrawing.operators.quantiles import exact_quantiles
 from terrawing.operators.segments import segments
+from terrawing.runtime import cut, small
+from terrawing.runtime import kept as kept_rows
 
 
 def sharpness_gate(frames: DataFrame, track: str = "track_id", share: float = 0.15) -> DataFrame:
@@ -20,34 +22,73 @@ def sharpness_gate(frames: DataFrame, track: str = "track_id", share: float = 0.
     return frames.join(floors, track).withColumn("sharp", F.col("sharpness") >= F.col("floor"))
 
 
-def spacing_gate(frames: DataFrame, track: str = "track_id", order: str = "frame_index", least_m: float = 2.0) -> DataFrame:
+def spacing_gate(frames: DataFrame, track: str = "track_id", order: str = "frame_index", least_m: float = 2.0, rows_per_block: int = 100_000) -> DataFrame:
     """track, order and ``kept``: a frame is kept if it lies at least least_m from the last one kept, or is the first.
 
     Input needs e, n and u; frames without place aren't kept and don't count.
-    The choice depends on the last frame kept, so a track is read in one
-    stream; only that frame's place is held, whatever the track's length.
+    The choice depends on the last frame kept. A track of at most
+    2 * rows_per_block frames is read in one stream that holds that frame's
+    place. A longer one is read in blocks at once, each from the place that
+    the block before ended with when it was read last; chains from different
+    places soon keep the same frames, so that the ends settle after a round or
+    two, and the rounds go on until they do.
     """
     kind = frames.schema[track].dataType
     slim = frames.select(F.col(track).cast("string").alias("track"), F.col(order).cast("long").alias("pos"), *[F.col(c).cast("double").alias(c) for c in "enu"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_track, place = None, None
+    sizes = slim.groupBy("track").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * rows_per_block)
+    hot, n = kept_rows(sizes.select(F.col("track").alias("_hot")), MOST_BROADCAST)
+    none = [F.lit(0).cast("long").alias("block"), *[F.lit(None).cast("double").alias(f"_{c}") for c in "enu"]]
+    flags = "track string, pos long, kept boolean"
+
+    def chain(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
+        """Flags of the rows or, with ends, the place with which each block ends."""
+        key, place = None, None
         for batch in batches:
-            tracks = batch.column(0).to_pylist()
             kept = []
-            for t, e, n, u in zip(tracks, *[batch.column(i).to_pylist() for i in (2, 3, 4)]):
-                if t != last_track:
-                    last_track, place = t, None
+            for t, block, e, n, u, *start in zip(*[batch.column(c).to_pylist() for c in ("track", "block", "e", "n", "u", "_e", "_n", "_u")]):
+                if (t, block) != key:
+                    if ends and key is not None:
+                        yield _end(key, place)
+                    key, place = (t, block), tuple(start) if None not in start else None
                 ok = None not in (e, n, u) and (place is None or (e - place[0]) ** 2 + (n - place[1]) ** 2 + (u - place[2]) ** 2 >= least_m * least_m)
                 if ok:
                     place = (e, n, u)
                 kept.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.bool_())], ["track", "pos", "kept"])
-
-    out = slim.repartition("track").sortWithinPartitions("track", "pos").mapInArrow(run, "track string, pos long, kept boolean")
+            if not ends:
+                yield pa.RecordBatch.from_arrays([batch.column("track"), batch.column("pos"), pa.array(kept, pa.bool_())], ["track", "pos", "kept"])
+        if ends and key is not None:
+            yield _end(key, place)
+
+    together = lambda df: df.repartition("track", "block").sortWithinPartitions("track", "block", "pos")
+    whole = slim if not n else slim.join(small(hot, MOST_BROADCAST, n), F.col("track").eqNullSafe(F.col("_hot")), "left_anti")
+    out = together(whole.select("*", *none)).mapInArrow(lambda b: chain(b, False), flags)
+    if n:
+        long = slim.join(small(hot, MOST_BROADCAST, n), F.col("track").eqNullSafe(F.col("_hot"))).drop("_hot")
+        long = numbered(long, ["track"], ["pos"], "_i").withColumn("block", F.floor(F.col("_i") / rows_per_block).cast("long"))
+        long = cut(frames.sparkSession, together(long.select("track", "block", "pos", *"enu")))
+        ends, size = kept_rows(long.select("*", *none[1:]).mapInArrow(lambda b: chain(b, True), _ENDS), MOST_BROADCAST)
+        while True:
+            before = small(ends.select(F.col("track").alias("_t"), (F.col("block") + 1).alias("_b"), *[F.col(f"end_{c}").alias(f"_{c}") for c in "enu"]), MOST_BROADCAST, size)
+            started = long.join(before, F.col("track").eqNullSafe(F.col("_t")) & (F.col("block") == F.col("_b")), "left").drop("_t", "_b")
+            started = started if size <= MOST_BROADCAST else together(started)
+            again, size = kept_rows(started.mapInArrow(lambda b: chain(b, True), _ENDS), MOST_BROADCAST)
+            old = ends.select(F.col("track").alias("_t"), F.col("block").alias("_b"), *[F.col(f"end_{c}").alias(f"_{c}") for c in "enu"])
+            same = [F.col("track").eqNullSafe(F.col("_t")), F.col("block") == F.col("_b"), *[F.col(f"end_{c}").eqNullSafe(F.col(f"_{c}")) for c in "enu"]]
+            moved = again.join(old, same, "left_anti").limit(1).count()
+            ends = again
+            if not moved:
+                break
+        out = out.unionByName(started.mapInArrow(lambda b: chain(b, False), flags))
     return out.select(F.col("track").cast(kind).alias(track), F.col("pos").alias(order), "kept")
 
 
+_ENDS = "track string, block long, end_e double, end_n double, end_u double"
+
+
+def _end(key: tuple, place: tuple | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"track": pa.array([key[0]], pa.string()), "block": pa.array([key[1]], pa.int64())} | {f"end_{c}": pa.array([place and place[i]], pa.float64()) for i, c in enumerate("enu")})
+
+
 def stride_gate(frames: DataFrame, track: str = "track_id", order: str = "frame_index", stride: int = 5) -> DataFrame:
     """Adds ``kept``: of the frames of a track every stride-th, from the first; all if there are at most stride. stride is at least 2."""
     if stride < 2:

@@ -68,10 +68,15 @@ def chosen(meshes: DataFrame, run: str = "run_id", least_faces: int = 10_000, le
     return meshes.where(fine).withColumn("_r", rank).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_r", "_k")
 
 
+def hybrid_neighbours(points: DataFrame, point_id: str, radius: float = 0.5, most: int = 30) -> DataFrame:
+    """query and point: of each point the nearest ``most``, itself included, that are no further than radius."""
+    return nearest_points(points, points, most, point_id, point_id, radius).where(F.col("distance") <= radius).select("query", "point")
+
+
 def normals(points: DataFrame, near: DataFrame, point_id: str) -> DataFrame:
     """Points with nx, ny, nz: the direction in which a point's neighbours spread least.
 
-    near has query and point (see fusion.nearest_points). The sums of each
+    near has query and point (see hybrid_neighbours). The sums of each
     neighbourhood are made by the engine; workers only solve 3 x 3 matrices, a
     batch at a time. Fewer than three neighbours give no normal.
     """

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrawing.operators.blocks import neighbours
+from terrawing.operators.blocks import neighbours, numbered
+from terrawing.runtime import cut
 
 #: Words of a message that tell of a way round, and the events that decide a stage's status.
 FALLBACK_WORDS = ("fallback", "falling back", "unavailable", "skip")
@@ -107,7 +108,7 @@ def throttled(log: DataFrame, group: str, time: str, least_s: float) -> DataFram
     from terrawing.operators.keyframes import spacing_gate
 
     zero = F.lit(0.0)
-    placed = log.select(group, F.row_number().over(Window.partitionBy(group).orderBy(time)).alias("_k"), F.col(time).alias("e"), zero.alias("n"), zero.alias("u"))
+    placed = cut(log.sparkSession, numbered(log.select(group, time), [group], [time], "_k").select(group, "_k", F.col(time).alias("e"), zero.alias("n"), zero.alias("u")))
     kept = spacing_gate(placed, group, "_k", least_s)
     return placed.join(kept, [group, "_k"]).select(group, F.col("e").alias(time), F.col("kept").alias("shown"))
 

@@ -210,7 +210,72 @@ def _csv_sql() -> str:
                              when {empty} or {wrong} or v_source_index < 0 or v_source_index <> floor(v_source_index) or abs(v_lat) > 90 or abs(v_lon) > 180 then 'bad_value' end as reason from n)"""
 
 
+#: Letters of the zones in the test data, with their hours ahead of UTC.
+_LETTERS = {"CET": 1, "CEST": 2, "WET": 0, "WEST": 1, "BST": 1, "EST": -5, "EDT": -4, "MST": -7, "MDT": -6, "AEST": 10, "AEDT": 11, "IST": 5.5}
+
+
+def _clock_sql() -> str:
+    """Clock texts rewritten to one form, local times met with the offset intervals of their zone and year, doubtful ones settled by their neighbours."""
+    time, tail = r"(\d{1,2}):(\d{2}):(\d{2})(?:[.,](\d+))?", r"\s*(Z|[+-]\d{2}:?\d{2}|[A-Za-z]{1,5})?"
+    forms = [
+        (rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})[T ]\s*{time}{tail}$", r"ymd|\1|\2|\3|\4|\5|\6|\7||\8"),
+        (rf"^(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}})(\d{{2}})(\d{{2}})(?:[.,](\d+))?{tail}$", r"ymd|\1|\2|\3|\4|\5|\6|\7||\8"),
+        (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})\s+{time}{tail}$", r"ymd|\3|\2|\1|\4|\5|\6|\7||\8"),
+        (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})\s+{time}(?:\s*([AaPp])\.?[Mm]\.?)?{tail}$", r"slash|\3|\1|\2|\4|\5|\6|\7|\8|\9"),
+        (rf"^(?:[A-Za-z]{{3,9}},?\s+)?(\d{{1,2}})[\s-]([A-Za-z]{{3}})[A-Za-z]*[\s-](\d{{4}})\s+{time}{tail}$", r"name|\3|\2|\1|\4|\5|\6|\7||\8"),
+        (r"^(\d{1,4}):(\d{2}):(\d{2})(?:[.,](\d+))?(?:\s*-->.*)?$", r"span||||\1|\2|\3|\4||"),
+    ]
+    same = r"regexp_replace(t_text, '^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$', '', 'g')"
+    for pattern, fields in forms:
+        same = f"regexp_replace({same}, '{pattern}', '{fields}')"
+    int_ = lambda i: f"try_cast(g[{i}] as int)"
+    letters = ", ".join(f"('{k}', {v} * 3600000)" for k, v in _LETTERS.items())
+    return rf"""
+        with k as (select m.mark_id, any_value(m.track_id) as track_id, any_value(m.source_index) as source_index, any_value(m.t_text) as t_text, any_value(kind) as kind,
+                          any_value(coalesce(site_tz, 'UTC')) as zone, any_value(epoch_ms(started_at)) as started
+                   from clock_marks m join tracks using (track_id) where has_timestamps group by m.mark_id),
+        g as (select *, string_split({same}, '|') as g from k),
+        p as (select *, zone like 'America/%' as us, case when g[9] = '' then {int_(5)} when {int_(5)} between 1 and 12 then {int_(5)} % 12 + case when upper(g[9]) = 'P' then 12 else 0 end end as h,
+                     case when {int_(6)} <= 59 and {int_(7)} <= 59 then ({int_(6)} * 60 + {int_(7)})::bigint * 1000 + coalesce(try_cast(rpad(substr(g[8], 1, 3), 3, '0') as int), 0) end as ms, upper(g[10]) as ending,
+                     case when len(g) = 1 and regexp_full_match(g[1], '[+]?\d+(\.\d*)?([eE][+]?\d+)?') then try_cast(g[1] as decimal(38, 12)) end as x from g),
+        d as (select *, try_cast(printf('%04d-%02d-%02d', {int_(2)}, case when g[1] = 'name' then list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(g[3]))
+                                 when g[1] = 'slash' and not us then {int_(4)} else {int_(3)} end, case when g[1] = 'slash' and not us then {int_(3)} else {int_(4)} end) as date) as day from p),
+        t as (select *, case when g[1] in ('ymd', 'slash', 'name') and h <= 23 then (day - date '1970-01-01')::bigint * 86400000 + h * 3600000 + ms end as local,
+                     case when ending in ('Z', 'UTC', 'GMT', 'UT') then 0 when regexp_full_match(ending, '[+-]\d{{2}}:?\d{{2}}')
+                          then (substr(ending, 2, 2)::int * 60 + right(ending, 2)::int) * case when ending like '-%' then -60000 else 60000 end end as shift,
+                     floor(x)::hugeint as whole from d),
+        u as (select mark_id, track_id, source_index, started, zone, kind in ('srt', 'embedded', 'mavlink') as spans, local,
+                     case when kind in ('srt', 'embedded') then case when g[1] = 'span' then started + h::bigint * 3600000 + ms end when kind = 'mavlink' then started + whole::bigint
+                          else coalesce(case when x < 100000000000 then floor(x * 1000) when x < 100000000000000 then whole when x < 100000000000000000 then whole // 1000 else whole // 1000000 end::bigint, local - shift) end as utc,
+                     shift, case when ending <> '' then ending end as letters from t),
+        asked as (select distinct zone, year(make_timestamp(local * 1000)) as year from u where utc is null and not spans and local is not null),
+        ticks as (select zone, year, unnest(generate_series(epoch(make_date(year, 1, 1))::bigint - 172800, epoch(make_date(year + 1, 1, 1))::bigint + 172800, 900)) as s from asked),
+        offs as (select *, epoch_ms(timezone(zone, to_timestamp(s))) - s * 1000 as o from ticks),
+        marks as (select *, lag(o) over (partition by zone, year order by s) as po, max(s) over (partition by zone, year) as last from offs),
+        iv as (select zone, year, o, s * 1000 + o as a, coalesce(lead(s) over (partition by zone, year order by s), last) * 1000 + o as b, coalesce(lead(s) over (partition by zone, year order by s), last) * 1000 as until from marks where po is null or po <> o),
+        names(l, lo) as (values {letters}),
+        met as (select u.*, iv.o, iv.a, iv.until, iv.a <= local and local < iv.b as inside, letters is null or lo = iv.o as fits
+                from u join iv on u.zone = iv.zone and year(make_timestamp(local * 1000)) = iv.year left join names on l = letters where utc is null and not spans and local is not null),
+        said as (select mark_id, track_id, source_index, started, local, coalesce(min(local - o) filter (inside and fits), arg_min(local - o, a) filter (letters is not null and fits)) as c1,
+                        coalesce(max(local - o) filter (inside and fits), arg_min(local - o, a) filter (letters is not null and fits)) as c2, min(until) filter (inside) as until from met group by all),
+        every as (select mark_id, track_id, source_index, started, local, c1, c2, case when c1 <> c2 then until end as turn from said where c1 is not null
+                  union all select mark_id, track_id, source_index, started, local, utc, utc, null from u where utc is not null),
+        turns as (select distinct track_id, turn from every where turn is not null),
+        grp as (select e.* exclude (turn), t.turn, e.c1 as sure from every e join turns t on e.track_id = t.track_id and abs(e.c1 - t.turn) <= 21600000 where e.turn is null
+                union all select * exclude (turn), turn, null from every where turn is not null),
+        w as (select *, last_value(sure ignore nulls) over (partition by track_id, turn order by source_index, mark_id rows between unbounded preceding and 1 preceding) as before,
+                     first_value(sure ignore nulls) over (partition by track_id, turn order by source_index, mark_id rows between 1 following and unbounded following) as after,
+                     count(sure) over (partition by track_id, turn order by source_index, mark_id rows unbounded preceding) as run from grp),
+        f as (select *, case when local < lag(local) over (partition by track_id, turn, run order by source_index, mark_id) - 1000 then 1 else 0 end as fall from w where sure is null),
+        r as (select *, sum(fall) over (partition by track_id, turn, run order by source_index, mark_id rows unbounded preceding) as falls, sum(fall) over (partition by track_id, turn, run) as whole,
+                     max(c1) over (partition by track_id, turn, run) as last, min(c1) over (partition by track_id, turn, run) as first from f)
+        select mark_id, c1 as epoch_ms from every where turn is null
+        union all
+        select mark_id, case when case when whole > 0 then falls > 0 when before is not null then first < before - 1000 when first < started - 1000 then true when after is not null then after - last >= c2 - c1 - 1000 else false end then c2 else c1 end from r"""
+
+
 SQL = {
+    "p4_found": _clock_sql(),
     "p3_found": f"{_CHANGES} select file_id, field_name, change_kind from c",
     "p3_changes": f"{_CHANGES} select feed_id, file_id, field_name, change_kind, {', '.join(f"array_to_string({c}, '+') as {c}" for c in ('old_names', 'new_names', 'old_types', 'new_types'))} from c",
     "p5_found": f"{_csv_sql()} select file_id, line_no, reason from e where reason is not null",

@@ -859,9 +859,9 @@ def normals_to_camera(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def normals_pca(spark: SparkSession, d: str) -> DataFrame:
-    """Normals of the cloud from sixteen neighbours each, turned to the nearest camera."""
+    """Normals of the cloud from at most thirty neighbours within a radius, turned to the nearest camera."""
     c = cloud(spark, d)
-    n = mesh.normals(c, fusion.nearest_points(c, c, 16, "vec_id", "vec_id", 0.5), "vec_id")
+    n = mesh.normals(c, mesh.hybrid_neighbours(c, "vec_id", 5.0), "vec_id")
     cam = cameras(spark).select("camera_id", F.col("pose")[3].alias("x"), F.col("pose")[7].alias("y"), F.col("pose")[11].alias("z"))
     return mesh.towards_camera(n, cam, "vec_id").select("vec_id", "nx", "ny", "nz")
 

@@ -143,6 +143,17 @@ def test_greedy_spacing_and_thinning(spark):
         assert sorted(r["frame_index"] for r in keyframes.thin_even(d, 10).collect()) == want
 
 
+@pytest.mark.parametrize("spread", [0.5, 3.0, 0.02])
+def test_spacing_of_long_tracks_in_blocks(spark, spread):
+    """Blocks of twenty frames keep what one stream keeps, also where a block keeps nothing at all."""
+    rng = np.random.default_rng(13)
+    p = np.cumsum(rng.normal(size=(700, 3)) * spread, axis=0)
+    rows = [("a", i, *(map(float, x) if rng.random() > 0.1 else [None] * 3)) for i, x in enumerate(p)] + [(None, i, float(i), 0.0, 0.0) for i in range(100)] + [("b", 0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "track_id string, frame_index int, e double, n double, u double")
+    one, many = ({tuple(r) for r in keyframes.spacing_gate(df, rows_per_block=k).collect()} for k in (100_000, 20))
+    assert one == many and len(one) == len(rows) and sum(r[2] for r in one) > 50
+
+
 def test_sharpness_of_flat_and_rough_images():
     assert keyframes.laplacian_variance(np.full((16, 16), 3.0)) == 0
     assert keyframes.laplacian_variance(np.kron(np.indices((4, 4)).sum(0) % 2, np.ones((4, 4)))) > 1
@@ -187,6 +198,12 @@ def test_normals_of_a_slope(spark):
     df = spark.createDataFrame(rows, "id long, x double, y double, z double")
     got = mesh.normals(df, fusion.nearest_points(df, df, 8, "id", "id", 1.0), "id").collect()
     assert len(got) == 80 and all(abs(abs(r["nz"]) - 1 / math.sqrt(1.25)) < 1e-6 and abs(r["ny"]) < 1e-6 for r in got)
+    p = np.array([r[1:] for r in rows])
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    near = {}
+    for r in mesh.hybrid_neighbours(df, "id", 0.8, 5).collect():
+        near.setdefault(r["query"], set()).add(r["point"])
+    assert all(near[i] == {j for j in sorted(range(80), key=lambda j: (d[i, j], j))[:5] if d[i, j] <= 0.8} for i in range(80))
 
 
 def test_visible_without_cameras(spark):
