@@ -45,16 +45,19 @@ def off_tie(df: DataFrame, places: int, *columns: str) -> DataFrame:
 SAMPLE = ["track_id", "source_index", "t", "lat", "lon", "alt", "alt_is_relative", "yaw", "pitch", "roll", "gimbal_yaw", "gimbal_pitch", "gimbal_roll"]
 _SAMPLES = f"samples as (select distinct {', '.join(SAMPLE)} from telemetry)"
 _FRAMES = "frames as (select distinct track_id, frame_index, timestamp_s from candidates where timestamp_s is not null)"
-_CANDS = """cands as (select distinct track_id, frame_index, timestamp_s, sharpness, gps_enu.e as e, gps_enu.n as n, gps_enu.u as u, accepted, reject_reason from candidates)"""
+_CANDS = """cands as (select distinct track_id, frame_index, timestamp_s, sharpness, gps_enu.e as e, gps_enu.n as n, gps_enu.u as u, accepted, reject_reason
+    from candidates)"""
 _POINTS = """points as (select l_orderkey * 10 + l_linenumber as point_id, l_quantity as x, l_extendedprice / 1000 as y, l_discount * 100 as z, 1 - 10 * l_tax as conf,
-    cast(l_partkey % 256 as double) as r, cast(l_suppkey % 256 as double) as g, l_linenumber * 30e0 as b, l_returnflag = 'R' as masked, cast(l_suppkey % 8 as int) as chunk_idx, l_linenumber as view_pos from lineitem)"""
+    cast(l_partkey % 256 as double) as r, cast(l_suppkey % 256 as double) as g, l_linenumber * 30e0 as b, l_returnflag = 'R' as masked, cast(l_suppkey % 8 as int) as chunk_idx, l_linenumber as view_pos
+    from lineitem)"""
 _CLOUD = "cloud as (select vec_id, embedding[1]::double * 10 as x, embedding[2]::double * 10 as y, embedding[3]::double * 10 as z, label from embeddings)"
 _PAIRS = """pairs as (select label as chunk_idx, vec_id, embedding[1]::double * 10 as sx, embedding[2]::double * 10 as sy, embedding[3]::double * 10 as sz,
     embedding[4]::double * 10 as dx, embedding[5]::double * 10 as dy, embedding[6]::double * 10 as dz, 1e0 as w from embeddings)"""
 _STAGES = """stages as (select event_type as stage, epoch(min(ts)) as start_ts, epoch(min(ts)) + 518400 as end_ts from events group by event_type)"""
 _UTIL = "util as (select event_id, epoch(ts) as ts, user_id % 2 as gpu_index, least(value, 100e0) as util_pct from events)"
 _LOG = """bus as (select event_id as seq, epoch(ts) as ts, 'stage_' || (user_id % 12) as stage,
-    case event_type when 'view' then 'start' when 'click' then 'progress' when 'purchase' then 'done' when 'error' then 'fallback' else 'error' end as kind from events)"""
+    case event_type when 'view' then 'start' when 'click' then 'progress' when 'purchase' then 'done' when 'error' then 'fallback' else 'error' end as kind
+    from events)"""
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -134,8 +137,10 @@ def voxel_fusion(spark: SparkSession, d: str) -> DataFrame:
     return off_tie(fusion.fuse(points(spark, d), 2.5), 6, "x", "y", "z", "r", "g", "b", "confidence")
 
 
-@query(f"""with {_POINTS}, k as (select ((cast(floor(x / 2.5) as bigint) + 1048576) << 42) | ((cast(floor(y / 2.5) as bigint) + 1048576) << 21) | (cast(floor(z / 2.5) as bigint) + 1048576) as voxel_key, * from points where conf >= 0.1 and not masked)
-    select voxel_key, round(sum(conf), 6) as w, round(sum(conf * x), 6) as wx, round(sum(conf * y), 6) as wy, round(sum(conf * z), 6) as wz, count(*) as n, round(max(conf), 6) as conf from k group by voxel_key""")
+@query(f"""with {_POINTS}, k as (select ((cast(floor(x / 2.5) as bigint) + 1048576) << 42) | ((cast(floor(y / 2.5) as bigint) + 1048576) << 21) | (cast(floor(z / 2.5) as bigint) + 1048576) as voxel_key, *
+    from points where conf >= 0.1 and not masked)
+    select voxel_key, round(sum(conf), 6) as w, round(sum(conf * x), 6) as wx, round(sum(conf * y), 6) as wy, round(sum(conf * z), 6) as wz, count(*) as n, round(max(conf), 6) as conf
+    from k group by voxel_key""")
 def voxel_increment(spark: SparkSession, d: str) -> DataFrame:
     """The accumulator after two batches, even and odd chunks."""
     p = points(spark, d)
@@ -144,15 +149,17 @@ def voxel_increment(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BOX = "box as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from {0})"
-_CELL = "least(cast(floor((x - x0) / 1e0) as bigint), cast(ceil((x1 - x0) / 1e0) as bigint)) as col, least(cast(floor((y1 - y) / 1e0) as bigint), cast(ceil((y1 - y0) / 1e0) as bigint)) as row"
+_CELL = """least(cast(floor((x - x0) / 1e0) as bigint), cast(ceil((x1 - x0) / 1e0) as bigint)) as col, least(cast(floor((y1 - y) / 1e0) as bigint), cast(ceil((y1 - y0) / 1e0) as bigint)) as row"""
 
 
-@query(f"with {_POINTS}, {_BOX.format('points')} select row, col, round(max(z), 4) as height_m, round(avg(r), 4) as red, round(avg(g), 4) as green, round(avg(b), 4) as blue, count(*) as n from (select {_CELL}, * from points, box) group by row, col")
+@query(f"""with {_POINTS}, {_BOX.format('points')} select row, col, round(max(z), 4) as height_m, round(avg(r), 4) as red, round(avg(g), 4) as green, round(avg(b), 4) as blue, count(*) as n
+    from (select {_CELL}, * from points, box) group by row, col""")
 def raster_dsm_ortho(spark: SparkSession, d: str) -> DataFrame:
     return rounded(raster.surface(points(spark, d), 1.0), 4, "height_m", "red", "green", "blue")
 
 
-@query(f"""with {_POINTS}, {_VOXELS}, {_BOX.format('fused')} select row, col, round(avg(view_count), 4) as views, round(avg(confidence), 4) as conf, count(*) as n from (select {_CELL}, * from fused, box) group by row, col""")
+@query(f"""with {_POINTS}, {_VOXELS}, {_BOX.format('fused')} select row, col, round(avg(view_count), 4) as views, round(avg(confidence), 4) as conf, count(*) as n
+    from (select {_CELL}, * from fused, box) group by row, col""")
 def raster_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(raster.coverage(fusion.fuse(points(spark, d), 2.5), 1.0).drop("width", "height"), 4, "views", "conf")
 
@@ -163,7 +170,8 @@ def raster_unobserved(spark: SparkSession, d: str) -> DataFrame:
     return rounded(raster.unobserved(raster.coverage(fusion.fuse(points(spark, d), 2.5), 1.0)), 6, "unobserved")
 
 
-@query(f"""with {_POINTS}, {_BOX.format('points')}, c as (select row, col, max(z) as h from (select {_CELL}, * from points, box) group by row, col), q as (select quantile_cont(h, 0.02) a, quantile_cont(h, 0.98) b from c)
+@query(f"""with {_POINTS}, {_BOX.format('points')}, c as (select row, col, max(z) as h from (select {_CELL}, * from points, box)
+    group by row, col), q as (select quantile_cont(h, 0.02) a, quantile_cont(h, 0.98) b from c)
     select row, col, round((greatest(a, least(b, h)) - a) / nullif(b - a, 0), 5) as shade from c, q""")
 def raster_stretch(spark: SparkSession, d: str) -> DataFrame:
     return rounded(raster.stretched(raster.surface(points(spark, d), 1.0), "height_m"), 5, "shade").select("row", "col", "shade")
@@ -180,7 +188,8 @@ def density_trim(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_POINTS},
-    b as (select min(x) x0, min(y) y0, min(z) z0, greatest(max(x) - min(x), 1e-6) * greatest(max(y) - min(y), 1e-6) * greatest(max(z) - min(z), 1e-6) as volume, greatest(1, count(*) // 10) as most from points),
+    b as (select min(x) x0, min(y) y0, min(z) z0, greatest(max(x) - min(x), 1e-6) * greatest(max(y) - min(y), 1e-6) * greatest(max(z) - min(z), 1e-6) as volume, greatest(1, count(*) // 10) as most
+    from points),
     s as (select *, pow(volume / most, 1 / 3e0) as size from b),
     l as (select count(*) as kept from (select distinct floor((x - x0) / size), floor((y - y0) / size), floor((z - z0) / size) from points, s)),
     f as (select x0, y0, z0, case when kept > 1.5 * most then size * pow(kept / most, 1 / 3e0) else size end as size from s, l),
@@ -196,7 +205,8 @@ _KNN = """near as (select a.vec_id as query, b.vec_id as point, sqrt((a.x - b.x)
     row_number() over (partition by a.vec_id order by sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), b.vec_id) as rank from cloud a, cloud b)"""
 
 
-@query(f"""with {_CLOUD}, {_KNN}, m as (select query, avg(distance) as mean_distance from near where rank <= 16 group by query), s as (select avg(mean_distance) + 2 * stddev_samp(mean_distance) as b from m)
+@query(f"""with {_CLOUD}, {_KNN}, m as (select query, avg(distance) as mean_distance from near where rank <= 16 group by query),
+    s as (select avg(mean_distance) + 2 * stddev_samp(mean_distance) as b from m)
     select query as vec_id, round(mean_distance, 5) as mean_distance from m, s where mean_distance > 0 and mean_distance < b""")
 def outlier_removal(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fusion.without_outliers(cloud(spark, d), "vec_id", 0.5), 5, "mean_distance").select("vec_id", "mean_distance")
@@ -209,7 +219,8 @@ def nearest_other(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_CLOUD}, a as (select * from cloud where label % 2 = 0), b as (select * from cloud where label % 2 = 1),
-    ab as (select a.vec_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) m from a, b group by 1), ba as (select b.vec_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) m from a, b group by 1),
+    ab as (select a.vec_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) m from a, b group by 1), ba as (select b.vec_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) m
+    from a, b group by 1),
     g as (select sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) s from b)
     select round(100 * (select median(m) from ab) / s, 5) as accuracy_pct, round(100 * (select median(m) from ba) / s, 5) as completeness_pct from g""")
 def accuracy_completeness(spark: SparkSession, d: str) -> DataFrame:
@@ -231,19 +242,24 @@ def _ecef_sql(la: str, lo: str, al: str) -> tuple[str, str, str]:
     return f"({n} + {al}) * cos(radians({la})) * cos(radians({lo}))", f"({n} + {al}) * cos(radians({la})) * sin(radians({lo}))", f"({n} * {1 - geo.E2!r} + {al}) * sin(radians({la}))"
 
 
-_ORIGIN = "o as (select track_id, arg_min(lat, (t, source_index)) la0, arg_min(lon, (t, source_index)) lo0, arg_min(coalesce(alt, 0e0), (t, source_index)) al0 from samples group by track_id)"
+_ORIGIN = """o as (select track_id, arg_min(lat, (t, source_index)) la0, arg_min(lon, (t, source_index)) lo0, arg_min(coalesce(alt, 0e0), (t, source_index)) al0
+    from samples group by track_id)"""
 _X, _Y, _Z = _ecef_sql("lat", "lon", "coalesce(alt, 0e0)")
 _X0, _Y0, _Z0 = _ecef_sql("la0", "lo0", "al0")
-_ENU = f"""g as (select track_id, source_index, t, radians(la0) p, radians(lo0) q, la0, lo0, {_X} - {_X0} ax, {_Y} - {_Y0} ay, {_Z} - {_Z0} az from samples join o using (track_id) where abs(lat) <= 90 and abs(lon) <= 180),
-    enu as (select track_id, source_index, t, la0, lo0, -sin(q) * ax + cos(q) * ay as e, -sin(p) * cos(q) * ax - sin(p) * sin(q) * ay + cos(p) * az as n, cos(p) * cos(q) * ax + cos(p) * sin(q) * ay + sin(p) * az as u from g)"""
+_ENU = f"""g as (select track_id, source_index, t, radians(la0) p, radians(lo0) q, la0, lo0, {_X} - {_X0} ax, {_Y} - {_Y0} ay, {_Z} - {_Z0} az
+    from samples join o using (track_id) where abs(lat) <= 90 and abs(lon) <= 180),
+    enu as (select track_id, source_index, t, la0, lo0, -sin(q) * ax + cos(q) * ay as e, -sin(p) * cos(q) * ax - sin(p) * sin(q) * ay + cos(p) * az as n, cos(p) * cos(q) * ax + cos(p) * sin(q) * ay + sin(p) * az as u
+    from g)"""
 
 
-@query(f"with {_SAMPLES}, {_ORIGIN}, {_ENU} select track_id, source_index, round(e, 3) as e, round(n, 3) as n, round(u, 3) as u, cast(floor((lo0 + 180) / 6) as bigint) + 1 as zone, case when la0 >= 0 then 32600 else 32700 end + cast(floor((lo0 + 180) / 6) as bigint) + 1 as epsg from enu")
+@query(f"""with {_SAMPLES}, {_ORIGIN}, {_ENU} select track_id, source_index, round(e, 3) as e, round(n, 3) as n, round(u, 3) as u, cast(floor((lo0 + 180) / 6) as bigint) + 1 as zone, case when la0 >= 0 then 32600 else 32700 end + cast(floor((lo0 + 180) / 6) as bigint) + 1 as epsg
+    from enu""")
 def geodetic_to_enu(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sync.ground_track(samples(spark, d)).where("abs(lat) <= 90 and abs(lon) <= 180"), 3, "e", "n", "u").select("track_id", "source_index", "e", "n", "u", "zone", "epsg")
 
 
-@query(f"with {_SAMPLES} select track_id, source_index, round(lat, 7) as lat, round(lon, 7) as lon, round(coalesce(alt, 0), 3) as alt from samples where abs(lat) < 80 and abs(lon) < 180 and abs(coalesce(alt, 0)) < 5000")
+@query(f"""with {_SAMPLES} select track_id, source_index, round(lat, 7) as lat, round(lon, 7) as lon, round(coalesce(alt, 0), 3) as alt
+    from samples where abs(lat) < 80 and abs(lon) < 180 and abs(coalesce(alt, 0)) < 5000""")
 def enu_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Every sample to the local plane of (lat, lon) = (10, 20) and back."""
     s = samples(spark, d).where("abs(lat) < 80 and abs(lon) < 180 and abs(coalesce(alt, 0)) < 5000")
@@ -253,9 +269,12 @@ def enu_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return s.select("track_id", "source_index", F.round("g.lat", 7).alias("lat"), F.round("g.lon", 7).alias("lon"), F.round("g.alt", 3).alias("alt"))
 
 
-_ASOF = f"""with {_SAMPLES}, {_FRAMES}, s1 as (select distinct on (track_id, t) * from samples order by track_id, t, source_index desc), s2 as (select distinct on (track_id, t) * from samples order by track_id, t, source_index),
-    a as (select f.*, p.t as pt, p.source_index as pi, p.lat as plat, p.lon as plon, p.alt as palt, p.yaw as pyaw from frames f asof left join s1 p on f.track_id = p.track_id and f.timestamp_s >= p.t),
-    b as (select a.*, q.t as nt, q.source_index as ni, q.lat as nlat, q.lon as nlon, q.alt as nalt, q.yaw as nyaw from a asof left join s2 q on a.track_id = q.track_id and a.timestamp_s < q.t)"""
+_ASOF = f"""with {_SAMPLES}, {_FRAMES}, s1 as (select distinct on (track_id, t) * from samples order by track_id, t, source_index desc),
+    s2 as (select distinct on (track_id, t) * from samples order by track_id, t, source_index),
+    a as (select f.*, p.t as pt, p.source_index as pi, p.lat as plat, p.lon as plon, p.alt as palt, p.yaw as pyaw from frames f asof
+    left join s1 p on f.track_id = p.track_id and f.timestamp_s >= p.t),
+    b as (select a.*, q.t as nt, q.source_index as ni, q.lat as nlat, q.lon as nlon, q.alt as nalt, q.yaw as nyaw from a asof
+    left join s2 q on a.track_id = q.track_id and a.timestamp_s < q.t)"""
 
 
 def _lerp_sql(c: str) -> str:
@@ -273,7 +292,8 @@ def prior_nearest(spark: SparkSession, d: str) -> DataFrame:
     return sync.nearest_sample(samples(spark, d), frames(spark, d), values=[]).select("track_id", "frame_index", "frame_t", F.col("source_index").cast("int").alias("source_index"))
 
 
-@query(f"""with {_SAMPLES}, {_FRAMES}, s as (select *, row_number() over (partition by track_id order by source_index) - 1 as i, count(*) over (partition by track_id) as n from samples),
+@query(f"""with {_SAMPLES}, {_FRAMES}, s as (select *, row_number() over (partition by track_id order by source_index) - 1 as i, count(*) over (partition by track_id) as n
+    from samples),
     f as (select *, row_number() over (partition by track_id order by frame_index) - 1 as k, count(*) over (partition by track_id) as m from frames),
     x as (select f.track_id, f.frame_index, k / greatest(m - 1, 1) * (c.n - 1) as x, c.n as n from f join (select distinct track_id, n from s) c using (track_id)),
     y as (select *, cast(floor(x) as bigint) as lo, least(cast(floor(x) as bigint) + 1, n - 1) as hi from x)
@@ -320,7 +340,8 @@ def keyframe_stride(spark: SparkSession, d: str) -> DataFrame:
     return keyframes.stride_gate(cands(spark, d)).select("track_id", "frame_index", "kept")
 
 
-@query(f"with {_CANDS}, {_NUMBERED} select track_id, frame_index from x where m <= 25 or exists (select 1 from range(25) r(i) where cast(floor(i * (m / 25)) as bigint) = k - 1)")
+@query(f"""with {_CANDS}, {_NUMBERED} select track_id, frame_index from x where m <= 25 or exists (select 1 from range(25) r(i)
+    where cast(floor(i * (m / 25)) as bigint) = k - 1)""")
 def thin_even(spark: SparkSession, d: str) -> DataFrame:
     return keyframes.thin_even(cands(spark, d), 25).select("track_id", "frame_index")
 
@@ -340,13 +361,16 @@ def decode_cap(spark: SparkSession, d: str) -> DataFrame:
     return keyframes.first_frames(cands(spark, d), 40).select("track_id", "frame_index")
 
 
-@query(f"""with {_CANDS}, {_NUMBERED}, f as (select *, k - 1 as pos, cast(floor((k * 15 - 1) / m) as int) as win, max(case when accepted and frame_index % 7 = 0 then 1 else 0 end) over (partition by track_id order by k rows between 4 preceding and 4 following) as near from x),
-    r as (select *, row_number() over (partition by track_id, win order by sharpness desc, pos) as rk from f where near = 0) select track_id, win as "window", frame_index from r where rk = 1""")
+@query(f"""with {_CANDS}, {_NUMBERED}, f as (select *, k - 1 as pos, cast(floor((k * 15 - 1) / m) as int) as win, max(case when accepted and frame_index % 7 = 0 then 1 else 0 end) over (partition by track_id
+    order by k rows between 4 preceding and 4 following) as near from x),
+    r as (select *, row_number() over (partition by track_id, win order by sharpness desc, pos) as rk from f where near = 0)
+    select track_id, win as "window", frame_index from r where rk = 1""")
 def heldout_select(spark: SparkSession, d: str) -> DataFrame:
     return keyframes.held_out(cands(spark, d), F.col("accepted") & (F.col("frame_index") % 7 == 0)).select("track_id", "window", "frame_index")
 
 
-_COUNTS = "select track_id, count(*) filter (accepted) as n_accepted, count(*) filter (not accepted) as n_rejected, count(distinct reject_reason) as n_reasons from cands group by track_id"
+_COUNTS = """select track_id, count(*) filter (accepted) as n_accepted, count(*) filter (not accepted) as n_rejected, count(distinct reject_reason) as n_reasons
+    from cands group by track_id"""
 
 
 @query(f"with {_CANDS} {_COUNTS}")
@@ -355,35 +379,45 @@ def keyframe_counts(spark: SparkSession, d: str) -> DataFrame:
     return cands(spark, d).groupBy("track_id").agg(F.count_if(a).alias("n_accepted"), F.count_if(~a).alias("n_rejected"), F.countDistinct("reject_reason").alias("n_reasons"))
 
 
-@query(f"with {_CANDS}, {_NUMBERED}, c as (select track_id, m, unnest(range(greatest(cast(ceil((m - 50) / 40) as bigint), 0) + 1)) as c from (select distinct track_id, m from x)) select x.track_id, frame_index, cast(c as int) as chunk_idx, cast(k - 1 - c * 40 as int) as view_pos, cast(least(50, x.m - c * 40) as int) as chunk_len from x join c on c.track_id = x.track_id and k - 1 >= c * 40 and k - 1 < c * 40 + 50")
+@query(f"""with {_CANDS}, {_NUMBERED}, c as (select track_id, m, unnest(range(greatest(cast(ceil((m - 50) / 40) as bigint), 0) + 1)) as c
+    from (select distinct track_id, m from x)) select x.track_id, frame_index, cast(c as int) as chunk_idx, cast(k - 1 - c * 40 as int) as view_pos, cast(least(50, x.m - c * 40) as int) as chunk_len
+    from x join c on c.track_id = x.track_id and k - 1 >= c * 40 and k - 1 < c * 40 + 50""")
 def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
     return chunks.overlapping(cands(spark, d)).select("track_id", "frame_index", "chunk_idx", "view_pos", "chunk_len")
 
 
-@query(f"with {_CANDS}, {_NUMBERED}, c as (select track_id, m, unnest(range(greatest(cast(ceil((m - 50) / 40) as bigint), 0) + 1)) as c from (select distinct track_id, m from x)), v as (select x.track_id, frame_index, cast(c as int) as chunk_idx, cast(k - 1 - c * 40 as int) as view_pos, cast(least(50, x.m - c * 40) as int) as len from x join c on c.track_id = x.track_id and k - 1 >= c * 40 and k - 1 < c * 40 + 50) select a.track_id, a.chunk_idx, a.frame_index, a.view_pos, b.view_pos as prev_pos from v a join v b on a.track_id = b.track_id and a.frame_index = b.frame_index and a.chunk_idx = b.chunk_idx + 1 where b.view_pos >= b.len - 10")
+@query(f"""with {_CANDS}, {_NUMBERED}, c as (select track_id, m, unnest(range(greatest(cast(ceil((m - 50) / 40) as bigint), 0) + 1)) as c
+    from (select distinct track_id, m from x)), v as (select x.track_id, frame_index, cast(c as int) as chunk_idx, cast(k - 1 - c * 40 as int) as view_pos, cast(least(50, x.m - c * 40) as int) as len
+    from x join c on c.track_id = x.track_id and k - 1 >= c * 40 and k - 1 < c * 40 + 50) select a.track_id, a.chunk_idx, a.frame_index, a.view_pos, b.view_pos as prev_pos
+    from v a join v b on a.track_id = b.track_id and a.frame_index = b.frame_index and a.chunk_idx = b.chunk_idx + 1 where b.view_pos >= b.len - 10""")
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return chunks.shared_frames(chunks.overlapping(cands(spark, d)))
 
 
-@query(f"""with {_CANDS}, s as (select track_id, count(*) k, var_samp(e) a, var_samp(n) b, covar_samp(e, n) c from cands where e is not null and n is not null group by track_id),
-    v as (select track_id, k, (a + b) / 2 m, sqrt(((a - b) / 2) ** 2 + c ** 2) o from s) select track_id, round(case when k < 3 or m + o <= 1e-9 then 0 else greatest(m - o, 0) / (m + o) end, 6) as collinearity from v""")
+@query(f"""with {_CANDS}, s as (select track_id, count(*) k, var_samp(e) a, var_samp(n) b, covar_samp(e, n) c from cands where e is not null and n is not null
+    group by track_id),
+    v as (select track_id, k, (a + b) / 2 m, sqrt(((a - b) / 2) ** 2 + c ** 2) o from s) select track_id, round(case when k < 3 or m + o <= 1e-9 then 0 else greatest(m - o, 0) / (m + o) end, 6) as collinearity
+    from v""")
 def collinearity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(align.collinearity(cands(spark, d)), 6, "collinearity")
 
 
-@query(f"""with {_CANDS} select track_id, frame_index, round(coalesce(lead(e) over w - e, e - lag(e) over w, 1), 4) as fe, round(coalesce(lead(n) over w - n, n - lag(n) over w, 0), 4) as fn from cands where e is not null window w as (partition by track_id order by frame_index)""")
+@query(f"""with {_CANDS} select track_id, frame_index, round(coalesce(lead(e) over w - e, e - lag(e) over w, 1), 4) as fe, round(coalesce(lead(n) over w - n, n - lag(n) over w, 0), 4) as fn
+    from cands where e is not null window w as (partition by track_id order by frame_index)""")
 def forward_direction(spark: SparkSession, d: str) -> DataFrame:
     return rounded(align.forward_direction(cands(spark, d).where("e is not null")), 4, "fe", "fn").select("track_id", "frame_index", "fe", "fn")
 
 
 # -------------------------------------------------------------------- alignment
 
-_FIT = """select chunk_idx, case when vs <= 1e-12 then 1e0 else greatest(sqrt((xx + yy) ** 2 + (xy - yx) ** 2) / vs, 1e-6) end as scale, atan2(xy - yx, xx + yy) as yaw, mx, my, mz, nx, ny, nz from (
+_FIT = """select chunk_idx, case when vs <= 1e-12 then 1e0 else greatest(sqrt((xx + yy) ** 2 + (xy - yx) ** 2) / vs, 1e-6) end as scale, atan2(xy - yx, xx + yy) as yaw, mx, my, mz, nx, ny, nz
+    from (
     select chunk_idx, sum(w * sx) / sum(w) mx, sum(w * sy) / sum(w) my, sum(w * sz) / sum(w) mz, sum(w * dx) / sum(w) nx, sum(w * dy) / sum(w) ny, sum(w * dz) / sum(w) nz,
     sum(w * sx * dx) / sum(w) - sum(w * sx) / sum(w) * sum(w * dx) / sum(w) xx, sum(w * sy * dy) / sum(w) - sum(w * sy) / sum(w) * sum(w * dy) / sum(w) yy,
     sum(w * sx * dy) / sum(w) - sum(w * sx) / sum(w) * sum(w * dy) / sum(w) xy, sum(w * sy * dx) / sum(w) - sum(w * sy) / sum(w) * sum(w * dx) / sum(w) yx,
     sum(w * (sx * sx + sy * sy)) / sum(w) - (sum(w * sx) / sum(w)) ** 2 - (sum(w * sy) / sum(w)) ** 2 vs from {0} group by chunk_idx)"""
-_SHIFT = "select chunk_idx, scale, yaw, nx - scale * (cos(yaw) * mx - sin(yaw) * my) as tx, ny - scale * (sin(yaw) * mx + cos(yaw) * my) as ty, nz - scale * mz as tz from ({0})"
+_SHIFT = """select chunk_idx, scale, yaw, nx - scale * (cos(yaw) * mx - sin(yaw) * my) as tx, ny - scale * (sin(yaw) * mx + cos(yaw) * my) as ty, nz - scale * mz as tz
+    from ({0})"""
 _RES = "sqrt((dx - scale * (cos(yaw) * sx - sin(yaw) * sy) - tx) ** 2 + (dy - scale * (sin(yaw) * sx + cos(yaw) * sy) - ty) ** 2 + (dz - scale * sz - tz) ** 2)"
 _IRLS = ["f1 as materialized (" + _SHIFT.format(_FIT.format("pairs")) + ")"]
 for _k in range(1, 5):
@@ -422,14 +456,16 @@ def _up(i: Column) -> list[Column]:
     return [x / length, y / length, F.lit(1.0) / length]
 
 
-@query(f"with {_PAIRS} select chunk_idx, round(any_value(1 + chunk_idx / 10e0), 5) as scale, round(cos(any_value(chunk_idx / 10e0)), 5) as r00, round(any_value(chunk_idx) * 1e0, 4) as tx, 0e0 as rmse, count(*) as n from pairs group by chunk_idx having count(*) >= 3")
+@query(f"""with {_PAIRS} select chunk_idx, round(any_value(1 + chunk_idx / 10e0), 5) as scale, round(cos(any_value(chunk_idx / 10e0)), 5) as r00, round(any_value(chunk_idx) * 1e0, 4) as tx, 0e0 as rmse, count(*) as n
+    from pairs group by chunk_idx having count(*) >= 3""")
 def align_choice(spark: SparkSession, d: str) -> DataFrame:
     """Similarity or rigid fit of each chunk, to a planted truth."""
     f = align.fit_chunks(planted(spark, d))
     return f.select(F.col("chunk_idx").cast("int").alias("chunk_idx"), F.round("scale", 5).alias("scale"), F.round(F.col("r")[0], 5).alias("r00"), F.round(F.col("t")[0], 4).alias("tx"), F.abs(F.round("rmse", 4)).alias("rmse"), "n")
 
 
-@query(f"with {_PAIRS} select chunk_idx, round(any_value(1 + chunk_idx / 10e0), 5) as scale, round(cos(any_value(chunk_idx / 10e0)), 5) as r00, round(any_value(chunk_idx) * 1e0, 4) as tx, count(*) filter (vec_id % 5 <> 0) as n from pairs group by chunk_idx having count(*) filter (vec_id % 5 <> 0) >= 10")
+@query(f"""with {_PAIRS} select chunk_idx, round(any_value(1 + chunk_idx / 10e0), 5) as scale, round(cos(any_value(chunk_idx / 10e0)), 5) as r00, round(any_value(chunk_idx) * 1e0, 4) as tx, count(*) filter (vec_id % 5 <> 0) as n
+    from pairs group by chunk_idx having count(*) filter (vec_id % 5 <> 0) >= 10""")
 def align_ransac(spark: SparkSession, d: str) -> DataFrame:
     """The planted truth in spite of a fifth of the pairs that are far off."""
     f = align.fit_chunks(planted(spark, d, spoilt=True), robust=True)
@@ -437,7 +473,8 @@ def align_ransac(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_PAIRS}, u as (select *, (chunk_idx % 5) / 10e0 as x, (chunk_idx % 3) / 10e0 as y from pairs), n as (select *, sqrt(x * x + y * y + 1) as k from u)
-    select chunk_idx, round(any_value(1 + chunk_idx / 10e0), 5) as scale, round(any_value(1 / k), 5) as r22, round(any_value(chunk_idx) * 1e0, 4) as tx, count(*) as n from n group by chunk_idx having count(*) >= 2""")
+    select chunk_idx, round(any_value(1 + chunk_idx / 10e0), 5) as scale, round(any_value(1 / k), 5) as r22, round(any_value(chunk_idx) * 1e0, 4) as tx, count(*) as n
+    from n group by chunk_idx having count(*) >= 2""")
 def align_gravity(spark: SparkSession, d: str) -> DataFrame:
     """Chunks turned upright by their gravity, then fitted in scale, turn and shift."""
     p = planted(spark, d, tilted=True)
@@ -451,7 +488,8 @@ def align_identity(spark: SparkSession, d: str) -> DataFrame:
     return align.identity_seed(pairs(spark, d)).select("chunk_idx", "mode", "scale")
 
 
-@query(f"""with {_PAIRS}, {', '.join(_IRLS)}, e as (select chunk_idx, sqrt(avg({_RES} ** 2)) as rmse from pairs join f5 using (chunk_idx) group by chunk_idx having count(*) >= 2)
+@query(f"""with {_PAIRS}, {', '.join(_IRLS)}, e as (select chunk_idx, sqrt(avg({_RES} ** 2)) as rmse from pairs join f5 using (chunk_idx)
+    group by chunk_idx having count(*) >= 2)
     select round(avg(rmse), 5) as mean_rmse, count(*) as n_chunks from e""")
 def align_mean_rmse(spark: SparkSession, d: str) -> DataFrame:
     return rounded(align.mean_rmse(align.fit_4dof(pairs(spark, d))), 5, "mean_rmse")
@@ -472,7 +510,8 @@ def grid_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_POINTS}, a as (select cast(i as int) as chunk_idx, 1 + i / 10e0 as s, radians(10e0 * i) as q from range(8) r(i))
-    select point_id, round(s * (cos(q) * x - sin(q) * y) + chunk_idx + 3e-10, 6) as x, round(s * (sin(q) * x + cos(q) * y) - chunk_idx + 3e-10, 6) as y, round(s * z + 2 + 3e-10, 6) as z from points join a using (chunk_idx)""")
+    select point_id, round(s * (cos(q) * x - sin(q) * y) + chunk_idx + 3e-10, 6) as x, round(s * (sin(q) * x + cos(q) * y) - chunk_idx + 3e-10, 6) as y, round(s * z + 2 + 3e-10, 6) as z
+    from points join a using (chunk_idx)""")
 def align_apply(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("chunk_idx")
     q = F.radians(10.0 * i)
@@ -481,16 +520,19 @@ def align_apply(spark: SparkSession, d: str) -> DataFrame:
     return off_tie(chunks.apply_alignment(points(spark, d), a), 6, "x", "y", "z").select("point_id", "x", "y", "z")
 
 
-@query(f"""with {_PAIRS}, c as (select chunk_idx, case when var_pop(sz) > 0 and var_pop(dz) > 0 then covar_pop(sz, dz) / sqrt(var_pop(sz) * var_pop(dz)) end as r from pairs group by chunk_idx)
+@query(f"""with {_PAIRS}, c as (select chunk_idx, case when var_pop(sz) > 0 and var_pop(dz) > 0 then covar_pop(sz, dz) / sqrt(var_pop(sz) * var_pop(dz)) end as r
+    from pairs group by chunk_idx)
     select chunk_idx, round(r, 6) as correlation, coalesce(r < 0, false) as flips, case when abs(r) < 0.3 then 4e-1 else 8e-1 end as confidence from c""")
 def gravity_sign(spark: SparkSession, d: str) -> DataFrame:
     return rounded(align.sign_of_up(pairs(spark, d), "chunk_idx", "sz", "dz", 0.8), 6, "correlation")
 
 
-_UP = "(select track_id, source_index, sin(radians(pitch)) as ux, -sin(radians(roll)) * cos(radians(pitch)) as uy, cos(radians(roll)) * cos(radians(pitch)) as uz from samples where pitch is not null and roll is not null and yaw is not null)"
+_UP = """(select track_id, source_index, sin(radians(pitch)) as ux, -sin(radians(roll)) * cos(radians(pitch)) as uy, cos(radians(roll)) * cos(radians(pitch)) as uz
+    from samples where pitch is not null and roll is not null and yaw is not null)"""
 
 
-@query(f"with {_SAMPLES} select track_id, source_index, round(ux, 6) as ux, round(uy, 6) as uy, round(uz, 6) as uz, round(1 - ux * ux / (1 + uz), 6) as r00, round(ux, 6) as r20 from {_UP}")
+@query(f"""with {_SAMPLES} select track_id, source_index, round(ux, 6) as ux, round(uy, 6) as uy, round(uz, 6) as uz, round(1 - ux * ux / (1 + uz), 6) as r00, round(ux, 6) as r20
+    from {_UP}""")
 def gravity_rotation(spark: SparkSession, d: str) -> DataFrame:
     """The world's up in the camera's axes and the rotation that turns it to +z."""
     s = samples(spark, d).where("pitch is not null and roll is not null and yaw is not null")
@@ -500,7 +542,8 @@ def gravity_rotation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.withColumns({"r00": r[0][0], "r20": r[2][0]}), 6, "ux", "uy", "uz", "r00", "r20").select("track_id", "source_index", "ux", "uy", "uz", "r00", "r20")
 
 
-@query(f"with {_SAMPLES} select track_id, source_index, case when yaw is null or pitch is null or roll is null then 1e0 else round(cos(radians(pitch)) * cos(radians(yaw)), 6) end as p00, round(lat, 7) as p03, 16 as n_cells from samples")
+@query(f"""with {_SAMPLES} select track_id, source_index, case when yaw is null or pitch is null or roll is null then 1e0 else round(cos(radians(pitch)) * cos(radians(yaw)), 6) end as p00, round(lat, 7) as p03, 16 as n_cells
+    from samples""")
 def camera_pose(spark: SparkSession, d: str) -> DataFrame:
     p = camera.pose([F.col("lat"), F.col("lon"), F.coalesce("alt", F.lit(0.0))], F.col("yaw"), F.col("pitch"), F.col("roll"))
     return samples(spark, d).withColumn("p", p).select("track_id", "source_index", F.round(F.col("p")[0], 6).alias("p00"), F.round(F.col("p")[3], 7).alias("p03"), F.size("p").alias("n_cells"))
@@ -539,18 +582,22 @@ def pose_graph(spark: SparkSession, d: str) -> DataFrame:
 _PROJ = "proj as (select *, 500e0 * (x - px) / (pz - z) + 320 as u, -500e0 * (y - py) / (pz - z) + 240 as v, pz - z as depth from points, cameras where pz - z > 0)"
 
 
-@query(f"with {_POINTS}, {_CAMERA_SQL}, {_PROJ} select camera_id, point_id, round(u + 3e-10, 5) as u, round(v + 3e-10, 5) as v, round(depth + 3e-10, 5) as depth from proj where u >= 0 and u < 640 and v >= 0 and v < 480")
+@query(f"""with {_POINTS}, {_CAMERA_SQL}, {_PROJ} select camera_id, point_id, round(u + 3e-10, 5) as u, round(v + 3e-10, 5) as v, round(depth + 3e-10, 5) as depth
+    from proj where u >= 0 and u < 640 and v >= 0 and v < 480""")
 def project_visible(spark: SparkSession, d: str) -> DataFrame:
     return off_tie(views.visible(points(spark, d), cameras(spark)), 5, "u", "v", "depth").select("camera_id", "point_id", "u", "v", "depth")
 
 
-@query(f"""with {_POINTS}, {_CAMERA_SQL}, {_PROJ}, h as (select distinct camera_id, floor(u / 64) bu, floor(v / 64) bv from proj where u >= 0 and u < 640 and v >= 0 and v < 480) select camera_id, round(100e0 * count(*) / 80, 4) as covered_pct from h group by camera_id""")
+@query(f"""with {_POINTS}, {_CAMERA_SQL}, {_PROJ}, h as (select distinct camera_id, floor(u / 64) bu, floor(v / 64) bv from proj
+    where u >= 0 and u < 640 and v >= 0 and v < 480) select camera_id, round(100e0 * count(*) / 80, 4) as covered_pct from h
+    group by camera_id""")
 def coverage_bins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(views.coverage(points(spark, d), cameras(spark)), 4, "covered_pct")
 
 
 #: Normals and colours of points taken for mesh vertices, and an image whose pixels' colours follow from their place.
-_NORMALS = "verts as (select vec_id, embedding[1]::double * 10 as x, embedding[2]::double * 10 as y, embedding[3]::double * 10 as z, embedding[4]::double as nx, embedding[5]::double as ny, 1e0 as nz, label / 10e0 as r, 0.5e0 as g, 0.25e0 as b from embeddings)"
+_NORMALS = """verts as (select vec_id, embedding[1]::double * 10 as x, embedding[2]::double * 10 as y, embedding[3]::double * 10 as z, embedding[4]::double as nx, embedding[5]::double as ny, 1e0 as nz, label / 10e0 as r, 0.5e0 as g, 0.25e0 as b
+    from embeddings)"""
 _SHADE = "((v_col * 7 + v_row * 13 + camera_id * 29 + {0}) % 256)"
 
 
@@ -567,7 +614,8 @@ def pixels(spark: SparkSession) -> DataFrame:
     return p.select("*", *[((F.col("col") * 7 + F.col("row") * 13 + F.col("camera_id") * 29 + k) % 256).alias(c) for c, k in (("r", 0), ("g", 85), ("b", 170))])
 
 
-@query(f"""with {_CAMERA_SQL}, {_NORMALS}, p as (select *, 500e0 * (x - px) / (pz - z) + 320 as u, -500e0 * (y - py) / (pz - z) + 240 as v from verts, cameras where pz - z > 0),
+@query(f"""with {_CAMERA_SQL}, {_NORMALS}, p as (select *, 500e0 * (x - px) / (pz - z) + 320 as u, -500e0 * (y - py) / (pz - z) + 240 as v
+    from verts, cameras where pz - z > 0),
     s as (select vec_id, camera_id, cast(floor(round(u, 9)) as int) as v_col, cast(floor(round(v, 9)) as int) as v_row,
               round(-(nx * (x - px) + ny * (y - py) + nz * (z - pz)) / sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2), 9) as score
           from p where u >= 0 and u < 639 and v >= 0 and v < 479),
@@ -589,7 +637,8 @@ def _geometry(spark: SparkSession, d: str) -> DataFrame:
 
 _GEOMETRY = f"""{_POINTS}, {_CAMERA_SQL}, {_PROJ},
     w as (select *, round_even(v, 0) as row, round_even(u, 0) as col from proj where u >= 0 and u < 640 and v >= 0 and v < 480),
-    g as (select * from (select *, row_number() over (partition by camera_id, row, col order by depth, point_id, x, y) as k from w where row < 480 and col < 640) where k = 1)"""
+    g as (select * from (select *, row_number() over (partition by camera_id, row, col order by depth, point_id, x, y) as k
+    from w where row < 480 and col < 640) where k = 1)"""
 
 
 @query(f"""with {_GEOMETRY}, o as (select camera_id, sqrt((u - col) ** 2 + (v - row) ** 2) as off from g)
@@ -603,7 +652,8 @@ def self_warp(spark: SparkSession, d: str) -> DataFrame:
           from pairs p join g on g.camera_id = p.a join cameras c on c.camera_id = p.b where c.pz - g.z > 0),
     j as (select m.*, h.masked as other, h.depth as own, 500e0 * (h.x - c.px) / (c.pz - h.z) + 320 as au, -500e0 * (h.y - c.py) / (c.pz - h.z) + 240 as av
           from m join g h on h.camera_id = m.b and h.row = m.bv and h.col = m.bu join cameras c on c.camera_id = m.a where c.pz - h.z > 0),
-    e as (select abs(d - own) / own as error, unnest(case when masked or other then [chunk || '_all'] else [chunk || '_all', chunk || '_land', 'land'] end) as bucket from j where sqrt((au - col) ** 2 + (av - row) ** 2) <= 2)
+    e as (select abs(d - own) / own as error, unnest(case when masked or other then [chunk || '_all'] else [chunk || '_all', chunk || '_land', 'land'] end) as bucket
+    from j where sqrt((au - col) ** 2 + (av - row) ** 2) <= 2)
     select bucket, count(*) as n, round(quantile_cont(error, 0.5), 6) as median_error, round(quantile_cont(error, 0.9), 6) as p90_error from e group by bucket""")
 def cross_view_consistency(spark: SparkSession, d: str) -> DataFrame:
     near = spark.createDataFrame([(0, 1, True), (1, 2, True), (2, 3, False)], "a int, b int, same_chunk boolean")
@@ -612,7 +662,8 @@ def cross_view_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- reports
 
-_RES_SQL = "select {0}, round(avg(util_pct), 5) as mean_util, max(util_pct) as max_util, round(avg(case when util_pct is not null then cast(util_pct < 5 as int) end), 6) as idle_share, count(util_pct) as n_samples from {1} group by {0}"
+_RES_SQL = """select {0}, round(avg(util_pct), 5) as mean_util, max(util_pct) as max_util, round(avg(case when util_pct is not null then cast(util_pct < 5 as int) end), 6) as idle_share, count(util_pct) as n_samples
+    from {1} group by {0}"""
 
 
 @query(f"with {_STAGES}, {_UTIL}, j as (select * from util join stages on ts >= start_ts and ts <= end_ts) {_RES_SQL.format('stage, gpu_index', 'j')}")
@@ -621,13 +672,15 @@ def stage_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(report.utilisation(rows, ["stage", "gpu_index"]), 5, "mean_util"), 6, "idle_share")
 
 
-@query(f"""with g as (select distinct gpu_sample_id, run_id, gpu_index, util_pct from gpu_samples), s as ({_RES_SQL.format('run_id, gpu_index', 'g')}) select *, mean_util < 70 or idle_share > 0.2 as flagged from s""")
+@query(f"""with g as (select distinct gpu_sample_id, run_id, gpu_index, util_pct from gpu_samples), s as ({_RES_SQL.format('run_id, gpu_index', 'g')})
+    select *, mean_util < 70 or idle_share > 0.2 as flagged from s""")
 def util_summary(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "gpu_samples").dropDuplicates(["gpu_sample_id"])
     return report.flagged(rounded(rounded(report.utilisation(g, ["run_id", "gpu_index"]), 5, "mean_util"), 6, "idle_share"))
 
 
-@query("""with g as (select distinct gpu_sample_id, run_id, gpu_index, util_pct from gpu_samples), s as (select run_id, gpu_index, avg(util_pct) as m from g group by run_id, gpu_index)
+@query("""with g as (select distinct gpu_sample_id, run_id, gpu_index, util_pct from gpu_samples), s as (select run_id, gpu_index, avg(util_pct) as m
+    from g group by run_id, gpu_index)
     select run_id, round(min(m), 5) as worst_util from s group by run_id having min(m) < 50""")
 def low_util(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "gpu_samples").dropDuplicates(["gpu_sample_id"])
@@ -639,15 +692,19 @@ def peak_memory(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "gpu_samples").groupBy("run_id", "gpu_index").agg(F.max("mem_used_mb").alias("peak_mb"), F.max(F.col("mem_used_mb") / F.col("mem_total_mb")).alias("peak_share"))
 
 
-@query(f"with {_STAGES}, x as (select event_type as stage, sum(value) as s from events where event_type in ('click', 'error') group by 1) select stage, round(coalesce(s, end_ts - start_ts), 4) as elapsed_s from stages left join x using (stage)")
+@query(f"""with {_STAGES}, x as (select event_type as stage, sum(value) as s from events where event_type in ('click', 'error')
+    group by 1) select stage, round(coalesce(s, end_ts - start_ts), 4) as elapsed_s from stages left join x using (stage)""")
 def stage_elapsed(spark: SparkSession, d: str) -> DataFrame:
     extra = table(spark, d, "events").where("event_type in ('click', 'error')").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
     return rounded(report.elapsed(stages(spark, d), extra), 4, "elapsed_s")
 
 
-_FOLD = f"""with {_LOG}, m as (select *, last_value(case when kind in ('start', 'done', 'error') then kind end ignore nulls) over (partition by stage order by ts, seq rows between unbounded preceding and 1 preceding) as met from bus where kind <> 'progress'),
-    s as (select *, case kind when 'start' then 'running' when 'done' then 'done' when 'error' then 'error' else case when met = 'start' then 'fallback' end end as said from m)
-    select stage, coalesce(arg_max(said, (ts, seq)) filter (said is not null), 'pending') as status, min(ts) filter (kind = 'start') as start_ts, max(ts) filter (kind in ('done', 'error')) as end_ts, count(*) filter (kind = 'fallback') as n_fallbacks from s group by stage"""
+_FOLD = f"""with {_LOG}, m as (select *, last_value(case when kind in ('start', 'done', 'error') then kind end ignore nulls) over (partition by stage
+    order by ts, seq rows between unbounded preceding and 1 preceding) as met from bus where kind <> 'progress'),
+    s as (select *, case kind when 'start' then 'running' when 'done' then 'done' when 'error' then 'error' else case when met = 'start' then 'fallback' end end as said
+    from m)
+    select stage, coalesce(arg_max(said, (ts, seq)) filter (said is not null), 'pending') as status, min(ts) filter (kind = 'start') as start_ts, max(ts) filter (kind in ('done', 'error')) as end_ts, count(*) filter (kind = 'fallback') as n_fallbacks
+    from s group by stage"""
 
 
 @query(_FOLD)
@@ -655,7 +712,8 @@ def event_fold(spark: SparkSession, d: str) -> DataFrame:
     return report.fold_stages(events(spark, d))
 
 
-@query(f"with {_LOG}, g as (select stage, lag(ts) over (partition by stage order by ts) as since, ts as until from bus) select stage, since, until, round(until - since, 4) as gap_s from g where until - since >= 20000")
+@query(f"""with {_LOG}, g as (select stage, lag(ts) over (partition by stage order by ts) as since, ts as until from bus)
+    select stage, since, until, round(until - since, 4) as gap_s from g where until - since >= 20000""")
 def stall_gaps(spark: SparkSession, d: str) -> DataFrame:
     return rounded(report.stalls(events(spark, d), "stage", "ts", 20_000.0), 4, "gap_s")
 
@@ -665,13 +723,15 @@ def ring_buffer(spark: SparkSession, d: str) -> DataFrame:
     return report.newest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], 20).select("event_id", "user_id")
 
 
-@query("select doc_id from documents where lower(text) like '%fallback%' or lower(text) like '%falling back%' or lower(text) like '%unavailable%' or lower(text) like '%skip%'")
+@query("""select doc_id from documents where lower(text) like '%fallback%' or lower(text) like '%falling back%' or lower(text) like '%unavailable%' or lower(text) like '%skip%'""")
 def fallback_log(spark: SparkSession, d: str) -> DataFrame:
     return report.fallback_messages(table(spark, d, "documents"), "text").select("doc_id")
 
 
-@query(f"""with recursive {_LOG}, p as (select *, row_number() over (partition by stage order by ts) as k from bus), g as (select stage, k, ts, ts as last, true as shown from p where k = 1
-    union all select p.stage, p.k, p.ts, case when p.ts - g.last >= 30000 then p.ts else g.last end, p.ts - g.last >= 30000 from g join p on p.stage = g.stage and p.k = g.k + 1) select stage, ts, shown from g""")
+@query(f"""with recursive {_LOG}, p as (select *, row_number() over (partition by stage order by ts) as k from bus), g as (select stage, k, ts, ts as last, true as shown
+    from p where k = 1
+    union all select p.stage, p.k, p.ts, case when p.ts - g.last >= 30000 then p.ts else g.last end, p.ts - g.last >= 30000
+    from g join p on p.stage = g.stage and p.k = g.k + 1) select stage, ts, shown from g""")
 def log_throttle(spark: SparkSession, d: str) -> DataFrame:
     return report.throttled(events(spark, d), "stage", "ts", 30_000.0)
 
@@ -680,14 +740,16 @@ def log_throttle(spark: SparkSession, d: str) -> DataFrame:
 PHASES = {"frame_extraction": 15.0, "camera_trajectory": 5.0, "reconstruction": 40.0, "mesh_textured_model": 40.0}
 
 
-@query("""with e as (select event_id, user_id, event_id % 4 as p, least(value / 100, 1e0) as s from events) select event_id, round(max([0, 15, 20, 60][p + 1] + [15, 5, 40, 40][p + 1] * s) over (partition by user_id order by event_id rows unbounded preceding), 5) as progress from e""")
+@query("""with e as (select event_id, user_id, event_id % 4 as p, least(value / 100, 1e0) as s from events) select event_id, round(max([0, 15, 20, 60][p + 1] + [15, 5, 40, 40][p + 1] * s) over (partition by user_id
+    order by event_id rows unbounded preceding), 5) as progress from e""")
 def progress_monotonic(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.lit(p) for p in PHASES])
     e = table(spark, d, "events").select("event_id", "user_id", names[(F.col("event_id") % 4).cast("int")].alias("phase"), F.least(F.col("value") / 100, F.lit(1.0)).alias("share"))
     return rounded(report.progress(e, PHASES, "user_id", "phase", "share", "event_id"), 5, "progress").select("event_id", "progress")
 
 
-@query("select o_orderkey as name_id, case when o_custkey % 3 <> 2 and o_orderkey % 4 = 0 then 'failed' when o_custkey % 3 <> 2 then 'ok' else 'skipped: unknown' end as state, (case when o_orderkey % 4 = 0 then 0 else o_orderkey end) / 1e6 as mb from orders")
+@query("""select o_orderkey as name_id, case when o_custkey % 3 <> 2 and o_orderkey % 4 = 0 then 'failed' when o_custkey % 3 <> 2 then 'ok' else 'skipped: unknown' end as state, (case when o_orderkey % 4 = 0 then 0 else o_orderkey end) / 1e6 as mb
+    from orders""")
 def outputs_listing(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), F.lit("/out").alias("path"), (F.col("o_custkey") % 3 != 2).alias("ok"), F.lit(None).cast("string").alias("skipped_reason"), F.when(F.col("o_orderkey") % 4 == 0, 0).otherwise(F.col("o_orderkey")).alias("size_bytes"))
     return report.outputs(o).withColumnRenamed("name", "name_id")
@@ -695,7 +757,8 @@ def outputs_listing(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with f as ({_FOLD}), {_UTIL}, g as (select 'stage_' || (event_id % 12) as stage, gpu_index, round(avg(util_pct), 4) as m from util group by 1, 2),
     j as (select stage, '[' || string_agg('{{"gpu_index":' || gpu_index || ',"mean_util":' || m || '}}', ',' order by gpu_index) || ']' as gpus from g group by stage)
-    select stage, '{{"stage":"' || stage || '","status":"' || status || '"' || case when gpus is null then '' else ',"gpus":' || gpus end || '}}' as report from f left join j using (stage)""")
+    select stage, '{{"stage":"' || stage || '","status":"' || status || '"' || case when gpus is null then '' else ',"gpus":' || gpus end || '}}' as report
+    from f left join j using (stage)""")
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     s = report.fold_stages(events(spark, d))
     gpu = report.utilisation(util(spark, d).withColumn("stage", F.concat(F.lit("stage_"), (F.col("event_id") % 12).cast("string"))), ["stage", "gpu_index"])
@@ -704,7 +767,8 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
 
 # --------------------------------------------------------------------- scorecard
 
-_MODELS = """models as (select 'm' || s_nationkey as model, avg(s_acctbal) as quality_a, max(s_acctbal) as quality_b, stddev_pop(s_acctbal) + 1 as error_a, 100e0 + 60 * s_nationkey as runtime_s, s_nationkey % 5 <> 0 as has_cameras from supplier group by s_nationkey)"""
+_MODELS = """models as (select 'm' || s_nationkey as model, avg(s_acctbal) as quality_a, max(s_acctbal) as quality_b, stddev_pop(s_acctbal) + 1 as error_a, 100e0 + 60 * s_nationkey as runtime_s, s_nationkey % 5 <> 0 as has_cameras
+    from supplier group by s_nationkey)"""
 
 
 def models(spark: SparkSession, d: str) -> DataFrame:
@@ -725,20 +789,25 @@ def normalise_best(spark: SparkSession, d: str) -> DataFrame:
     return m.select("model", F.round(scorecard.best_is_one(F.col("quality_b"), False), 6).alias("best_high"), F.round(scorecard.best_is_one(F.col("runtime_s"), True), 6).alias("best_low"))
 
 
-@query(f"""with {_MODELS}, n as (select *, quality_a / max(quality_a) over () qa, quality_b / max(quality_b) over () qb, min(error_a) over () / error_a ea, min(runtime_s) over () / runtime_s sp from models),
+@query(f"""with {_MODELS}, n as (select *, quality_a / max(quality_a) over () qa, quality_b / max(quality_b) over () qb, min(error_a) over () / error_a ea, min(runtime_s) over () / runtime_s sp
+    from models),
     t as (select model, 0.4 * (qa + qb) / 2 + 0.4 * ea + 0.2 * sp as total, has_cameras and runtime_s <= 900 as eligible from n)
-    select model, round(total, 6) as total, eligible, cast(case when eligible then row_number() over (partition by eligible order by total desc, model) end as int) as rank from t""")
+    select model, round(total, 6) as total, eligible, cast(case when eligible then row_number() over (partition by eligible
+    order by total desc, model) end as int) as rank from t""")
 def model_scorecard(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scorecard.scorecard(models(spark, d), {"quality_a": False, "quality_b": False}, {"error_a": True}), 6, "total").select("model", "total", "eligible", "rank")
 
 
-@query("""with f as (select 'm' || (l_suppkey % 3) as model, l_partkey % 500 as frame_index, max(l_extendedprice) as score from lineitem group by 1, 2), b as (select frame_index, arg_min(model, (-score, model)) as model from f group by 1) select model, count(*) as n_wins from b group by model""")
+@query("""with f as (select 'm' || (l_suppkey % 3) as model, l_partkey % 500 as frame_index, max(l_extendedprice) as score
+    from lineitem group by 1, 2), b as (select frame_index, arg_min(model, (-score, model)) as model from f group by 1) select model, count(*) as n_wins
+    from b group by model""")
 def frame_wins(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "lineitem").groupBy(F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string")).alias("model"), (F.col("l_partkey") % 500).alias("frame_index")).agg(F.max("l_extendedprice").alias("score"))
     return scorecard.wins(f, "score")
 
 
-@query("""with p as (select l_suppkey as frame_index, l_discount as a, l_tax as b, l_returnflag = 'N' as m from lineitem), e as (select frame_index, avg(case when m then (a - b) ** 2 end) as e from p group by 1)
+@query("""with p as (select l_suppkey as frame_index, l_discount as a, l_tax as b, l_returnflag = 'N' as m from lineitem),
+    e as (select frame_index, avg(case when m then (a - b) ** 2 end) as e from p group by 1)
     select frame_index, round(case when e <= 1e-12 then 100e0 else -10 * log10(e) end, 5) as psnr from e""")
 def image_psnr(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("frame_index"), F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), (F.col("l_returnflag") == "N").alias("m"))
@@ -760,18 +829,21 @@ def image_ssim(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     with p as (select vec_id, i // 8 as row, i % 8 as col, (embedding[i + 1]::double + 1) / 2 * 255 as grey from embeddings, range(64) r(i)),
     s as (select vec_id, row // 4 as y, col // 4 as x, avg(0.299 * grey + 0.587 * grey + 0.114 * grey) as g from p group by all),
-    l as (select a.vec_id, (select sum(b.g) from s b, (values (-1, 0), (1, 0), (0, -1), (0, 1)) d(dy, dx) where b.vec_id = a.vec_id and b.y = greatest(0, least(1, a.y + dy)) and b.x = greatest(0, least(1, a.x + dx))) - 4 * a.g as lap from s a)
+    l as (select a.vec_id, (select sum(b.g) from s b, (values (-1, 0), (1, 0), (0, -1), (0, 1)) d(dy, dx) where b.vec_id = a.vec_id and b.y = greatest(0, least(1, a.y + dy)) and b.x = greatest(0, least(1, a.x + dx))) - 4 * a.g as lap
+    from s a)
     select vec_id as frame_index, round(var_samp(lap), 4) as sharpness from l group by vec_id""")
 def image_sharpness(spark: SparkSession, d: str) -> DataFrame:
     return rounded(keyframes.sharpness(_pixels(spark, d).select("frame_index", "row", "col", "r", "g", F.col("b_").alias("b"))), 4, "sharpness")
 
 
-@query(f"with {_PAIRS}, e as (select chunk_idx, degrees(acos(greatest(-1, least(1, (sx + sy + sz) / 2 - 0.5)))) as a from pairs) select chunk_idx, round(median(a), 5) as median_deg from e group by chunk_idx")
+@query(f"""with {_PAIRS}, e as (select chunk_idx, degrees(acos(greatest(-1, least(1, (sx + sy + sz) / 2 - 0.5)))) as a from pairs)
+    select chunk_idx, round(median(a), 5) as median_deg from e group by chunk_idx""")
 def camera_errors(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).groupBy("chunk_idx").agg(F.round(F.median(camera.angle_between(F.col("sx") + F.col("sy") + F.col("sz"))), 5).alias("median_deg"))
 
 
-@query(f"with {_PAIRS}, e as (select chunk_idx, sqrt((sx - dx) ** 2 + (sy - dy) ** 2) as r from pairs) select chunk_idx, round(avg(r), 5) as mean_px, round(median(r), 5) as median_px, round(quantile_cont(r, 0.9), 5) as p90_px from e group by chunk_idx")
+@query(f"""with {_PAIRS}, e as (select chunk_idx, sqrt((sx - dx) ** 2 + (sy - dy) ** 2) as r from pairs) select chunk_idx, round(avg(r), 5) as mean_px, round(median(r), 5) as median_px, round(quantile_cont(r, 0.9), 5) as p90_px
+    from e group by chunk_idx""")
 def reprojection_stats(spark: SparkSession, d: str) -> DataFrame:
     r = F.sqrt((F.col("sx") - F.col("dx")) ** 2 + (F.col("sy") - F.col("dy")) ** 2)
     return rounded(pairs(spark, d).groupBy("chunk_idx").agg(F.avg(r).alias("mean_px"), F.median(r).alias("median_px"), F.percentile(r, F.lit(0.9)).alias("p90_px")), 5, "mean_px", "median_px", "p90_px")
@@ -779,12 +851,15 @@ def reprojection_stats(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------- measures and meshes
 
-@query(f"""with {_CLOUD}, v as (select *, coalesce(lead(x) over w, first_value(x) over w) as nx, coalesce(lead(y) over w, first_value(y) over w) as ny from cloud window w as (partition by label order by vec_id)) select label, round(abs(sum(x * ny - nx * y)) / 2, 5) as area from v group by label""")
+@query(f"""with {_CLOUD}, v as (select *, coalesce(lead(x) over w, first_value(x) over w) as nx, coalesce(lead(y) over w, first_value(y) over w) as ny
+    from cloud window w as (partition by label order by vec_id)) select label, round(abs(sum(x * ny - nx * y)) / 2, 5) as area
+    from v group by label""")
 def measure_area(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scoring.polygon_area(cloud(spark, d), "label", "vec_id"), 5, "area")
 
 
-@query(f"with {_PAIRS} select vec_id, round(sqrt((sx - dx) ** 2 + (sy - dy) ** 2 + (sz - dz) ** 2), 6) as apart, round(least(1, abs(sx) * 2), 6) as red, round(greatest(0, 1 - abs(sx) * 2), 6) as blue from pairs")
+@query(f"""with {_PAIRS} select vec_id, round(sqrt((sx - dx) ** 2 + (sy - dy) ** 2 + (sz - dz) ** 2), 6) as apart, round(least(1, abs(sx) * 2), 6) as red, round(greatest(0, 1 - abs(sx) * 2), 6) as blue
+    from pairs""")
 def measure_distance(spark: SparkSession, d: str) -> DataFrame:
     r = scoring.ramp(F.abs(F.col("sx")))
     a, b = [F.col(c) for c in ("sx", "sy", "sz")], [F.col(c) for c in ("dx", "dy", "dz")]
@@ -807,19 +882,22 @@ def rate_labels(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", scoring.rate_label(F.col("event_id") % 7, F.lit(7).cast("bigint"), F.col("value") + 1).alias("label"))
 
 
-@query("select user_id, round(avg(g), 6) as mean_gap from (select user_id, event_id - lag(event_id) over (partition by user_id order by event_id) as g from events where event_type = 'view') group by user_id")
+@query("""select user_id, round(avg(g), 6) as mean_gap from (select user_id, event_id - lag(event_id) over (partition by user_id
+    order by event_id) as g from events where event_type = 'view') group by user_id""")
 def gop_length(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scoring.mean_gap(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "view"), 6, "mean_gap")
 
 
-@query("with f as (select l_orderkey * 10 + l_linenumber as face_id, l_extendedprice as max_edge from lineitem), q as (select greatest(1.2 * quantile_cont(max_edge, 0.9), 1e-6) as q from f) select face_id from f, q where max_edge <= q")
+@query("""with f as (select l_orderkey * 10 + l_linenumber as face_id, l_extendedprice as max_edge from lineitem), q as (select greatest(1.2 * quantile_cont(max_edge, 0.9), 1e-6) as q
+    from f) select face_id from f, q where max_edge <= q""")
 def long_edge_filter(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("face_id"), F.col("l_extendedprice").alias("max_edge"))
     return mesh.without_long_edges(f, 0.9, 1.2).select("face_id")
 
 
 @query("""
-    with recursive k as (select distinct o_custkey as a, 1::bigint << (length(bin(o_custkey)) - 1) as k from orders), e as (select a, k + cast(floor((a - k) / 2e0) as bigint) as b from k),
+    with recursive k as (select distinct o_custkey as a, 1::bigint << (length(bin(o_custkey)) - 1) as k from orders), e as (select a, k + cast(floor((a - k) / 2e0) as bigint) as b
+    from k),
     n as (select a as node from e union select b from e),
     r as (select node, node as cur from n union all select r.node, e.b from r join e on e.a = r.cur where e.b < r.cur),
     c as (select node, min(cur) as component from r group by node),
@@ -831,14 +909,17 @@ def component_filter(spark: SparkSession, d: str) -> DataFrame:
     return mesh.large_components(table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (k + F.floor((F.col("o_custkey") - k) / 2)).alias("b")))
 
 
-@query(f"with {_CLOUD} select round((select (max(x) - min(x)) * (max(y) - min(y)) from cloud where label < 3) / ((max(x) - min(x)) * (max(y) - min(y))), 6) as footprint from cloud")
+@query(f"""with {_CLOUD} select round((select (max(x) - min(x)) * (max(y) - min(y)) from cloud where label < 3) / ((max(x) - min(x)) * (max(y) - min(y))), 6) as footprint
+    from cloud""")
 def mesh_footprint(spark: SparkSession, d: str) -> DataFrame:
     c = cloud(spark, d)
     return rounded(mesh.footprint(c.where("label < 3"), c), 6, "footprint")
 
 
-@query("""with m as (select o_custkey as run_id, ['tsdf', 'poisson', 'ball_pivot', 'delaunay'][o_orderkey % 4 + 1] as method, max(cast(o_totalprice as bigint)) as n_faces, max(o_orderkey % 10 / 10e0) as footprint from orders group by 1, 2),
-    r as (select *, row_number() over (partition by run_id order by list_position(['tsdf', 'poisson', 'ball_pivot', 'delaunay'], method)) as k from m where case when method = 'tsdf' then n_faces >= 10000 and footprint >= 0.5 else n_faces > 0 end)
+@query("""with m as (select o_custkey as run_id, ['tsdf', 'poisson', 'ball_pivot', 'delaunay'][o_orderkey % 4 + 1] as method, max(cast(o_totalprice as bigint)) as n_faces, max(o_orderkey % 10 / 10e0) as footprint
+    from orders group by 1, 2),
+    r as (select *, row_number() over (partition by run_id order by list_position(['tsdf', 'poisson', 'ball_pivot', 'delaunay'], method)) as k
+    from m where case when method = 'tsdf' then n_faces >= 10000 and footprint >= 0.5 else n_faces > 0 end)
     select run_id, method, case when n_faces < 10000 then 'failed' else 'ok' end as state from r where k = 1""")
 def mesh_choice(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
@@ -847,8 +928,10 @@ def mesh_choice(spark: SparkSession, d: str) -> DataFrame:
     return mesh.chosen(m).select("run_id", "method", report.mesh_state(F.col("n_faces")).alias("state"))
 
 
-@query(f"""with {_CLOUD}, {_CAMERA_SQL}, n as (select vec_id, arg_min(camera_id, ((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2, camera_id)) as camera_id from cloud, cameras group by vec_id)
-    select cloud.vec_id, case when pz - z < 0 then 1e0 else -1e0 end * case when label % 2 = 0 then 1 when label % 2 = 1 then 1 end as nz from cloud join n using (vec_id) join cameras using (camera_id)""".replace("case when pz - z < 0 then 1e0 else -1e0 end * case when label % 2 = 0 then 1 when label % 2 = 1 then 1 end as nz", "case when pz - z < 0 then -1e0 else 1e0 end as nz"))
+@query(f"""with {_CLOUD}, {_CAMERA_SQL}, n as (select vec_id, arg_min(camera_id, ((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2, camera_id)) as camera_id
+    from cloud, cameras group by vec_id)
+    select cloud.vec_id, case when pz - z < 0 then 1e0 else -1e0 end * case when label % 2 = 0 then 1 when label % 2 = 1 then 1 end as nz
+    from cloud join n using (vec_id) join cameras using (camera_id)""".replace("case when pz - z < 0 then 1e0 else -1e0 end * case when label % 2 = 0 then 1 when label % 2 = 1 then 1 end as nz", "case when pz - z < 0 then -1e0 else 1e0 end as nz"))
 def normals_to_camera(spark: SparkSession, d: str) -> DataFrame:
     """Normals that point up or down by label, all turned to the nearest camera."""
     up = F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0)
@@ -868,7 +951,8 @@ def normals_pca(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sources, sinks
 
-_TEXTS = "(select distinct track_id, source_index, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 2) as alt from telemetry where abs(lat) <= 90 and abs(lon) <= 180)"
+_TEXTS = """(select distinct track_id, source_index, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 2) as alt from telemetry
+    where abs(lat) <= 90 and abs(lon) <= 180)"""
 
 
 #: source_index values per text file of a track; a long track is written as several files.
@@ -902,7 +986,8 @@ def _joined(parsed: DataFrame, step: float = 0.0) -> DataFrame:
     return parsed.select(F.shiftright("track_id", 32).alias("track_id"), (F.col("source_index") + i0).cast("int").alias("source_index"), (F.col("t") + i0 * step).alias("t"), "lat", "lon", "alt")
 
 
-_PARSED = f"""with s as (select *, row_number() over (partition by track_id order by source_index) - 1 as i from {_TEXTS}) select track_id, cast(i as int) as source_index, {{t}} as t, lat, lon, {{alt}} as alt from s"""
+_PARSED = f"""with s as (select *, row_number() over (partition by track_id order by source_index) - 1 as i from {_TEXTS})
+    select track_id, cast(i as int) as source_index, {{t}} as t, lat, lon, {{alt}} as alt from s"""
 
 
 @query(_PARSED.format(t="i * 5e-1", alt="coalesce(alt, 0)"))
@@ -940,8 +1025,10 @@ def parse_json(spark: SparkSession, d: str) -> DataFrame:
     return _joined(telemetry.json_records(_written(_track_rows(spark, d), line, ",", '{"note": 1, "points": [', "]}"), "file"), 1.0)
 
 
-@query(f"""with {_SAMPLES}, s as (select *, row_number() over (partition by track_id order by t, source_index) - 1 as i from samples where abs(lat) <= 90 and abs(lon) <= 180)
-    select track_id, cast(i as int) as source_index, round(lat, 7) as lat, round(last_value(yaw ignore nulls) over (partition by track_id order by i rows unbounded preceding), 4) as yaw from s""")
+@query(f"""with {_SAMPLES}, s as (select *, row_number() over (partition by track_id order by t, source_index) - 1 as i from samples
+    where abs(lat) <= 90 and abs(lon) <= 180)
+    select track_id, cast(i as int) as source_index, round(lat, 7) as lat, round(last_value(yaw ignore nulls) over (partition by track_id
+    order by i rows unbounded preceding), 4) as yaw from s""")
 def parse_mavlink(spark: SparkSession, d: str) -> DataFrame:
     """Samples as position messages, each with an attitude message just before it where there is an attitude."""
     s = samples(spark, d).where("abs(lat) <= 90 and abs(lon) <= 180").withColumn("i", F.row_number().over(Window.partitionBy("track_id").orderBy("t", "source_index")))
@@ -974,17 +1061,23 @@ def _media(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return v, f
 
 
-@query("""with t as (select track_id, '/in/d' || track_id % 40 as dir, '/in/d' || track_id % 40 || '/v' || track_id as stem, case kind when 'mavlink' then 'tlog' when 'embedded' then 'SRT' else kind end as e from tracks),
+@query("""with t as (select track_id, '/in/d' || track_id % 40 as dir, '/in/d' || track_id % 40 || '/v' || track_id as stem, case kind when 'mavlink' then 'tlog' when 'embedded' then 'SRT' else kind end as e
+    from tracks),
     v as (select stem || '.MP4' as path, dir, stem from t), f as (select stem || '.' || e as path, dir, stem, e from t),
-    c as (select v.path, f.path as tp, case when f.stem = v.stem then 0 when lower(f.e) = 'srt' then 1 else 2 end as p from v join f on f.stem = v.stem or f.dir = v.dir), b as (select path, arg_min(tp, (p, tp)) as tp from c group by path)
-    select v.path, tp as telemetry_path, case lower(regexp_extract(tp, '\\.([^./]+)$', 1)) when 'tlog' then 'mavlink' else lower(regexp_extract(tp, '\\.([^./]+)$', 1)) end as kind from v left join b using (path)""")
+    c as (select v.path, f.path as tp, case when f.stem = v.stem then 0 when lower(f.e) = 'srt' then 1 else 2 end as p from v
+    join f on f.stem = v.stem or f.dir = v.dir), b as (select path, arg_min(tp, (p, tp)) as tp from c group by path)
+    select v.path, tp as telemetry_path, case lower(regexp_extract(tp, '\\.([^./]+)$', 1)) when 'tlog' then 'mavlink' else lower(regexp_extract(tp, '\\.([^./]+)$', 1)) end as kind
+    from v left join b using (path)""")
 def match_telemetry(spark: SparkSession, d: str) -> DataFrame:
     v, f = _media(spark, d)
     return files.telemetry_of(v, f)
 
 
-@query("""with f as (select '/w/' || ['mapa_tune', 'pi3x_tune', 'pi3', 'vggt', 'other'][o_orderkey % 5 + 1] || '/' || case when o_custkey % 50 = 0 then 'checkpoint-best-' else 'checkpoint-' end || o_orderkey || '.pth' as path, o_orderdate as m, o_orderkey % 5 as b, o_custkey % 50 = 0 as best from orders),
-    n as (select *, unnest(case b when 0 then ['mapanything'] when 1 then ['pi3x', 'pi3'] when 2 then ['pi3'] when 3 then ['vggt'] else [] end) as backbone from f) select backbone, path from (select *, row_number() over (partition by backbone order by best desc, m desc, path) as k from n) where k = 1""")
+@query("""with f as (select '/w/' || ['mapa_tune', 'pi3x_tune', 'pi3', 'vggt', 'other'][o_orderkey % 5 + 1] || '/' || case when o_custkey % 50 = 0 then 'checkpoint-best-' else 'checkpoint-' end || o_orderkey || '.pth' as path, o_orderdate as m, o_orderkey % 5 as b, o_custkey % 50 = 0 as best
+    from orders),
+    n as (select *, unnest(case b when 0 then ['mapanything'] when 1 then ['pi3x', 'pi3'] when 2 then ['pi3'] when 3 then ['vggt'] else [] end) as backbone
+    from f) select backbone, path from (select *, row_number() over (partition by backbone order by best desc, m desc, path) as k
+    from n) where k = 1""")
 def match_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     folder = F.array(*[F.lit(x) for x in ("mapa_tune", "pi3x_tune", "pi3", "vggt", "other")])[(F.col("o_orderkey") % 5).cast("int")]
@@ -992,7 +1085,8 @@ def match_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     return files.checkpoints(o.select(F.concat(F.lit("/w/"), folder, F.lit("/"), name, F.col("o_orderkey").cast("string"), F.lit(".pth")).alias("path"), F.col("o_orderdate").alias("modification_time")))
 
 
-@query("select p_partkey, case p_partkey % 3 when 0 then p_size * 1e0 when 1 then 900.5 else 0.9 * 640 end as fx, case p_partkey % 3 when 0 then p_size / 2e0 when 1 then 310e0 else 320e0 end as cx from part")
+@query("""select p_partkey, case p_partkey % 3 when 0 then p_size * 1e0 when 1 then 900.5 else 0.9 * 640 end as fx, case p_partkey % 3 when 0 then p_size / 2e0 when 1 then 310e0 else 320e0 end as cx
+    from part""")
 def intrinsics_resolve(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_size").cast("string")
     flat = F.concat(F.lit('{"camera": {"fx": '), s, F.lit(', "fy": '), s, F.lit(', "cx": '), (F.col("p_size") / 2.0).cast("string"), F.lit(', "cy": 1.5}}'))
@@ -1001,7 +1095,8 @@ def intrinsics_resolve(spark: SparkSession, d: str) -> DataFrame:
     return files.intrinsics(p, "info", "w", "h").select("p_partkey", "fx", "cx")
 
 
-@query("select '/v/' || p_partkey || '.mp4' as path, p_retailprice as duration_s, case when p_size % 2 = 0 then 30000 / 1001e0 else 0e0 end as fps from part where p_partkey % 4 <> 0")
+@query("""select '/v/' || p_partkey || '.mp4' as path, p_retailprice as duration_s, case when p_size % 2 = 0 then 30000 / 1001e0 else 0e0 end as fps
+    from part where p_partkey % 4 <> 0""")
 def video_probe(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("p_partkey") % 4 == 0, "audio").otherwise("video")
     rate = F.when(F.col("p_size") % 2 == 0, "30000/1001").otherwise("0/0")
@@ -1010,7 +1105,9 @@ def video_probe(spark: SparkSession, d: str) -> DataFrame:
     return files.probed(p).select("path", "duration_s", "fps")
 
 
-@query("with a as (select p_partkey::varchar as key from part where p_size < 30), b as (select p_partkey::varchar as key from part where p_size > 20) select key, 'missing' as side from a where key not in (select key from b) union all select key, 'unexpected' from b where key not in (select key from a)")
+@query("""with a as (select p_partkey::varchar as key from part where p_size < 30), b as (select p_partkey::varchar as key
+    from part where p_size > 20) select key, 'missing' as side from a where key not in (select key from b) union all select key, 'unexpected'
+    from b where key not in (select key from a)""")
 def checkpoint_keys(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     key = F.col("p_partkey").cast("string")
@@ -1024,7 +1121,8 @@ def unregistered(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
 
 
-@query("select l_orderkey, bool_or(l_returnflag = 'R' or l_linestatus = 'O') as masked, count(*) filter (l_returnflag = 'R') as n_moving from lineitem group by l_orderkey")
+@query("""select l_orderkey, bool_or(l_returnflag = 'R' or l_linestatus = 'O') as masked, count(*) filter (l_returnflag = 'R') as n_moving
+    from lineitem group by l_orderkey""")
 def mask_union(spark: SparkSession, d: str) -> DataFrame:
     moving, still = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_or(moving | still).alias("masked"), F.count_if(moving).alias("n_moving"))
@@ -1057,7 +1155,8 @@ def _shared(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-@query(f"with {_LOG} select stage, count(*) as n_events, min(ts) as first_ts, max(ts) as last_ts, count(*) filter (kind = 'fallback') as n_fallbacks from bus group by stage")
+@query(f"""with {_LOG} select stage, count(*) as n_events, min(ts) as first_ts, max(ts) as last_ts, count(*) filter (kind = 'fallback') as n_fallbacks
+    from bus group by stage""")
 def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     return bus.run_last(bus.fold(_stream(spark, d, "in")), f"{_shared(spark)}/out", f"{_shared(spark)}/ck")
 
