@@ -360,6 +360,11 @@ _LOOSE = re.compile(
 _RIGHTS = re.compile(rf"(?:copyright|\(c\)|©|&copy;)(?:[ ]*(?:\(c\)|©))?(?:[ ]*(?P<year>\d{{4}})(?:[ ]*[-–,][ ]*\d{{2,4}})*)?,?(?:[ ]by)?{_END}", re.IGNORECASE | re.VERBOSE)
 _RIGHTS_AFTER = re.compile(r"[ ]\d{4}\b|\.?[ ]All[ ]rights|[ ]*[.,]?[ \t]*(?:\*/)?\r?(?:\n|\Z)", re.VERBOSE | re.IGNORECASE)
 _THANKS = re.compile(rf"\b(?:thanks|thank[ ]you|kudos|props)(?:[ ]to)?,?{_END}", re.IGNORECASE | re.VERBOSE)
+#: Between the names of a list with bullets, an address of mail or nothing behind each.
+_BULLET = re.compile(r"(?:[ ](?:<[^<>\n]*>|\([^()\n]*\)))?\r?\n[ \t]*(?:\#|//|--|\*)?[ \t]*[*-][ ]+")
+#: Behind a name that somebody is to ask.
+_ASK, _ABOUT = re.compile(r"\bask(?:ed)?[ ]\Z", re.IGNORECASE), re.compile(r"[ ](?:about|for|to|whether|if)\b")
+_LINE_END = re.compile(r"[ \t]*(?:\*/)?\r?(?:\n|\Z)")
 #: Between the names of a list.
 _JOINT = re.compile(r"(?:[ ]*[,;&][ ]*|[ ]*,?[ ](?:and|und|et|y|e|og|och|&)[ ]+)\Z")
 _CELL_BEFORE, _CELL_AFTER = re.compile(r"[|;\"',\n\ufeff][ ]?\Z|\A\Z"), re.compile(r"[|;\"',\r\n]|\Z")
@@ -404,6 +409,12 @@ def names(t: str, mails: list[tuple[int, int]] = [], others: list[tuple[int, int
         kind = _is_person(t, hit)
         if kind is None and listed >= 0 and hit.start() - listed <= 8 and _JOINT.match(t[listed : hit.start()]):
             kind = "credit"
+        if kind is None and listed >= 0 and _BULLET.fullmatch(t, listed, hit.start()):
+            kind = "credit"
+        if kind is None and others and _LOOSE.search(t, _before(t, hit.start()), hit.start()):
+            cell = _CELL_BEFORE.search(t, max(0, hit.start() - 2), hit.start()) or t[hit.start() - 2 : hit.start()] == ": "
+            if _next_to(hit.end(), others) or cell and _CELL_AFTER.match(t, hit.end()) and _near_lines(t, hit.start(), hit.end(), others):
+                kind = "cell"
         if kind is None and mails:
             lines = _mails_by_line(t, mails) if lines is None else lines
             near = t.count("\n", 0, hit.start()) if len(lines) > 1 else next(iter(lines))
@@ -441,6 +452,18 @@ def _of_mail(name: str, local: str) -> bool:
     return len(there) > 1 or any(len(w) > 4 for w in there)
 
 
+def _next_to(b: int, others: list[tuple[int, int]]) -> bool:
+    """Whether one of the sorted others begins right behind b, after a bracket or a comma."""
+    k = bisect_right(others, (b, 1 << 60))
+    return k < len(others) and others[k][0] - b <= 3
+
+
+def _near_lines(t: str, a: int, b: int, others: list[tuple[int, int]]) -> bool:
+    """Whether one of the sorted others lies on the two lines before or behind, or on the same one."""
+    k = bisect_right(others, (a, 1 << 60))
+    return k < len(others) and t.count("\n", b, others[k][0]) <= 2 or k > 0 and t.count("\n", others[k - 1][1], a) <= 2
+
+
 def _is_town(t: str, a: int, homes: list[tuple[int, int]]) -> bool:
     """Whether what starts at a goes on with an address before it, in the same cell."""
     k = bisect_right(homes, (a, 1 << 60))
@@ -469,9 +492,9 @@ def _is_person(t: str, m: re.Match) -> str | None:
     given = words[len(m[0].partition(",")[0].split())] if flip else words[0]
     initial = any(len(w) == 2 and w[1] == "." for w in words)
     before = _before(t, a)
-    if _CREDIT.match(t, b) or _STRICT.search(t, before, a) and (initial or not flip) or initial and _LOOSE.search(t, before, a):
+    if _CREDIT.match(t, b) or _STRICT.search(t, before, a) and (initial or not flip or _LINE_END.match(t, b) is not None) or initial and _LOOSE.search(t, before, a):
         return "credit"
-    if not flip and _RIGHTS.search(t, before, a) and _RIGHTS_AFTER.match(t, b):
+    if _RIGHTS.search(t, before, a) and _RIGHTS_AFTER.match(t, b) or _ASK.search(t, before, a) and _ABOUT.match(t, b):
         return "credit"
     if _THANKS.search(t, before, a) and re.match(r"[ ](?:for|who)\b|[.!,;]", t[b : b + 6]):
         return "credit"

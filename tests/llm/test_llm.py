@@ -214,6 +214,10 @@ def items(text):
         ("Reviewed by: Thandiwe Mbeki\nThanks Wei Zhang for the data\npatch by Siobhan Okonkwo\n(c) 2019 Thandeka Nkosi\n", [("name", x) for x in ("Thandiwe Mbeki", "Wei Zhang", "Siobhan Okonkwo", "Thandeka Nkosi")]),
         ("# Authors: Thandiwe Mbeki, Wei Zhang and Siobhan Okonkwo\n# uses the Gauss Newton step", [("name", x) for x in ("Thandiwe Mbeki", "Wei Zhang", "Siobhan Okonkwo")]),
         ("x = 'Thandiwe Mbeki;thandiwe.mbeki@firm.example;212-555-0104'\ny = 'Delaunay Mesher'", [("name", "Thandiwe Mbeki"), ("email", "thandiwe.mbeki@firm.example"), ("phone", "212-555-0104")]),
+        ("Contributors\n* Thandiwe Mbeki <tm@firm.example>\n* W. Zhang\n* Okonkwo, Siobhan\n\nThe Delaunay Mesher", [("name", "Thandiwe Mbeki"), ("email", "tm@firm.example"), ("name", "W. Zhang"), ("name", "Okonkwo, Siobhan")]),
+        ("// TODO: ask Thandiwe Mbeki about the shift, as agreed with Wei Zhang (212-555-0104); ask Copper Ridge for maps", [("name", "Thandiwe Mbeki"), ("name", "Wei Zhang"), ("phone", "212-555-0104")]),
+        ("crew:\n  - name: \"Thandiwe Mbeki\"\n    tel: \"+13035550168\"\nsite:\n  - id: 1\n    size: 3\n    name: \"Delaunay Mesher\"\n", [("name", "Thandiwe Mbeki"), ("phone", "+13035550168")]),
+        ("// @author Mbeki, Thandiwe\n# Copyright 2019-2020 Zhang, Wei. All rights reserved.", [("name", "Mbeki, Thandiwe"), ("name", "Zhang, Wei")]),
         ("123 5th Ave, then 40 W 23rd Street", [("address", "123 5th Ave"), ("address", "40 W 23rd Street")]),
         ("id number 123456789", [("id_number", "123456789")]),
         ("pilot: Lena Voss;" + "x" * 3000 + ";971-07-2734;", [("name", "Lena Voss"), ("id_number", "971-07-2734")]),
