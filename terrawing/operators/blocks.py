@@ -12,7 +12,7 @@ from terrawing.runtime import cut, kept, small
 #: More rows than this (hot sources, or blocks of them) aren't broadcast; they are joined with a shuffle.
 MOST_BROADCAST = 50_000
 #: Blocks that a source is cut into at most; of a source of more than so many times rows_per_block rows the blocks are larger. Results don't depend on the cuts.
-MOST_BLOCKS = 100_000
+MOST_BLOCKS = 20_000
 
 _CUTS = "array<array<double>>"
 
@@ -30,7 +30,8 @@ def block_of(x: Column) -> Column:
 
 
 def placeable(df: DataFrame, order: str) -> DataFrame:
-    return df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
+    """Rows with a place in a series: those whose order is neither null nor NaN nor infinite."""
+    return df.where(F.abs(F.col(order).cast("double")) < float("inf"))
 
 
 def hot_sources(df: DataFrame, source: list[str], order: str, rows_per_block: int, align: float | None = None) -> DataFrame | None:
@@ -87,8 +88,8 @@ def blocked(df: DataFrame, source: list[str], order: str, rows_per_block: int, h
     kept for core rows only. With keep, the column that block_of needs stays.
     hot is what hot_sources said, if it has been asked already.
 
-    Rows whose order is null or NaN are dropped: they have no place in a
-    series. Null source values form a source of their own, cut as any other.
+    Rows whose order is null, NaN or infinite are dropped: they have no place
+    in a series. Null source values form a source of their own, cut as any other.
     """
     df = placeable(df, order)
     o = F.col(order).cast("double")

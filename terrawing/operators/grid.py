@@ -39,7 +39,7 @@ def regular_grid(
     gauge without reading on either side stays null.
 
     Samples that are equal in source, time, gauges and counters are one
-    sample. Null or NaN times are dropped. A missing gauge reading is bridged
+    sample. Null, NaN and infinite times are dropped. A missing gauge reading is bridged
     from the readings before and after it if they are at most max_gap apart.
     An empty table gives an empty result; further columns are ignored.
     """

@@ -160,3 +160,29 @@ def run_status(runs: DataFrame) -> DataFrame:
     """model and state of a run: timeout, else what its status file says, else that it crashed, with the end of its log."""
     said = F.get_json_object("status_json", "$.status")
     return runs.withColumn("state", F.when(F.col("timed_out"), "timeout").when(said.isNotNull(), said).otherwise("crash_no_status")).withColumn("tail", F.when(F.col("state") == "crash_no_status", F.substring(F.col("log"), -2000, 2000)))
+
+
+def point_arrays(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, name, i, x, y, z of the arrays of points in npy and npz files (a file per row); arrays whose last dimension isn't 3, and files that don't read, have no rows."""
+    import io
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    def arrays(data: bytes) -> dict:
+        try:
+            got = np.load(io.BytesIO(data), allow_pickle=False)
+            return {k: got[k] for k in got.files} if hasattr(got, "files") else {"": got}
+        except (ValueError, OSError, EOFError, KeyError):
+            return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, data in zip(*[c.to_pylist() for c in batch.columns]):
+                for name, a in arrays(data or b"").items():
+                    if a.ndim and a.shape[-1] == 3 and a.dtype.kind in "fiu":
+                        q = a.reshape(-1, 3).astype(float)
+                        yield pa.RecordBatch.from_pydict({"path": pa.array([p] * len(q), pa.string()), "name": pa.array([name] * len(q), pa.string()), "i": pa.array(range(len(q)), pa.int64())} | {c: pa.array(q[:, k]) for k, c in enumerate("xyz")})
+
+    return files.select(path, content).mapInArrow(run, "path string, name string, i long, x double, y double, z double")

@@ -9,10 +9,12 @@ out, but keep their number.
 
 from __future__ import annotations
 
+import struct
 import xml.etree.ElementTree as ET
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,6 +192,62 @@ def mavlink_lines(files: DataFrame, track: str = "track_id", text: str = "text")
     return mavlink(rows.withColumn("seq", F.coalesce("seq", F.col("i").cast("long"))).drop("i"))
 
 
+#: Fixed values of the protocol: message number to name, payload layout, its columns and the extra byte of its checksum.
+PACKETS = {
+    24: ("GPS_RAW_INT", "<Qiii", ("_usec", "lat", "lon", "alt"), 24),
+    30: ("ATTITUDE", "<Ifff", ("time_boot_ms", "roll", "pitch", "yaw"), 39),
+    33: ("GLOBAL_POSITION_INT", "<Iiiii", ("time_boot_ms", "lat", "lon", "alt", "relative_alt"), 104),
+}
+
+
+def _checksum(data: bytes) -> int:
+    """The protocol's CRC-16 (X.25, unreflected end)."""
+    crc = 0xFFFF
+    for b in data:
+        t = (b ^ crc) & 0xFF
+        t = (t ^ t << 4) & 0xFF
+        crc = crc >> 8 ^ t << 8 ^ t << 3 ^ t >> 4
+    return crc & 0xFFFF
+
+
+def packets(log: bytes) -> Iterator[tuple[str, dict[str, float]]]:
+    """Names and values of the known messages of a log of protocol version 1 or 2, with or without time stamps between them; what doesn't check is skipped byte by byte."""
+    i, n = 0, len(log)
+    while i < n:
+        if log[i] == 0xFE and i + 8 <= n:
+            head, size, number, end = 6, log[i + 1], log[i + 5], i + 8 + log[i + 1]
+        elif log[i] == 0xFD and i + 12 <= n:
+            size, number = log[i + 1], int.from_bytes(log[i + 7 : i + 10], "little")
+            head, end = 10, i + 12 + size + (13 if log[i + 2] & 1 else 0)
+        else:
+            i += 1
+            continue
+        known, at = PACKETS.get(number), i + head
+        if known and end <= n and _checksum(log[i + 1 : at + size] + bytes([known[3]])) == int.from_bytes(log[at + size : at + size + 2], "little"):
+            name, layout, columns, _ = known
+            values = struct.unpack(layout, log[at : at + size].ljust(struct.calcsize(layout), b"\0")[: struct.calcsize(layout)])
+            yield name, {c: float(v) for c, v in zip(columns, values) if c[0] != "_"}
+            i = end
+        else:
+            i += 1
+
+
+def mavlink_logs(files: DataFrame, track: str = "track_id", content: str = "content") -> DataFrame:
+    """Binary logs (a file per row) to samples: their position and attitude messages, in order."""
+    columns = ("lat", "lon", "alt", "relative_alt", "time_boot_ms", "yaw", "pitch", "roll")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, log in zip(*[c.to_pylist() for c in batch.columns]):
+                got = list(packets(log or b""))
+                yield pa.RecordBatch.from_pydict(
+                    {"track_id": pa.array([t] * len(got), pa.int64()), "seq": pa.array(range(len(got)), pa.int64()), "type": pa.array([g[0] for g in got], pa.string())}
+                    | {c: pa.array([g[1].get(c) for g in got], pa.float64()) for c in columns}
+                )
+
+    return mavlink(files.select(F.col(track).cast("long").alias("track_id"), content).mapInArrow(run, "track_id long, seq long, type string, " + ", ".join(f"{c} double" for c in columns)))
+
+
 def embedded(files: DataFrame, track: str = "track_id", text: str = "text") -> DataFrame:
     """The subtitle stream of a video, as a demuxer writes it out: subtitles as in srt, with styling tags and positions taken off."""
     return srt(files.withColumn(text, F.regexp_replace(text, r"</?[A-Za-z][^>\n]*>|\{\\[^}\n]*\}", "")), track, text)

@@ -64,7 +64,7 @@ def test_neighbours_over_cuts(spark, rows_per_block):
 def empty_by_force(rows, gap=600):
     out = set()
     for k in {r[0] for r in rows}:
-        t = sorted({r[1] for r in rows if r[0] == k and r[1] is not None and not math.isnan(r[1])})
+        t = sorted({r[1] for r in rows if r[0] == k and r[1] is not None and math.isfinite(r[1])})
         for a, b in zip(t, t[1:]):
             if round(b - a, 6) <= gap:
                 out |= {(k, s) for s in range(math.floor(a) + 1, math.floor(b))}
@@ -78,7 +78,7 @@ def test_grid_finds_the_empty_cells(spark, rows_per_block):
     for _ in range(800):
         t += rng.choice([0.2, 0.3, 1.7, 30.0, 600.0, 601.0]) if rng.random() < 0.3 else 0.25
         rows.append((1, round(t, 3), 1.0, 5))
-    rows += [(2, 1e9 + i * 0.9, 2.0, i) for i in range(50)] + [(1, None, 1.0, 1), (2, float("nan"), 1.0, 2), rows[0], rows[1]]
+    rows += [(2, 1e9 + i * 0.9, 2.0, i) for i in range(50)] + [(1, None, 1.0, 1), (2, float("nan"), 1.0, 2), (2, float("inf"), 1.0, 2), rows[0], rows[1]]
     df = table(spark, rows, "track_id long, t double, x double, n long")
     cells = regular_grid(df, ["track_id"], "t", ["x"], ["n"], rows_per_block=rows_per_block).collect()
     assert {(r["track_id"], r["slot"]) for r in cells if r["mark"] == "filled"} == empty_by_force(rows)

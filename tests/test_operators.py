@@ -419,6 +419,33 @@ def test_inputs_are_found_and_read(spark):
     assert {k: n for k, (n, _) in notes.items()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0} and notes[1][1] is None and all(notes[k][1] for k in (3, 4, 5, 6))
 
 
+def packet(number, payload, version, seq=0):
+    """A message as the protocol frames it."""
+    extra = telemetry.PACKETS.get(number, (0, 0, 0, 7))[3]
+    body = bytes([len(payload), seq, 1, 1, number]) if version == 1 else bytes([len(payload), 0, 0, seq, 1, 1]) + number.to_bytes(3, "little")
+    return bytes([0xFE if version == 1 else 0xFD]) + body + payload + telemetry._checksum(body + payload + bytes([extra])).to_bytes(2, "little")
+
+
+def test_binary_flight_logs(spark):
+    assert telemetry._checksum(b"123456789") == 0x6F91  # the check value of CRC-16/MCRF4XX
+    stamp = bytes(8)
+    attitude = struct.pack("<I6f", 5, 0.1, 0.2, 1.5, 0, 0, 0)
+    place = lambda ms, lat: struct.pack("<Iiiii3hH", ms, lat, 20_000_000, 150_000, 50_000, 0, 0, 0, 0)
+    for version in (1, 2):
+        log = stamp + packet(33, place(1000, 10_000_000), version) + stamp + packet(30, attitude, version) + b"\xfe\x05noise" + packet(0, b"heartbeat", version) + packet(33, place(2500, -70_000_000).rstrip(b"\0") if version == 2 else place(2500, -70_000_000), version) + packet(33, place(9, 9), version)[:-1] + b"?"
+        got = telemetry.mavlink_logs(spark.createDataFrame([(1, bytearray(log)), (2, None)], "track_id long, content binary")).orderBy("source_index").collect()
+        assert [(r["t"], r["lat"], r["lon"], r["alt"], r["alt_is_relative"]) for r in got] == [(1.0, 1.0, 2.0, 50.0, True), (2.5, -7.0, 2.0, 50.0, True)]
+        assert got[0]["yaw"] is None and got[1]["yaw"] == pytest.approx(math.degrees(1.5), abs=1e-4)
+
+
+def test_point_arrays(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(12.0).reshape(2, 2, 3))
+    np.savez(tmp_path / "b.npz", points=np.ones((2, 3), "f4"), other=np.ones(5))
+    rows = [(p.name, bytearray(p.read_bytes())) for p in sorted(tmp_path.iterdir())] + [("c.npy", bytearray(b"junk")), ("d.npy", None)]
+    got = sorted(tuple(r) for r in files.point_arrays(spark.createDataFrame(rows, "path string, content binary")).collect())
+    assert got == [("a.npy", "", i, 3.0 * i, 3.0 * i + 1, 3.0 * i + 2) for i in range(4)] + [("b.npz", "points", i, 1.0, 1.0, 1.0) for i in range(2)]
+
+
 def test_masks_of_moving_things_and_water(spark):
     rows = [(1, 1, "Car", 0, 0, 0.9), (1, 1, "Car", 0, 1, 0.5), (1, 2, "sky", 0, 0, 0.8), (1, 3, "tree", 1, 1, 0.9), (2, 4, "chair", 0, 0, 1.0), (1, 5, "dog", 1, 0, 0.2)]
     df = spark.createDataFrame([(*r, 2, 2) for r in rows], "frame_index int, detection_id int, class string, row int, col int, share double, height int, width int")
