@@ -147,7 +147,8 @@ def cross_view(geometry: DataFrame, cameras: DataFrame, pairs: DataFrame, occlus
 
     geometry holds the world point of each pixel (camera_id, row, col, x, y,
     z, masked); pairs the neighbouring views (a, b, same_chunk). A point of a
-    is projected into b, meets b's point at the rounded pixel, and counts
+    is projected into b, meets b's point at the rounded pixel (of a place told to
+    nine decimals, so that a tie doesn't hang on the last bit), and counts
     unless that point, projected back into a, lands more than occlusion_px
     away. Buckets: same or cross chunk, over all pixels and those unmasked.
     """
@@ -157,7 +158,7 @@ def cross_view(geometry: DataFrame, cameras: DataFrame, pairs: DataFrame, occlus
     b = geometry.select(F.col("camera_id").alias("g_b"), F.col("row").alias("b_row"), F.col("col").alias("b_col"), *[F.col(c).alias(f"b_{c}") for c in "xyz"], F.col("masked").alias("b_masked"))
     rows = a.join(small(pairs, MOST_PAIRS), "a").join(small(cam("ca"), MOST_PAIRS), F.col("a") == F.col("ca_camera_id")).join(small(cam("cb"), MOST_PAIRS), F.col("b") == F.col("cb_camera_id"))
     ud, vd, depth = dots(F.col("cb_m"), [F.col(f"a_{c}") for c in "xyz"])
-    rows = rows.withColumns({"_u": ud, "_v": vd, "_d": depth}).where("_d > 0").withColumns({"_u": F.bround(F.col("_u") / F.col("_d"), 0).cast("int"), "_v": F.bround(F.col("_v") / F.col("_d"), 0).cast("int")})
+    rows = rows.withColumns({"_u": ud, "_v": vd, "_d": depth}).where("_d > 0").withColumns({"_u": F.bround(F.round(F.col("_u") / F.col("_d"), 9), 0).cast("int"), "_v": F.bround(F.round(F.col("_v") / F.col("_d"), 9), 0).cast("int")})
     met = rows.join(b, (rows["b"] == b["g_b"]) & (rows["_v"] == b["b_row"]) & (rows["_u"] == b["b_col"]))
     back_u, back_v, back_d = dots(F.col("ca_m"), [F.col(f"b_{c}") for c in "xyz"])
     own = dots(F.col("cb_m"), [F.col(f"b_{c}") for c in "xyz"])[2]

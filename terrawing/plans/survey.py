@@ -628,27 +628,27 @@ def best_view_color(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _geometry(spark: SparkSession, d: str) -> DataFrame:
-    """The point nearest to the camera at each pixel that a visible point rounds to."""
-    seen = views.visible(points(spark, d), cameras(spark)).withColumns({"row": F.bround("v", 0).cast("int"), "col": F.bround("u", 0).cast("int")})
+    """The point nearest to the camera at each pixel that a visible point, told to nine decimals, rounds to."""
+    seen = views.visible(points(spark, d), cameras(spark)).withColumns({"row": F.bround(F.round("v", 9), 0).cast("int"), "col": F.bround(F.round("u", 9), 0).cast("int")})
     seen = seen.where(F.col("row") < F.col("height")).where(F.col("col") < F.col("width"))
     nearest = F.min_by(F.struct("x", "y", "z", "masked"), F.struct("depth", "point_id", "x", "y")).alias("p")
     return seen.groupBy("camera_id", "row", "col").agg(nearest).select("camera_id", "row", "col", "p.x", "p.y", "p.z", "p.masked")
 
 
 _GEOMETRY = f"""{_POINTS}, {_CAMERA_SQL}, {_PROJ},
-    w as (select *, round_even(v, 0) as row, round_even(u, 0) as col from proj where u >= 0 and u < 640 and v >= 0 and v < 480),
+    w as (select *, round_even(round(v, 9), 0) as row, round_even(round(u, 9), 0) as col from proj where u >= 0 and u < 640 and v >= 0 and v < 480),
     g as (select * from (select *, row_number() over (partition by camera_id, row, col order by depth, point_id, x, y) as k
     from w where row < 480 and col < 640) where k = 1)"""
 
 
 @query(f"""with {_GEOMETRY}, o as (select camera_id, sqrt((u - col) ** 2 + (v - row) ** 2) as off from g)
-    select camera_id, round(quantile_cont(off, 0.5), 6) as median_px, round(quantile_cont(off, 0.9), 6) as p90_px from o group by camera_id""")
+    select camera_id, round(quantile_cont(off, 0.5), 9) as median_px, round(quantile_cont(off, 0.9), 9) as p90_px from o group by camera_id""")
 def self_warp(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(views.self_warp(cut(spark, _geometry(spark, d)), cameras(spark)), 6, "median_px", "p90_px")
+    return rounded(views.self_warp(cut(spark, _geometry(spark, d)), cameras(spark)), 9, "median_px", "p90_px")
 
 
 @query(f"""with {_GEOMETRY}, pairs(a, b, chunk) as (values (0, 1, 'same'), (1, 2, 'same'), (2, 3, 'cross')),
-    m as (select p.*, g.x, g.y, g.z, g.row, g.col, g.masked, round_even(500e0 * (g.x - c.px) / (c.pz - g.z) + 320, 0) as bu, round_even(-500e0 * (g.y - c.py) / (c.pz - g.z) + 240, 0) as bv, c.pz - g.z as d
+    m as (select p.*, g.x, g.y, g.z, g.row, g.col, g.masked, round_even(round(500e0 * (g.x - c.px) / (c.pz - g.z) + 320, 9), 0) as bu, round_even(round(-500e0 * (g.y - c.py) / (c.pz - g.z) + 240, 9), 0) as bv, c.pz - g.z as d
           from pairs p join g on g.camera_id = p.a join cameras c on c.camera_id = p.b where c.pz - g.z > 0),
     j as (select m.*, h.masked as other, h.depth as own, 500e0 * (h.x - c.px) / (c.pz - h.z) + 320 as au, -500e0 * (h.y - c.py) / (c.pz - h.z) + 240 as av
           from m join g h on h.camera_id = m.b and h.row = m.bv and h.col = m.bu join cameras c on c.camera_id = m.a where c.pz - h.z > 0),

@@ -55,7 +55,7 @@ def _hits():
         for x, y, z, masked, k in p:
             depth = cz - z
             u, v = 500 * (x - cx) / depth + 320, -500 * (y - cy) / depth + 240
-            pixel = (c, round(v), round(u))
+            pixel = (c, round(round(v, 9)), round(round(u, 9)))
             if depth > 0 and 0 <= u < 640 and 0 <= v < 480 and pixel[1] < 480 and pixel[2] < 640 and (pixel not in best or (depth, k) < best[pixel][0]):
                 best[pixel] = ((depth, k), (x, y, z), masked, (u, v))
     return best
@@ -79,7 +79,7 @@ def test_neighbouring_views_meet_as_by_brute_force(spark):
             if c != a:
                 continue
             u, v = project(b, p)
-            other = best.get((b, round(v), round(u)))
+            other = best.get((b, round(round(v, 9)), round(round(u, 9))))
             if other and np.hypot(project(a, other[1])[0] - col, project(a, other[1])[1] - row) <= 2.0:
                 for bucket in [f"{chunk}_all"] + [f"{chunk}_land", "land"] * (not masked and not other[2]):
                     want[a, bucket] = want.get((a, bucket), 0) + 1
