@@ -19,6 +19,8 @@ BIN = 64
 
 #: Cells per axis of the coarse grid over the points in which cameras look for what they may see.
 GRID = 16
+#: So many cameras are held against the cells in the driver, more of them by workers.
+FEW_CAMERAS = 16
 #: More pairs of camera and cell than this are joined with a shuffle.
 MOST_PAIRS = 200_000
 
@@ -44,22 +46,30 @@ def dots(m: Column, place: list[Column]) -> tuple[Column, Column, Column]:
 _CAMERA = "camera_id int, cell int, m array<double>, c3 double, c7 double, c11 double, w double, h double"
 
 
-def _may_see(cameras: DataFrame, centres: np.ndarray, ids: np.ndarray, radius: float) -> DataFrame:
-    """Each camera with the cells whose bounding sphere reaches into its view: above the planes of depth and of the four edges of the image."""
+_ARROW = pa.schema([("camera_id", pa.int32()), ("cell", pa.int32()), ("m", pa.list_(pa.float64())), *[(c, pa.float64()) for c in ("c3", "c7", "c11", "w", "h")]])
+
+
+def _may_see(cameras: DataFrame, centres: np.ndarray, ids: np.ndarray, radius: float) -> tuple[DataFrame, int]:
+    """Each camera with the cells, and the number of such pairs, whose bounding sphere reaches into its view: above the planes of depth and of the four edges of the image."""
     slim = with_matrix(cameras).select(F.col("camera_id").cast("int").alias("camera_id"), "m", *[F.col("pose")[i].alias(f"c{i}") for i in (3, 7, 11)], F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row in enumerate(batch.to_pylist()):
+            for row in batch.to_pylist():
                 u, v, d = np.array(row["m"]).reshape(3, 4)
                 near = np.ones(len(centres), bool)
                 for plane in (d, u, v, row["w"] * d - u, row["h"] * d - v):
                     near &= centres @ plane[:3] + plane[3] + radius * np.linalg.norm(plane[:3]) >= 0
                 n = int(near.sum())
-                same = batch.slice(i, 1).take(pa.array([0] * n, pa.int32()))
-                yield pa.RecordBatch.from_arrays([same.column("camera_id"), pa.array(ids[near], pa.int32()), *[same.column(c) for c in ("m", "c3", "c7", "c11", "w", "h")]], ["camera_id", "cell", "m", "c3", "c7", "c11", "w", "h"])
+                columns = {"camera_id": [row["camera_id"]] * n, "cell": ids[near]} | {c: [row[c]] * n for c in ("m", "c3", "c7", "c11", "w", "h")}
+                yield pa.RecordBatch.from_pydict(columns, _ARROW)
 
-    return slim.mapInArrow(run, _CAMERA)
+    few = slim.limit(FEW_CAMERAS + 1).toArrow()
+    if few.num_rows > FEW_CAMERAS:
+        return kept(slim.mapInArrow(run, _CAMERA), MOST_PAIRS)
+    # For some cameras a worker's start would take longer than the work; there are at most FEW_CAMERAS * GRID ** 3 pairs.
+    pairs = pa.Table.from_batches(list(run(iter(few.to_batches()))), _ARROW)
+    return cameras.sparkSession.createDataFrame(pairs if pairs.num_rows else [], _CAMERA), pairs.num_rows
 
 
 def _seen(points: DataFrame, cameras: DataFrame, margin: float = 0.0) -> DataFrame:
@@ -80,7 +90,7 @@ def _seen(points: DataFrame, cameras: DataFrame, margin: float = 0.0) -> DataFra
     ids = np.sort(np.array([r[0] for r in placed.select("_cell").distinct().limit(GRID**3).collect()], int))
     index = np.stack([ids // GRID**2, ids // GRID % GRID, ids % GRID], 1) if len(ids) else np.zeros((0, 3))
     centres = np.array(low) + (index + 0.5) * np.array(width)
-    pairs, n = kept(_may_see(cameras, centres, ids, float(np.linalg.norm(width)) / 2 * (1 + 1e-9)), MOST_PAIRS)
+    pairs, n = _may_see(cameras, centres, ids, float(np.linalg.norm(width)) / 2 * (1 + 1e-9))
     both = placed.join(small(pairs, MOST_PAIRS, n), F.col("_cell") == F.col("cell"))
     dot = dots(F.col("m"), [F.col(c) for c in "xyz"])
     both = both.select(*points.columns, "camera_id", *[x.alias(n) for x, n in zip(dot, ("_u", "_v", "depth"))], F.col("c3").alias("_cx"), F.col("c7").alias("_cy"), F.col("c11").alias("_cz"), F.col("w").alias("_w"), F.col("h").alias("_h"))
