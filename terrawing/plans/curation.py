@@ -183,6 +183,30 @@ _CHANGES = """
 _CHANGES = _CHANGES.format(schemas=_FIELDS)
 
 
+def _table_sql() -> str:
+    """Records taken apart leaf by leaf; of a column's leaves the one under its own name comes first, then the others by name."""
+    single = "case when type = 'ARRAY' and json_array_length(value) = 1 then value -> 0 else value end"
+    figure = r"regexp_extract(text, '^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*(?:°|[a-z]*)\s*$', 1)"
+    numbers = ("source_index", "t", "lat", "lon", "alt", "yaw", "gimbal_pitch")
+    kinds = ["srt", "csv", "gpx", "kml", "json", "mavlink", "embedded"]
+    pick = lambda c, what: f"arg_min({what}, (case when name = '{c}' then 0 else 1 end, name)) filter (field_name = '{c}' and type <> 'NULL')"
+    columns = ", ".join(pick(c, "number") + f" as {c}" for c in numbers)
+    return f"""
+        with l as (select file_id, line_no, min(ltrim(line, chr(65279))) as line from raw_lines where file_id in (select file_id from raw_files where kind = 'json') group by all),
+        v as (select * from l where json_valid(line) and json_type(line) = 'OBJECT'),
+        t as (select file_id, line_no, replace(substr(j.fullkey, 3), '"', '') as name, j.type, j.value from v, json_tree(v.line) j),
+        leaf as (select * from t where name <> '' and not contains(name, '[') and (type <> 'OBJECT' or value::varchar = '{{}}')),
+        same(name, quantity) as (values {_SAME}),
+        f as (select file_id, line_no, leaf.name, type, value, coalesce(quantity, leaf.name) as field_name, {single} as one from leaf left join same using (name)),
+        x as (select *, one ->> '$' as text, json_type(one) as kind_of from f),
+        n as (select *, case when kind_of in ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') then try_cast(text as double) when kind_of = 'VARCHAR' then try_cast({figure} as double) end as number from x),
+        c as (select *, case when kind_of = 'VARCHAR' then nullif(lower(trim(text)), '') when number = floor(number) and number >= 0 then {kinds}[cast(number as int) + 1] end as kind_text from n),
+        r as (select file_id, line_no, {columns}, {pick("kind", "kind_text")} as kind,
+                     '{{' || coalesce(string_agg('"' || name || '": ' || value::varchar, ', ' order by name) filter (field_name not in {(*numbers, "kind")}), '') || '}}' as rest from c group by file_id, line_no)
+        select v.file_id, v.line_no, case when abs(source_index) < 2147483648 and source_index = floor(source_index) then cast(source_index as int) end as source_index, t, lat, lon, alt, yaw, gimbal_pitch, kind, coalesce(rest, '{{}}') as rest
+        from v left join r on r.file_id = v.file_id and r.line_no = v.line_no"""
+
+
 def _csv_sql() -> str:
     """Lines of csv files taken apart by one pattern per delimiter; a line that the pattern doesn't cover whole has a quoting error."""
     delimiters = {",": ",", ";": ";", "\t": "\t", "|": "\\|"}
@@ -278,6 +302,7 @@ SQL = {
     "p4_found": _clock_sql(),
     "p3_found": f"{_CHANGES} select file_id, field_name, change_kind from c",
     "p3_changes": f"{_CHANGES} select feed_id, file_id, field_name, change_kind, {', '.join(f"array_to_string({c}, '+') as {c}" for c in ('old_names', 'new_names', 'old_types', 'new_types'))} from c",
+    "p3_table": _table_sql(),
     "p5_found": f"{_csv_sql()} select file_id, line_no, reason from e where reason is not null",
     "p5_samples": f"""{_csv_sql()} select file_id, line_no, cast(v_source_index as bigint) as source_index, {", ".join(f"v_{c} as {c}" for c in ("t", "lat", "lon", "alt", "yaw", "gimbal_pitch"))}, case when trim(notes_text) <> '' then notes_text end as notes from e where reason is null""",
     "p1_grid": _grid_sql(),
