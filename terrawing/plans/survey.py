@@ -821,9 +821,19 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
     return e.select("frame_index", F.floor(F.col("k") / 8).cast("int").alias("row"), (F.col("k") % 8).alias("col"), v.alias("a"), (v * (1 - F.col("label") / 100)).alias("b"), F.lit(True).alias("mask"), *[(v * 255).alias(c) for c in ("r", "g")], (v * 255).alias("bb")).withColumnRenamed("bb", "b_")
 
 
-@query()
+_BLUR = "sum(w * a) as a, sum(w * b) as b, sum(w * aa) as aa, sum(w * bb) as bb, sum(w * ab) as ab"
+
+
+@query(f"""
+    with p as (select vec_id, i // 8 as r, i % 8 as c, (embedding[i + 1]::double + 1) / 2 as a, (embedding[i + 1]::double + 1) / 2 * (1 - label / 100e0) as b from embeddings, range(64) t(i)),
+    q as (select *, a * a as aa, b * b as bb, a * b as ab from p),
+    g as (select k - 5 as k, exp(-((k - 5) ** 2) / 4.5e0) as e from range(11) t(k)), w as (select k, e / sum(e) over () as w from g),
+    m as (select i, w, case when i + k < 0 then -(i + k) when i + k > 7 then 14 - (i + k) else i + k end as j from range(8) t(i), w),
+    h as (select vec_id, m.i as r, c, {_BLUR} from q join m on m.j = q.r group by all),
+    v as (select vec_id, r, m.i as c, {_BLUR} from h join m on m.j = h.c group by all)
+    select vec_id as frame_index, round(avg((2 * a * b + 0.0001e0) * (2 * (ab - a * b) + 0.0009e0) / ((a * a + b * b + 0.0001e0) * (aa - a * a + bb - b * b + 0.0009e0))), 6) as ssim from v group by vec_id""")
 def image_ssim(spark: SparkSession, d: str) -> DataFrame:
-    return scorecard.ssim(_pixels(spark, d).select("frame_index", "row", "col", "a", "b", "mask"))
+    return rounded(scorecard.ssim(_pixels(spark, d).select("frame_index", "row", "col", "a", "b", "mask")), 6, "ssim")
 
 
 @query("""
@@ -1133,7 +1143,13 @@ def viewer_sample(spark: SparkSession, d: str) -> DataFrame:
     return sinks.seeded_sample(points(spark, d).select("point_id"), "point_id", 500)
 
 
-@query()
+@query(f"""
+    with {_SAMPLES}, n as (select 'track_' || track_id as name, lon, lat, row_number() over (partition by track_id order by source_index, lon, lat) - 1 as i, count(*) over (partition by track_id) as total from samples),
+    p as (select *, unnest(case when i % 10000 = 0 and i > 0 then [i // 10000 - 1, i // 10000] else [i // 10000] end) as part from n)
+    select name, cast(part as int) as part,
+           '{{"type":"Feature","properties":{{"name":"' || name || '","part":' || part || '}},"geometry":{{"type":"LineString","coordinates":[' || string_agg('[' || lon || ',' || lat || ']', ',' order by i) || ']}}}}' as geojson,
+           '<Placemark><name>' || name || '</name><LineString><coordinates>' || string_agg(lon || ',' || lat || ',0', ' ' order by i) || '</coordinates></LineString></Placemark>' as kml
+    from p where part = 0 or part * 10000 < total - 1 group by name, part""")
 def trajectory_geojson(spark: SparkSession, d: str) -> DataFrame:
     """The line of each track through all its samples; a track is one feature, and so one row."""
     s = samples(spark, d)
