@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrawing.functions import camera, scoring
-from terrawing.operators import align, keyframes, masks, report, scorecard, views
+from terrawing.operators import align, keyframes, masks, raster, report, scorecard, views
 from terrawing.plans import survey as s
-from terrawing.runtime import checkpoint_folder, table
+from terrawing.runtime import checkpoint_folder, cut, table
 from terrawing.sources import files, sinks, telemetry
 from terrawing.streaming import bus
 
@@ -135,13 +137,6 @@ def mesh_face_indices(spark: SparkSession, d: str) -> DataFrame:
     select row, col, h::float::double as height_m, n::double as n from c""")
 def geotiff_cells(spark: SparkSession, d: str) -> DataFrame:
     """The cells that a reader of the raster's strips sees."""
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
-    from terrawing.operators import raster
-
     cells = raster.rasterise(s.points(spark, d), 1.0, {"height_m": F.max("z")})
     size = cells.agg(F.max("width"), F.max("height")).first()
     width, height, rows = int(size[0] or 1), int(size[1] or 1), 64
@@ -301,8 +296,6 @@ def sightings(spark: SparkSession, d: str) -> DataFrame:
     point, image = c("l_orderkey") * 8 + c("l_linenumber"), c("l_suppkey")
     keypoint = F.monotonically_increasing_id()
     rows = li.select(point.alias("point_id"), c("l_quantity").alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"), image.alias("image_id"), (c("l_partkey") % 640).alias("u"), (image % 480).alias("v")).withColumn("keypoint", keypoint)
-    from terrawing.runtime import cut
-
     rows = cut(spark, rows)
     ids = rows.select("image_id").distinct()
     name = F.concat(F.lit("i"), c("image_id").cast("string"))
